@@ -85,7 +85,8 @@ def trend_arrow(gained) -> Column:
 def race_status(winner, start_at, as_of) -> Column:
     """F16: COMPLETED with a winner, CANCELLED when started without one, else UPCOMING."""
     return (F.when(_c(winner).isNotNull(), STATUS_COMPLETED)
-            .when(_c(start_at).isNotNull() & (_c(start_at) <= F.lit(as_of)), STATUS_CANCELLED)
+            .when(_c(start_at).isNotNull() & (_c(start_at) <= (as_of if isinstance(as_of, Column) else F.lit(as_of))),
+                  STATUS_CANCELLED)
             .otherwise(STATUS_UPCOMING))
 
 

@@ -112,7 +112,7 @@ def _explode_buckets(intervals: DataFrame, lo: str, hi: str, dtype: DataType,
 def range_join(points: DataFrame, intervals: DataFrame, on: Sequence[str], point: str,
                lo: str, hi: str, how: str = "left", width: float | None = None,
                first_by: Sequence[Column] | None = None,
-               point_key: Sequence[str] | None = None) -> DataFrame:
+               point_key: Sequence[str] | None = None, hi_inclusive: bool = True) -> DataFrame:
     """Points joined to every interval with ``lo <= point <= hi`` (closed) and equal keys.
 
     ``how`` is ``left`` (unmatched points kept with null interval columns) or
@@ -128,9 +128,9 @@ def range_join(points: DataFrame, intervals: DataFrame, on: Sequence[str], point
     p = points.withColumn("_bkt", bucket_of(F.col(point), ptype, width)).alias("_p")
     i = _explode_buckets(intervals, lo, hi, intervals.schema[lo].dataType, width, False).alias("_i")
     cond = [F.col(f"_p.{k}") == F.col(f"_i.{k}") for k in on]
-    cond += [F.col("_p._bkt") == F.col("_i._bkt"),
-             F.col(f"_p.{point}") >= F.col(f"_i.{lo}"),
-             F.col(f"_p.{point}") <= F.col(f"_i.{hi}")]
+    upper = (F.col(f"_p.{point}") <= F.col(f"_i.{hi}")) if hi_inclusive else \
+        (F.col(f"_p.{point}") < F.col(f"_i.{hi}"))
+    cond += [F.col("_p._bkt") == F.col("_i._bkt"), F.col(f"_p.{point}") >= F.col(f"_i.{lo}"), upper]
     out = p.join(i, cond, how).select(*[F.col(f"_p.{c}").alias(c) for c in points.columns],
                                       *[F.col(f"_i.{c}").alias(c) for c in icols])
     if first_by is not None:
@@ -194,7 +194,7 @@ def asof_join(left: DataFrame, right: DataFrame, on: Sequence[str], left_ts: str
     lt, rt = left.schema[left_ts].dataType, right.schema[right_ts].dataType
     if _is_time(lt) != _is_time(rt):
         raise ValueError("as-of keys must both be timestamps or both numeric")
-    width = bucket_seconds if _is_time(lt) else bucket_seconds
+    width = bucket_seconds
     rstruct = F.struct(F.col(right_ts).alias("_t"), F.struct(*rcols).alias("_p"))
     R = right.select(*on, rstruct.alias("_r"), bucket_of(F.col(right_ts), rt, width).alias("_b"))
     rtype = R.schema["_r"].dataType

@@ -17,7 +17,7 @@ def seq_index(df: DataFrame, by: Sequence[str], order: Sequence[Column], name: s
 
 
 def resample_linear(samples: DataFrame, by: Sequence[str], order: Sequence[Column], value: str,
-                    n: int, null_as: float = 0.0, point: str = "point") -> DataFrame:
+                    n: int | str, null_as: float = 0.0, point: str = "point") -> DataFrame:
     """Resample each series to ``n`` points spread evenly over its sample index.
 
     Same arithmetic as ``np.interp(np.linspace(0, len-1, n), np.arange(len), y)``:
@@ -26,19 +26,19 @@ def resample_linear(samples: DataFrame, by: Sequence[str], order: Sequence[Colum
     count as ``null_as``. The grid is an equi-join on (series, j) against the
     samples carrying their right neighbour, so no series is gathered in one place.
     """
-    if n < 1:
+    if isinstance(n, int) and n < 1:
         raise ValueError("n must be >= 1")
     s = seq_index(samples, by, order, "_j", 0).withColumn("_y", F.coalesce(F.col(value).cast("double"),
                                                                              F.lit(float(null_as))))
     s = s.withColumn("_y1", F.lead("_y").over(Window.partitionBy(*by).orderBy("_j")))
-    lens = s.groupBy(*by).agg(F.count(F.lit(1)).alias("_len"))
-    i = F.col(point)
-    if n == 1:
-        p = F.lit(0.0)
-    else:
-        step = (F.col("_len") - 1).cast("double") / F.lit(float(n - 1))
-        p = F.when(i == n - 1, (F.col("_len") - 1).cast("double")).otherwise(i.cast("double") * step)
-    grid = (lens.withColumn(point, F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+    # n may be a column (constant inside each series) so every series can get its own grid size
+    nc = F.first(F.col(n)) if isinstance(n, str) else F.lit(n)
+    lens = s.groupBy(*by).agg(F.count(F.lit(1)).alias("_len"), nc.alias("_n")).where(F.col("_n") >= 1)
+    i, nn, ln = F.col(point), F.col("_n"), F.col("_len")
+    step = (ln - 1).cast("double") / (nn - 1).cast("double")
+    p = (F.when(nn == 1, F.lit(0.0)).when(i == nn - 1, (ln - 1).cast("double"))
+         .otherwise(i.cast("double") * step))
+    grid = (lens.withColumn(point, F.explode(F.sequence(F.lit(0), (nn - 1).cast("int"))))
             .withColumn("_p", p)
             .withColumn("_j", F.floor("_p"))
             .withColumn("_f", F.col("_p") - F.col("_j")))

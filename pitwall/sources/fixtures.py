@@ -297,7 +297,7 @@ RESULT_FIELDS = ["session_key", "driver_number", "position", "points", "classifi
 
 
 def session_result(t: Tables) -> DataFrame:
-    r = (_session_drivers(t).where("meeting_key % 6 <> 0")
+    r = (_session_drivers(t).where("meeting_key % 4 <> 0")
          .selectExpr("*", "CASE WHEN (d + session_key) % 11 = 0 THEN NULL ELSE (d * 7 + session_key) % 10 + 1 END AS pos")
          .selectExpr(
              "session_key", "d AS driver_number", "pos AS position",
@@ -320,7 +320,7 @@ def session_result(t: Tables) -> DataFrame:
 
 def starting_grid(t: Tables) -> DataFrame:
     f = ["session_key", "meeting_key", "driver_number", "position"]
-    g = (_session_drivers(t).where("session_type = 'Qualifying' AND meeting_key % 6 <> 0")
+    g = (_session_drivers(t).where("session_type = 'Qualifying' AND meeting_key % 4 <> 0")
          .selectExpr("session_key", "meeting_key", "d AS driver_number", "(d * 3 + session_key) % 10 + 1 AS position"))
     return _raw(g, f, L0)
 
