@@ -1,5 +1,356 @@
-"""Operator checks on the driver tables (filled below)."""
+"""Operator checks on the driver tables: every generic operator of the
+library run over whole tables (events, lineitem, orders, customer, …),
+each with an independent SQL oracle."""
 
+from __future__ import annotations
 
-def registry():
-    return {}
+import datetime as dt
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from pitwall.functions import scalars as S
+from pitwall.functions.variant import extract, raw_path
+from pitwall.operators.dedupe import keep_first, latest_per_key
+from pitwall.operators.joins import (adjacent_join, anti, asof_join, enrich, enrich_roles, locate,
+                                     range_agg, range_join)
+from pitwall.operators.timeseries import argmax_per_point, gap_fill_linear, last_non_null, resample_linear
+from pitwall.plans.marts import round_dec
+from pitwall.sources.landing import backfill_keys
+from pitwall.sources.tables import Tables
+
+EVENT_TYPES = ("signup", "purchase", "error", "view", "click")
+STATUS_AS_OF = dt.datetime(1998, 1, 1)
+
+
+def _v(df: DataFrame, *fields) -> DataFrame:
+    """Pack columns into a VARIANT object column named raw_data."""
+    return df.withColumn("raw_data", F.to_variant_object(F.struct(*fields)))
+
+
+def variant_project(t: Tables) -> DataFrame:
+    """JSON text → VARIANT → typed path."""
+    e = t.events.select("event_id", F.parse_json("props").alias("raw_data"))
+    return e.select("event_id", extract("k", "int").alias("k"))
+
+
+def variant_null_filter(t: Tables) -> DataFrame:
+    """P5: JSON null passes the path test, fails the typed test; a missing path fails both."""
+    e = t.events.select("event_id", "value")
+    jnull = _v(e.where("event_id % 3 = 0"), "event_id", F.lit(None).cast("double").alias("value"))
+    missing = _v(e.where("event_id % 3 = 1"), "event_id")
+    present = _v(e.where("event_id % 3 = 2"), "event_id", "value")
+    raw = jnull.unionByName(missing).unionByName(present).select("event_id", "raw_data")
+    return raw.select("event_id", raw_path("value").isNotNull().alias("has_path"),
+                      extract("value", "double").isNotNull().alias("has_value"),
+                      extract("value", "double").alias("v"))
+
+
+def lenient_cast(t: Tables) -> DataFrame:
+    """Lenient numeric cast of text (non-numeric → NULL)."""
+    o = t.orders.select("o_orderkey", F.to_variant_object(F.struct(
+        F.substring("o_orderpriority", 1, 1).alias("prefix"), F.col("o_orderpriority").alias("full"))).alias("raw_data"))
+    return o.select("o_orderkey", extract("prefix", "try_double").alias("prio_num"),
+                    extract("full", "try_double").alias("full_num"))
+
+
+def strict_numeric(t: Tables) -> DataFrame:
+    """Strict (numbers only) vs lenient numeric extraction over
+    number / numeric text / array / JSON null / missing values."""
+    e = t.events.select("event_id", "value")
+    k = F.col("event_id") % 5
+    payload = (F.when(k == 0, F.col("value").cast("variant"))
+               .when(k == 1, F.col("value").cast("string").cast("variant"))
+               .when(k == 2, F.to_variant_object(F.array("value"))))
+    with_v = e.where(k != 4).select("event_id", F.to_variant_object(F.struct(payload.alias("x"))).alias("raw_data"))
+    without = e.where(k == 4).select("event_id", F.to_variant_object(F.struct("event_id")).alias("raw_data"))
+    raw = with_v.unionByName(without)
+    return raw.select("event_id", extract("x", "as_double").alias("strict_v"),
+                      extract("x", "try_double").alias("lenient_v"))
+
+
+def flag_project(t: Tables) -> DataFrame:
+    """Integer code → boolean flag (NULL stays NULL)."""
+    li = t.lineitem.select("l_orderkey", "l_linenumber", "l_returnflag",
+                           F.when(F.col("l_returnflag") == "R", 1).when(F.col("l_returnflag") == "A", 0).alias("code"))
+    li = _v(li, "code")
+    return li.select("l_orderkey", "l_linenumber", "l_returnflag", extract("code", "flag").alias("is_returned"))
+
+
+def latest_events(t: Tables) -> DataFrame:
+    """Newest event per (user, type)."""
+    return latest_per_key(t.events, ["user_id", "event_type"], order=[F.col("ts").desc()])
+
+
+def latest_lineitem(t: Tables) -> DataFrame:
+    """W1 on a key that is really duplicated, with an explicit total-order tiebreak."""
+    tb = [F.col(c).asc() for c in ("l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount",
+                                   "l_tax", "l_returnflag", "l_linestatus")]
+    return latest_per_key(t.lineitem, ["l_orderkey", "l_linenumber"], order=[F.col("l_shipdate").desc()],
+                          tiebreak=tb)
+
+
+def star_enrich(t: Tables) -> DataFrame:
+    """Fact ⟕ four dimensions on single keys."""
+    li = t.lineitem.select("l_orderkey", "l_linenumber", "l_extendedprice")
+    out = enrich(li, t.orders.withColumnRenamed("o_orderkey", "l_orderkey"), ["l_orderkey"],
+                 ["o_orderdate", "o_custkey"])
+    out = enrich(out, t.customer.withColumnRenamed("c_custkey", "o_custkey"), ["o_custkey"],
+                 ["c_name", "c_nationkey"])
+    out = enrich(out, t.nation.withColumnRenamed("n_nationkey", "c_nationkey"), ["c_nationkey"],
+                 ["n_name", "n_regionkey"])
+    out = enrich(out, t.region.withColumnRenamed("r_regionkey", "n_regionkey"), ["n_regionkey"], ["r_name"])
+    return out.select("l_orderkey", "l_linenumber", "l_extendedprice", "o_orderdate", "c_name", "n_name", "r_name")
+
+
+def role_enrich(t: Tables) -> DataFrame:
+    """Nation as customer nation and as supplier nation."""
+    li = t.lineitem.select("l_orderkey", "l_linenumber", "l_suppkey")
+    li = enrich(li, t.orders.withColumnRenamed("o_orderkey", "l_orderkey"), ["l_orderkey"], ["o_custkey"])
+    li = enrich(li, t.customer.withColumnRenamed("c_custkey", "o_custkey"), ["o_custkey"],
+                {"cust_nationkey": "c_nationkey"})
+    li = enrich(li, t.supplier.withColumnRenamed("s_suppkey", "l_suppkey"), ["l_suppkey"],
+                {"supp_nationkey": "s_nationkey"})
+    out = enrich_roles(li, t.nation, "n_nationkey", {"cust_nationkey": {"cust_nation": "n_name"},
+                                                     "supp_nationkey": {"supp_nation": "n_name"}})
+    return out.select("l_orderkey", "l_linenumber", "cust_nation", "supp_nation")
+
+
+def _events_ord(t: Tables) -> DataFrame:
+    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    return t.events.withColumn("ord", F.row_number().over(w))
+
+
+def _blocks(t: Tables) -> DataFrame:
+    """Blocks of 5 ordinals per user; every 4th block overlaps the next by
+    2, every 7th (by user + block) is missing."""
+    b = (_events_ord(t).withColumn("block", F.expr("(ord - 1) div 5 + 1"))
+         .groupBy("user_id", "block").agg(F.min("ord").alias("lo"), F.max("ord").alias("hi")))
+    return b.where("(user_id + block) % 7 <> 0").select(
+        "user_id", "block", "lo", F.expr("CASE WHEN block % 4 = 0 THEN hi + 2 ELSE hi END").alias("hi"))
+
+
+def range_join_first(t: Tables) -> DataFrame:
+    """Each event's first containing block (or none)."""
+    ev = _events_ord(t).select("event_id", "user_id", "ord")
+    return range_join(ev, _blocks(t), ["user_id"], "ord", "lo", "hi", how="left",
+                      first_by=[F.col("block").asc_nulls_last()], point_key=["event_id"]) \
+        .select("event_id", "user_id", "ord", "block")
+
+
+def block_stats(t: Tables) -> DataFrame:
+    """J6 + A1-A5: per block count / min / avg / spread / end-point slope /
+    regression slope over the "clean" events (value < 400); empty blocks kept."""
+    pts = _events_ord(t).where(F.col("value") < 400).select("user_id", "ord", "value")
+    v, o, lo, hi = F.col("value"), F.col("ord"), F.col("lo"), F.col("hi")
+    aggs = [F.count(o).alias("n"), F.min(v).alias("min_v"), F.avg(v).alias("avg_v"),
+            (F.avg(v) - F.min(v)).alias("gap_v"),
+            round_dec((F.max(F.when(o == hi, v)) - F.min(F.when(o == lo, v))) / F.nullif(hi - lo, F.lit(0)))
+            .alias("deg_end"),
+            round_dec(F.regr_slope(v, o)).alias("deg_slope")]
+    return range_agg(_blocks(t), pts, ["user_id"], "ord", "lo", "hi", aggs)
+
+
+def adjacent_blocks(t: Tables) -> DataFrame:
+    """For every 5th ordinal, the block ending there and the one starting after it."""
+    ev = _events_ord(t).where("ord % 5 = 0").select("event_id", "user_id", "ord")
+    return adjacent_join(ev, _blocks(t), ["user_id"], "ord", "lo", "hi", before={"block_out": "block"},
+                         after={"block_in": "block"})
+
+
+def asof_view_purchase(t: Tables) -> DataFrame:
+    """Each purchase with the user's latest view at or before it."""
+    p = t.events.where("event_type = 'purchase'").select("event_id", "user_id", "ts")
+    v = t.events.where("event_type = 'view'").select("user_id", F.col("event_id").alias("view_id"),
+                                                     F.col("ts").alias("view_ts"), F.col("value").alias("view_value"))
+    return asof_join(p, v, ["user_id"], "ts", "view_ts", bucket_seconds=86400.0)
+
+
+def point_in_interval(t: Tables) -> DataFrame:
+    """Each error inside the closed span between consecutive signups of
+    its user (the earlier span wins on a shared boundary); others dropped."""
+    s = t.events.where("event_type = 'signup'").select(
+        "user_id", F.col("event_id").alias("signup_id"), F.col("ts").alias("lo"),
+        F.lead("ts").over(Window.partitionBy("user_id").orderBy("ts", "event_id")).alias("hi"))
+    e = t.events.where("event_type = 'error'").select("event_id", "user_id", "ts")
+    return locate(e, s, ["user_id"], "ts", "lo", "hi", order=[F.col("lo").asc(), F.col("signup_id").asc()],
+                  point_key=["event_id"], width=86400.0).select("event_id", "user_id", "ts", "signup_id")
+
+
+def anti_guard(t: Tables) -> DataFrame:
+    """Customers without any order."""
+    return anti(t.customer.select("c_custkey", "c_name"),
+                t.orders.select(F.col("o_custkey").alias("c_custkey")), ["c_custkey"])
+
+
+def backfill_worklist(t: Tables) -> DataFrame:
+    """Customers never seen in events (new) ∪ users missing an event type."""
+    src = t.customer.select(F.col("c_custkey").alias("key"))
+    loaded = t.events.select(F.col("user_id").alias("key"), F.col("event_type").alias("part"))
+    return backfill_keys(src, loaded, "key", "part", EVENT_TYPES)
+
+
+def cond_counts(t: Tables) -> DataFrame:
+    """Conditional counts and a conditional pick per user."""
+    et = F.col("event_type")
+    return t.events.groupBy("user_id").agg(
+        *[F.count(F.when(et == x, 1)).alias(f"n_{x}") for x in EVENT_TYPES],
+        F.count(F.lit(1)).alias("n_all"),
+        F.max(F.when(et == "purchase", F.col("value"))).alias("max_purchase"))
+
+
+def best_customer_per_nation(t: Tables) -> DataFrame:
+    """Aggregate first (cheapest order per customer), then top-1 per nation."""
+    per = t.orders.groupBy("o_custkey").agg(F.min("o_totalprice").alias("min_price")) \
+        .join(t.customer.select(F.col("c_custkey").alias("o_custkey"), "c_nationkey"), ["o_custkey"], "inner")
+    return keep_first(per, ["c_nationkey"], [F.col("min_price").asc(), F.col("o_custkey").asc()]) \
+        .select("c_nationkey", F.col("o_custkey").alias("c_custkey"), "min_price")
+
+
+def last_non_null_per_day(t: Tables) -> DataFrame:
+    """Column-wise last non-null per (user, day) in time order."""
+    e = t.events.select("user_id", F.to_date("ts").alias("day"), "ts",
+                        F.when(F.col("event_id") % 3 != 0, F.col("value")).alias("value"),
+                        F.when(F.col("event_id") % 4 != 0, F.col("event_type")).alias("event_type"))
+    return last_non_null(e, ["user_id", "day"], F.col("ts"), ["value", "event_type"])
+
+
+def fastest_row(t: Tables) -> DataFrame:
+    """Arg-min row per user (ties → lower event id)."""
+    return t.events.groupBy("user_id").agg(F.min_by("event_id", F.struct("value", "event_id")).alias("event_id"))
+
+
+def resampled_values(t: Tables, n: int = 50) -> DataFrame:
+    """Every user's value series resampled to n points."""
+    return resample_linear(t.events, ["user_id"], [F.col("ts"), F.col("event_id")], "value", n)
+
+
+def point_winner(t: Tables, n: int = 50) -> DataFrame:
+    """Per (group, point) the user with the largest resampled value (lowest user id on ties)."""
+    r = resampled_values(t, n).withColumn("grp", F.col("user_id") % 10)
+    return argmax_per_point(r, ["grp", "point"], "value", [F.col("user_id").asc()]) \
+        .select("grp", "point", "user_id", "value")
+
+
+def gap_filled(t: Tables) -> DataFrame:
+    """Linear gap fill of a nullified series per user (leading gaps dropped)."""
+    e = t.events.select("event_id", "user_id", "ts", F.when(F.col("event_id") % 4 != 0, F.col("value")).alias("v"))
+    return gap_fill_linear(e, ["user_id"], [F.col("ts"), F.col("event_id")], ["v"]).select("event_id", "user_id", "v")
+
+
+def rotated(t: Tables) -> DataFrame:
+    """rotate (value, event_id % 100) by -30 degrees."""
+    x, y = S.rotate2d(F.col("value"), (F.col("event_id") % 100).cast("double"), 30.0)
+    return t.events.select("event_id", round_dec(x, 6).alias("rx"), round_dec(y, 6).alias("ry"))
+
+
+def classify_orders(t: Tables) -> DataFrame:
+    """Result classification and gated places gained on synthetic flags."""
+    o = t.orders.select(
+        "o_orderkey",
+        (F.col("o_orderkey") % 97 == 0).alias("is_dsq"),
+        ((F.col("o_orderstatus") == "P") & (F.col("o_orderkey") % 3 == 0)).alias("is_dns"),
+        ((F.col("o_orderstatus") == "F") & (F.col("o_orderkey") % 5 == 0)).alias("is_dnf"),
+        F.when(F.col("o_orderkey") % 7 != 0, F.col("o_orderkey") % 20 + 1).alias("finish"),
+        (F.col("o_orderkey") % 3).alias("laps"), (F.col("o_custkey") % 20 + 1).alias("grid"),
+        F.when(F.col("o_orderkey") % 2 == 0, "Race").otherwise("Qualifying").alias("stype"))
+    return o.select("o_orderkey", S.classify_result("is_dsq", "is_dns", "is_dnf", "finish", "laps").alias("status"),
+                    S.positions_gained("finish", "grid", "stype").alias("gained"))
+
+
+def order_status(t: Tables) -> DataFrame:
+    """COMPLETED / CANCELLED / UPCOMING against a fixed as-of, with date label."""
+    o = t.orders.select("o_orderkey",
+                        F.when(F.col("o_orderpriority") == "1-URGENT", F.col("o_orderkey")).alias("winner"),
+                        F.when(F.col("o_orderkey") % 50 != 0, F.col("o_orderdate")).alias("start"))
+    as_of = F.lit(STATUS_AS_OF.isoformat(sep=" ")).cast("timestamp_ntz")
+    return o.select("o_orderkey", S.race_status("winner", "start", as_of).alias("status"),
+                    S.format_date("start").alias("date_label"))
+
+
+def lap_end(t: Tables) -> DataFrame:
+    """timestamp + fractional seconds, exact and whole-second."""
+    return t.events.select("event_id", S.add_seconds("ts", "value").alias("end_exact"),
+                           S.add_seconds("ts", "value", whole_seconds=True).alias("end_whole"))
+
+
+def normalise_filter(t: Tables) -> DataFrame:
+    """Normalised flag, membership with blank pass-through, n of total per user."""
+    k = F.col("event_id") % 4
+    flag = (F.when(k == 0, F.upper("event_type")).when(k == 1, F.concat(F.lit(" "), F.col("event_type"), F.lit(" ")))
+            .when(k == 3, F.col("event_type")))
+    cat = F.when(F.col("value") > 100, "High").otherwise("Low")
+    e = t.events.select("user_id", S.normalise(flag).alias("flag"), cat.alias("category"))
+    shown = F.col("category").isin("High") & (F.col("flag").isin("VIEW", "CLICK") | (F.col("flag") == ""))
+    return e.groupBy("user_id").agg(F.count_if(shown).alias("n_shown"), F.count(F.lit(1)).alias("n_total"))
+
+
+def _prio(t: Tables) -> DataFrame:
+    return t.orders.select("o_orderkey", "o_totalprice",
+                           F.when(F.col("o_orderpriority") != "3-MEDIUM", F.col("o_orderpriority")).alias("prio"))
+
+
+def topk_nulls_last(t: Tables) -> DataFrame:
+    """Top 10 by a nullable key, NULLS LAST, deterministic tiebreak."""
+    return _prio(t).orderBy(F.col("prio").asc_nulls_last(), F.col("o_totalprice").desc(), "o_orderkey").limit(10)
+
+
+def topk_desc_nulls_first(t: Tables) -> DataFrame:
+    """O3: DESC with the warehouse's default NULLS FIRST, spelled out."""
+    return _prio(t).orderBy(F.col("prio").desc_nulls_first(), "o_orderkey").limit(10)
+
+
+def scalar_latest(t: Tables) -> DataFrame:
+    """Rows of the latest key (uncorrelated scalar subquery)."""
+    li = t.lineitem
+    return li.where(F.col("l_orderkey") == li.select(F.max("l_orderkey")).scalar()) \
+        .select("l_orderkey", "l_linenumber", "l_quantity")
+
+
+def formatted_times(t: Tables) -> DataFrame:
+    """m:ss.mmm lap text and signed deltas."""
+    return t.events.select("event_id", S.format_laptime(F.col("value") * 3).alias("lap_text"),
+                           S.format_delta(F.col("value") - 100).alias("delta_text"))
+
+
+GENERIC: dict[str, Callable[[Tables], DataFrame]] = {
+    "variant_project": variant_project,
+    "variant_null_filter": variant_null_filter,
+    "lenient_cast": lenient_cast,
+    "strict_numeric": strict_numeric,
+    "flag_project": flag_project,
+    "latest_per_key_events": latest_events,
+    "latest_per_key_lineitem": latest_lineitem,
+    "star_enrich": star_enrich,
+    "role_enrich": role_enrich,
+    "range_join_first": range_join_first,
+    "block_stats": block_stats,
+    "adjacent_join": adjacent_blocks,
+    "asof_view_purchase": asof_view_purchase,
+    "point_in_interval": point_in_interval,
+    "anti_guard": anti_guard,
+    "backfill_keys": backfill_worklist,
+    "cond_counts": cond_counts,
+    "top1_over_aggregate": best_customer_per_nation,
+    "last_non_null": last_non_null_per_day,
+    "fastest_row": fastest_row,
+    "resample_linear": resampled_values,
+    "point_winner": point_winner,
+    "gap_fill": gap_filled,
+    "rotate2d": rotated,
+    "classify_case": classify_orders,
+    "status_case": order_status,
+    "lap_end": lap_end,
+    "normalise_filter": normalise_filter,
+    "topk_nulls_last": topk_nulls_last,
+    "topk_desc_nulls_first": topk_desc_nulls_first,
+    "scalar_latest": scalar_latest,
+    "fmt_laptime": formatted_times,
+}
+
+
+def registry() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    def bind(fn):
+        return lambda spark, sf_dir: fn(Tables(spark, sf_dir))
+    return {name: bind(fn) for name, fn in GENERIC.items()}
