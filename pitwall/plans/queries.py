@@ -489,6 +489,31 @@ def v_sprint_results(m: Marts, season: int = SEASON, as_of: dt.datetime = AS_OF,
         "meeting_name", "country_name", "driver_name", "team_name", "finish_position", "points")
 
 
+# ------------------------------------------------------------------ quality / semantic
+def dq_report(m: Marts) -> DataFrame:
+    """D1-D3 over the marts and staging models."""
+    from pitwall.plans.quality import run_checks
+    return run_checks({**{n: m.get(n) for n in Marts.NAMES}, **{k: v for k, v in m.stg.items()}})
+
+
+def semantic_lap_metrics(m: Marts) -> DataFrame:
+    """Default aggregations by a related dimension and a month grain."""
+    from pitwall.plans.semantic import metric
+    return metric(m, "fct_laps", ["lap time", "top speed", "sector_1_s"],
+                  by=["year", "session_start_at:month", "tyre_compound"])
+
+
+def semantic_points_by_team(m: Marts) -> DataFrame:
+    from pitwall.plans.semantic import metric
+    return metric(m, "fct_session_results", ["points", "finish_position", "positions_gained"],
+                  by=["team_name", "year", "session_type"])
+
+
+def semantic_weather(m: Marts) -> DataFrame:
+    from pitwall.plans.semantic import metric
+    return metric(m, "fct_weather", ["temperature", "humidity_pct"], by=["country_name", "is_raining", "recorded_at:day"])
+
+
 # ------------------------------------------------------------------ registry
 QUERIES: dict[str, Callable[[Marts], DataFrame]] = {
     "q01_seasons": seasons,
@@ -534,6 +559,10 @@ QUERIES: dict[str, Callable[[Marts], DataFrame]] = {
     "v14_fastest_lap_each_race_this_season": v_fastest_lap_each_race,
     "v15_points_scored_per_driver_last_race": v_points_last_race,
     "v16_sprint_results_this_season": v_sprint_results,
+    "dq_report": dq_report,
+    "semantic_lap_metrics": semantic_lap_metrics,
+    "semantic_points_by_team": semantic_points_by_team,
+    "semantic_weather": semantic_weather,
 }
 
 
