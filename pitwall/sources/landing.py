@@ -34,13 +34,16 @@ def parse_records(lines: DataFrame, endpoint: str, text_col: str = "value") -> t
     non-object payloads (an API error body, say) are rejected, not raised."""
     parsed = lines.select(F.col(text_col).alias("_text"), F.try_parse_json(F.col(text_col)).alias("_v"))
     kind = F.schema_of_variant(F.col("_v"))
-    arrays = parsed.where(kind.startswith("ARRAY")).select(
+    arrays = parsed.where(kind.startswith("ARRAY")).select(  # non-object elements are dropped, line rejected
         "_text", F.explode(F.variant_get(F.col("_v"), "$", "array<variant>")).alias("_v"))
     objects = parsed.where(kind.startswith("OBJECT")).unionByName(
         arrays.where(F.schema_of_variant(F.col("_v")).startswith("OBJECT")))
     accepted = objects.select(F.col("_v").alias(RAW), F.current_timestamp().alias("loaded_at"),
                               F.lit(endpoint).alias("endpoint"))
-    rejected = parsed.where(F.col("_v").isNull() | ~(kind.startswith("ARRAY") | kind.startswith("OBJECT"))) \
+    all_objects = F.forall(F.variant_get(F.col("_v"), "$", "array<variant>"),
+                           lambda x: F.schema_of_variant(x).startswith("OBJECT"))
+    ok = kind.startswith("OBJECT") | (kind.startswith("ARRAY") & all_objects)
+    rejected = parsed.where(F.col("_v").isNull() | ~ok) \
         .select(F.lit(endpoint).alias("endpoint"), F.col("_text").alias("line"))
     return accepted, rejected
 
