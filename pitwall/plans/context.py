@@ -6,27 +6,65 @@ from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 
+import uuid
+from collections.abc import Mapping
+
 from pitwall.plans.marts import Marts
-from pitwall.plans.staging import build_staging
+from pitwall.plans.staging import MODELS, stage
+from pitwall.session import checkpoint_dir
+from pitwall.session import materialize as materialize_df
 from pitwall.sources import fixtures
 from pitwall.sources.tables import Tables
 
 
+class _StagedTables(Mapping):
+    """Staging models built on first use and written once as parquet to the
+    shared checkpoint folder (one build, many readers)."""
+
+    def __init__(self, ctx: "RaceContext"):
+        self.ctx, self._done = ctx, {}
+
+    def __getitem__(self, name: str) -> DataFrame:
+        if name not in MODELS:
+            raise KeyError(name)
+        if name not in self._done:
+            model = MODELS[name]
+            sessions = self["stg_sessions"] if model.with_year else None
+            df = stage(self.ctx.raw_table(model.endpoint), model, sessions)
+            self._done[name] = materialize_df(df, name, self.ctx.run_dir) if self.ctx.materialize else df
+        return self._done[name]
+
+    def __iter__(self):
+        return iter(MODELS)
+
+    def __len__(self):
+        return len(MODELS)
+
+
 class RaceContext:
     """Lazy race data model over the driver tables in ``sf_dir``."""
 
-    def __init__(self, spark: SparkSession, sf_dir: str, strict_grid: bool = False):
+    def __init__(self, spark: SparkSession, sf_dir: str, strict_grid: bool = False, materialize: bool = True):
         self.spark, self.sf_dir = spark, sf_dir
-        self.tables = Tables(spark, sf_dir)
         self.strict_grid = strict_grid
+        self.materialize = materialize
+        self.tables = Tables(spark, sf_dir, (lambda df, name: materialize_df(df, f"_derived_{name}", self.run_dir))
+                             if materialize else None)
+
+    @cached_property
+    def run_dir(self) -> str:
+        return f"{checkpoint_dir(self.spark).rstrip('/')}/pitwall-{uuid.uuid4().hex}"
+
+    def raw_table(self, endpoint: str) -> DataFrame:
+        return fixtures.ENDPOINTS[endpoint](self.tables)
 
     @cached_property
     def raw(self) -> dict[str, DataFrame]:
         return fixtures.raw_tables(self.tables)
 
     @cached_property
-    def stg(self) -> dict[str, DataFrame]:
-        return build_staging(self.raw)
+    def stg(self) -> Mapping[str, DataFrame]:
+        return _StagedTables(self)
 
     @cached_property
     def marts(self) -> Marts:

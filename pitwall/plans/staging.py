@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pitwall.functions.variant import RAW, Field, Require, VariantSpec, project_variant
-from pitwall.operators.dedupe import latest_per_key
+from pitwall.operators.dedupe import latest_per_key, row_hash
 
 
 @dataclass(frozen=True)
@@ -121,9 +121,11 @@ MODELS: dict[str, StagingModel] = {
 
 def stage(raw: DataFrame, model: StagingModel, sessions: DataFrame | None = None) -> DataFrame:
     """Run one staging model over a RAW DataFrame."""
-    typed = project_variant(raw.withColumn("_h", F.xxhash64(F.to_json(F.col(RAW)))), model.spec,
-                            keep=("loaded_at", "_h"))
-    out = latest_per_key(typed, model.keys, tiebreak=[F.col("_h").desc()]).drop("_h")
+    typed = project_variant(raw, model.spec, keep=("loaded_at",))
+    # Tiebreak on equal loaded_at: a hash of the typed row. Records that tie on
+    # every projected column yield the same output row, so this is as
+    # deterministic as hashing the raw text and much cheaper than to_json.
+    out = latest_per_key(typed, model.keys, tiebreak=[row_hash(typed, exclude=("loaded_at",)).desc()])
     if model.with_year:
         if sessions is None:
             raise ValueError(f"{model.endpoint} needs staged sessions for the season year")

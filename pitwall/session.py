@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -18,6 +19,7 @@ ENGINE_DEFAULTS = {
     "spark.sql.autoBroadcastJoinThreshold": str(32 * 1024 * 1024),
     "spark.sql.session.timeZone": "UTC",
     "spark.ui.enabled": "false",
+    "spark.ui.showConsoleProgress": "false",
 }
 
 
@@ -52,6 +54,17 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return d
 
 
+def materialize(df: DataFrame, name: str, run_dir: str | None = None) -> DataFrame:
+    """Write ``df`` once as parquet in the shared checkpoint folder and read it
+    back: later plans start from files (column pruning, pushdown, runtime
+    size statistics for AQE) instead of recomputing the lineage."""
+    spark = df.sparkSession
+    base = run_dir or f"{checkpoint_dir(spark).rstrip('/')}/pitwall-{uuid.uuid4().hex}"
+    path = f"{base}/{name}"
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
+
+
 def cut_lineage(df: DataFrame, spark: SparkSession | None = None) -> DataFrame:
     """Reliable checkpoint into the shared checkpoint folder (survives executor loss)."""
     spark = spark or df.sparkSession

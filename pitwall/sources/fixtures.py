@@ -131,7 +131,12 @@ def drivers(t: Tables) -> DataFrame:
 # --------------------------------------------------------------------------- laps / stints / pit
 def laps_typed(t: Tables) -> DataFrame:
     """One lap per lineitem row; lap_number is the row's rank inside its
-    (session, driver) under a total order of all its columns."""
+    (session, driver) under a total order of all its columns. Used by the
+    laps, stints and pit feeds, so it is built once per context."""
+    return t.derived("laps_typed", lambda: _laps_typed(t))
+
+
+def _laps_typed(t: Tables) -> DataFrame:
     li = t.lineitem.selectExpr(
         "*", "(l_orderkey % 25 + 1) * 10 + (l_partkey % 5 + 1) AS session_key",
         "l_suppkey % 10 + 1 AS driver_number")

@@ -13,12 +13,25 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 class Tables:
-    """Lazy accessor: ``Tables(spark, dir).lineitem``."""
+    """Lazy accessor: ``Tables(spark, dir).lineitem``.
 
-    def __init__(self, spark: SparkSession, sf_dir: str):
+    ``derived(name, build)`` memoises a table derived from the driver tables;
+    with a ``materializer`` it is written once (shared checkpoint folder) and
+    every later use reads the files instead of recomputing the lineage.
+    """
+
+    def __init__(self, spark: SparkSession, sf_dir: str, materializer=None):
         self.spark, self.sf_dir = spark, sf_dir
+        self._memo: dict[str, DataFrame] = {}
+        self._materializer = materializer
+
+    def derived(self, name: str, build) -> DataFrame:
+        if name not in self._memo:
+            df = build()
+            self._memo[name] = self._materializer(df, name) if self._materializer else df
+        return self._memo[name]
 
     def __getattr__(self, name: str) -> DataFrame:
-        if name not in TABLES:
+        if name.startswith("_") or name not in TABLES:
             raise AttributeError(name)
         return read_table(self.spark, self.sf_dir, name)
