@@ -125,3 +125,14 @@ def points_int(points) -> Column:
 def int_or_dash(x) -> Column:
     """integer text or dash."""
     return F.coalesce(_c(x).cast("int").cast("string"), F.lit(DASH))
+
+
+def title_label(name: str) -> str:
+    """P14 default: snake_case → Title Case."""
+    return " ".join(w.capitalize() for w in name.split("_"))
+
+
+def relabel(df, labels: dict[str, str] | None = None):
+    """Rename columns for display — explicit label, else Title Case."""
+    labels = labels or {}
+    return df.withColumnsRenamed({c: labels.get(c, title_label(c)) for c in df.columns})

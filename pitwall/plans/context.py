@@ -6,7 +6,9 @@ from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 
+import threading
 import uuid
+from concurrent.futures import ThreadPoolExecutor
 from collections.abc import Mapping
 
 from pitwall.plans.marts import Marts
@@ -23,15 +25,17 @@ class _StagedTables(Mapping):
 
     def __init__(self, ctx: "RaceContext"):
         self.ctx, self._done = ctx, {}
+        self._locks = {n: threading.RLock() for n in MODELS}
 
     def __getitem__(self, name: str) -> DataFrame:
         if name not in MODELS:
             raise KeyError(name)
-        if name not in self._done:
-            model = MODELS[name]
-            sessions = self["stg_sessions"] if model.with_year else None
-            df = stage(self.ctx.raw_table(model.endpoint), model, sessions)
-            self._done[name] = materialize_df(df, name, self.ctx.run_dir) if self.ctx.materialize else df
+        with self._locks[name]:
+            if name not in self._done:
+                model = MODELS[name]
+                sessions = self["stg_sessions"] if model.with_year else None
+                df = stage(self.ctx.raw_table(model.endpoint), model, sessions)
+                self._done[name] = materialize_df(df, name, self.ctx.run_dir) if self.ctx.materialize else df
         return self._done[name]
 
     def __iter__(self):
@@ -44,8 +48,10 @@ class _StagedTables(Mapping):
 class RaceContext:
     """Lazy race data model over the driver tables in ``sf_dir``."""
 
-    def __init__(self, spark: SparkSession, sf_dir: str, strict_grid: bool = False, materialize: bool = True):
+    def __init__(self, spark: SparkSession, sf_dir: str, strict_grid: bool = False, materialize: bool = True,
+                 land_raw: bool = False):
         self.spark, self.sf_dir = spark, sf_dir
+        self.land_raw = land_raw
         self.strict_grid = strict_grid
         self.materialize = materialize
         self.tables = Tables(spark, sf_dir, (lambda df, name: materialize_df(df, f"_derived_{name}", self.run_dir))
@@ -56,7 +62,12 @@ class RaceContext:
         return f"{checkpoint_dir(self.spark).rstrip('/')}/pitwall-{uuid.uuid4().hex}"
 
     def raw_table(self, endpoint: str) -> DataFrame:
-        return fixtures.ENDPOINTS[endpoint](self.tables)
+        """The RAW (landed) feed of an endpoint; with ``land_raw`` it is written
+        once as a VARIANT parquet table, as landing does in production."""
+        df = fixtures.ENDPOINTS[endpoint](self.tables)
+        if self.materialize and self.land_raw:
+            return self.tables.derived(f"raw_{endpoint}", lambda: df)
+        return df
 
     @cached_property
     def raw(self) -> dict[str, DataFrame]:
@@ -68,7 +79,16 @@ class RaceContext:
 
     @cached_property
     def marts(self) -> Marts:
-        return Marts(self.stg, strict_grid=self.strict_grid)
+        mat = (lambda df, name: materialize_df(df, name, self.run_dir)) if self.materialize else None
+        return Marts(self.stg, strict_grid=self.strict_grid, materializer=mat)
+
+    def build(self, threads: int = 4, marts: bool = True) -> None:
+        """Build every staging model, then every mart, with ``threads``
+        concurrent Spark jobs (independent models share the cluster)."""
+        with ThreadPoolExecutor(threads) as pool:
+            list(pool.map(lambda n: self.stg[n], list(MODELS)))
+            if marts:
+                list(pool.map(self.marts.get, Marts.NAMES))
 
     def table(self, name: str) -> DataFrame:
         if name.startswith("stg_"):

@@ -8,8 +8,8 @@ only when the measured dimension is small.
 
 from __future__ import annotations
 
-from collections.abc import Mapping
-from functools import cached_property
+import threading
+from collections.abc import Callable, Mapping
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -32,22 +32,46 @@ def clean_laps(laps: DataFrame, max_s: float = 120.0) -> DataFrame:
     return laps.where((F.col("is_pit_out_lap") == F.lit(False)) & (F.col("lap_duration_s") < max_s))
 
 
+def _mart(fn):
+    """Build a mart once (thread-safe); with a materializer it is written as a
+    table and every reader, including other marts, reads the files."""
+    name = fn.__name__
+
+    def get(self):
+        with self._lock(name):
+            if name not in self._memo:
+                df = fn(self)
+                self._memo[name] = self._materializer(df, name) if self._materializer else df
+        return self._memo[name]
+    get.__doc__ = fn.__doc__
+    return property(get)
+
+
 class Marts:
-    """Lazily built marts over a dict of staging DataFrames."""
+    """Lazily built marts over a mapping of staging DataFrames."""
 
-    def __init__(self, stg: Mapping[str, DataFrame], strict_grid: bool = False):
+    def __init__(self, stg: Mapping[str, DataFrame], strict_grid: bool = False,
+                 materializer: Callable[[DataFrame, str], DataFrame] | None = None):
         self.stg = stg
         self.strict_grid = strict_grid
+        self._materializer = materializer
+        self._memo: dict[str, DataFrame] = {}
+        self._locks: dict[str, threading.RLock] = {}
+        self._guard = threading.Lock()
+
+    def _lock(self, name: str) -> threading.RLock:
+        with self._guard:
+            return self._locks.setdefault(name, threading.RLock())
 
     def _s(self, name: str) -> DataFrame:
         return self.stg[name].drop("loaded_at")
 
     # ------------------------------------------------------------------ dims
-    @cached_property
+    @_mart
     def dim_meetings(self) -> DataFrame:
         return self._s("stg_meetings")
 
-    @cached_property
+    @_mart
     def dim_sessions(self) -> DataFrame:
         s = self._s("stg_sessions")
         out = enrich(s, self._s("stg_meetings"), ["meeting_key"], ["meeting_name", "meeting_official_name"])
@@ -55,16 +79,16 @@ class Marts:
                           "country_name", "location", "year", "session_start_at", "session_end_at",
                           "meeting_name", "meeting_official_name")
 
-    @cached_property
+    @_mart
     def dim_drivers(self) -> DataFrame:
         # staging already keeps one row per (session, driver); the second dedupe is not repeated
         return self._s("stg_drivers")
 
-    @cached_property
+    @_mart
     def dim_championship_drivers(self) -> DataFrame:
         return self._s("stg_championship_drivers")
 
-    @cached_property
+    @_mart
     def dim_championship_teams(self) -> DataFrame:
         return self._s("stg_championship_teams")
 
@@ -72,19 +96,19 @@ class Marts:
         return enrich(fact, self.dim_drivers, SD, DRIVER_ATTRS)
 
     # ------------------------------------------------------------------ simple facts
-    @cached_property
+    @_mart
     def fct_car_data(self) -> DataFrame:
         return self._drivers(self._s("stg_car_data"))
 
-    @cached_property
+    @_mart
     def fct_intervals(self) -> DataFrame:
         return self._drivers(self._s("stg_intervals"))
 
-    @cached_property
+    @_mart
     def fct_location(self) -> DataFrame:
         return self._drivers(self._s("stg_location"))
 
-    @cached_property
+    @_mart
     def fct_overtakes(self) -> DataFrame:
         roles = {
             "driver_overtaking": {"driver_overtaking_name": "full_name",
@@ -94,7 +118,7 @@ class Marts:
         }
         return enrich_roles(self._s("stg_overtakes"), self.dim_drivers, "driver_number", roles, on=["session_key"])
 
-    @cached_property
+    @_mart
     def fct_race_control(self) -> DataFrame:
         rc = self._s("stg_race_control")
         out = enrich(rc, self.dim_sessions, ["session_key"], ["session_name", "circuit_short_name", "country_name"])
@@ -103,18 +127,18 @@ class Marts:
                           "sector", "driver_number", "driver_name", "driver_acronym", "session_name",
                           "circuit_short_name", "country_name")
 
-    @cached_property
+    @_mart
     def fct_starting_grid(self) -> DataFrame:
         g = self._s("stg_starting_grid").select("session_key", "driver_number", "grid_position")
         out = self._drivers(g)
         return enrich(out, self.dim_sessions, ["session_key"], ["meeting_name", "session_name", "year"])
 
-    @cached_property
+    @_mart
     def fct_team_radio(self) -> DataFrame:
         out = self._drivers(self._s("stg_team_radio"))
         return enrich(out, self.dim_sessions, ["session_key"], ["meeting_name", "session_name", "year"])
 
-    @cached_property
+    @_mart
     def fct_weather(self) -> DataFrame:
         return enrich(self._s("stg_weather"), self.dim_sessions, ["session_key"],
                       ["session_name", "circuit_short_name", "country_name", "session_start_at"])
@@ -124,7 +148,7 @@ class Marts:
         return self._s("stg_stints").select(*SD, "stint_number", "lap_start", "lap_end", "tyre_compound",
                                             "tyre_age_at_start")
 
-    @cached_property
+    @_mart
     def fct_laps(self) -> DataFrame:
         """Each lap gets the tyre context of the lowest-numbered stint whose
         closed lap range contains it (range join on (session, driver, lap))."""
@@ -136,7 +160,7 @@ class Marts:
         out = out.select(*laps.columns, "tyre_compound", "tyre_age_at_start", "tyre_age_on_lap")
         return self._drivers(out)
 
-    @cached_property
+    @_mart
     def fct_stints(self) -> DataFrame:
         """Per stint: length, clean-lap count, best / mean / spread, end-point
         degradation and regression slope of lap time on lap number."""
@@ -161,7 +185,7 @@ class Marts:
                        "deg_per_lap_s", "deg_slope_s")
         return self._drivers(st)
 
-    @cached_property
+    @_mart
     def fct_pit_stops(self) -> DataFrame:
         """Tyre out (stint ending on the pit lap) and in (stint starting on the next lap)."""
         p = self._s("stg_pit")
@@ -181,7 +205,7 @@ class Marts:
         return keep_first(g, ["meeting_key", "driver_number"], [F.col("session_key").asc()]) \
             .select("meeting_key", "driver_number", "grid_position")
 
-    @cached_property
+    @_mart
     def fct_session_results(self) -> DataFrame:
         r = self._s("stg_session_result").drop("classified_position")
         s = self._s("stg_sessions").select("session_key", "meeting_key", "session_type")
@@ -204,7 +228,7 @@ class Marts:
             F.col("session_key").alias("quali_session_key"), "meeting_key")
         return race.join(quali, ["meeting_key"], "left").drop("meeting_key")
 
-    @cached_property
+    @_mart
     def fct_race_positions(self) -> DataFrame:
         """Positions with grid, result and places gained.
 

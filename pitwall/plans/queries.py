@@ -198,6 +198,14 @@ def stint_strategy(m: Marts, race_key: int | None = None) -> DataFrame:
                      (F.col("lap_start") - 1).alias("bar_base"), length.alias("bar_length"))
 
 
+def driver_order(m: Marts, race_key: int | None = None) -> DataFrame:
+    """Distinct (driver, finish) pairs per race in finishing order (unknown last)."""
+    st = stint_strategy(m, race_key).select("session_key", "driver_acronym", "finish_position").dropDuplicates()
+    w = Window.partitionBy("session_key").orderBy(F.col("finish_position").asc_nulls_last(),
+                                                  F.col("driver_acronym").asc_nulls_last())
+    return st.withColumn("order_idx", F.row_number().over(w))
+
+
 def stint_detail(m: Marts, race_key: int | None = None) -> DataFrame:
     """Q15: formatted stint table (lap times m:ss.mmm, signed degradation)."""
     st = _key(m.fct_stints, "session_key", race_key)
@@ -489,6 +497,38 @@ def v_sprint_results(m: Marts, season: int = SEASON, as_of: dt.datetime = AS_OF,
         "meeting_name", "country_name", "driver_name", "team_name", "finish_position", "points")
 
 
+def season_lap_pace_labelled(m: Marts) -> DataFrame:
+    """Q25 with display labels."""
+    return S.relabel(season_lap_pace(m), {"avg_lap_s": "Avg Lap (s)", "best_lap_s": "Best Lap (s)"})
+
+
+# ------------------------------------------------------------------ SQL surface
+def register_views(spark: SparkSession, m: Marts) -> list[str]:
+    """Expose staging models and marts as temporary views."""
+    names = []
+    for n, df in list(m.stg.items()) + [(n, m.get(n)) for n in Marts.NAMES]:
+        df.createOrReplaceTempView(n)
+        names.append(n)
+    return names
+
+
+def run_sql(spark: SparkSession, sql: str, **params) -> DataFrame:
+    """Parameterised Spark SQL (named markers, no string interpolation)."""
+    return spark.sql(sql, args=params)
+
+
+LAPS_PER_DRIVER_SQL = """
+SELECT l.driver_name, count(*) AS laps, min(l.lap_duration_s) AS best_lap_s
+FROM fct_laps l JOIN dim_sessions s ON l.session_key = s.session_key
+WHERE s.year = :season AND l.lap_duration_s < :max_s
+GROUP BY l.driver_name"""
+
+
+def sql_laps_per_driver(m: Marts, spark: SparkSession, season: int = SEASON) -> DataFrame:
+    register_views(spark, m)
+    return run_sql(spark, LAPS_PER_DRIVER_SQL, season=season, max_s=120.0)
+
+
 # ------------------------------------------------------------------ quality / semantic
 def dq_report(m: Marts) -> DataFrame:
     """D1-D3 over the marts and staging models."""
@@ -529,6 +569,7 @@ QUERIES: dict[str, Callable[[Marts], DataFrame]] = {
     "q11_race_control_counts": race_control_counts,
     "q12_race_key": race_key_for,
     "q13_stint_strategy": stint_strategy,
+    "q13_driver_order": driver_order,
     "q15_stint_detail": stint_detail,
     "q16_lap_times": lambda m: lap_times(m, clean_only=True),
     "q17_clean_laps_end": clean_laps_with_end,
@@ -540,6 +581,7 @@ QUERIES: dict[str, Callable[[Marts], DataFrame]] = {
     "q23_next_race": next_race,
     "q24_season_results": lambda m: recent_results(m, k=5, season=SEASON, with_grid=True),
     "q25_season_lap_pace": season_lap_pace,
+    "q25_season_lap_pace_labelled": season_lap_pace_labelled,
     "q26_season_pit_performance": season_pit_performance,
     "q27_season_compounds": season_compounds,
     "q27_remaining_races": remaining_races,
@@ -571,4 +613,6 @@ def registry() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
     def bind(fn):
         return lambda spark, sf_dir: fn(ctx(spark, sf_dir).marts)
-    return {name: bind(fn) for name, fn in QUERIES.items()}
+    out = {name: bind(fn) for name, fn in QUERIES.items()}
+    out["s14_sql_laps_per_driver"] = lambda spark, sf_dir: sql_laps_per_driver(ctx(spark, sf_dir).marts, spark)
+    return out

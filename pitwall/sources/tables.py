@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import threading
+
 from pyspark.sql import DataFrame, SparkSession
 
 TABLES = ("region nation customer supplier part orders lineitem events documents "
@@ -24,11 +26,13 @@ class Tables:
         self.spark, self.sf_dir = spark, sf_dir
         self._memo: dict[str, DataFrame] = {}
         self._materializer = materializer
+        self._lock = threading.RLock()
 
     def derived(self, name: str, build) -> DataFrame:
-        if name not in self._memo:
-            df = build()
-            self._memo[name] = self._materializer(df, name) if self._materializer else df
+        with self._lock:
+            if name not in self._memo:
+                df = build()
+                self._memo[name] = self._materializer(df, name) if self._materializer else df
         return self._memo[name]
 
     def __getattr__(self, name: str) -> DataFrame:
