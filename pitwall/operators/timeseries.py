@@ -1,37 +1,88 @@
 """Per-series operators: ordinal index, linear resampling, gap filling,
-segment pairing, column-wise last-non-null and per-point arg-max."""
+segment pairing, column-wise last-non-null and per-point arg-max.
+
+Skew: a series may hold a large share of all rows. Given ``bucket=(order
+column, width)`` no operator here needs a whole series in one task:
+
+* the ordinal is computed per (series, bucket of the leading order column)
+  and shifted by the row counts of the earlier buckets (a small aggregate);
+* neighbours (next sample, next point) are equi-joins on (series, index ± 1);
+* gap filling runs per (series, bucket) with the nearest known values of the
+  neighbouring buckets carried in from a small per-bucket aggregate.
+
+Without ``bucket`` the ordinal is a plain window per series (for series whose
+size is bounded by construction, e.g. samples of one lap).
+"""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+def _null_safe_on(left: DataFrame, right: DataFrame, cols: Sequence[str]) -> Column:
+    return reduce(lambda a, b: a & b, [left[c].eqNullSafe(right[c]) for c in cols])
+
 
 def seq_index(df: DataFrame, by: Sequence[str], order: Sequence[Column], name: str = "idx",
-              start: int = 1) -> DataFrame:
-    """Ordinal of each row inside its series (``cumcount() + start``)."""
-    w = Window.partitionBy(*by).orderBy(*order)
-    return df.withColumn(name, F.row_number().over(w) + F.lit(start - 1))
+              start: int = 1, bucket: tuple[str, float] | None = None) -> DataFrame:
+    """Ordinal of each row inside its series (``cumcount() + start``).
+
+    With ``bucket=(column, width)`` — ``column`` the leading, ascending order
+    column (time in seconds or numeric width) — the ordinal is computed
+    without sorting a whole series in one task: rows are numbered inside
+    (series, bucket) and shifted by the row counts of the earlier buckets of
+    the series (a small aggregate plus a window over bucket ids). Buckets are
+    a pure function of the data, so recomputation gives the same result.
+    """
+    if bucket is None:
+        w = Window.partitionBy(*by).orderBy(*order)
+        return df.withColumn(name, F.row_number().over(w) + F.lit(start - 1))
+    d = with_bucket(df, bucket)
+    local = d.withColumn("_lrn", F.row_number().over(Window.partitionBy(*by, "_sb").orderBy(*order)))
+    counts = d.groupBy(*by, "_sb").agg(F.count(F.lit(1)).alias("_cnt"))
+    before = Window.partitionBy(*by).orderBy(F.col("_sb").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1)
+    offs = counts.withColumn("_off", F.coalesce(F.sum("_cnt").over(before), F.lit(0))).drop("_cnt")
+    offs = offs.select(*[F.col(c).alias(f"_o_{c}") for c in [*by, "_sb"]], "_off")
+    cond = reduce(lambda a, b: a & b, [local[c].eqNullSafe(offs[f"_o_{c}"]) for c in [*by, "_sb"]])
+    out = local.join(offs, cond, "inner")
+    return (out.withColumn(name, (F.col("_off") + F.col("_lrn") + F.lit(start - 1)).cast("int"))
+            .drop("_lrn", "_off", *[f"_o_{c}" for c in [*by, "_sb"]]))
+
+
+def with_bucket(df: DataFrame, bucket: tuple[str, float]) -> DataFrame:
+    from pitwall.operators.joins import bucket_of
+    col, width = bucket
+    return df.withColumn("_sb", bucket_of(F.col(col), df.schema[col].dataType, width))
+
+
+def _with_next(df: DataFrame, by: Sequence[str], idx: str, cols: Sequence[str], suffix: str = "1") -> DataFrame:
+    """Attach the next row's ``cols`` (index + 1) by an equi-join."""
+    nxt = df.select(*[F.col(b).alias(f"_n_{b}") for b in by], (F.col(idx) - 1).alias("_n_idx"),
+                    *[F.col(c).alias(f"{c}{suffix}") for c in cols])
+    cond = reduce(lambda a, b: a & b, [df[b].eqNullSafe(nxt[f"_n_{b}"]) for b in by]) & (df[idx] == nxt["_n_idx"])
+    return df.join(nxt, cond, "left").drop(*[f"_n_{b}" for b in by], "_n_idx")
 
 
 def resample_linear(samples: DataFrame, by: Sequence[str], order: Sequence[Column], value: str,
-                    n: int | str, null_as: float = 0.0, point: str = "point") -> DataFrame:
+                    n: int | str, null_as: float = 0.0, point: str = "point",
+                    bucket: tuple[str, float] | None = None) -> DataFrame:
     """Resample each series to ``n`` points spread evenly over its sample index.
 
     Same arithmetic as ``np.interp(np.linspace(0, len-1, n), np.arange(len), y)``:
     grid position ``p = i * ((len-1)/(n-1))`` (last point exactly ``len-1``),
     ``y = (y[j+1]-y[j]) * (p-j) + y[j]`` with ``j = floor(p)``. Null values
-    count as ``null_as``. The grid is an equi-join on (series, j) against the
-    samples carrying their right neighbour, so no series is gathered in one place.
+    count as ``null_as``. ``n`` may be a column (constant inside a series).
+    The grid is an equi-join on (series, j) against the samples carrying
+    their right neighbour, so no series is gathered in one place.
     """
     if isinstance(n, int) and n < 1:
         raise ValueError("n must be >= 1")
-    s = seq_index(samples, by, order, "_j", 0).withColumn("_y", F.coalesce(F.col(value).cast("double"),
-                                                                             F.lit(float(null_as))))
-    s = s.withColumn("_y1", F.lead("_y").over(Window.partitionBy(*by).orderBy("_j")))
-    # n may be a column (constant inside each series) so every series can get its own grid size
+    s = seq_index(samples, by, order, "_j", 0, bucket=bucket)
+    s = s.withColumn("_y", F.coalesce(F.col(value).cast("double"), F.lit(float(null_as))))
+    s = _with_next(s.select(*by, "_j", "_y", *([n] if isinstance(n, str) else [])), by, "_j", ["_y"])
     nc = F.first(F.col(n)) if isinstance(n, str) else F.lit(n)
     lens = s.groupBy(*by).agg(F.count(F.lit(1)).alias("_len"), nc.alias("_n")).where(F.col("_n") >= 1)
     i, nn, ln = F.col(point), F.col("_n"), F.col("_len")
@@ -40,7 +91,7 @@ def resample_linear(samples: DataFrame, by: Sequence[str], order: Sequence[Colum
          .otherwise(i.cast("double") * step))
     grid = (lens.withColumn(point, F.explode(F.sequence(F.lit(0), (nn - 1).cast("int"))))
             .withColumn("_p", p)
-            .withColumn("_j", F.floor("_p"))
+            .withColumn("_j", F.floor("_p").cast("int"))
             .withColumn("_f", F.col("_p") - F.col("_j")))
     out = grid.join(s.select(*by, "_j", "_y", "_y1"), [*by, "_j"], "left")
     y = F.when((F.col("_f") == 0) | F.col("_y1").isNull(), F.col("_y")).otherwise(
@@ -49,41 +100,58 @@ def resample_linear(samples: DataFrame, by: Sequence[str], order: Sequence[Colum
 
 
 def gap_fill_linear(df: DataFrame, by: Sequence[str], order: Sequence[Column],
-                    cols: Sequence[str], drop_unfilled: bool = True) -> DataFrame:
+                    cols: Sequence[str], drop_unfilled: bool = True,
+                    bucket: tuple[str, float] | None = None) -> DataFrame:
     """Fill nulls by linear interpolation over the row position (pandas
     ``interpolate()`` defaults): leading nulls stay null, trailing nulls take
     the last value; rows still null are dropped when ``drop_unfilled``."""
     idx = "_gi"
-    out = seq_index(df, by, order, idx, 0)
-    back = Window.partitionBy(*by).orderBy(idx).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    fwd = Window.partitionBy(*by).orderBy(idx).rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    skew_safe = bucket is not None
+    out = seq_index(df, by, order, idx, 0, bucket=bucket)
+    out = with_bucket(out, bucket).withColumnRenamed("_sb", "_gb") if skew_safe else out.withColumn("_gb", F.lit(0))
+    part = [*by, "_gb"]
+    back = Window.partitionBy(*part).orderBy(idx).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    fwd = Window.partitionBy(*part).orderBy(idx).rowsBetween(Window.currentRow, Window.unboundedFollowing)
     for c in cols:
         known = F.when(F.col(c).isNotNull(), F.struct(F.col(idx).alias("i"), F.col(c).cast("double").alias("v")))
-        prev = F.last(known, ignorenulls=True).over(back)
-        nxt = F.first(known, ignorenulls=True).over(fwd)
+        out = out.withColumn("_known", known)
+        prev, nxt = F.last("_known", ignorenulls=True).over(back), F.first("_known", ignorenulls=True).over(fwd)
+        if skew_safe:
+            # nearest known value of earlier / later buckets of the same series
+            per = out.groupBy(*part).agg(F.max("_known").alias("_lastk"), F.min("_known").alias("_firstk"))
+            wb = Window.partitionBy(*by).orderBy(F.col("_gb").asc_nulls_first())
+            carry = per.select(*[F.col(x).alias(f"_c_{x}") for x in part],
+                               F.last("_lastk", ignorenulls=True).over(wb.rowsBetween(Window.unboundedPreceding, -1))
+                               .alias("_cprev"),
+                               F.first("_firstk", ignorenulls=True).over(wb.rowsBetween(1, Window.unboundedFollowing))
+                               .alias("_cnext"))
+            cond = reduce(lambda a, b: a & b, [out[x].eqNullSafe(carry[f"_c_{x}"]) for x in part])
+            out = out.join(carry, cond, "left").drop(*[f"_c_{x}" for x in part])
+            prev, nxt = F.coalesce(prev, F.col("_cprev")), F.coalesce(nxt, F.col("_cnext"))
         out = out.withColumn("_prev", prev).withColumn("_next", nxt)
         slope = (F.col("_next.v") - F.col("_prev.v")) / (F.col("_next.i") - F.col("_prev.i")).cast("double")
         filled = (F.when(F.col(c).isNotNull(), F.col(c).cast("double"))
                   .when(F.col("_prev").isNull(), F.lit(None))
                   .when(F.col("_next").isNull(), F.col("_prev.v"))
                   .otherwise(slope * (F.col(idx) - F.col("_prev.i")).cast("double") + F.col("_prev.v")))
-        out = out.withColumn(c, filled).drop("_prev", "_next")
+        out = out.withColumn(c, filled).drop("_prev", "_next", "_known", "_cprev", "_cnext")
     if drop_unfilled:
         out = out.dropna(subset=list(cols))
-    return out.drop(idx)
+    return out.drop(idx, "_gb")
 
 
-def segments(df: DataFrame, by: Sequence[str], order: Sequence[Column], x: str, y: str) -> DataFrame:
-    """Pair every point with the next one of its series: (x, y) → (x2, y2)."""
-    w = Window.partitionBy(*by).orderBy(*order)
-    return (df.withColumn(f"{x}2", F.lead(x).over(w)).withColumn(f"{y}2", F.lead(y).over(w))
-            .withColumn("_has_next", F.lead(F.lit(True)).over(w))
-            .where(F.col("_has_next")).drop("_has_next"))
+def segments(df: DataFrame, by: Sequence[str], idx: str, x: str, y: str) -> DataFrame:
+    """Pair every point with the next one of its series (``idx + 1``): (x, y) → (x2, y2)."""
+    nxt = df.select(*[F.col(b).alias(f"_n_{b}") for b in by], (F.col(idx) - 1).alias("_n_idx"),
+                    F.col(x).alias(f"{x}2"), F.col(y).alias(f"{y}2"))
+    cond = reduce(lambda a, b: a & b, [df[b].eqNullSafe(nxt[f"_n_{b}"]) for b in by]) & (df[idx] == nxt["_n_idx"])
+    return df.join(nxt, cond, "inner").drop(*[f"_n_{b}" for b in by], "_n_idx")
 
 
 def last_non_null(df: DataFrame, by: Sequence[str], order: Column, cols: Sequence[str]) -> DataFrame:
     """Per group, the last non-null value of every column independently
-    (pandas ``groupby().last()``), with ``order`` a total order inside the group."""
+    (pandas ``groupby().last()``), with ``order`` a total order inside the group.
+    An aggregate with map-side partial aggregation: skew-safe."""
     return df.groupBy(*by).agg(*[F.max_by(c, F.when(F.col(c).isNotNull(), order)).alias(c) for c in cols])
 
 

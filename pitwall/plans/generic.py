@@ -223,7 +223,8 @@ def fastest_row(t: Tables) -> DataFrame:
 
 def resampled_values(t: Tables, n: int = 50) -> DataFrame:
     """Every user's value series resampled to n points."""
-    return resample_linear(t.events, ["user_id"], [F.col("ts"), F.col("event_id")], "value", n)
+    return resample_linear(t.events, ["user_id"], [F.col("ts"), F.col("event_id")], "value", n,
+                           bucket=("ts", 86400.0))
 
 
 def point_winner(t: Tables, n: int = 50) -> DataFrame:
@@ -236,7 +237,8 @@ def point_winner(t: Tables, n: int = 50) -> DataFrame:
 def gap_filled(t: Tables) -> DataFrame:
     """Linear gap fill of a nullified series per user (leading gaps dropped)."""
     e = t.events.select("event_id", "user_id", "ts", F.when(F.col("event_id") % 4 != 0, F.col("value")).alias("v"))
-    return gap_fill_linear(e, ["user_id"], [F.col("ts"), F.col("event_id")], ["v"]).select("event_id", "user_id", "v")
+    return gap_fill_linear(e, ["user_id"], [F.col("ts"), F.col("event_id")], ["v"], bucket=("ts", 86400.0)) \
+        .select("event_id", "user_id", "v")
 
 
 def rotated(t: Tables) -> DataFrame:

@@ -291,11 +291,11 @@ def track_dominance(m: Marts, session_key: int | None = None) -> DataFrame:
     n = grid_pts.groupBy("session_key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1)
     samples = tel.join(n, ["session_key"], "inner")
     res = resample_linear(samples, ["session_key", "driver_number", "driver_acronym"], [F.col("dist")],
-                          "speed_kmh", "n", null_as=0.0, point="point")
+                          "speed_kmh", "n", null_as=0.0, point="point", bucket=("dist", 256))
     win = argmax_per_point(res, ["session_key", "point"], "speed_kmh",
                            [F.col("driver_acronym").asc(), F.col("driver_number").asc()])
     seg = segments(grid_pts.select("session_key", "point", F.col("pos_x").alias("x"), F.col("pos_y").alias("y")),
-                   ["session_key"], [F.col("point")], "x", "y")
+                   ["session_key"], "point", "x", "y")
     return seg.join(win.select("session_key", "point", F.col("driver_acronym").alias("winner"),
                                F.col("speed_kmh").alias("winner_speed")), ["session_key", "point"], "left")
 

@@ -110,21 +110,22 @@ def test_last_non_null_is_columnwise(spark):
     assert (r.x, r.y) == (30, "b")
 
 
-@pytest.mark.parametrize("n", [1, 2, 3, 50, 500])
-def test_resample_matches_numpy(spark, n):
+@pytest.mark.parametrize("n,bucket", [(1, None), (2, None), (3, ("i", 2)), (50, None), (50, ("i", 3)), (500, ("i", 1))])
+def test_resample_matches_numpy(spark, n, bucket):
     ys = [3.0, None, 7.5, 1.25, 9.0, 9.0, 2.0]
     df = spark.createDataFrame([(1, i, y) for i, y in enumerate(ys)] + [(2, 0, 4.0)], "g int, i int, y double")
-    out = resample_linear(df, ["g"], [F.col("i")], "y", n).toPandas().sort_values(["g", "point"])
+    out = resample_linear(df, ["g"], [F.col("i")], "y", n, bucket=bucket).toPandas().sort_values(["g", "point"])
     yv = np.array([0.0 if y is None else y for y in ys])
     exp = np.interp(np.linspace(0, len(yv) - 1, n), np.arange(len(yv)), yv)
     assert np.array_equal(out[out.g == 1]["y"].to_numpy(), exp)
     assert (out[out.g == 2]["y"] == 4.0).all() and len(out[out.g == 2]) == n
 
 
-def test_gap_fill_matches_pandas(spark):
-    xs = [None, 1.0, None, None, 4.0, None, 10.0, None]
+@pytest.mark.parametrize("bucket", [None, ("i", 1), ("i", 2), ("i", 3)])
+def test_gap_fill_matches_pandas(spark, bucket):
+    xs = [None, 1.0, None, None, 4.0, None, None, None, 10.0, None]
     df = spark.createDataFrame([(1, i, x) for i, x in enumerate(xs)], "g int, i int, x double")
-    out = gap_fill_linear(df, ["g"], [F.col("i")], ["x"]).orderBy("i").toPandas()
+    out = gap_fill_linear(df, ["g"], [F.col("i")], ["x"], bucket=bucket).orderBy("i").toPandas()
     exp = pd.Series(xs, dtype=float).interpolate().dropna()
     assert out["x"].tolist() == exp.tolist()
 
