@@ -26,6 +26,7 @@ from pitwall.operators.joins import asof_join, locate, range_join
 from pitwall.operators.timeseries import (argmax_per_point, last_non_null, resample_linear, segments,
                                           seq_index)
 from pitwall.plans.marts import Marts, clean_laps, round_dec
+from pitwall.session import cut_lineage
 
 SEASON = 2024
 AS_OF = dt.datetime(2024, 6, 1)
@@ -253,17 +254,23 @@ TEL_COLS = ["recorded_at", "speed_kmh", "gear", "throttle_pct", "is_braking", "d
 def lap_telemetry(m: Marts, session_key: int | None = None, laps: DataFrame | None = None) -> DataFrame:
     """Q18: car samples inside each clean lap ``[start, end)`` with the
     location as-of each sample (latest location at or before it), plus the
-    sample ordinal inside the lap as distance axis."""
+    sample ordinal inside the lap as distance axis.
+
+    Car samples are first range-joined to the laps (so only samples of
+    requested laps reach the as-of join); location is reduced to the
+    (session, driver) pairs involved but not by time, since a location
+    before the lap start can still be the match."""
+    lp = (laps if laps is not None else clean_laps_with_end(m, session_key)).select(
+        "session_key", "driver_number", "lap_number", "lap_start_at", "lap_end_at")
     car = _key(m.fct_car_data, "session_key", session_key).select("session_key", "driver_number", *TEL_COLS)
+    car = range_join(car, lp, ["session_key", "driver_number"], "recorded_at", "lap_start_at", "lap_end_at",
+                     how="inner", hi_inclusive=False).drop("lap_start_at", "lap_end_at")
     loc = _key(m.fct_location, "session_key", session_key).select(
         "session_key", "driver_number", F.col("recorded_at").alias("loc_at"), "pos_x", "pos_y", "pos_z")
+    loc = loc.join(lp.select("session_key", "driver_number").distinct(), ["session_key", "driver_number"], "left_semi")
     tel = asof_join(car, loc, ["session_key", "driver_number"], "recorded_at", "loc_at").drop("loc_at")
-    lp = (laps if laps is not None else clean_laps_with_end(m, session_key)).select(
-        "session_key", "driver_number", "lap_number", "lap_start_at", "lap_end_at")
-    j = range_join(tel, lp, ["session_key", "driver_number"], "recorded_at", "lap_start_at", "lap_end_at",
-                   how="inner", hi_inclusive=False)
-    j = seq_index(j, ["session_key", "driver_number", "lap_number"], [F.col("recorded_at")], "dist", 0)
-    return j.select("session_key", "driver_number", "lap_number", "dist", *TEL_COLS, "pos_x", "pos_y", "pos_z")
+    tel = seq_index(tel, ["session_key", "driver_number", "lap_number"], [F.col("recorded_at")], "dist", 0)
+    return tel.select("session_key", "driver_number", "lap_number", "dist", *TEL_COLS, "pos_x", "pos_y", "pos_z")
 
 
 def fastest_clean_laps(m: Marts, session_key: int | None = None) -> DataFrame:
@@ -282,7 +289,10 @@ def track_dominance(m: Marts, session_key: int | None = None) -> DataFrame:
     combos = fastest_clean_laps(m, session_key)
     tel = lap_telemetry(m, session_key, combos)
     series = combos.select("session_key", "driver_number", "lap_number", "driver_acronym")
-    tel = tel.join(series, ["session_key", "driver_number", "lap_number"], "inner")
+    # the selected laps' telemetry feeds five branches below: cut lineage once
+    # (reliable checkpoint in the shared folder) instead of recomputing it per branch
+    tel = cut_lineage(tel.join(series, ["session_key", "driver_number", "lap_number"], "inner"))
+    series = cut_lineage(series)
     first = keep_first(series, ["session_key"], [F.col("driver_acronym").asc(), F.col("driver_number").asc()])
     grid_pts = (tel.join(first.select("session_key", "driver_number", "lap_number"),
                          ["session_key", "driver_number", "lap_number"], "left_semi")
