@@ -15,7 +15,8 @@ from pitwall.functions.variant import extract, raw_path
 from pitwall.operators.dedupe import keep_first, latest_per_key
 from pitwall.operators.joins import (adjacent_join, anti, asof_join, enrich, enrich_roles, locate,
                                      range_agg, range_join)
-from pitwall.operators.timeseries import argmax_per_point, gap_fill_linear, last_non_null, resample_linear
+from pitwall.operators.timeseries import (argmax_per_point, gap_fill_linear, last_non_null, resample_linear,
+                                          seq_index)
 from pitwall.plans.marts import round_dec
 from pitwall.sources.landing import backfill_keys
 from pitwall.sources.tables import Tables
@@ -118,8 +119,8 @@ def role_enrich(t: Tables) -> DataFrame:
 
 
 def _events_ord(t: Tables) -> DataFrame:
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    return t.events.withColumn("ord", F.row_number().over(w))
+    """Per-user ordinal in time order (bucketed by day: no user sorted in one task)."""
+    return seq_index(t.events, ["user_id"], [F.col("ts"), F.col("event_id")], "ord", 1, bucket=("ts", 86400.0))
 
 
 def _blocks(t: Tables) -> DataFrame:
@@ -170,9 +171,11 @@ def asof_view_purchase(t: Tables) -> DataFrame:
 def point_in_interval(t: Tables) -> DataFrame:
     """Each error inside the closed span between consecutive signups of
     its user (the earlier span wins on a shared boundary); others dropped."""
-    s = t.events.where("event_type = 'signup'").select(
-        "user_id", F.col("event_id").alias("signup_id"), F.col("ts").alias("lo"),
-        F.lead("ts").over(Window.partitionBy("user_id").orderBy("ts", "event_id")).alias("hi"))
+    su = seq_index(t.events.where("event_type = 'signup'"), ["user_id"], [F.col("ts"), F.col("event_id")], "i", 0,
+                   bucket=("ts", 86400.0))
+    nxt = su.select("user_id", (F.col("i") - 1).alias("i"), F.col("ts").alias("hi"))
+    s = su.join(nxt, ["user_id", "i"], "left").select(
+        "user_id", F.col("event_id").alias("signup_id"), F.col("ts").alias("lo"), "hi")
     e = t.events.where("event_type = 'error'").select("event_id", "user_id", "ts")
     return locate(e, s, ["user_id"], "ts", "lo", "hi", order=[F.col("lo").asc(), F.col("signup_id").asc()],
                   point_key=["event_id"], width=86400.0).select("event_id", "user_id", "ts", "signup_id")

@@ -14,6 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pitwall.operators.timeseries import seq_index
 from pitwall.sources.tables import Tables
 
 # Fixed load times of the original load (L0), a correction (L1) and a later
@@ -140,10 +141,12 @@ def _laps_typed(t: Tables) -> DataFrame:
     li = t.lineitem.selectExpr(
         "*", "(l_orderkey % 25 + 1) * 10 + (l_partkey % 5 + 1) AS session_key",
         "l_suppkey % 10 + 1 AS driver_number")
-    li = li.withColumn("lap_number", F.expr(
-        "row_number() OVER (PARTITION BY session_key, driver_number ORDER BY l_orderkey, l_linenumber, "
-        "l_partkey, l_suppkey, l_quantity, l_extendedprice, l_discount, l_tax, l_returnflag, "
-        "l_linestatus, l_shipdate)"))
+    # only ~1,250 (session, driver) series exist: number rows per (series, order-key bucket) and
+    # shift by earlier buckets so no series is sorted in a single task
+    order = [F.col(c) for c in ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity",
+                                "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus",
+                                "l_shipdate")]
+    li = seq_index(li, ["session_key", "driver_number"], order, "lap_number", 1, bucket=("l_orderkey", 65536))
     return li.selectExpr(
         "session_key", "driver_number", "lap_number", "l_orderkey", "l_linenumber", "l_tax",
         "80 + 200 * l_discount + l_quantity / 10 + CASE WHEN l_linenumber = 7 THEN 30 ELSE 0 END AS lap_duration",
@@ -202,8 +205,9 @@ PIT_FIELDS = ["session_key", "driver_number", "lap_number", "pit_duration", "dat
 
 
 def pit(t: Tables) -> DataFrame:
-    lt = laps_typed(t).withColumn("max_lap", F.expr(
-        "max(lap_number) OVER (PARTITION BY session_key, driver_number)"))
+    lt = laps_typed(t)
+    lt = lt.join(lt.groupBy("session_key", "driver_number").agg(F.max("lap_number").alias("max_lap")),
+                 ["session_key", "driver_number"])
     p = lt.where("lap_number % 8 = 0 AND lap_number < max_lap").selectExpr(
         "session_key", "driver_number", "lap_number",
         "CASE WHEN l_linenumber = 3 THEN NULL ELSE 20 + l_tax * 100 END AS pit_duration",
