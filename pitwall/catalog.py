@@ -11,11 +11,12 @@ from pitwall.plans.context import RaceContext
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-_CTX: dict[tuple[int, str], RaceContext] = {}
+_CTX: dict[tuple[str, str], RaceContext] = {}
 
 
 def ctx(spark: SparkSession, sf_dir: str) -> RaceContext:
-    key = (id(spark), sf_dir)
+    """One race context per (Spark application, data folder)."""
+    key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _CTX:
         _CTX[key] = RaceContext(spark, sf_dir)
     return _CTX[key]
