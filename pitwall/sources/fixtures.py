@@ -41,7 +41,7 @@ def start_of(session_key: str) -> str:
 
 
 def ev_time(session_key: str) -> str:
-    return (f"timestampadd(MICROSECOND, (event_id div 25) * 13000000 + (event_id % 25) * 400000, "
+    return (f"timestampadd(MICROSECOND, (event_id div 25) * 2600000 + (event_id % 25) * 100000, "
             f"{start_of(session_key)})")
 
 
