@@ -60,6 +60,18 @@ def land(spark: SparkSession, src_dir: str, endpoint: str) -> tuple[DataFrame, D
     return parse_records(lines, endpoint)
 
 
+def land_all(spark: SparkSession, src_dir: str, endpoints: Sequence[str] = SESSION_ENDPOINTS + BULK_ENDPOINTS
+             ) -> tuple[DataFrame, DataFrame]:
+    """Land a chosen subset of endpoints as one job (one union)."""
+    acc, rej = zip(*[land(spark, src_dir, e) for e in endpoints])
+    a, r = acc[0], rej[0]
+    for x in acc[1:]:
+        a = a.unionByName(x)
+    for x in rej[1:]:
+        r = r.unionByName(x)
+    return a, r
+
+
 def with_session_key(raw: DataFrame) -> DataFrame:
     return raw.withColumn("session_key", extract("session_key", "int"))
 

@@ -7,8 +7,8 @@ import tempfile
 from pyspark.sql import functions as F
 
 from pitwall.plans.staging import MODELS
-from pitwall.sources.landing import backfill_keys, land, land_new, load_report, read_raw, write_raw
-from pitwall.streaming.ingest import first_wins, incremental_land, upsert_latest
+from pitwall.sources.landing import backfill_keys, land, land_all, land_new, load_report, read_raw, write_raw
+from pitwall.streaming.ingest import enrich_stream, first_wins, incremental_land, stage_stream, upsert_latest
 
 
 def _write(path, lines):
@@ -72,3 +72,27 @@ def test_first_wins_stream(spark):
          .outputMode("append").trigger(availableNow=True).start())
     q.awaitTermination()
     assert spark.sql("SELECT * FROM fw_out").count() == 2
+
+
+def test_land_all_and_stream_stages(spark):
+    src, raw, ck, stg = (tempfile.mkdtemp(prefix=p) for p in ("pw-la-", "pw-lr-", "pw-lc-", "pw-ls-"))
+    _write(f"{src}/laps/1.json", [json.dumps(_lap(5, 2, n, 90.0 + n)) for n in range(1, 3)])
+    _write(f"{src}/pit/1.json", [json.dumps({"session_key": 5, "driver_number": 2, "lap_number": 1,
+                                             "pit_duration": 21.5, "date": "2024-03-01T12:10:00+00:00"})])
+    acc, rej = land_all(spark, src, ["laps", "pit", "weather"])
+    assert acc.count() == 3 and rej.count() == 0
+    write_raw(acc, raw)
+    stage_stream(spark, raw, "laps", MODELS["stg_laps"], stg, ck).awaitTermination()
+    assert spark.read.parquet(stg).count() == 2
+
+
+def test_enrich_stream(spark):
+    d = tempfile.mkdtemp(prefix="pw-es-")
+    spark.createDataFrame([(1, 7), (2, 8)], "session_key int, v int").write.parquet(d + "/s")
+    dim = spark.createDataFrame([(1, "Race")], "session_key int, session_name string")
+    s = spark.readStream.schema("session_key int, v int").parquet(d + "/s")
+    q = (enrich_stream(s, dim, ["session_key"], ["session_name"]).writeStream.format("memory")
+         .queryName("es_out").trigger(availableNow=True).start())
+    q.awaitTermination()
+    got = {r.session_key: r.session_name for r in spark.sql("SELECT * FROM es_out").collect()}
+    assert got == {1: "Race", 2: None}
