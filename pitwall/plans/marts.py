@@ -284,7 +284,9 @@ def build_marts(marts: Marts, out_dir: str, names: tuple[str, ...] | None = None
         path = f"{out_dir.rstrip('/')}/{n}"
         w = df.write
         if n.startswith("fct_"):
-            df = df.repartition(FACT_PARTITION)
+            # REBALANCE (not repartition): AQE splits a hot session over several
+            # writer tasks and coalesces small ones, so files stay near target size
+            df = df.hint("rebalance", FACT_PARTITION)
             w = df.write.partitionBy(FACT_PARTITION)
         if mode == "dynamic":
             w = w.option("partitionOverwriteMode", "dynamic").mode("overwrite")

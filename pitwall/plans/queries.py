@@ -310,6 +310,11 @@ def track_dominance(m: Marts, session_key: int | None = None) -> DataFrame:
                                F.col("speed_kmh").alias("winner_speed")), ["session_key", "point"], "left")
 
 
+def race_positions_strict(m: Marts) -> DataFrame:
+    """M31 with the earliest-grid rule (no fan-out over two qualifying sessions)."""
+    return Marts(m.stg, strict_grid=True).fct_race_positions
+
+
 def session_meta(m: Marts, session_key: int | None = None) -> DataFrame:
     """Q20."""
     return _key(m.dim_sessions, "session_key", session_key).select("session_key", "year", "meeting_name")
@@ -586,6 +591,7 @@ QUERIES: dict[str, Callable[[Marts], DataFrame]] = {
     "q18_lap_telemetry": lap_telemetry,
     "q19_track_dominance": track_dominance,
     "q20_session_meta": session_meta,
+    "fct_race_positions_strict": race_positions_strict,
     "q21_recent_results": recent_results,
     "q22_standings_top10": lambda m: driver_standings(m, top=10),
     "q23_next_race": next_race,

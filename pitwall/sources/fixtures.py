@@ -18,7 +18,7 @@ from pitwall.operators.timeseries import seq_index
 from pitwall.sources.tables import Tables
 
 # Fixed load times of the original load (L0), a correction (L1) and a later
-# re-send (L2).
+# re-send (L2); wall-clock values, so results do not depend on a time zone.
 L0, L1, L2 = "2024-01-01 00:00:00", "2024-01-02 00:00:00", "2024-01-03 00:00:00"
 
 SESSION_NAMES = "array('Practice 1', 'Qualifying', 'Sprint Qualifying', 'Sprint', 'Race')"
@@ -52,7 +52,7 @@ def iso(ts_col: str) -> str:
 def _raw(df: DataFrame, fields: list[str], loaded_at: str) -> DataFrame:
     """Pack the named columns of ``df`` into one VARIANT object per row."""
     return df.select(F.to_variant_object(F.struct(*fields)).alias("raw_data"),
-                     F.lit(loaded_at).cast("timestamp").alias("loaded_at"))
+                     F.lit(loaded_at).cast("timestamp_ntz").alias("loaded_at"))
 
 
 def _typed(df: DataFrame, exprs: list[str]) -> DataFrame:
