@@ -113,7 +113,7 @@ SELECT user_id, count(CASE WHEN event_type = 'signup' THEN 1 END) AS n_signup,
        count(CASE WHEN event_type = 'click' THEN 1 END) AS n_click,
        count(*) AS n_all, max(CASE WHEN event_type = 'purchase' THEN value END) AS max_purchase
 FROM events GROUP BY 1""",
-    "top1_over_aggregate": """
+    "best_over_aggregate": """
 SELECT c.c_nationkey, o.o_custkey AS c_custkey, o.min_price
 FROM (SELECT o_custkey, min(o_totalprice) AS min_price FROM orders GROUP BY 1) o
 JOIN customer c ON o.o_custkey = c.c_custkey

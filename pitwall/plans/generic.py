@@ -337,7 +337,7 @@ GENERIC: dict[str, Callable[[Tables], DataFrame]] = {
     "anti_guard": anti_guard,
     "backfill_keys": backfill_worklist,
     "cond_counts": cond_counts,
-    "top1_over_aggregate": best_customer_per_nation,
+    "best_over_aggregate": best_customer_per_nation,
     "last_non_null": last_non_null_per_day,
     "fastest_row": fastest_row,
     "resample_linear": resampled_values,
