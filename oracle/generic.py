@@ -96,7 +96,8 @@ JOIN (SELECT user_id, event_id AS signup_id, ts AS lo, lead(ts) OVER (PARTITION
   ON e.user_id = s.user_id AND e.ts BETWEEN s.lo AND s.hi
 QUALIFY row_number() OVER (PARTITION BY e.event_id ORDER BY s.lo, s.signup_id) = 1""",
     "anti_guard": """
-SELECT c_custkey, c_name FROM customer c WHERE NOT EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = c.c_custkey)""",
+SELECT c_custkey, c_name FROM customer c
+WHERE NOT EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = c.c_custkey AND o.o_orderpriority = '1-URGENT')""",
     "backfill_keys": """
 SELECT DISTINCT c_custkey AS key, 'new' AS reason, CAST(NULL AS VARCHAR) AS missing FROM customer
 WHERE c_custkey NOT IN (SELECT user_id FROM events)

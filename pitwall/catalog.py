@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import importlib
+import threading
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,14 +13,16 @@ from pitwall.plans.context import RaceContext
 Query = Callable[[SparkSession, str], DataFrame]
 
 _CTX: dict[tuple[str, str], RaceContext] = {}
+_CTX_LOCK = threading.Lock()
 
 
 def ctx(spark: SparkSession, sf_dir: str) -> RaceContext:
     """One race context per (Spark application, data folder)."""
     key = (spark.sparkContext.applicationId, sf_dir)
-    if key not in _CTX:
-        _CTX[key] = RaceContext(spark, sf_dir)
-    return _CTX[key]
+    with _CTX_LOCK:
+        if key not in _CTX:
+            _CTX[key] = RaceContext(spark, sf_dir)
+        return _CTX[key]
 
 
 def _model_query(name: str) -> Query:

@@ -182,9 +182,10 @@ def point_in_interval(t: Tables) -> DataFrame:
 
 
 def anti_guard(t: Tables) -> DataFrame:
-    """Customers without any order."""
+    """Customers without any urgent order (keys not yet "landed")."""
     return anti(t.customer.select("c_custkey", "c_name"),
-                t.orders.select(F.col("o_custkey").alias("c_custkey")), ["c_custkey"])
+                t.orders.where(F.col("o_orderpriority") == "1-URGENT").select(F.col("o_custkey").alias("c_custkey")),
+                ["c_custkey"])
 
 
 def backfill_worklist(t: Tables) -> DataFrame:
