@@ -329,13 +329,25 @@ def _last_races(m: Marts, k: int, season: int | None, as_of: dt.datetime) -> Dat
 
 
 def recent_results(m: Marts, k: int = 3, season: int | None = None, as_of: dt.datetime = AS_OF,
-                   with_grid: bool = False) -> DataFrame:
-    """Q21 (k races, all seasons) / Q24 (k races of a season, with grid)."""
-    races = _last_races(m, k, season, as_of).select("session_key", "meeting_name", "country_name",
-                                                    "session_start_at")
+                   with_grid: bool = False, row_limit: int | None = None) -> DataFrame:
+    """Q21 (k races, all seasons) / Q24 (k races of a season, with grid).
+
+    Default: every result row of the k most recent races. ``row_limit``
+    reproduces the source's plain row cap (60 / 100 rows, newest race first,
+    ties ordered by session key and finishing position)."""
+    if row_limit is not None:
+        races = _races(m).where(F.col("session_start_at") < _lit_ts(as_of))
+        races = _key(races, "year", season)
+    else:
+        races = _last_races(m, k, season, as_of)
+    races = races.select("session_key", "meeting_name", "country_name", "session_start_at")
     r = m.fct_session_results.join(races, ["session_key"], "inner")
     cols = ["driver_name", "team_name", "finish_position", "points"] + (["grid_position"] if with_grid else [])
-    return r.select(*cols, "meeting_name", "country_name", "session_start_at")
+    out = r.select(*cols, "meeting_name", "country_name", "session_start_at", "session_key", "driver_number")
+    if row_limit is not None:
+        out = out.orderBy(F.col("session_start_at").desc(), F.col("session_key").desc(),
+                          F.col("finish_position").asc_nulls_last(), F.col("driver_number")).limit(row_limit)
+    return out.drop("session_key", "driver_number")
 
 
 def driver_standings(m: Marts, season: int = SEASON, top: int | None = None) -> DataFrame:
@@ -593,6 +605,7 @@ QUERIES: dict[str, Callable[[Marts], DataFrame]] = {
     "q20_session_meta": session_meta,
     "fct_race_positions_strict": race_positions_strict,
     "q21_recent_results": recent_results,
+    "q21_recent_results_rows": lambda m: recent_results(m, row_limit=60),
     "q22_standings_top10": lambda m: driver_standings(m, top=10),
     "q23_next_race": next_race,
     "q24_season_results": lambda m: recent_results(m, k=5, season=SEASON, with_grid=True),
