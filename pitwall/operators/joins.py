@@ -126,7 +126,8 @@ def range_join(points: DataFrame, intervals: DataFrame, on: Sequence[str], point
     icols = [c for c in intervals.columns if c not in on]
     _check_collisions(points, icols, on)
     p = points.withColumn("_bkt", bucket_of(F.col(point), ptype, width)).alias("_p")
-    i = _explode_buckets(intervals, lo, hi, intervals.schema[lo].dataType, width, False).alias("_i")
+    # an exploded side is estimated at its pre-explode size: never broadcast it on that guess
+    i = _explode_buckets(intervals, lo, hi, intervals.schema[lo].dataType, width, False).hint("merge").alias("_i")
     cond = [F.col(f"_p.{k}") == F.col(f"_i.{k}") for k in on]
     upper = (F.col(f"_p.{point}") <= F.col(f"_i.{hi}")) if hi_inclusive else \
         (F.col(f"_p.{point}") < F.col(f"_i.{hi}"))
@@ -147,7 +148,7 @@ def range_agg(intervals: DataFrame, points: DataFrame, on: Sequence[str], point:
     width = _default_width(ptype, width)
     pcols = [c for c in points.columns if c not in on]
     _check_collisions(intervals, pcols, on)
-    i = _explode_buckets(intervals, lo, hi, intervals.schema[lo].dataType, width, True).alias("_i")
+    i = _explode_buckets(intervals, lo, hi, intervals.schema[lo].dataType, width, True).hint("merge").alias("_i")
     p = points.withColumn("_bkt", bucket_of(F.col(point), ptype, width)).alias("_p")
     cond = [F.col(f"_i.{k}") == F.col(f"_p.{k}") for k in on]
     cond += [F.col("_i._bkt") == F.col("_p._bkt"),

@@ -89,7 +89,8 @@ def resample_linear(samples: DataFrame, by: Sequence[str], order: Sequence[Colum
     step = (ln - 1).cast("double") / (nn - 1).cast("double")
     p = (F.when(nn == 1, F.lit(0.0)).when(i == nn - 1, (ln - 1).cast("double"))
          .otherwise(i.cast("double") * step))
-    grid = (lens.withColumn(point, F.explode(F.sequence(F.lit(0), (nn - 1).cast("int"))))
+    # the grid is series × n rows; its planned size ignores the explode, so keep it a shuffle join
+    grid = (lens.withColumn(point, F.explode(F.sequence(F.lit(0), (nn - 1).cast("int")))).hint("merge")
             .withColumn("_p", p)
             .withColumn("_j", F.floor("_p").cast("int"))
             .withColumn("_f", F.col("_p") - F.col("_j")))

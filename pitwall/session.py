@@ -8,15 +8,18 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-# Engine settings the library's plans assume. AQE re-plans joins from runtime
-# sizes (a dimension is broadcast only when its measured size is under
-# spark.sql.autoBroadcastJoinThreshold, otherwise it stays a sort-merge join)
-# and splits skewed shuffle partitions.
+# Engine settings the library's plans assume. Broadcasts need a size check:
+# at planning time only sides estimated (from file sizes) under 10 MB; at
+# runtime AQE broadcasts a side whose *measured* shuffle output is under
+# 64 MB, otherwise the join stays sort-merge. Exploded sides (range-join
+# buckets, resampling grids) are hinted to shuffle because the planner's
+# estimate ignores the explode. AQE also splits skewed shuffle partitions.
 ENGINE_DEFAULTS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
-    "spark.sql.autoBroadcastJoinThreshold": str(32 * 1024 * 1024),
+    "spark.sql.autoBroadcastJoinThreshold": str(10 * 1024 * 1024),
+    "spark.sql.adaptive.autoBroadcastJoinThreshold": str(64 * 1024 * 1024),
     "spark.sql.session.timeZone": "UTC",
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
