@@ -72,8 +72,8 @@ SELECT e.event_id, e.user_id, CAST(e.ord AS INTEGER) AS ord, b.block
 FROM g_ev_ord e LEFT JOIN g_blocks b ON e.user_id = b.user_id AND e.ord BETWEEN b.lo AND b.hi
 QUALIFY row_number() OVER (PARTITION BY e.event_id ORDER BY b.block NULLS LAST) = 1""",
     "block_stats": f"""
-SELECT b.user_id, b.block, b.lo, b.hi, count(p.ord) AS n, min(p.value) AS min_v, avg(p.value) AS avg_v,
-       avg(p.value) - min(p.value) AS gap_v,
+SELECT b.user_id, b.block, b.lo, b.hi, count(p.ord) AS n, min(p.value) AS min_v, CAST(sum(CAST(p.value AS DECIMAL(18, 6))) AS DOUBLE) / count(p.value) AS avg_v,
+       CAST(sum(CAST(p.value AS DECIMAL(18, 6))) AS DOUBLE) / count(p.value) - min(p.value) AS gap_v,
        {rd('(max(CASE WHEN p.ord = b.hi THEN p.value END) - min(CASE WHEN p.ord = b.lo THEN p.value END)) / nullif(b.hi - b.lo, 0)')} AS deg_end,
        {rd('CASE WHEN count(p.ord) > 1 THEN regr_slope(p.value, p.ord) END')} AS deg_slope
 FROM g_blocks b LEFT JOIN (SELECT user_id, ord, value FROM g_ev_ord WHERE value < 400) p

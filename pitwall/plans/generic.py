@@ -17,7 +17,7 @@ from pitwall.operators.joins import (adjacent_join, anti, asof_join, enrich, enr
                                      range_agg, range_join)
 from pitwall.operators.timeseries import (argmax_per_point, gap_fill_linear, last_non_null, resample_linear,
                                           seq_index)
-from pitwall.plans.marts import round_dec
+from pitwall.plans.marts import exact_avg, round_dec
 from pitwall.sources.landing import backfill_keys
 from pitwall.sources.tables import Tables
 
@@ -145,8 +145,8 @@ def block_stats(t: Tables) -> DataFrame:
     regression slope over the "clean" events (value < 400); empty blocks kept."""
     pts = _events_ord(t).where(F.col("value") < 400).select("user_id", "ord", "value")
     v, o, lo, hi = F.col("value"), F.col("ord"), F.col("lo"), F.col("hi")
-    aggs = [F.count(o).alias("n"), F.min(v).alias("min_v"), F.avg(v).alias("avg_v"),
-            (F.avg(v) - F.min(v)).alias("gap_v"),
+    aggs = [F.count(o).alias("n"), F.min(v).alias("min_v"), exact_avg(v).alias("avg_v"),
+            (exact_avg(v) - F.min(v)).alias("gap_v"),
             round_dec((F.max(F.when(o == hi, v)) - F.min(F.when(o == lo, v))) / F.nullif(hi - lo, F.lit(0)))
             .alias("deg_end"),
             round_dec(F.regr_slope(v, o)).alias("deg_slope")]

@@ -27,6 +27,12 @@ def round_dec(x: Column, digits: int = 3) -> Column:
     return F.round(x.cast("decimal(38,9)"), digits).cast("double")
 
 
+def exact_avg(x: Column) -> Column:
+    """Average through an exact decimal sum (inputs kept to 6 decimals): the
+    result no longer depends on partitioning or summation order."""
+    return F.sum(x.cast("decimal(18,6)")).cast("double") / F.count(x)
+
+
 def clean_laps(laps: DataFrame, max_s: float = 120.0) -> DataFrame:
     """Not a pit-out lap (NULL flag excluded, three-valued) and under ``max_s``."""
     return laps.where((F.col("is_pit_out_lap") == F.lit(False)) & (F.col("lap_duration_s") < max_s))
@@ -171,8 +177,8 @@ class Marts:
         aggs = [
             F.count(lap).alias("clean_laps"),
             F.min(dur).alias("fastest_lap_s"),
-            F.avg(dur).alias("avg_lap_time_s"),
-            (F.avg(dur) - F.min(dur)).alias("gap_to_best_s"),
+            exact_avg(dur).alias("avg_lap_time_s"),
+            (exact_avg(dur) - F.min(dur)).alias("gap_to_best_s"),
             round_dec(end_delta / F.nullif(hi - lo, F.lit(0))).alias("deg_per_lap_s"),
             round_dec(F.regr_slope(dur, lap)).alias("deg_slope_s"),
         ]

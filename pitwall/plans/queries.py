@@ -25,7 +25,7 @@ from pitwall.operators.dedupe import keep_first
 from pitwall.operators.joins import asof_join, locate, range_join
 from pitwall.operators.timeseries import (argmax_per_point, last_non_null, resample_linear, segments,
                                           seq_index)
-from pitwall.plans.marts import Marts, clean_laps, round_dec
+from pitwall.plans.marts import Marts, clean_laps, exact_avg, round_dec
 from pitwall.session import cut_lineage
 
 SEASON = 2024
@@ -374,7 +374,7 @@ def season_lap_pace(m: Marts, season: int = SEASON, top: int = 20) -> DataFrame:
     """Q25."""
     lp = m.fct_laps.where(F.col("lap_duration_s").isNotNull()).join(
         m.dim_sessions.where(F.col("year") == season).select("session_key"), ["session_key"], "left_semi")
-    agg = lp.groupBy("driver_name", "team_name").agg(round_dec(F.avg("lap_duration_s")).alias("avg_lap_s"),
+    agg = lp.groupBy("driver_name", "team_name").agg(round_dec(exact_avg(F.col("lap_duration_s"))).alias("avg_lap_s"),
                                                      round_dec(F.min("lap_duration_s")).alias("best_lap_s"),
                                                      F.count(F.lit(1)).alias("total_laps"))
     return agg.orderBy(F.col("avg_lap_s").asc_nulls_last(), "driver_name", "team_name").limit(top)
@@ -384,7 +384,7 @@ def season_pit_performance(m: Marts, season: int = SEASON, top: int = 20) -> Dat
     """Q26."""
     p = m.fct_pit_stops.where(F.col("pit_duration_s").isNotNull()).join(
         m.dim_sessions.where(F.col("year") == season).select("session_key"), ["session_key"], "left_semi")
-    agg = p.groupBy("driver_name", "team_name").agg(round_dec(F.avg("pit_duration_s"), 2).alias("avg_pit_s"),
+    agg = p.groupBy("driver_name", "team_name").agg(round_dec(exact_avg(F.col("pit_duration_s")), 2).alias("avg_pit_s"),
                                                     F.count(F.lit(1)).alias("total_stops"))
     return agg.orderBy(F.col("avg_pit_s").asc_nulls_last(), "driver_name", "team_name").limit(top)
 
@@ -450,7 +450,7 @@ def v_fastest_laps_last_race(m: Marts, as_of: dt.datetime = AS_OF) -> DataFrame:
 def v_pit_stop_performance(m: Marts, season: int = SEASON) -> DataFrame:
     s = m.dim_sessions.where((F.col("year") == season) & (F.col("session_type") == "Race")).select("session_key")
     p = m.fct_pit_stops.where(F.col("pit_duration_s").isNotNull()).join(s, ["session_key"], "left_semi")
-    return p.groupBy("team_name").agg(round_dec(F.avg("pit_duration_s")).alias("avg_pit_s"),
+    return p.groupBy("team_name").agg(round_dec(exact_avg(F.col("pit_duration_s"))).alias("avg_pit_s"),
                                       F.count(F.lit(1)).alias("pit_count"))
 
 

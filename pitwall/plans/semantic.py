@@ -14,7 +14,12 @@ from pyspark.sql import functions as F
 
 from pitwall.functions import scalars as S
 
-AGGS = {"min": F.min, "max": F.max, "sum": F.sum, "avg": F.avg, "count": F.count}
+def _avg(c: Column) -> Column:
+    from pitwall.plans.marts import exact_avg
+    return exact_avg(c)
+
+
+AGGS = {"min": F.min, "max": F.max, "sum": F.sum, "avg": _avg, "count": F.count}
 
 
 @dataclass(frozen=True)
