@@ -19,6 +19,15 @@ from pitwall.sources import fixtures
 from pitwall.sources.tables import Tables
 
 
+# Longest builds first (feeds derived from the largest tables), so the
+# critical path starts at once and small models fill the gaps.
+# Stints and pit share the lap derivation with stg_laps, so they come after
+# independent feeds instead of blocking threads while it is built.
+BUILD_ORDER = ["stg_laps", "stg_car_data", "stg_location", "stg_position", "stg_race_control",
+               "stg_intervals", "stg_stints", "stg_pit", "stg_weather", "stg_team_radio", "stg_overtakes"]
+BUILD_ORDER += [n for n in MODELS if n not in BUILD_ORDER]
+
+
 class _StagedTables(Mapping):
     """Staging models built on first use and written once as parquet to the
     shared checkpoint folder (one build, many readers)."""
@@ -86,7 +95,7 @@ class RaceContext:
         """Build every staging model, then every mart, with ``threads``
         concurrent Spark jobs (independent models share the cluster)."""
         with ThreadPoolExecutor(threads) as pool:
-            list(pool.map(lambda n: self.stg[n], list(MODELS)))
+            list(pool.map(lambda n: self.stg[n], BUILD_ORDER))
             if marts:
                 list(pool.map(self.marts.get, Marts.NAMES))
 
