@@ -12,9 +12,8 @@ from collections.abc import Mapping
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from pitwall.functions.variant import RAW, Field, Require, VariantSpec, project_variant
+from pitwall.functions.variant import Field, Require, VariantSpec, project_variant
 from pitwall.operators.dedupe import latest_per_key, row_hash
 
 

@@ -55,10 +55,6 @@ def _raw(df: DataFrame, fields: list[str], loaded_at: str) -> DataFrame:
                      F.lit(loaded_at).cast("timestamp_ntz").alias("loaded_at"))
 
 
-def _typed(df: DataFrame, exprs: list[str]) -> DataFrame:
-    return df.selectExpr(*exprs)
-
-
 # --------------------------------------------------------------------------- bulk endpoints
 def meetings_typed(t: Tables) -> DataFrame:
     return t.nation.selectExpr(
