@@ -182,3 +182,5 @@ SELECT l_orderkey, l_linenumber, l_quantity FROM lineitem WHERE l_orderkey = (SE
 SELECT event_id, {laptime('value * 3')} AS lap_text,
        CASE WHEN value - 100 IS NULL THEN {DASH} ELSE printf('%+.3f', value - 100) END AS delta_text FROM events""",
 }
+
+SQL["landing_laps_roundtrip"] = "SELECT * FROM stg_laps"

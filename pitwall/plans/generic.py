@@ -320,6 +320,17 @@ def formatted_times(t: Tables) -> DataFrame:
                            S.format_delta(F.col("value") - 100).alias("delta_text"))
 
 
+def landing_laps_roundtrip(t: Tables) -> DataFrame:
+    """S1/F1 on the whole laps feed: records as JSON text lines → landing
+    parser → staging. Must equal ``stg_laps``."""
+    from pitwall.plans.staging import MODELS, stage
+    from pitwall.sources import fixtures
+    from pitwall.sources.landing import parse_records
+    lines = fixtures.laps(t).select(F.to_json("raw_data").alias("value"), "loaded_at")
+    accepted, _ = parse_records(lines, "laps", loaded_at_col="loaded_at")
+    return stage(accepted.select("raw_data", "loaded_at"), MODELS["stg_laps"])
+
+
 GENERIC: dict[str, Callable[[Tables], DataFrame]] = {
     "variant_project": variant_project,
     "variant_null_filter": variant_null_filter,
@@ -353,10 +364,14 @@ GENERIC: dict[str, Callable[[Tables], DataFrame]] = {
     "topk_desc_nulls_first": topk_desc_nulls_first,
     "scalar_latest": scalar_latest,
     "fmt_laptime": formatted_times,
+    "landing_laps_roundtrip": landing_laps_roundtrip,
 }
 
 
 def registry() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    from pitwall.catalog import ctx
+
     def bind(fn):
-        return lambda spark, sf_dir: fn(Tables(spark, sf_dir))
+        # the context's table accessor memoises (and materialises) shared derived tables
+        return lambda spark, sf_dir: fn(ctx(spark, sf_dir).tables)
     return {name: bind(fn) for name, fn in GENERIC.items()}

@@ -28,17 +28,21 @@ SESSION_ENDPOINTS = ("drivers", "intervals", "laps", "overtakes", "pit", "positi
 BULK_ENDPOINTS = ("sessions", "meetings", "championship_drivers", "championship_teams", "starting_grid")
 
 
-def parse_records(lines: DataFrame, endpoint: str, text_col: str = "value") -> tuple[DataFrame, DataFrame]:
+def parse_records(lines: DataFrame, endpoint: str, text_col: str = "value",
+                  loaded_at_col: str | None = None) -> tuple[DataFrame, DataFrame]:
     """Text lines → (accepted RAW rows, rejected lines). A line holding a
     JSON array contributes one row per element; unparsable lines and
-    non-object payloads (an API error body, say) are rejected, not raised."""
-    parsed = lines.select(F.col(text_col).alias("_text"), F.try_parse_json(F.col(text_col)).alias("_v"))
+    non-object payloads (an API error body, say) are rejected, not raised.
+    ``loaded_at`` is the load time, or ``loaded_at_col`` when replaying
+    records with their original load times."""
+    parsed = lines.select(F.col(text_col).alias("_text"), F.try_parse_json(F.col(text_col)).alias("_v"),
+                          (F.col(loaded_at_col) if loaded_at_col else F.current_timestamp()).alias("_la"))
     kind = F.schema_of_variant(F.col("_v"))
     arrays = parsed.where(kind.startswith("ARRAY")).select(  # non-object elements are dropped, line rejected
-        "_text", F.explode(F.variant_get(F.col("_v"), "$", "array<variant>")).alias("_v"))
+        "_text", "_la", F.explode(F.variant_get(F.col("_v"), "$", "array<variant>")).alias("_v"))
     objects = parsed.where(kind.startswith("OBJECT")).unionByName(
         arrays.where(F.schema_of_variant(F.col("_v")).startswith("OBJECT")))
-    accepted = objects.select(F.col("_v").alias(RAW), F.current_timestamp().alias("loaded_at"),
+    accepted = objects.select(F.col("_v").alias(RAW), F.col("_la").alias("loaded_at"),
                               F.lit(endpoint).alias("endpoint"))
     all_objects = F.forall(F.variant_get(F.col("_v"), "$", "array<variant>"),
                            lambda x: F.schema_of_variant(x).startswith("OBJECT"))
