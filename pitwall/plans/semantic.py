@@ -148,7 +148,10 @@ def metric(marts, table: str, measures: Sequence[str], by: Sequence[str] = (), w
                 raise KeyError(f"{name!r} is not a dimension of {table} or its related tables")
             needed_related.setdefault(rel.right, set()).add(name)
         col = F.col(name)
-        groups.append(F.date_trunc(grain, col).alias(f"{name}_{grain}") if grain else col.alias(name))
+        # date_trunc answers in the session time zone; cast back so a wall-clock
+        # (TIMESTAMP_NTZ) dimension stays wall-clock whatever the session zone
+        groups.append(F.date_trunc(grain, col).cast("timestamp_ntz").alias(f"{name}_{grain}") if grain
+                      else col.alias(name))
     for right, cols in needed_related.items():
         rel = next(r for r in model.related(table) if r.right == right)
         df = df.join(marts.get(right).select(*rel.on, *sorted(cols)), list(rel.on), rel.how)
