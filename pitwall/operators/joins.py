@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import datetime as _dt
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -189,6 +190,8 @@ def asof_join(left: DataFrame, right: DataFrame, on: Sequence[str], left_ts: str
     bucket ids), then a single window per (keys, bucket) runs over left and
     right rows together. Equal timestamps match (right sorts first); among
     right rows with equal time the largest row wins, so results are stable.
+    For numeric keys ``bucket_seconds`` is the bucket width in key units.
+    NULL keys or times never match.
     """
     rcols = [c for c in right.columns if c not in on]
     _check_collisions(left, rcols, on)
@@ -196,6 +199,8 @@ def asof_join(left: DataFrame, right: DataFrame, on: Sequence[str], left_ts: str
     if _is_time(lt) != _is_time(rt):
         raise ValueError("as-of keys must both be timestamps or both numeric")
     width = bucket_seconds
+    # rows that can never match (NULL key or time) must not meet NULL-keyed left rows in a window
+    right = right.where(reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in [*on, right_ts]]))
     rstruct = F.struct(F.col(right_ts).alias("_t"), F.struct(*rcols).alias("_p"))
     R = right.select(*on, rstruct.alias("_r"), bucket_of(F.col(right_ts), rt, width).alias("_b"))
     rtype = R.schema["_r"].dataType

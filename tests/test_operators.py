@@ -94,6 +94,14 @@ def test_asof_join_ties_missing_and_tolerance(spark):
     assert tol[(1, T("2024-01-01 03:00:00"))] is None
 
 
+def test_asof_join_nulls_never_match(spark):
+    left = spark.createDataFrame([(None, T("2024-01-01 00:00:10")), (1, None)], "k int, ts timestamp_ntz")
+    right = spark.createDataFrame([(None, T("2024-01-01 00:00:05"), "a"), (1, None, "b")],
+                                  "k int, rts timestamp_ntz, v string")
+    got = [r.v for r in asof_join(left, right, ["k"], "ts", "rts").collect()]
+    assert got == [None, None]
+
+
 def test_locate_lower_interval_wins_and_gaps_drop(spark):
     pts = spark.createDataFrame([(1, T("2024-01-01 00:01:30")), (1, T("2024-01-01 00:05:00"))],
                                 "d int, ts timestamp_ntz")
