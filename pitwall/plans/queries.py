@@ -23,8 +23,8 @@ from pyspark.sql import functions as F
 from pitwall.functions import scalars as S
 from pitwall.operators.dedupe import keep_first
 from pitwall.operators.joins import asof_join, locate, range_join
-from pitwall.operators.timeseries import (argmax_per_point, last_non_null, resample_linear, segments,
-                                          seq_index)
+from pitwall.operators.timeseries import (argmax_per_point, gap_fill_linear, last_non_null, resample_linear,
+                                          segments, seq_index)
 from pitwall.plans.marts import Marts, clean_laps, exact_avg, round_dec
 from pitwall.session import cut_lineage
 
@@ -315,6 +315,18 @@ def race_positions_strict(m: Marts) -> DataFrame:
     return Marts(m.stg, strict_grid=True).fct_race_positions
 
 
+def track_map(m: Marts, session_key: int | None = None, rotation_deg: float = 30.0) -> DataFrame:
+    """Track outline from each driver's fastest clean lap: location X/Y along
+    the lap, gaps filled linearly (leading gaps dropped), rotated by
+    ``-rotation_deg`` (W10 + F19 re-aimed from the external circuit map)."""
+    tel = lap_telemetry(m, session_key, fastest_clean_laps(m, session_key)).select(
+        "session_key", "driver_number", "lap_number", "dist", "pos_x", "pos_y")
+    filled = gap_fill_linear(tel, ["session_key", "driver_number", "lap_number"], [F.col("dist")], ["pos_x", "pos_y"])
+    x, y = S.rotate2d(F.col("pos_x"), F.col("pos_y"), rotation_deg)
+    return filled.select("session_key", "driver_number", "lap_number", "dist",
+                         round_dec(x, 6).alias("x"), round_dec(y, 6).alias("y"))
+
+
 def session_meta(m: Marts, session_key: int | None = None) -> DataFrame:
     """Q20."""
     return _key(m.dim_sessions, "session_key", session_key).select("session_key", "year", "meeting_name")
@@ -602,6 +614,7 @@ QUERIES: dict[str, Callable[[Marts], DataFrame]] = {
     "q17_clean_laps_end": clean_laps_with_end,
     "q18_lap_telemetry": lap_telemetry,
     "q19_track_dominance": track_dominance,
+    "q19_track_map": track_map,
     "q20_session_meta": session_meta,
     "fct_race_positions_strict": race_positions_strict,
     "q21_recent_results": recent_results,
