@@ -5,9 +5,10 @@ import pytest
 import __spark_entry__ as E
 from compare import compare
 from conftest import SF_SMALL
+from pitwall.catalog import oracle_sql, registered_queries
 
-QUERIES = E.queries()
-SQL = E.oracle_sql()
+QUERIES = registered_queries()
+SQL = oracle_sql()
 
 
 def test_every_query_has_oracle_sql():

@@ -2,12 +2,12 @@
 
 import pytest
 
-import __spark_entry__ as E
 from conftest import SF_SMALL
+from pitwall.catalog import registered_queries
 
 FORBIDDEN = ("BroadcastNestedLoopJoin", "CartesianProduct", "BatchEvalPython", "ArrowEvalPython",
              "FlatMapGroupsInPandas", "MapInPandas")
-QUERIES = E.queries()
+QUERIES = registered_queries()
 
 
 @pytest.mark.parametrize("name", sorted(QUERIES))
