@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import uuid
 
 import pyarrow as pa
@@ -15,6 +16,18 @@ from pitwall.session import checkpoint_dir
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+def importable(spark: SparkSession) -> None:
+    """Let Python workers on this machine import the package wherever the driver was started.
+
+    On a cluster the package is installed or sent along (``--py-files``).
+    """
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    env = spark.sparkContext.environment
+    paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if root not in paths:
+        env["PYTHONPATH"] = os.pathsep.join([*paths, root])
+
+
 def store(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once as parquet in the shared checkpoint folder and read it back."""
     path = f"{checkpoint_dir(df.sparkSession).rstrip('/')}/llm-{uuid.uuid4().hex}/{name}"

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pitwall.llm.common import store, tasks_for
+from pitwall.llm.common import importable, store, tasks_for
 from pitwall.llm.graph import connected_components, forest
 
 WINDOW = 256
@@ -171,6 +171,7 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "
     ids are rows of their own, and are never kept twice apart from equal
     ids. Other columns are not looked at; an empty table gives no rows.
     """
+    importable(vectors.sparkSession)
     finite = lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))
     vec = F.col("vec")
     usable = (F.coalesce(F.size(vec) > 0, F.lit(False)) & F.forall(vec, finite) & F.exists(vec, lambda v: v != 0))

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from pitwall.llm.common import WORD, store, text_hash
+from pitwall.llm.common import WORD, importable, store, text_hash
 
 WEIGHTS = (5, 2, 1)
 MAX_COPIES = 3
@@ -129,6 +129,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     one by one. Ties of the seeded order are broken by id and text hash. An
     empty table gives no rows.
     """
+    importable(docs.sparkSession)
     rows = store(docs.select(
         F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"),
         F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long").alias("size"),

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pitwall.llm.common import as_bytes, store, tasks_for
+from pitwall.llm.common import as_bytes, importable, store, tasks_for, text_hash
 from pitwall.llm.graph import connected_components, forest
 
 SEED = 42
@@ -58,15 +58,16 @@ def fingerprint(text: bytes | None, k: int) -> int:
 
 
 def fingerprints(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
-    """(id, fp): one row per input row, ``fp`` the fingerprint as a signed long."""
-    src = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    """(id, hash, fp): one row per input row, ``fp`` the fingerprint as a signed long, ``hash`` the text's hash."""
+    src = docs.select(F.col(id_col).cast("long").alias("id"), text_hash(F.col(text_col)).alias("hash"),
+                      F.col(text_col).cast("string").alias("text"))
 
     def run(batches):
         for b in batches:
-            fps = [fingerprint(t, shingle) for t in as_bytes(b.column(1))]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps, pa.int64())], ["id", "fp"])
+            fps = [fingerprint(t, shingle) for t in as_bytes(b.column(2))]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fps, pa.int64())], ["id", "hash", "fp"])
 
-    return src.mapInArrow(run, "id long, fp long")
+    return src.mapInArrow(run, "id long, hash long, fp long")
 
 
 def neighbour_offsets(radius: int) -> list[tuple[int, ...]]:
@@ -167,19 +168,23 @@ def close_links(nodes: DataFrame, radius: int, tile_rows: int = TILE_ROWS) -> Da
 
 def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3,
                    radius: int = 2) -> DataFrame:
-    """(id_col, fingerprint, component_id), one row per input row.
+    """(id_col, fingerprint, component_id, component_root, text_hash), one row per input row.
 
+    ``component_id`` is the smallest id reachable by links, ``component_root``
+    the smallest fingerprint, a name that components without ids have too.
     Null and wordless texts have fingerprint zero and link like any other.
     Repeated rows and equal texts share one fingerprint, compared once. A
     null id is never a component's name unless all its ids are null. Other
     columns of ``docs`` are not looked at; an empty table gives no rows.
     """
+    importable(docs.sparkSession)
     rows = store(fingerprints(docs, id_col, text_col, shingle), "fingerprints")
     nodes = store(rows.groupBy("fp").agg(F.min("id").alias("low")), "distinct-fingerprints")
     comp = connected_components(close_links(nodes, radius), "simhash")
     named = nodes.join(comp, nodes.fp == comp.node, "left").select(
         "fp", "low", F.coalesce("root", "fp").alias("root"))
     least = named.groupBy("root").agg(F.min("low").alias("component_id"))
-    names = named.join(least, "root").select("fp", "component_id")
+    names = named.join(least, "root").select("fp", "root", "component_id")
     return rows.join(names, "fp").select(
-        F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+        F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id",
+        F.col("root").alias("component_root"), F.col("hash").alias("text_hash"))
