@@ -1,25 +1,57 @@
-"""Corpus pipeline: stages over ``documents``, each calling one operator of ``pitwall.llm``."""
+"""Corpus pipeline: stages over ``documents``, each calling one operator of ``pitwall.llm``.
+
+Stages work on every row the stage before kept and return the columns of
+``documents`` (the last adds shard and slot). Extra columns pass through.
+Empty tables give empty results.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from pitwall.llm import common, decontaminate, language, mixing, sharding, simhash
+
 
-from pitwall.llm import common, mixing, sharding, simhash
+def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Language ID: rows whose text has no language (null or without a letter, ``und``) go."""
+    may_learn = F.col("doc_id").isNotNull() & ~language.held_out("doc_id")
+    model = language.train(docs, "text", "lang", may_learn)
+    told = language.identify(docs, model, keep=tuple(docs.columns), names=("_lang_pred", "_lang_score"))
+    if not model[0]:    # nothing to learn from: only texts without a letter are rejected
+        return docs.filter(F.col("text").rlike(r"\p{L}"))
+    return told.filter(F.col("_lang_pred") != language.UNKNOWN).drop("_lang_pred", "_lang_score")
 
 
-def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """SimHash near-duplicates: of each component the rows of its smallest doc_id stay.
+def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """SimHash near-dedup: one row of each component stays.
 
-    A null doc_id stays only where its whole component has none. Repeated
-    rows of the kept document (same id and text) become one.
+    It is a row of the component's smallest doc_id (null only if all are
+    null), of several the one with the smallest text hash, of equal rows any.
     """
-    groups = simhash.simhash_groups(docs.select("doc_id", "text"))
-    kept = groups.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("kept_id"),
-                                                                                  "fingerprint").distinct()
-    one = kept.groupBy("kept_id").agg(F.count("*").alias("variants"))
-    joined = docs.join(one, F.col("doc_id").eqNullSafe(F.col("kept_id")))
-    return joined.select(*[F.col(f"`{c}`") for c in docs.columns]).dropDuplicates(["doc_id"])
+    groups = common.store(simhash.simhash_groups(docs.select("doc_id", "text")), "components")
+    first = (groups.filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
+             .groupBy("component_root", "doc_id", "text_hash").agg(F.count("*").alias("rows"))
+             .groupBy("component_root").agg(F.min(F.struct("doc_id", "text_hash", "rows")).alias("one")))
+    kept = common.store(first.select(F.col("one.doc_id").alias("_kept_id"), F.col("one.text_hash").alias("_kept_hash"),
+                                     F.col("one.rows").alias("_kept_rows")), "kept")
+    joined = docs.withColumn("_hash", common.text_hash(F.col("text"))).join(
+        kept, F.col("doc_id").eqNullSafe(F.col("_kept_id")) & (F.col("_hash") == F.col("_kept_hash")))
+    equal = Window.partitionBy("doc_id", "_hash").orderBy("text")
+    one = joined.filter("_kept_rows > 1").withColumn("_nth", F.row_number().over(equal)).filter("_nth = 1").drop("_nth")
+    return joined.filter("_kept_rows = 1").unionByName(one).select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
+def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Benchmark decontamination: documents that hold a benchmark item go."""
+    benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    found = decontaminate.contaminated(docs, benchmark)
+    bad = common.store(found.select(F.col("id").alias("_bad_id"), F.col("hash").alias("_bad_hash")).distinct(),
+                       "contaminated")
+    return docs.withColumn("_hash", common.text_hash(F.col("text"))).join(
+        bad, F.col("doc_id").eqNullSafe(F.col("_bad_id")) & (F.col("_hash") == F.col("_bad_hash")), "left_anti"
+    ).drop("_hash")
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,7 +64,16 @@ def sharding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return sharding.shard_rows(docs)
 
 
-STAGES = [("simhash near-dedup", near_duplicates), ("mixing", mixing_stage), ("sharding", sharding_stage)]
+STAGES = [
+    ("language ID", language_stage),
+    ("SimHash near-dedup", near_duplicate_stage),
+    ("benchmark decontamination", decontamination_stage),
+    ("mixing to target weights", mixing_stage),
+    ("sharding", sharding_stage),
+]
+
+# The stages hold a fitted classifier, components, retrieval and a seeded
+# shuffle, which SQL cannot express; tests/llm checks them by brute force.
 ORACLE_SQL = None
 
 
