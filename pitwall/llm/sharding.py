@@ -40,9 +40,9 @@ def shard_rows(docs: DataFrame, n_shards: int = 40, id_col: str = "doc_id", text
     bucket = F.pmod(key, F.lit(n_buckets))
     # Only repeats of the same id and text can make a bucket this large; the
     # list holds at most bytes / (2 * bucket_bytes) numbers.
-    large = (light.groupBy(F.pmod("key", F.lit(n_buckets)).alias("bucket")).agg(F.sum("size").alias("bytes"))
+    large = store(light.groupBy(F.pmod("key", F.lit(n_buckets)).alias("bucket")).agg(F.sum("size").alias("bytes"))
              .filter(F.col("bytes") > 2 * bucket_bytes)
-             .select("bucket", F.ceil(F.col("bytes") / bucket_bytes).alias("parts")))
+             .select("bucket", F.ceil(F.col("bytes") / bucket_bytes).alias("parts")), "large-buckets")
     scattered = (docs.select(bucket.alias("bucket"), key.alias("key"), row.alias("row"))
                  .join(large, "bucket", "left")
                  .withColumn("part", F.when(F.col("parts").isNull(), F.lit(0).cast("long")).otherwise(
@@ -55,7 +55,9 @@ def shard_rows(docs: DataFrame, n_shards: int = 40, id_col: str = "doc_id", text
     written = store(shuffled, "buckets")
     counts = written.groupBy("bucket", "part").agg(F.count("*").alias("rows"))
     order = Window.orderBy("bucket", "part")
-    starts = counts.select("bucket", "part", (F.sum("rows").over(order) - F.col("rows")).alias("start"))
+    # one row per bucket; written, so that the join knows how small it is
+    starts = store(counts.select("bucket", "part", (F.sum("rows").over(order) - F.col("rows")).alias("start")),
+                   "starts")
     place = F.col("start") + F.col("pos")
     n = F.lit(total["n"])
     shard = F.floor((place * n_shards).cast("decimal(38,0)") / n).cast("long")
