@@ -125,6 +125,7 @@ def close_links(nodes: DataFrame, radius: int, tile_rows: int = TILE_ROWS) -> Da
                 ["tile", "visitor", "fp"])
 
     def linked(home, other, same):
+        home, other = home.view(np.uint64), other.view(np.uint64)   # bits of signed numbers count as of their size
         step = max(1, (1 << 19) // max(1, len(home)))
         a, b = [], []
         for s in range(0, len(other), step):
@@ -133,7 +134,8 @@ def close_links(nodes: DataFrame, radius: int, tile_rows: int = TILE_ROWS) -> Da
                 i, j = i[i < j + s], j[i < j + s]
             a.append(home[i])
             b.append(other[s:s + step][j])
-        return forest(np.concatenate(a), np.concatenate(b)) if a else (home[:0], home[:0])
+        none = np.empty(0, np.int64)
+        return forest(np.concatenate(a).view(np.int64), np.concatenate(b).view(np.int64)) if a else (none, none)
 
     def compare(batches):
         """Rows come sorted by tile, the tile's own rows first; visitors are streamed past them."""
