@@ -1,9 +1,8 @@
 """Mixing sources to target weights by subset-sum budget fitting (operator 3).
 
 Documents are counted by exact word length per source. A source's target is
-filled with whole copies of everything, then with documents chosen by
-length: one per length from the longest down while a quota fits, and a
-bounded knapsack over the lengths left for what remains. The chosen number
+filled with whole copies of everything, then with a proportional share of
+every length, and a bounded knapsack over the lengths left for what remains. The chosen number
 of documents per length is taken in seeded order.
 """
 
@@ -53,65 +52,58 @@ def source_targets(sizes: DataFrame, weights=WEIGHTS, max_copies: int = MAX_COPI
 def fit_counts(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
     """How many documents of each length to take so that their words come nearest to ``budget``.
 
-    A proportional share of every length, then one more of each length from
-    the longest down while it fits, then a bounded knapsack on the rest.
+    A proportional share of every length for most of the budget, then one
+    more of each length from the longest down until the rest is small, then a
+    bounded knapsack on the documents left. If that misses, more of the
+    budget is left to the knapsack, as far as its size allows.
     """
     total = int(lengths @ counts)
     if budget >= total:
         return counts.copy()
-    take = (counts.astype(object) * budget // total).astype(np.int64)
-    rest = budget - int(lengths @ take)
-    for i in np.argsort(-lengths, kind="stable"):
-        more = min(int(counts[i] - take[i]), max(0, rest - KNAPSACK_WORDS) // max(1, int(lengths[i])))
-        take[i] += more
-        rest -= more * int(lengths[i])
-    if rest > KNAPSACK_WORDS:   # every document left is longer than what is left to fill
-        return _nearest_single(lengths, counts, take, rest)
-    best, add = _knapsack(lengths, counts - take, rest)
-    over = _nearest_single(lengths, counts, take, rest, best)
-    return over if over is not None and best < rest else take + add
-
-
-def _nearest_single(lengths, counts, take, rest, best=None):
-    """Adds one document longer than ``rest`` if that ends nearer to the budget."""
-    left = np.flatnonzero((counts > take) & (lengths > rest))
-    if len(left):
-        i = left[np.argmin(lengths[left])]
-        gap = int(lengths[i]) - rest
-        if gap < rest - (best or 0):
-            out = take.copy()
-            out[i] += 1
-            return out
-    return take if best is None else None
+    best, gap, hold = counts * 0, budget, min(budget, KNAPSACK_WORDS // 8)
+    while gap:
+        take = (counts.astype(object) * (budget - hold) // total).astype(np.int64)
+        rest = budget - int(lengths @ take)
+        for i in np.argsort(-lengths, kind="stable"):
+            more = min(int(counts[i] - take[i]), max(0, rest - KNAPSACK_WORDS) // max(1, int(lengths[i])))
+            take[i] += more
+            rest -= more * int(lengths[i])
+        reached, add = _knapsack(lengths, counts - take, rest)
+        if abs(reached - rest) < gap:
+            best, gap = take + add, abs(reached - rest)
+        if hold >= min(budget, KNAPSACK_WORDS):
+            break
+        hold = min(budget, KNAPSACK_WORDS, hold * 4)
+    return best
 
 
 def _knapsack(lengths: np.ndarray, left: np.ndarray, budget: int) -> tuple[int, np.ndarray]:
-    """Largest sum not above ``budget``, and the counts that reach it (0/1 items by binary splitting)."""
+    """Sum nearest to ``budget`` (of two the smaller) and the counts that reach it; 0/1 items by binary splitting."""
     add = np.zeros(len(lengths), np.int64)
-    reach = np.zeros(budget + 1, bool)
+    top = 2 * budget
+    reach = np.zeros(top + 1, bool)
     reach[0] = True
-    item = np.full(budget + 1, -1, np.int32)
+    item = np.full(top + 1, -1, np.int32)
     items: list[tuple[int, int]] = []
     for i in np.argsort(-lengths, kind="stable"):
-        size, n, k = int(lengths[i]), int(min(left[i], budget // max(1, int(lengths[i])))), 1
-        if size == 0:
+        size = int(lengths[i])
+        if size == 0 or reach[budget]:
             continue
+        n, k = int(min(left[i], top // size)), 1
         while n > 0 and not reach[budget]:
-            k_now = min(k, n)
-            step = size * k_now
-            if step > budget:
+            step = size * min(k, n)
+            if step > top:
                 break
-            new = np.zeros(budget + 1, bool)
-            new[step:] = reach[:budget + 1 - step]
+            new = np.zeros(top + 1, bool)
+            new[step:] = reach[:top + 1 - step]
             new &= ~reach
             item[new] = len(items)
             reach |= new
-            items.append((i, k_now))
-            n -= k_now
+            items.append((i, min(k, n)))
+            n -= min(k, n)
             k *= 2
-        if reach[budget]:
-            break
-    best = at = int(np.flatnonzero(reach)[-1])
+    sums = np.flatnonzero(reach)
+    best = at = int(sums[np.argmin(np.abs(sums - budget))])
     while at:
         i, k = items[item[at]]
         add[i] += k
