@@ -1,8 +1,8 @@
 """Embedding near-duplicates by sorted projection passes (operator 2).
 
-Each pass concatenates random hyperplane signs to one hash per vector, range
-partitions and sorts by it, and compares every vector with a bounded window
-of neighbours in that order. Verified links (cosine >= threshold, double
+Each pass concatenates random hyperplane signs to one hash per vector, sorts
+all vectors by it across partitions, and compares every vector with a bounded
+window of neighbours in that order. Verified links (cosine >= threshold, double
 precision) of all passes are united to components. Direct links are then
 counted inside components, so a group larger than the window loses none.
 """
@@ -13,6 +13,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -56,36 +57,72 @@ def plain(batch: pa.RecordBatch, n: int) -> list[np.ndarray]:
 
 
 def pass_links(nodes: DataFrame, number: int, threshold: float, seed: int, window: int) -> DataFrame:
+    """(a, b): verified links between vectors at most a window apart in the order of pass ``number``."""
+    spark = nodes.sparkSession
+    vec = nodes.schema["vec"].dataType.simpleString()
+
     def keyed(batches):
         for dim, b in same_length(batches, 1):
             planes = np.random.default_rng([seed, number, dim]).standard_normal((dim, BITS))
             keys = ((matrix(b.column(1)) @ planes > 0).astype(np.int64) << np.arange(BITS)[::-1]).sum(axis=1)
             yield pa.RecordBatch.from_arrays([pa.array(keys), b.column(0), b.column(1)], ["key", "node", "vec"])
 
+    def numbered(batches):
+        part, n = TaskContext.get().partitionId(), 0
+        for b in batches:
+            place = np.arange(n, n + b.num_rows)
+            n += b.num_rows
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(b.num_rows, part)), pa.array(place), b.column(1),
+                                              b.column(2)], ["part", "place", "node", "vec"])
+
+    ordered = store(nodes.select("node", "vec").mapInArrow(keyed, f"key long, node long, vec {vec}")
+                    .repartitionByRange(tasks_for(spark), F.expr("size(vec)"), "key", "node")
+                    .sortWithinPartitions(F.expr("size(vec)"), "key", "node")
+                    .mapInArrow(numbered, f"part long, place long, node long, vec {vec}"), f"order{number}")
+    rows = {r["part"]: r["count"] for r in ordered.groupBy("part").count().collect()}   # one number per partition
+    ends, total = {}, 0
+    for p in sorted(rows):
+        ends[p] = total
+        total += rows[p]
+    shared = spark.sparkContext.broadcast(ends)
+
+    def tiled(batches):
+        """Each row to the tile of its place, and as a neighbour to the next one."""
+        for b in batches:
+            at = (np.array([shared.value[p] for p in b.column(0).to_pylist()], np.int64) + b.column(1).to_numpy())
+            for tile, neighbour in ((at // window, False), (at // window + 1, True)):
+                yield pa.RecordBatch.from_arrays([pa.array(tile), pa.array(np.full(len(at), neighbour)), b.column(2),
+                                                  b.column(3)], ["tile", "neighbour", "node", "vec"])
+
     def compare(batches):
-        held: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-        for dim, b in same_length(batches, 2):
-            node, x = b.column(1).to_numpy(), matrix(b.column(2))
+        held: dict[int, tuple] = {}
+        for dim, b in same_length(batches, 3):
+            tile, near, node = plain(b, 3)
+            x = matrix(b.column(3))
+            current, own_node, own = held.get(dim, (-1, node[:0], x[:0]))
             a, c = [], []
-            last_node, last = held.get(dim, (node[:0], x[:0]))
-            for s in range(0, len(node), window):
-                n2, x2 = node[s:s + window], x[s:s + window]
-                i, j = np.nonzero(x2 @ x2.T >= threshold)
-                a.append(n2[i[i < j]])
-                c.append(n2[j[i < j]])
-                if len(last):
-                    i, j = np.nonzero(last @ x2.T >= threshold)
-                    a.append(last_node[i])
-                    c.append(n2[j])
-                last_node, last = np.concatenate([last_node, n2])[-window:], np.concatenate([last, x2])[-window:]
-            held[dim] = (last_node, last)
-            a, c = forest(np.concatenate(a), np.concatenate(c))
-            if len(a):
+            cuts = np.flatnonzero(np.diff(tile)) + 1
+            for s, e in zip([0, *cuts], [*cuts, len(tile)]):
+                if tile[s] != current:
+                    current, own_node, own = tile[s], node[:0], x[:0]
+                m = s + int(np.searchsorted(near[s:e], True))
+                fresh = len(own)
+                own_node, own = np.concatenate([own_node, node[s:m]]), np.concatenate([own, x[s:m]])
+                if fresh < len(own):
+                    i, j = np.nonzero(own @ own[fresh:].T >= threshold)
+                    a.append(own_node[i[i < j + fresh]])
+                    c.append(own_node[j[i < j + fresh] + fresh])
+                if m < e and len(own):
+                    i, j = np.nonzero(own @ x[m:e].T >= threshold)
+                    a.append(own_node[i])
+                    c.append(node[m:e][j])
+            held[dim] = (current, own_node, own)
+            if a:
+                a, c = forest(np.concatenate(a), np.concatenate(c))
                 yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(c)], ["a", "b"])
 
-    vec = nodes.schema["vec"].dataType.simpleString()
-    return (nodes.select("node", "vec").mapInArrow(keyed, f"key long, node long, vec {vec}")
-            .repartitionByRange(tasks_for(nodes.sparkSession), "key", "node").sortWithinPartitions("key", "node")
+    return (ordered.mapInArrow(tiled, f"tile long, neighbour boolean, node long, vec {vec}")
+            .repartition(tasks_for(spark), "tile").sortWithinPartitions("tile", "neighbour")
             .mapInArrow(compare, "a long, b long"))
 
 
