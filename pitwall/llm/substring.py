@@ -16,55 +16,24 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pitwall.llm.common import as_bytes, importable, store, tasks_for, text_hash
+from pitwall.llm.common import (as_bytes, importable, mixed, pieces, range_hashes, store, tasks_for, text_hash,
+                                word_hashes)
 
 WINDOW = 50
 GROUP, FINE_GROUP = 12, 40      # words per hashed group; the second for shards of very many segments
 WIDE = 4096                     # segments of one hash from which the finer cut is used
 INDEX_WORDS = 1 << 19           # words per index, unless one hash has more
-CHUNK_WORDS = 1 << 18
 LANE = 128                      # windows per search lane
 
 
-class WordHashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > 500_000:
-            self.clear()
-        h = self[word] = xxhash.xxh64_intdigest(word)
-        return h
-
-
-@cache
-def word_hashes() -> WordHashes:
-    return WordHashes()
-
-
 @cache
 def multipliers(n: int) -> np.ndarray:
     return np.random.default_rng(n).integers(0, 1 << 63, n, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-BASE = 0x9E3779B97F4A7C15
-INVERSE = pow(BASE, -1, 1 << 64)
-
-
-@cache
-def powers(base: int, n: int) -> np.ndarray:
-    out = np.full(n, base, np.uint64)
-    out[0] = 1
-    return np.cumprod(out)
-
-
-def mixed(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(32))
-
-
 def segments(h: np.ndarray, size: np.ndarray, window: int, group: int):
     """Segments of word hashes ``h`` (texts of ``size`` words laid end to end).
 
@@ -93,33 +62,22 @@ def segments(h: np.ndarray, size: np.ndarray, window: int, group: int):
     s = np.flatnonzero(new)
     runs = np.diff(np.append(s, len(at)))
     start = at[s]
-    prefix = np.concatenate([np.zeros(1, np.uint64), np.cumsum(h * powers(BASE, len(h)))])
-    end = start + runs + window - 1
-    whole_hash = mixed((prefix[end] - prefix[start]) * powers(INVERSE, len(h))[start]
-                       + runs.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
-    return text[start], start - first[text[start]], runs, g[s], whole_hash
+    return text[start], start - first[text[start]], runs, g[s], range_hashes(h, start, start + runs + window - 1)
 
 
 def document_segments(docs: DataFrame, window: int) -> DataFrame:
     """(low, whole, id, hash, start, windows): the segments of all documents with an id."""
     def run(batches):
         for b in batches:
-            ids, hashes, texts = b.column(0).to_numpy(), b.column(1).to_numpy(), as_bytes(b.column(2))
-            s = 0
-            while s < len(texts):
-                parts, size, n = [], [], 0
-                while s + len(size) < len(texts) and n < CHUNK_WORDS:
-                    w = texts[s + len(size)].split()
-                    parts += map(word_hashes().__getitem__, w)
-                    size.append(len(w))
-                    n += len(w)
-                text, start, runs, low, whole = segments(np.array(parts, np.uint64), np.array(size), window, GROUP)
+            ids, hashes = b.column(0).to_numpy(), b.column(1).to_numpy()
+            for s, texts in pieces(b.column(2)):
+                h, size = word_hashes(texts)
+                text, start, runs, low, whole = segments(h, size, window, GROUP)
                 if len(text):
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(low.view(np.int64)), pa.array(whole.view(np.int64)), pa.array(ids[s + text]),
                          pa.array(hashes[s + text]), pa.array(start.astype(np.int32)),
                          pa.array(runs.astype(np.int32))], ["low", "whole", "id", "hash", "start", "windows"])
-                s += len(size)
 
     return (docs.filter("id IS NOT NULL AND text IS NOT NULL").select("id", "hash", "text")
             .mapInArrow(run, "low long, whole long, id long, hash long, start int, windows int"))
@@ -151,8 +109,7 @@ def segment_words(docs: DataFrame, shared: DataFrame, window: int) -> DataFrame:
                     if not c["wide"]:
                         rows.append((c["low"], c["low"], c["whole"], 0, i, b" ".join(part)))
                         continue
-                    h = np.array([word_hashes()[x] for x in part], np.uint64)
-                    _, start, runs, low, _ = segments(h, np.array([len(part)]), window, FINE_GROUP)
+                    _, start, runs, low, _ = segments(*word_hashes([b" ".join(part)]), window, FINE_GROUP)
                     for s, n, x in zip(start.tolist(), runs.tolist(), low.view(np.int64).tolist()):
                         rows.append((c["low"] ^ x, c["low"], c["whole"], s, i, b" ".join(part[s:s + n + window - 1])))
             for s in range(0, len(rows), 20000):
