@@ -33,4 +33,8 @@ def with_ctes(final_sql: str) -> str:
         visit(d)
     if not order:
         return final_sql.strip()
-    return "WITH " + ",\n".join(f"{n} AS (\n{CTES[n]}\n)" for n in order) + "\n" + final_sql.strip()
+    shared = "WITH " + ",\n".join(f"{n} AS (\n{CTES[n]}\n)" for n in order)
+    final = final_sql.strip()
+    if final[:5].upper() == "WITH ":        # the query's own CTEs follow the shared ones
+        return f"{shared},\n{final[5:]}"
+    return f"{shared}\n{final}"

@@ -3,15 +3,11 @@
 import math
 
 from oracle.cte import cte
-from oracle.queries import laptime
+from oracle.queries import half_up, laptime, mean, slope
 
 DASH = "'—'"
 
 
-def rd(x: str, k: int = 3) -> str:
-    return f"CAST(round(CAST({x} AS DECIMAL(38, 9)), {k}) AS DOUBLE)"
-
-
 cte("g_ev_ord", "SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS ord FROM events")
 cte("g_blocks", """
 SELECT user_id, block, CAST(lo AS INTEGER) AS lo, CAST(CASE WHEN block % 4 = 0 THEN hi + 2 ELSE hi END AS INTEGER) AS hi
@@ -72,16 +68,16 @@ SELECT e.event_id, e.user_id, CAST(e.ord AS INTEGER) AS ord, b.block
 FROM g_ev_ord e LEFT JOIN g_blocks b ON e.user_id = b.user_id AND e.ord BETWEEN b.lo AND b.hi
 QUALIFY row_number() OVER (PARTITION BY e.event_id ORDER BY b.block NULLS LAST) = 1""",
     "block_stats": f"""
-SELECT b.user_id, b.block, b.lo, b.hi, count(p.ord) AS n, min(p.value) AS min_v, CAST(sum(CAST(p.value AS DECIMAL(18, 6))) AS DOUBLE) / count(p.value) AS avg_v,
-       CAST(sum(CAST(p.value AS DECIMAL(18, 6))) AS DOUBLE) / count(p.value) - min(p.value) AS gap_v,
-       {rd('(max(CASE WHEN p.ord = b.hi THEN p.value END) - min(CASE WHEN p.ord = b.lo THEN p.value END)) / nullif(b.hi - b.lo, 0)')} AS deg_end,
-       {rd('CASE WHEN count(p.ord) > 1 THEN regr_slope(p.value, p.ord) END')} AS deg_slope
+SELECT b.user_id, b.block, b.lo, b.hi, count(p.ord) AS n, min(p.value) AS min_v, {mean('p.value')} AS avg_v,
+       {mean('p.value')} - min(p.value) AS gap_v,
+       {half_up('(max(CASE WHEN p.ord = b.hi THEN p.value END) - min(CASE WHEN p.ord = b.lo THEN p.value END)) / nullif(b.hi - b.lo, 0)')} AS deg_end,
+       {half_up(slope('p.value', 'p.ord'))} AS deg_slope
 FROM g_blocks b LEFT JOIN (SELECT user_id, ord, value FROM g_ev_ord WHERE value < 400) p
   ON b.user_id = p.user_id AND p.ord BETWEEN b.lo AND b.hi
 GROUP BY 1, 2, 3, 4""",
     "adjacent_join": """
 SELECT e.event_id, e.user_id, CAST(e.ord AS INTEGER) AS ord, bb.block AS block_out, ba.block AS block_in
-FROM (SELECT * FROM g_ev_ord WHERE ord % 5 = 0) e
+FROM (SELECT * FROM g_ev_ord ) e
 LEFT JOIN g_blocks bb ON e.user_id = bb.user_id AND e.ord = bb.hi
 LEFT JOIN g_blocks ba ON e.user_id = ba.user_id AND e.ord + 1 = ba.lo""",
     "asof_view_purchase": """
@@ -145,8 +141,8 @@ SELECT event_id, user_id, fv AS v FROM (
                      row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS i FROM events) x) y) z
 WHERE fv IS NOT NULL""",
     "rotate2d": f"""
-SELECT event_id, {rd(f'value * cos({_R}) - CAST(event_id % 100 AS DOUBLE) * sin({_R})', 6)} AS rx,
-       {rd(f'value * sin({_R}) + CAST(event_id % 100 AS DOUBLE) * cos({_R})', 6)} AS ry FROM events""",
+SELECT event_id, {half_up(f'value * cos({_R}) - CAST(event_id % 100 AS DOUBLE) * sin({_R})', 6)} AS rx,
+       {half_up(f'value * sin({_R}) + CAST(event_id % 100 AS DOUBLE) * cos({_R})', 6)} AS ry FROM events""",
     "classify_case": f"""
 SELECT o_orderkey,
        CASE WHEN is_dsq THEN 'DSQ' WHEN is_dns THEN 'DNS' WHEN is_dnf THEN 'DNF'

@@ -17,7 +17,7 @@ from pitwall.operators.joins import (adjacent_join, anti, asof_join, enrich, enr
                                      range_agg, range_join)
 from pitwall.operators.timeseries import (argmax_per_point, gap_fill_linear, last_non_null, resample_linear,
                                           seq_index)
-from pitwall.plans.marts import exact_avg, round_dec
+from pitwall.plans.marts import exact_avg, exact_slope
 from pitwall.sources.landing import backfill_keys
 from pitwall.sources.tables import Tables
 
@@ -147,15 +147,15 @@ def block_stats(t: Tables) -> DataFrame:
     v, o, lo, hi = F.col("value"), F.col("ord"), F.col("lo"), F.col("hi")
     aggs = [F.count(o).alias("n"), F.min(v).alias("min_v"), exact_avg(v).alias("avg_v"),
             (exact_avg(v) - F.min(v)).alias("gap_v"),
-            round_dec((F.max(F.when(o == hi, v)) - F.min(F.when(o == lo, v))) / F.nullif(hi - lo, F.lit(0)))
+            F.round((F.max(F.when(o == hi, v)) - F.min(F.when(o == lo, v))) / F.nullif(hi - lo, F.lit(0)), 3)
             .alias("deg_end"),
-            round_dec(F.regr_slope(v, o)).alias("deg_slope")]
+            F.round(exact_slope(v, o), 3).alias("deg_slope")]
     return range_agg(_blocks(t), pts, ["user_id"], "ord", "lo", "hi", aggs)
 
 
 def adjacent_blocks(t: Tables) -> DataFrame:
-    """For every 5th ordinal, the block ending there and the one starting after it."""
-    ev = _events_ord(t).where("ord % 5 = 0").select("event_id", "user_id", "ord")
+    """For every event, the block ending at its ordinal and the one starting after it."""
+    ev = _events_ord(t).select("event_id", "user_id", "ord")
     return adjacent_join(ev, _blocks(t), ["user_id"], "ord", "lo", "hi", before={"block_out": "block"},
                          after={"block_in": "block"})
 
@@ -248,7 +248,7 @@ def gap_filled(t: Tables) -> DataFrame:
 def rotated(t: Tables) -> DataFrame:
     """rotate (value, event_id % 100) by -30 degrees."""
     x, y = S.rotate2d(F.col("value"), (F.col("event_id") % 100).cast("double"), 30.0)
-    return t.events.select("event_id", round_dec(x, 6).alias("rx"), round_dec(y, 6).alias("ry"))
+    return t.events.select("event_id", F.round(x, 6).alias("rx"), F.round(y, 6).alias("ry"))
 
 
 def classify_orders(t: Tables) -> DataFrame:

@@ -22,15 +22,32 @@ DRIVER_ATTRS = {"driver_name": "full_name", "driver_acronym": "acronym", "team_n
 SD = ["session_key", "driver_number"]
 
 
-def round_dec(x: Column, digits: int = 3) -> Column:
-    """Round half-up through a decimal, so last-bit float noise cannot flip a tie."""
-    return F.round(x.cast("decimal(38,9)"), digits).cast("double")
+def lossless(x: Column) -> Column:
+    """``x`` as a decimal with 12 digits after the point; NULL where that would change it."""
+    d = x.try_cast("decimal(38,12)")
+    return F.when(d.cast("double") == x, d)
 
 
 def exact_avg(x: Column) -> Column:
-    """Average through an exact decimal sum (inputs kept to 6 decimals): the
-    result no longer depends on partitioning or summation order."""
-    return F.sum(x.cast("decimal(18,6)")).cast("double") / F.count(x)
+    """Average that does not depend on the order of summation: the exact decimal
+    sum over the count where every value fits a decimal unchanged, else ``avg``
+    (NaN, infinities, values beyond 26 digits or finer than 12)."""
+    d = lossless(x)
+    kept = F.when(F.count(d) == F.count(x), F.try_sum(d))
+    return F.coalesce(kept.cast("double") / F.count(x), F.avg(x))
+
+
+def exact_slope(y: Column, x: Column) -> Column:
+    """``regr_slope(y, x)`` for whole-numbered ``x``, from exact decimal sums where they fit."""
+    both = y.isNotNull() & x.isNotNull()
+    d = lossless(y)
+    xd = F.when(both, x.cast("decimal(19,0)"))
+    yd = F.when(both, d)
+    n = F.count(xd)
+    top = n * F.try_sum(xd * yd) - F.try_sum(xd) * F.try_sum(yd)
+    bottom = n * F.try_sum(xd * xd) - F.try_sum(xd) * F.try_sum(xd)
+    exact = F.when(F.count(yd) == n, top.cast("double") / F.nullif(bottom.cast("double"), F.lit(0.0)))
+    return F.coalesce(exact, F.regr_slope(y, x))
 
 
 def clean_laps(laps: DataFrame, max_s: float = 120.0) -> DataFrame:
@@ -179,8 +196,8 @@ class Marts:
             F.min(dur).alias("fastest_lap_s"),
             exact_avg(dur).alias("avg_lap_time_s"),
             (exact_avg(dur) - F.min(dur)).alias("gap_to_best_s"),
-            round_dec(end_delta / F.nullif(hi - lo, F.lit(0))).alias("deg_per_lap_s"),
-            round_dec(F.regr_slope(dur, lap)).alias("deg_slope_s"),
+            F.round(end_delta / F.nullif(hi - lo, F.lit(0)), 3).alias("deg_per_lap_s"),
+            F.round(exact_slope(dur, lap), 3).alias("deg_slope_s"),
         ]
         keys = [*SD, "stint_number", "tyre_compound", "tyre_age_at_start", "lap_start", "lap_end"]
         st = range_agg(self._stints(), cl, SD, "lap_number", "lap_start", "lap_end", aggs, group_cols=keys)

@@ -15,6 +15,7 @@ order makes the cut deterministic.
 from __future__ import annotations
 
 import datetime as dt
+import re
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -25,8 +26,8 @@ from pitwall.operators.dedupe import keep_first
 from pitwall.operators.joins import asof_join, locate, range_join
 from pitwall.operators.timeseries import (argmax_per_point, gap_fill_linear, last_non_null, resample_linear,
                                           segments, seq_index)
-from pitwall.plans.marts import Marts, clean_laps, exact_avg, round_dec
-from pitwall.session import cut_lineage
+from pitwall.plans.marts import Marts, clean_laps, exact_avg
+from pitwall.session import materialize
 
 SEASON = 2024
 AS_OF = dt.datetime(2024, 6, 1)
@@ -41,6 +42,11 @@ def _key(df: DataFrame, col: str, value) -> DataFrame:
     return df if value is None else df.where(F.col(col) == F.lit(value))
 
 
+def _first(df: DataFrame, top: int | None) -> DataFrame:
+    """All rows, or the first ``top`` for a caller that asks for so many."""
+    return df if top is None else df.limit(top)
+
+
 def _races(m: Marts, name: str = "Race", stype: str | None = "Race") -> DataFrame:
     s = m.dim_sessions.where(F.col("session_name") == name)
     return s if stype is None else s.where(F.col("session_type") == stype)
@@ -125,13 +131,13 @@ POS_COLS = ["driver_name", "driver_acronym", "team_name", "position", "recorded_
             "finish_position", "positions_gained"]
 
 
-def positions_per_lap(m: Marts, session_key: int | None = None) -> DataFrame:
+def positions_per_lap(m: Marts, session_key: int | None = None, whole_seconds: bool = False) -> DataFrame:
     """Q9: each position sample mapped to the lap containing it (closed
     interval, lowest lap on a shared boundary, unmatched dropped), then the
     last non-null value of every column per (driver, lap); sessions without
     laps number the samples per driver instead. ``total_laps`` per session."""
     pos = _key(m.fct_race_positions, "session_key", session_key)
-    laps = lap_intervals(m, session_key)
+    laps = lap_intervals(m, session_key, whole_seconds)
     inst = pos.select("session_key", "driver_number", "recorded_at").distinct()
     located = locate(inst, laps, ["session_key", "driver_number"], "recorded_at", "lap_start_at", "lap_end_at",
                      order=[F.col("lap_number").asc()]).select("session_key", "driver_number", "recorded_at",
@@ -165,7 +171,7 @@ def race_control_timeline(m: Marts, session_key: int | None = None, categories:
         cond = cond & F.col("category").isin(list(categories))
     if flags is not None:
         cond = cond & (F.col("flag").isin(list(flags)) | (F.col("flag") == ""))
-    return rc.withColumn("shown", cond)
+    return rc.withColumn("shown", cond).orderBy("session_key", "recorded_at", "message")
 
 
 def race_control_counts(m: Marts, categories=("Flag", "SafetyCar"), flags=("YELLOW", "RED")) -> DataFrame:
@@ -215,10 +221,10 @@ def stint_detail(m: Marts, race_key: int | None = None) -> DataFrame:
     return st.select("session_key", "driver_acronym", "finish_position", "stint_number",
                      F.upper(F.coalesce("tyre_compound", F.lit("HARD"))).alias("compound"),
                      S.lap_span("stint_length", "lap_start", "lap_end").alias("laps"),
-                     S.format_laptime(round_dec(F.col("fastest_lap_s"))).alias("best"),
-                     S.format_laptime(round_dec(F.col("avg_lap_time_s"))).alias("avg"),
+                     S.format_laptime(F.round(F.col("fastest_lap_s"), 3)).alias("best"),
+                     S.format_laptime(F.round(F.col("avg_lap_time_s"), 3)).alias("avg"),
                      F.when(F.col("gap_to_best_s").isNull(), F.lit(S.DASH)).otherwise(
-                         F.format_string("%.3f", round_dec(F.col("gap_to_best_s")))).alias("gap"),
+                         F.format_string("%.3f", F.round(F.col("gap_to_best_s"), 3))).alias("gap"),
                      S.format_delta("deg_per_lap_s").alias("deg_per_lap"))
 
 
@@ -240,18 +246,19 @@ def lap_times(m: Marts, session_key: int | None = None, clean_only: bool = False
                      "driver_name", "team_name")
 
 
-def clean_laps_with_end(m: Marts, session_key: int | None = None) -> DataFrame:
+def clean_laps_with_end(m: Marts, session_key: int | None = None, whole_seconds: bool = False) -> DataFrame:
     """Q17: clean laps with their end instant."""
     lp = clean_laps(_laps_with_drivers(m, session_key))
     return lp.select("session_key", "driver_number", "lap_number", "lap_duration_s", "lap_start_at",
-                     S.add_seconds("lap_start_at", "lap_duration_s").alias("lap_end_at"),
+                     S.add_seconds("lap_start_at", "lap_duration_s", whole_seconds).alias("lap_end_at"),
                      "driver_acronym", "driver_name", "team_name")
 
 
 TEL_COLS = ["recorded_at", "speed_kmh", "gear", "throttle_pct", "is_braking", "drs_status", "rpm"]
 
 
-def lap_telemetry(m: Marts, session_key: int | None = None, laps: DataFrame | None = None) -> DataFrame:
+def lap_telemetry(m: Marts, session_key: int | None = None, laps: DataFrame | None = None,
+                  whole_seconds: bool = False) -> DataFrame:
     """Q18: car samples inside each clean lap ``[start, end)`` with the
     location as-of each sample (latest location at or before it), plus the
     sample ordinal inside the lap as distance axis.
@@ -260,7 +267,7 @@ def lap_telemetry(m: Marts, session_key: int | None = None, laps: DataFrame | No
     requested laps reach the as-of join); location is reduced to the
     (session, driver) pairs involved but not by time, since a location
     before the lap start can still be the match."""
-    lp = (laps if laps is not None else clean_laps_with_end(m, session_key)).select(
+    lp = (laps if laps is not None else clean_laps_with_end(m, session_key, whole_seconds)).select(
         "session_key", "driver_number", "lap_number", "lap_start_at", "lap_end_at")
     car = _key(m.fct_car_data, "session_key", session_key).select("session_key", "driver_number", *TEL_COLS)
     car = range_join(car, lp, ["session_key", "driver_number"], "recorded_at", "lap_start_at", "lap_end_at",
@@ -273,26 +280,25 @@ def lap_telemetry(m: Marts, session_key: int | None = None, laps: DataFrame | No
     return tel.select("session_key", "driver_number", "lap_number", "dist", *TEL_COLS, "pos_x", "pos_y", "pos_z")
 
 
-def fastest_clean_laps(m: Marts, session_key: int | None = None) -> DataFrame:
+def fastest_clean_laps(m: Marts, session_key: int | None = None, whole_seconds: bool = False) -> DataFrame:
     """Each driver's fastest clean lap (ties → lower lap number)."""
-    lp = clean_laps_with_end(m, session_key)
+    lp = clean_laps_with_end(m, session_key, whole_seconds)
     best = lp.groupBy("session_key", "driver_number").agg(
         F.min_by("lap_number", F.struct("lap_duration_s", "lap_number")).alias("lap_number"))
     return lp.join(best, ["session_key", "driver_number", "lap_number"], "left_semi")
 
 
-def track_dominance(m: Marts, session_key: int | None = None) -> DataFrame:
+def track_dominance(m: Marts, session_key: int | None = None, whole_seconds: bool = False) -> DataFrame:
     """Q19: every driver's fastest clean lap is a series; the grid is the
     first series' (smallest acronym) non-null positions; each series' speed
     (NULL → 0) is resampled onto that many points; the fastest series wins
     each point (first series on ties) and colours the segment to the next point."""
-    combos = fastest_clean_laps(m, session_key)
+    combos = fastest_clean_laps(m, session_key, whole_seconds)
     tel = lap_telemetry(m, session_key, combos)
     series = combos.select("session_key", "driver_number", "lap_number", "driver_acronym")
-    # the selected laps' telemetry feeds five branches below: cut lineage once
-    # (reliable checkpoint in the shared folder) instead of recomputing it per branch
-    tel = cut_lineage(tel.join(series, ["session_key", "driver_number", "lap_number"], "inner"))
-    series = cut_lineage(series)
+    # the selected laps' telemetry feeds five branches below: written once as a
+    # table in the shared folder (size statistics and column pruning stay)
+    tel = materialize(tel.join(series, ["session_key", "driver_number", "lap_number"], "inner"), "dominance_telemetry")
     first = keep_first(series, ["session_key"], [F.col("driver_acronym").asc(), F.col("driver_number").asc()])
     grid_pts = (tel.join(first.select("session_key", "driver_number", "lap_number"),
                          ["session_key", "driver_number", "lap_number"], "left_semi")
@@ -324,7 +330,7 @@ def track_map(m: Marts, session_key: int | None = None, rotation_deg: float = 30
     filled = gap_fill_linear(tel, ["session_key", "driver_number", "lap_number"], [F.col("dist")], ["pos_x", "pos_y"])
     x, y = S.rotate2d(F.col("pos_x"), F.col("pos_y"), rotation_deg)
     return filled.select("session_key", "driver_number", "lap_number", "dist",
-                         round_dec(x, 6).alias("x"), round_dec(y, 6).alias("y"))
+                         F.round(x, 6).alias("x"), F.round(y, 6).alias("y"))
 
 
 def session_meta(m: Marts, session_key: int | None = None) -> DataFrame:
@@ -341,25 +347,15 @@ def _last_races(m: Marts, k: int, season: int | None, as_of: dt.datetime) -> Dat
 
 
 def recent_results(m: Marts, k: int = 3, season: int | None = None, as_of: dt.datetime = AS_OF,
-                   with_grid: bool = False, row_limit: int | None = None) -> DataFrame:
-    """Q21 (k races, all seasons) / Q24 (k races of a season, with grid).
-
-    Default: every result row of the k most recent races. ``row_limit``
-    reproduces the source's plain row cap (60 / 100 rows, newest race first,
-    ties ordered by session key and finishing position)."""
-    if row_limit is not None:
-        races = _races(m).where(F.col("session_start_at") < _lit_ts(as_of))
-        races = _key(races, "year", season)
-    else:
-        races = _last_races(m, k, season, as_of)
-    races = races.select("session_key", "meeting_name", "country_name", "session_start_at")
+                   with_grid: bool = False) -> DataFrame:
+    """Q21 (k races, all seasons) / Q24 (k races of a season, with grid): every
+    result row of the k most recent races, newest race first."""
+    races = _last_races(m, k, season, as_of).select("session_key", "meeting_name", "country_name", "session_start_at")
     r = m.fct_session_results.join(races, ["session_key"], "inner")
     cols = ["driver_name", "team_name", "finish_position", "points"] + (["grid_position"] if with_grid else [])
-    out = r.select(*cols, "meeting_name", "country_name", "session_start_at", "session_key", "driver_number")
-    if row_limit is not None:
-        out = out.orderBy(F.col("session_start_at").desc(), F.col("session_key").desc(),
-                          F.col("finish_position").asc_nulls_last(), F.col("driver_number")).limit(row_limit)
-    return out.drop("session_key", "driver_number")
+    return r.orderBy(F.col("session_start_at").desc(), F.col("session_key").desc(),
+                     F.col("finish_position").asc_nulls_last(), "driver_number").select(
+        *cols, "meeting_name", "country_name", "session_start_at")
 
 
 def driver_standings(m: Marts, season: int = SEASON, top: int | None = None) -> DataFrame:
@@ -370,9 +366,7 @@ def driver_standings(m: Marts, season: int = SEASON, top: int | None = None) ->
     d = m.dim_drivers.select("session_key", "driver_number", "full_name", "team_name")
     out = cd.join(d, ["session_key", "driver_number"], "inner").select(
         "full_name", "championship_position", "points_current", "team_name")
-    if top is not None:
-        out = out.orderBy(F.col("championship_position").asc_nulls_last(), F.col("full_name")).limit(top)
-    return out
+    return _first(out.orderBy(F.col("championship_position").asc_nulls_last(), F.col("full_name")), top)
 
 
 def next_race(m: Marts, as_of: dt.datetime = AS_OF) -> DataFrame:
@@ -382,32 +376,32 @@ def next_race(m: Marts, as_of: dt.datetime = AS_OF) -> DataFrame:
         "meeting_name", "country_name", "circuit_short_name", "session_start_at")
 
 
-def season_lap_pace(m: Marts, season: int = SEASON, top: int = 20) -> DataFrame:
+def season_lap_pace(m: Marts, season: int = SEASON, top: int | None = None) -> DataFrame:
     """Q25."""
     lp = m.fct_laps.where(F.col("lap_duration_s").isNotNull()).join(
         m.dim_sessions.where(F.col("year") == season).select("session_key"), ["session_key"], "left_semi")
-    agg = lp.groupBy("driver_name", "team_name").agg(round_dec(exact_avg(F.col("lap_duration_s"))).alias("avg_lap_s"),
-                                                     round_dec(F.min("lap_duration_s")).alias("best_lap_s"),
+    agg = lp.groupBy("driver_name", "team_name").agg(F.round(exact_avg(F.col("lap_duration_s")), 3).alias("avg_lap_s"),
+                                                     F.round(F.min("lap_duration_s"), 3).alias("best_lap_s"),
                                                      F.count(F.lit(1)).alias("total_laps"))
-    return agg.orderBy(F.col("avg_lap_s").asc_nulls_last(), "driver_name", "team_name").limit(top)
+    return _first(agg.orderBy(F.col("avg_lap_s").asc_nulls_last(), "driver_name", "team_name"), top)
 
 
-def season_pit_performance(m: Marts, season: int = SEASON, top: int = 20) -> DataFrame:
+def season_pit_performance(m: Marts, season: int = SEASON, top: int | None = None) -> DataFrame:
     """Q26."""
     p = m.fct_pit_stops.where(F.col("pit_duration_s").isNotNull()).join(
         m.dim_sessions.where(F.col("year") == season).select("session_key"), ["session_key"], "left_semi")
-    agg = p.groupBy("driver_name", "team_name").agg(round_dec(exact_avg(F.col("pit_duration_s")), 2).alias("avg_pit_s"),
+    agg = p.groupBy("driver_name", "team_name").agg(F.round(exact_avg(F.col("pit_duration_s")), 2).alias("avg_pit_s"),
                                                     F.count(F.lit(1)).alias("total_stops"))
-    return agg.orderBy(F.col("avg_pit_s").asc_nulls_last(), "driver_name", "team_name").limit(top)
+    return _first(agg.orderBy(F.col("avg_pit_s").asc_nulls_last(), "driver_name", "team_name"), top)
 
 
-def season_compounds(m: Marts, season: int = SEASON, top: int = 40) -> DataFrame:
+def season_compounds(m: Marts, season: int = SEASON, top: int | None = None) -> DataFrame:
     """Q27: stints per driver and compound."""
     st = m.fct_stints.join(m.dim_sessions.where(F.col("year") == season).select("session_key"),
                            ["session_key"], "left_semi")
     agg = st.groupBy("driver_name", "tyre_compound").agg(F.count(F.lit(1)).alias("stints"))
-    return agg.orderBy(F.col("driver_name").asc_nulls_last(), F.col("stints").desc(),
-                       F.col("tyre_compound").asc_nulls_last()).limit(top)
+    return _first(agg.orderBy(F.col("driver_name").asc_nulls_last(), F.col("stints").desc(),
+                              F.col("tyre_compound").asc_nulls_last()), top)
 
 
 def remaining_races(m: Marts, season: int = SEASON, as_of: dt.datetime = AS_OF) -> DataFrame:
@@ -425,7 +419,8 @@ def v_races_happened(m: Marts, season: int = SEASON) -> DataFrame:
     s = _season_races(m, season)
     r = _winners(m).select("session_key", F.col("driver_name").alias("winner"))
     return s.join(r, ["session_key"], "inner").select("meeting_name", "country_name", "circuit_short_name",
-                                                      "session_start_at", "winner")
+                                                      "session_start_at", "winner").orderBy("session_start_at",
+                                                                                            "winner")
 
 
 def v_race_count(m: Marts, season: int = SEASON, as_of: dt.datetime = AS_OF) -> DataFrame:
@@ -442,7 +437,8 @@ def v_race_winners(m: Marts, season: int = SEASON, as_of: dt.datetime = AS_OF) -
     s = _season_races(m, season).where(F.col("session_start_at") < _lit_ts(as_of))
     return _winners(m).join(s.select("session_key", "meeting_name", "country_name", "session_start_at"),
                             ["session_key"], "inner").select("meeting_name", "country_name", "driver_name",
-                                                             "team_name", "points", "session_start_at")
+                                                             "team_name", "points", "session_start_at") \
+        .orderBy("session_start_at", "driver_name")
 
 
 def _latest_race_before(m: Marts, as_of: dt.datetime) -> DataFrame:
@@ -456,56 +452,61 @@ def _latest_race_with_winner(m: Marts) -> DataFrame:
 
 def v_fastest_laps_last_race(m: Marts, as_of: dt.datetime = AS_OF) -> DataFrame:
     lp = m.fct_laps.join(_latest_race_before(m, as_of), ["session_key"], "left_semi")
-    return lp.groupBy("driver_name", "driver_acronym", "team_name").agg(F.min("lap_duration_s").alias("fastest_lap_s"))
+    return lp.groupBy("driver_name", "driver_acronym", "team_name").agg(F.min("lap_duration_s").alias("fastest_lap_s")) \
+        .orderBy(F.col("fastest_lap_s").asc_nulls_last(), "driver_name")
 
 
 def v_pit_stop_performance(m: Marts, season: int = SEASON) -> DataFrame:
     s = m.dim_sessions.where((F.col("year") == season) & (F.col("session_type") == "Race")).select("session_key")
     p = m.fct_pit_stops.where(F.col("pit_duration_s").isNotNull()).join(s, ["session_key"], "left_semi")
-    return p.groupBy("team_name").agg(round_dec(exact_avg(F.col("pit_duration_s"))).alias("avg_pit_s"),
-                                      F.count(F.lit(1)).alias("pit_count"))
+    return p.groupBy("team_name").agg(F.round(exact_avg(F.col("pit_duration_s")), 3).alias("avg_pit_s"),
+                                      F.count(F.lit(1)).alias("pit_count")) \
+        .orderBy(F.col("avg_pit_s").asc_nulls_last(), "team_name")
 
 
 def v_cancelled_races(m: Marts, season: int = SEASON, as_of: dt.datetime = AS_OF) -> DataFrame:
     s = _season_races(m, season).where(F.col("session_start_at") < _lit_ts(as_of))
     return s.join(_winners(m).select("session_key"), ["session_key"], "left_anti").select(
-        "meeting_name", "country_name", "circuit_short_name", "session_start_at")
+        "meeting_name", "country_name", "circuit_short_name", "session_start_at").orderBy("session_start_at")
 
 
 def v_upcoming_races(m: Marts, season: int = SEASON, as_of: dt.datetime = AS_OF) -> DataFrame:
     s = _season_races(m, season).where(F.col("session_start_at") > _lit_ts(as_of))
-    return s.select("meeting_name", "country_name", "circuit_short_name", "session_start_at")
+    return s.select("meeting_name", "country_name", "circuit_short_name", "session_start_at") \
+        .orderBy("session_start_at")
 
 
 def v_constructor_standings(m: Marts, season: int = SEASON) -> DataFrame:
     ct = m.dim_championship_teams.where(F.col("year") == season)
     latest = ct.agg(F.max("session_key").alias("session_key"))
-    return ct.join(latest, ["session_key"], "left_semi").select("team_name", "championship_position",
-                                                                "points_current")
+    return ct.join(latest, ["session_key"], "left_semi").select(
+        "team_name", "championship_position", "points_current").orderBy(
+        F.col("championship_position").asc_nulls_last(), "team_name")
 
 
 def v_driver_wins(m: Marts, season: int = SEASON) -> DataFrame:
     s = _season_races(m, season).select("session_key")
     return _winners(m).join(s, ["session_key"], "left_semi").groupBy("driver_name", "team_name").agg(
-        F.count(F.lit(1)).alias("wins"))
+        F.count(F.lit(1)).alias("wins")).orderBy(F.col("wins").desc(), "driver_name", "team_name")
 
 
 def v_tyre_strategy_last_race(m: Marts) -> DataFrame:
     st = m.fct_stints.join(_latest_race_with_winner(m), ["session_key"], "left_semi")
     return st.select("driver_name", "driver_acronym", "stint_number", "tyre_compound", "lap_start", "lap_end",
-                     "stint_length")
+                     "stint_length").orderBy("driver_name", "stint_number")
 
 
 def v_pole_positions(m: Marts, season: int = SEASON) -> DataFrame:
-    s = _season_races(m, season, "Qualifying", "Qualifying").select("session_key", "meeting_name", "country_name")
-    return _winners(m).join(s, ["session_key"], "inner").select("meeting_name", "country_name", "driver_name",
-                                                                "team_name")
+    s = _season_races(m, season, "Qualifying", "Qualifying").select(
+        "session_key", "meeting_name", "country_name", "session_start_at")
+    return _winners(m).join(s, ["session_key"], "inner").orderBy("session_start_at", "driver_name").select(
+        "meeting_name", "country_name", "driver_name", "team_name")
 
 
 def v_dnf(m: Marts, season: int = SEASON) -> DataFrame:
-    s = _season_races(m, season).select("session_key", "meeting_name")
+    s = _season_races(m, season).select("session_key", "meeting_name", "session_start_at")
     r = m.fct_session_results.where(F.col("is_dnf") == F.lit(True))
-    return r.join(s, ["session_key"], "inner").select("meeting_name", "driver_name", "team_name",
+    return r.join(s, ["session_key"], "inner").orderBy("session_start_at", "driver_name").select("meeting_name", "driver_name", "team_name",
                                                       "classified_position")
 
 
@@ -518,12 +519,14 @@ def v_fastest_lap_each_race(m: Marts, season: int = SEASON, as_of: dt.datetime =
         F.min("lap_duration_s").alias("fastest_lap_s"), F.min("session_start_at").alias("session_start_at"))
     return keep_first(agg, ["meeting_name"], [F.col("fastest_lap_s").asc_nulls_last(),
                                               F.col("driver_name").asc_nulls_last(),
-                                              F.col("team_name").asc_nulls_last()])
+                                              F.col("team_name").asc_nulls_last()]) \
+        .orderBy("session_start_at", "meeting_name")
 
 
 def v_points_last_race(m: Marts) -> DataFrame:
     r = m.fct_session_results.join(_latest_race_with_winner(m), ["session_key"], "left_semi")
-    return r.select("driver_name", "driver_acronym", "team_name", "finish_position", "points")
+    return r.select("driver_name", "driver_acronym", "team_name", "finish_position", "points") \
+        .orderBy(F.col("finish_position").asc_nulls_last(), "driver_name")
 
 
 def v_sprint_results(m: Marts, season: int = SEASON, as_of: dt.datetime = AS_OF, name: str = "Sprint",
@@ -532,7 +535,8 @@ def v_sprint_results(m: Marts, season: int = SEASON, as_of: dt.datetime = AS_OF,
     'Race'; name and type are parameters (type None = not filtered)."""
     s = _races(m, name, stype).where((F.col("year") == season) & (F.col("session_start_at") < _lit_ts(as_of)))
     s = s.select("session_key", "meeting_name", "country_name", "session_start_at")
-    return m.fct_session_results.join(s, ["session_key"], "inner").select(
+    return m.fct_session_results.join(s, ["session_key"], "inner").orderBy(
+        "session_start_at", F.col("finish_position").asc_nulls_last(), "driver_name").select(
         "meeting_name", "country_name", "driver_name", "team_name", "finish_position", "points")
 
 
@@ -542,12 +546,15 @@ def season_lap_pace_labelled(m: Marts) -> DataFrame:
 
 
 # ------------------------------------------------------------------ SQL surface
-def register_views(spark: SparkSession, m: Marts) -> list[str]:
-    """Expose staging models and marts as temporary views."""
-    names = []
-    for n, df in list(m.stg.items()) + [(n, m.get(n)) for n in Marts.NAMES]:
-        df.createOrReplaceTempView(n)
-        names.append(n)
+def register_views(spark: SparkSession, m: Marts, sql: str | None = None) -> list[str]:
+    """Expose staging models and marts as temporary views.
+
+    With ``sql`` only the models that the statement mentions are built and exposed.
+    """
+    words = None if sql is None else set(re.findall(r"\w+", sql))
+    names = [n for n in (*m.stg, *Marts.NAMES) if words is None or n in words]
+    for n in names:
+        (m.stg[n] if n.startswith("stg_") else m.get(n)).createOrReplaceTempView(n)
     return names
 
 
@@ -564,7 +571,7 @@ GROUP BY l.driver_name"""
 
 
 def sql_laps_per_driver(m: Marts, spark: SparkSession, season: int = SEASON) -> DataFrame:
-    register_views(spark, m)
+    register_views(spark, m, LAPS_PER_DRIVER_SQL)
     return run_sql(spark, LAPS_PER_DRIVER_SQL, season=season, max_s=120.0)
 
 
@@ -605,12 +612,14 @@ QUERIES: dict[str, Callable[[Marts], DataFrame]] = {
     "q08_lap_intervals": lap_intervals,
     "q09_positions_per_lap": positions_per_lap,
     "q10_grid_summary": grid_summary,
+    "q11_race_control_timeline": lambda m: race_control_timeline(m, None, ("Flag", "SafetyCar"), ("YELLOW", "RED")),
     "q11_race_control_counts": race_control_counts,
     "q12_race_key": race_key_for,
     "q13_stint_strategy": stint_strategy,
     "q13_driver_order": driver_order,
     "q15_stint_detail": stint_detail,
-    "q16_lap_times": lambda m: lap_times(m, clean_only=True),
+    "q16_lap_times": lap_times,
+    "q16_clean_lap_times": lambda m: lap_times(m, clean_only=True),
     "q17_clean_laps_end": clean_laps_with_end,
     "q18_lap_telemetry": lap_telemetry,
     "q19_track_dominance": track_dominance,
@@ -618,7 +627,6 @@ QUERIES: dict[str, Callable[[Marts], DataFrame]] = {
     "q20_session_meta": session_meta,
     "fct_race_positions_strict": race_positions_strict,
     "q21_recent_results": recent_results,
-    "q21_recent_results_rows": lambda m: recent_results(m, row_limit=60),
     "q22_standings_top10": lambda m: driver_standings(m, top=10),
     "q23_next_race": next_race,
     "q24_season_results": lambda m: recent_results(m, k=5, season=SEASON, with_grid=True),
@@ -650,6 +658,25 @@ QUERIES: dict[str, Callable[[Marts], DataFrame]] = {
 }
 
 
+NAMED: dict[str, Callable[..., DataFrame]] = {
+    "seasons": seasons, "season_calendar": season_calendar, "meeting_sessions": meeting_sessions,
+    "winner_hero": winner_hero, "fastest_lap": fastest_lap, "pole_sitter": pole_sitter,
+    "session_results": session_results, "lap_intervals": lap_intervals, "positions_per_lap": positions_per_lap,
+    "grid_summary": grid_summary, "race_control_timeline": race_control_timeline, "race_key": race_key_for,
+    "stint_strategy": stint_strategy, "driver_order": driver_order, "stint_detail": stint_detail,
+    "lap_times": lap_times, "clean_laps_with_end": clean_laps_with_end, "lap_telemetry": lap_telemetry,
+    "track_dominance": track_dominance, "track_map": track_map, "session_meta": session_meta,
+    "recent_results": recent_results, "driver_standings": driver_standings, "next_race": next_race,
+    "season_lap_pace": season_lap_pace, "season_pit_performance": season_pit_performance,
+    "season_compounds": season_compounds, "remaining_races": remaining_races,
+}
+
+
+def query(m: Marts, name: str, **params) -> DataFrame:
+    """A catalogue query by name with its parameters, e.g. ``query(m, "lap_times", session_key=7)``."""
+    return NAMED[name](m, **params)
+
+
 def registry() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     from pitwall.catalog import ctx
 

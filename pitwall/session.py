@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -44,12 +45,15 @@ def local_session(app: str = "pitwall", cores: int | str = 8,
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared checkpoint folder named by the cluster.
 
-    Reads ``spark.checkpoint.dir`` from the session; only when it is unset
-    (local tests) a private scratch folder is created and registered.
+    Reads ``spark.checkpoint.dir`` from the session. Where it is unset, a
+    private scratch folder is created and registered, but only for a local
+    master: executors elsewhere would each write to their own disk.
     """
     sc = spark.sparkContext
     d = sc.getCheckpointDir() or sc.getConf().get("spark.checkpoint.dir")
     if not d:
+        if not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         d = tempfile.mkdtemp(prefix="pitwall-ckpt-")
         sc.setCheckpointDir(d)
     elif not sc.getCheckpointDir():
