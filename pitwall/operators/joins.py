@@ -102,12 +102,41 @@ def semi(df: DataFrame, other: DataFrame, on: Sequence[str]) -> DataFrame:
 
 
 # --------------------------------------------------------------------------- range joins
+LEVEL_BITS = 4          # a level's buckets are 16 times as wide as those of the level below
+MOST_BUCKETS = 64       # an interval is exploded over this many buckets of its level, plus one at most
+
+
+def _level(lo: Column, hi: Column) -> Column:
+    """Bucket level of an interval of buckets lo..hi: 0 up to MOST_BUCKETS, so wide ones stay bounded."""
+    span = (hi - lo + 1).cast("double") / MOST_BUCKETS
+    return F.when((lo > hi) | (span <= 1), F.lit(0)).otherwise(
+        F.ceil(F.log2(span) / LEVEL_BITS).cast("int"))
+
+
 def _explode_buckets(intervals: DataFrame, lo: str, hi: str, dtype: DataType,
                      width: float, outer: bool) -> DataFrame:
-    blo = bucket_of(F.col(lo), dtype, width)
-    bhi = bucket_of(F.col(hi), dtype, width)
-    seq = F.when(blo <= bhi, F.sequence(blo, bhi))
-    return intervals.withColumn("_bkt", (F.explode_outer if outer else F.explode)(seq))
+    """Each interval once per bucket that it covers on the level of its length."""
+    blo = bucket_of(F.col(lo), dtype, width).cast("long")
+    bhi = bucket_of(F.col(hi), dtype, width).cast("long")
+    df = intervals.withColumn("_lvl", F.coalesce(_level(blo, bhi), F.lit(0)))
+    # level * LEVEL_BITS as a shift per row: the levels of a long are few
+    shift = lambda c: reduce(lambda a, k: F.when(F.col("_lvl") == k, F.shiftright(c, k * LEVEL_BITS)).otherwise(a),
+                             range(1, 64 // LEVEL_BITS), c)
+    seq = F.when(blo <= bhi, F.sequence(shift(blo), shift(bhi)))
+    return df.withColumn("_bkt", (F.explode_outer if outer else F.explode)(seq))
+
+
+def _point_buckets(points: DataFrame, point: str, dtype: DataType, width: float,
+                   intervals: DataFrame, lo: str, hi: str) -> DataFrame:
+    """Each point once per level that any interval has (level 0 always; a handful at most)."""
+    itype = intervals.schema[lo].dataType
+    used = intervals.select(_level(bucket_of(F.col(lo), itype, width).cast("long"),
+                                   bucket_of(F.col(hi), itype, width).cast("long")).alias("l")) \
+        .select(F.array_union(F.collect_set("l"), F.array(F.lit(0)))).scalar()
+    b = bucket_of(F.col(point), dtype, width).cast("long")
+    out = points.withColumn("_lvl", F.explode(used))
+    return out.withColumn("_bkt", reduce(lambda a, k: F.when(F.col("_lvl") == k, F.shiftright(b, k * LEVEL_BITS))
+                                         .otherwise(a), range(1, 64 // LEVEL_BITS), b))
 
 
 def range_join(points: DataFrame, intervals: DataFrame, on: Sequence[str], point: str,
@@ -118,7 +147,9 @@ def range_join(points: DataFrame, intervals: DataFrame, on: Sequence[str], point
 
     ``how`` is ``left`` (unmatched points kept with null interval columns) or
     ``inner``. With ``first_by`` only the first matching interval per point
-    (identified by ``point_key``, default ``on + [point]``) is kept.
+    (identified by ``point_key``, default ``on + [point]``) is kept. Long and
+    open-ended intervals go to levels of wider buckets, so no interval
+    becomes more than MOST_BUCKETS + 1 rows.
     """
     if how not in ("left", "inner"):
         raise ValueError("how must be 'left' or 'inner'")
@@ -126,18 +157,30 @@ def range_join(points: DataFrame, intervals: DataFrame, on: Sequence[str], point
     width = _default_width(ptype, width)
     icols = [c for c in intervals.columns if c not in on]
     _check_collisions(points, icols, on)
-    p = points.withColumn("_bkt", bucket_of(F.col(point), ptype, width)).alias("_p")
+    p = _point_buckets(points, point, ptype, width, intervals, lo, hi).alias("_p")
     # an exploded side is estimated at its pre-explode size: never broadcast it on that guess
     i = _explode_buckets(intervals, lo, hi, intervals.schema[lo].dataType, width, False).hint("merge").alias("_i")
     cond = [F.col(f"_p.{k}") == F.col(f"_i.{k}") for k in on]
     upper = (F.col(f"_p.{point}") <= F.col(f"_i.{hi}")) if hi_inclusive else \
         (F.col(f"_p.{point}") < F.col(f"_i.{hi}"))
-    cond += [F.col("_p._bkt") == F.col("_i._bkt"), F.col(f"_p.{point}") >= F.col(f"_i.{lo}"), upper]
-    out = p.join(i, cond, how).select(*[F.col(f"_p.{c}").alias(c) for c in points.columns],
-                                      *[F.col(f"_i.{c}").alias(c) for c in icols])
+    cond += [F.col("_p._lvl") == F.col("_i._lvl"), F.col("_p._bkt") == F.col("_i._bkt"),
+             F.col(f"_p.{point}") >= F.col(f"_i.{lo}"), upper]
+    out = p.join(i, cond, "inner").select(*[F.col(f"_p.{c}").alias(c) for c in points.columns],
+                                          *[F.col(f"_i.{c}").alias(c) for c in icols])
+    if first_by is not None and how == "inner":
+        return keep_first(out, list(point_key or [*on, point]), list(first_by))
     if first_by is not None:
-        out = keep_first(out, list(point_key or [*on, point]), list(first_by))
-    return out
+        # one row of no interval per point loses to any match
+        none = points.select("*", *[F.lit(None).cast(intervals.schema[c].dataType).alias(c) for c in icols],
+                             F.lit(1).alias("_none"))
+        both = out.withColumn("_none", F.lit(0)).unionByName(none)
+        return keep_first(both, list(point_key or [*on, point]), [F.col("_none"), *first_by]).drop("_none")
+    if how == "inner":
+        return out
+    keys = [*on, point]         # whether a point has a match depends on these alone
+    seen = out.select(*[F.col(k).alias(f"_m_{k}") for k in keys]).distinct()
+    missing = points.join(seen, reduce(lambda a, b: a & b, [points[k] == seen[f"_m_{k}"] for k in keys]), "left_anti")
+    return out.unionByName(missing.select("*", *[F.lit(None).cast(intervals.schema[c].dataType).alias(c) for c in icols]))
 
 
 def range_agg(intervals: DataFrame, points: DataFrame, on: Sequence[str], point: str,
@@ -150,9 +193,9 @@ def range_agg(intervals: DataFrame, points: DataFrame, on: Sequence[str], point:
     pcols = [c for c in points.columns if c not in on]
     _check_collisions(intervals, pcols, on)
     i = _explode_buckets(intervals, lo, hi, intervals.schema[lo].dataType, width, True).hint("merge").alias("_i")
-    p = points.withColumn("_bkt", bucket_of(F.col(point), ptype, width)).alias("_p")
+    p = _point_buckets(points, point, ptype, width, intervals, lo, hi).alias("_p")
     cond = [F.col(f"_i.{k}") == F.col(f"_p.{k}") for k in on]
-    cond += [F.col("_i._bkt") == F.col("_p._bkt"),
+    cond += [F.col("_i._lvl") == F.col("_p._lvl"), F.col("_i._bkt") == F.col("_p._bkt"),
              F.col(f"_p.{point}") >= F.col(f"_i.{lo}"),
              F.col(f"_p.{point}") <= F.col(f"_i.{hi}")]
     joined = i.join(p, cond, "left").select(*[F.col(f"_i.{c}").alias(c) for c in intervals.columns],

@@ -22,13 +22,11 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-def _null_safe_on(left: DataFrame, right: DataFrame, cols: Sequence[str]) -> Column:
-    return reduce(lambda a, b: a & b, [left[c].eqNullSafe(right[c]) for c in cols])
-
 
 def seq_index(df: DataFrame, by: Sequence[str], order: Sequence[Column], name: str = "idx",
-              start: int = 1, bucket: tuple[str, float] | None = None) -> DataFrame:
-    """Ordinal of each row inside its series (``cumcount() + start``).
+              start: int = 1, bucket: tuple[str, float] | None = None, length: str | None = None) -> DataFrame:
+    """Ordinal of each row inside its series (``cumcount() + start``), and its
+    number of rows as column ``length`` if named.
 
     With ``bucket=(column, width)`` — ``column`` the leading, ascending order
     column (time in seconds or numeric width) — the ordinal is computed
@@ -39,16 +37,18 @@ def seq_index(df: DataFrame, by: Sequence[str], order: Sequence[Column], name: s
     """
     if bucket is None:
         w = Window.partitionBy(*by).orderBy(*order)
-        return df.withColumn(name, F.row_number().over(w) + F.lit(start - 1))
+        out = df.withColumn(name, F.row_number().over(w).cast("long") + F.lit(start - 1))
+        return out.withColumn(length, F.count(F.lit(1)).over(Window.partitionBy(*by))) if length else out
     d = with_bucket(df, bucket)
     local = d.withColumn("_lrn", F.row_number().over(Window.partitionBy(*by, "_sb").orderBy(*order)))
     counts = d.groupBy(*by, "_sb").agg(F.count(F.lit(1)).alias("_cnt"))
     before = Window.partitionBy(*by).orderBy(F.col("_sb").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1)
-    offs = counts.withColumn("_off", F.coalesce(F.sum("_cnt").over(before), F.lit(0))).drop("_cnt")
-    offs = offs.select(*[F.col(c).alias(f"_o_{c}") for c in [*by, "_sb"]], "_off")
+    offs = counts.withColumn("_off", F.coalesce(F.sum("_cnt").over(before), F.lit(0)))
+    extra = [F.sum("_cnt").over(Window.partitionBy(*by)).alias(length)] if length else []
+    offs = offs.select(*[F.col(c).alias(f"_o_{c}") for c in [*by, "_sb"]], "_off", *extra)
     cond = reduce(lambda a, b: a & b, [local[c].eqNullSafe(offs[f"_o_{c}"]) for c in [*by, "_sb"]])
     out = local.join(offs, cond, "inner")
-    return (out.withColumn(name, (F.col("_off") + F.col("_lrn") + F.lit(start - 1)).cast("int"))
+    return (out.withColumn(name, (F.col("_off") + F.col("_lrn") + F.lit(start - 1)).cast("long"))
             .drop("_lrn", "_off", *[f"_o_{c}" for c in [*by, "_sb"]]))
 
 
@@ -58,14 +58,6 @@ def with_bucket(df: DataFrame, bucket: tuple[str, float]) -> DataFrame:
     return df.withColumn("_sb", bucket_of(F.col(col), df.schema[col].dataType, width))
 
 
-def _with_next(df: DataFrame, by: Sequence[str], idx: str, cols: Sequence[str], suffix: str = "1") -> DataFrame:
-    """Attach the next row's ``cols`` (index + 1) by an equi-join."""
-    nxt = df.select(*[F.col(b).alias(f"_n_{b}") for b in by], (F.col(idx) - 1).alias("_n_idx"),
-                    *[F.col(c).alias(f"{c}{suffix}") for c in cols])
-    cond = reduce(lambda a, b: a & b, [df[b].eqNullSafe(nxt[f"_n_{b}"]) for b in by]) & (df[idx] == nxt["_n_idx"])
-    return df.join(nxt, cond, "left").drop(*[f"_n_{b}" for b in by], "_n_idx")
-
-
 def resample_linear(samples: DataFrame, by: Sequence[str], order: Sequence[Column], value: str,
                     n: int | str, null_as: float = 0.0, point: str = "point",
                     bucket: tuple[str, float] | None = None) -> DataFrame:
@@ -75,29 +67,39 @@ def resample_linear(samples: DataFrame, by: Sequence[str], order: Sequence[Colum
     grid position ``p = i * ((len-1)/(n-1))`` (last point exactly ``len-1``),
     ``y = (y[j+1]-y[j]) * (p-j) + y[j]`` with ``j = floor(p)``. Null values
     count as ``null_as``. ``n`` may be a column (constant inside a series).
-    The grid is an equi-join on (series, j) against the samples carrying
-    their right neighbour, so no series is gathered in one place.
+    Every sample meets its right neighbour on (series, index) and emits the
+    grid points between the two, so the input is indexed once and no series
+    is gathered in one place.
     """
     if isinstance(n, int) and n < 1:
         raise ValueError("n must be >= 1")
-    s = seq_index(samples, by, order, "_j", 0, bucket=bucket)
-    s = s.withColumn("_y", F.coalesce(F.col(value).cast("double"), F.lit(float(null_as))))
-    s = _with_next(s.select(*by, "_j", "_y", *([n] if isinstance(n, str) else [])), by, "_j", ["_y"])
-    nc = F.first(F.col(n)) if isinstance(n, str) else F.lit(n)
-    lens = s.groupBy(*by).agg(F.count(F.lit(1)).alias("_len"), nc.alias("_n")).where(F.col("_n") >= 1)
-    i, nn, ln = F.col(point), F.col("_n"), F.col("_len")
-    step = (ln - 1).cast("double") / (nn - 1).cast("double")
-    p = (F.when(nn == 1, F.lit(0.0)).when(i == nn - 1, (ln - 1).cast("double"))
-         .otherwise(i.cast("double") * step))
-    # the grid is series × n rows; its planned size ignores the explode, so keep it a shuffle join
-    grid = (lens.withColumn(point, F.explode(F.sequence(F.lit(0), (nn - 1).cast("int")))).hint("merge")
-            .withColumn("_p", p)
-            .withColumn("_j", F.floor("_p").cast("int"))
-            .withColumn("_f", F.col("_p") - F.col("_j")))
-    out = grid.join(s.select(*by, "_j", "_y", "_y1"), [*by, "_j"], "left")
-    y = F.when((F.col("_f") == 0) | F.col("_y1").isNull(), F.col("_y")).otherwise(
-        (F.col("_y1") - F.col("_y")) * F.col("_f") + F.col("_y"))
-    return out.select(*by, point, y.alias(value))
+    s = seq_index(samples, by, order, "_j", 0, bucket=bucket, length="_len")
+    y = F.coalesce(F.col(value).cast("double"), F.lit(float(null_as)))
+    nc = (F.col(n) if isinstance(n, str) else F.lit(n)).cast("long")
+    sides = F.array(F.struct(F.col("_j").alias("j"), y.alias("y"), F.lit(None).cast("double").alias("y1")),
+                    F.struct((F.col("_j") - 1).alias("j"), F.lit(None).cast("double").alias("y"), y.alias("y1")))
+    pairs = (s.select(*by, nc.alias("_n"), "_len", F.explode(sides).alias("_s"))
+             .groupBy(*by, F.col("_s.j").alias("_j"))
+             .agg(F.max("_s.y").alias("_y"), F.max("_s.y1").alias("_y1"), F.max("_n").alias("_n"),
+                  F.max("_len").alias("_len"))
+             .where((F.col("_j") >= 0) & (F.col("_n") >= 1)))
+    nn, ln, j = F.col("_n"), F.col("_len"), F.col("_j")
+    step = (ln - 1).cast("double") / F.nullif((nn - 1).cast("double"), F.lit(0.0))
+
+    def position(i):
+        return (F.when(nn == 1, F.lit(0.0)).when(i == nn - 1, (ln - 1).cast("double"))
+                .otherwise(i.cast("double") * step))
+    # candidates around [j, j + 1), then exactly those whose position falls into it
+    first = F.when((nn == 1) | (ln == 1), F.lit(0)).otherwise(F.floor(j / step) - 1)
+    last = F.when((nn == 1) | (ln == 1), nn - 1).otherwise(F.ceil((j + 1) / step) + 1)
+    span = F.sequence(F.greatest(first.cast("long"), F.lit(0).cast("long")), F.least(last.cast("long"), nn - 1))
+    near = F.greatest(first.cast("long"), F.lit(0).cast("long")) <= F.least(last.cast("long"), nn - 1)
+    grid = F.when(near, F.filter(span, lambda i: F.floor(position(i)) == j))
+    out = pairs.withColumn(point, F.explode(grid)).withColumn(point, F.col(point).cast("int"))
+    frac = position(F.col(point)) - j
+    filled = F.when((frac == 0) | F.col("_y1").isNull(), F.col("_y")).otherwise(
+        (F.col("_y1") - F.col("_y")) * frac + F.col("_y"))
+    return out.select(*by, point, filled.alias(value))
 
 
 def gap_fill_linear(df: DataFrame, by: Sequence[str], order: Sequence[Column],
@@ -113,29 +115,35 @@ def gap_fill_linear(df: DataFrame, by: Sequence[str], order: Sequence[Column],
     part = [*by, "_gb"]
     back = Window.partitionBy(*part).orderBy(idx).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     fwd = Window.partitionBy(*part).orderBy(idx).rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    for c in cols:
-        known = F.when(F.col(c).isNotNull(), F.struct(F.col(idx).alias("i"), F.col(c).cast("double").alias("v")))
-        out = out.withColumn("_known", known)
-        prev, nxt = F.last("_known", ignorenulls=True).over(back), F.first("_known", ignorenulls=True).over(fwd)
+    def known(c):
+        return F.when(F.col(c).isNotNull(), F.struct(F.col(idx).alias("i"), F.col(c).cast("double").alias("v")))
+
+    if skew_safe:
+        # nearest known values of earlier / later buckets of the same series, all columns in one aggregate and join
+        per = out.groupBy(*part).agg(*[f(known(c)).alias(f"_{tag}{k}") for k, c in enumerate(cols)
+                                       for tag, f in (("l", F.max), ("f", F.min))])
+        wb = Window.partitionBy(*by).orderBy(F.col("_gb").asc_nulls_first())
+        carry = per.select(*[F.col(x).alias(f"_c_{x}") for x in part], *[
+            x for k in range(len(cols)) for x in (
+                F.last(f"_l{k}", ignorenulls=True).over(wb.rowsBetween(Window.unboundedPreceding, -1)).alias(f"_cp{k}"),
+                F.first(f"_f{k}", ignorenulls=True).over(wb.rowsBetween(1, Window.unboundedFollowing)).alias(f"_cn{k}"))])
+        cond = reduce(lambda a, b: a & b, [out[x].eqNullSafe(carry[f"_c_{x}"]) for x in part])
+        out = out.join(carry, cond, "left").drop(*[f"_c_{x}" for x in part])
+    near = []
+    for k, c in enumerate(cols):
+        prev, nxt = F.last(known(c), ignorenulls=True).over(back), F.first(known(c), ignorenulls=True).over(fwd)
         if skew_safe:
-            # nearest known value of earlier / later buckets of the same series
-            per = out.groupBy(*part).agg(F.max("_known").alias("_lastk"), F.min("_known").alias("_firstk"))
-            wb = Window.partitionBy(*by).orderBy(F.col("_gb").asc_nulls_first())
-            carry = per.select(*[F.col(x).alias(f"_c_{x}") for x in part],
-                               F.last("_lastk", ignorenulls=True).over(wb.rowsBetween(Window.unboundedPreceding, -1))
-                               .alias("_cprev"),
-                               F.first("_firstk", ignorenulls=True).over(wb.rowsBetween(1, Window.unboundedFollowing))
-                               .alias("_cnext"))
-            cond = reduce(lambda a, b: a & b, [out[x].eqNullSafe(carry[f"_c_{x}"]) for x in part])
-            out = out.join(carry, cond, "left").drop(*[f"_c_{x}" for x in part])
-            prev, nxt = F.coalesce(prev, F.col("_cprev")), F.coalesce(nxt, F.col("_cnext"))
-        out = out.withColumn("_prev", prev).withColumn("_next", nxt)
-        slope = (F.col("_next.v") - F.col("_prev.v")) / (F.col("_next.i") - F.col("_prev.i")).cast("double")
-        filled = (F.when(F.col(c).isNotNull(), F.col(c).cast("double"))
-                  .when(F.col("_prev").isNull(), F.lit(None))
-                  .when(F.col("_next").isNull(), F.col("_prev.v"))
-                  .otherwise(slope * (F.col(idx) - F.col("_prev.i")).cast("double") + F.col("_prev.v")))
-        out = out.withColumn(c, filled).drop("_prev", "_next", "_known", "_cprev", "_cnext")
+            prev, nxt = F.coalesce(prev, F.col(f"_cp{k}")), F.coalesce(nxt, F.col(f"_cn{k}"))
+        near += [prev.alias(f"_p{k}"), nxt.alias(f"_n{k}")]
+    out = out.select("*", *near)
+    for k, c in enumerate(cols):
+        p, q = f"_p{k}", f"_n{k}"
+        slope = (F.col(f"{q}.v") - F.col(f"{p}.v")) / (F.col(f"{q}.i") - F.col(f"{p}.i")).cast("double")
+        out = out.withColumn(c, F.when(F.col(c).isNotNull(), F.col(c).cast("double"))
+                             .when(F.col(p).isNull(), F.lit(None))
+                             .when(F.col(q).isNull(), F.col(f"{p}.v"))
+                             .otherwise(slope * (F.col(idx) - F.col(f"{p}.i")).cast("double") + F.col(f"{p}.v")))
+    out = out.drop(*[f"_{t}{k}" for k in range(len(cols)) for t in ("p", "n", "cp", "cn")])
     if drop_unfilled:
         out = out.dropna(subset=list(cols))
     return out.drop(idx, "_gb")

@@ -585,7 +585,7 @@ def dq_report(m: Marts) -> DataFrame:
 def semantic_lap_metrics(m: Marts) -> DataFrame:
     """Default aggregations by a related dimension and a month grain."""
     from pitwall.plans.semantic import metric
-    return metric(m, "fct_laps", ["lap time", "top speed", "sector_1_s"],
+    return metric(m, "fct_laps", ["lap duration", "speed_trap_fl_kmh", "sector_1_s"],
                   by=["year", "session_start_at:month", "tyre_compound"])
 
 
@@ -597,7 +597,7 @@ def semantic_points_by_team(m: Marts) -> DataFrame:
 
 def semantic_weather(m: Marts) -> DataFrame:
     from pitwall.plans.semantic import metric
-    return metric(m, "fct_weather", ["temperature", "humidity_pct"], by=["country_name", "is_raining", "recorded_at:day"])
+    return metric(m, "fct_weather", ["air_temp_c", "humidity_pct"], by=["country_name", "is_raining", "recorded_at:day"])
 
 
 # ------------------------------------------------------------------ registry

@@ -77,19 +77,19 @@ MODEL = SemanticModel(
                                      "team_colour", "country_code"), primary_key=("session_key", "driver_number")),
         LogicalTable("fct_session_results", (*_DRV, "session_type", "classified_position", "is_dnf", "is_dns",
                                              "is_dsq"), (),
-                     (_m("finish_position", "min", "result", "finishing position"), _m("grid_position", "min"),
-                      _m("positions_gained", "sum"), _m("points", "sum", "championship points"),
-                      _m("laps_completed", "sum"), _m("race_duration_s", "min", "race time")),
+                     (_m("finish_position", "min"), _m("grid_position", "min"),
+                      _m("positions_gained", "sum"), _m("points", "sum"),
+                      _m("laps_completed", "sum"), _m("race_duration_s", "min")),
                      ("session_key", "driver_number")),
         LogicalTable("fct_laps", (*_DRV, "lap_number", "tyre_compound", "is_pit_out_lap", "tyre_age_on_lap"),
                      ("lap_start_at",),
-                     (_m("lap_duration_s", "min", "lap time", "fastest lap"), _m("sector_1_s", "min"),
-                      _m("sector_2_s", "min"), _m("sector_3_s", "min"), _m("speed_trap_fl_kmh", "max", "top speed"))),
+                     (_m("lap_duration_s", "min", "lap time", "lap duration"), _m("sector_1_s", "min"),
+                      _m("sector_2_s", "min"), _m("sector_3_s", "min"), _m("speed_trap_fl_kmh", "max"))),
         LogicalTable("fct_stints", (*_DRV, "stint_number", "tyre_compound", "lap_start", "lap_end"), (),
                      (_m("stint_length", "sum"), _m("fastest_lap_s", "min"), _m("avg_lap_time_s", "avg"),
-                      _m("deg_per_lap_s", "avg", "degradation"), _m("tyre_age_at_start", "min"))),
+                      _m("deg_per_lap_s", "avg"), _m("tyre_age_at_start", "min"))),
         LogicalTable("fct_pit_stops", (*_DRV, "lap_number", "tyre_compound_out", "tyre_compound_in", "stint_number"),
-                     ("pit_at",), (_m("pit_duration_s", "min", "pit time"),)),
+                     ("pit_at",), (_m("pit_duration_s", "min", "pit time", "pit stop time", "pit stop duration"),)),
         LogicalTable("dim_championship_drivers", ("session_key", "meeting_key", "driver_number",
                                                   "championship_position", "championship_position_start", "year"),
                      (), (_m("points_current", "max"), _m("points_start", "max"))),
@@ -97,7 +97,7 @@ MODEL = SemanticModel(
                                                 "year"), (), (_m("points_current", "max"),)),
         LogicalTable("fct_weather", ("session_key", "session_name", "circuit_short_name", "country_name",
                                      "is_raining"), ("recorded_at",),
-                     (_m("air_temp_c", "avg", "temperature"), _m("track_temp_c", "avg"), _m("humidity_pct", "avg"),
+                     (_m("air_temp_c", "avg"), _m("track_temp_c", "avg"), _m("humidity_pct", "avg"),
                       _m("wind_speed_ms", "avg")), ("session_key", "recorded_at")),
         LogicalTable("fct_race_control", ("session_key", "category", "flag", "lap_number", "message", "scope",
                                           "driver_name", "circuit_short_name", "country_name"), ("recorded_at",)),
@@ -119,6 +119,54 @@ MODEL = SemanticModel(
 )
 
 
+# fixed values: sample values of dimensions
+SAMPLE_VALUES: dict[tuple[str, str], tuple] = {
+    ("dim_sessions", "session_name"): ("Race", "Qualifying", "Sprint", "Sprint Qualifying", "Practice 1", "Practice 2",
+                                       "Practice 3"),
+    ("dim_sessions", "session_type"): ("Race", "Qualifying", "Practice", "Sprint"),
+    ("dim_sessions", "circuit_short_name"): ("Monza", "Silverstone", "Spa", "Monaco", "Suzuka"),
+    ("dim_sessions", "year"): (2023, 2024, 2025, 2026),
+    ("dim_drivers", "acronym"): ("VER", "HAM", "LEC", "NOR", "PIA", "SAI", "RUS", "ALO", "STR", "PER"),
+    ("dim_drivers", "team_name"): ("Red Bull Racing", "Mercedes", "Ferrari", "McLaren", "Aston Martin", "Alpine",
+                                   "Williams", "AlphaTauri", "Alfa Romeo", "Haas F1 Team"),
+    ("fct_session_results", "classified_position"): ("Classified", "DNF", "DNS", "DSQ"),
+    ("fct_laps", "tyre_compound"): ("SOFT", "MEDIUM", "HARD", "INTERMEDIATE", "WET"),
+    ("fct_stints", "tyre_compound"): ("SOFT", "MEDIUM", "HARD", "INTERMEDIATE", "WET"),
+    ("fct_race_control", "category"): ("Flag", "SafetyCar", "Drs", "ChequeredFlag"),
+    ("fct_race_control", "flag"): ("GREEN", "YELLOW", "RED", "SAFETY CAR", "VIRTUAL SAFETY CAR", "CHEQUERED"),
+}
+
+# What the tables and their less obvious columns hold.
+DESCRIPTIONS: dict[tuple[str, str | None], str] = {
+    ("dim_sessions", None): "Sessions of race weekends, with meeting and circuit.",
+    ("dim_drivers", None): "Drivers, a row per driver and session, with team and country.",
+    ("dim_meetings", None): "Race weekends with circuit, country and place.",
+    ("dim_championship_drivers", None): "Drivers' championship after each session.",
+    ("dim_championship_teams", None): "Constructors' championship after each session.",
+    ("fct_session_results", None): "Results per driver and session: finish, grid, points, classification.",
+    ("fct_session_results", "positions_gained"): "Finish less grid position; below zero, places were gained.",
+    ("fct_laps", None): "Lap and sector times per driver and session, with the tyre of the lap.",
+    ("fct_laps", "lap_duration_s"): "Lap time in seconds.",
+    ("fct_laps", "is_pit_out_lap"): "The lap began in the pit lane.",
+    ("fct_stints", None): "Tyre stints: length, pace and degradation.",
+    ("fct_stints", "deg_per_lap_s"): "Seconds lost per lap over the stint; above zero, it got slower.",
+    ("fct_pit_stops", None): "Pit stops: duration, tyre taken off and put on.",
+    ("fct_pit_stops", "pit_duration_s"): "Duration of the stop in seconds.",
+    ("fct_weather", None): "Weather samples of sessions.",
+    ("fct_race_control", None): "Messages of race control: flags, safety cars, penalties.",
+    ("fct_intervals", None): "Gaps to the leader and to the car ahead during sessions.",
+    ("fct_overtakes", None): "Overtakes: who passed whom, on which lap.",
+    ("fct_starting_grid", None): "Grid positions per driver and qualifying session.",
+}
+
+
+def describe(table: str, column: str | None = None) -> dict:
+    """L4: description, synonyms and sample values of a logical table or one of its columns."""
+    measures = {m.name: m.synonyms for m in MODEL.tables[table].measures}
+    return {"description": DESCRIPTIONS.get((table, column)), "synonyms": measures.get(column, ()),
+            "sample_values": SAMPLE_VALUES.get((table, column), ())}
+
+
 def is_completed(winner: Column, start_at: Column, as_of) -> Column:
     """The model's completed / cancelled rule (see F16)."""
     return S.race_status(winner, start_at, as_of)

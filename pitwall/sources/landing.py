@@ -10,13 +10,14 @@ Load guards are anti-joins against the keys already landed.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType, TimestampType, VariantType
 
-from pitwall.functions.variant import RAW, extract
+from pitwall.functions.variant import RAW, raw_path
 
 RAW_SCHEMA = StructType([StructField(RAW, VariantType()), StructField("loaded_at", TimestampType()),
                          StructField("endpoint", StringType())])
@@ -28,11 +29,24 @@ SESSION_ENDPOINTS = ("drivers", "intervals", "laps", "overtakes", "pit", "positi
 BULK_ENDPOINTS = ("sessions", "meetings", "championship_drivers", "championship_teams", "starting_grid")
 
 
+def lenient_key(path: str = "session_key", raw: str = RAW):
+    """Typed key of a record: NULL for a JSON null, a missing path, text that is no number or one too large."""
+    return F.round(F.try_variant_get(F.col(raw), f"$.{path}", "double")).try_cast("int")
+
+
+def bad_key(path: str = "session_key", raw: str = RAW):
+    """True where a record names a key that has no typed value (a JSON null names none)."""
+    text = F.try_variant_get(F.col(raw), f"$.{path}", "string")
+    return raw_path(path, raw).isNotNull() & text.isNotNull() & lenient_key(path, raw).isNull()
+
+
 def parse_records(lines: DataFrame, endpoint: str, text_col: str = "value",
                   loaded_at_col: str | None = None) -> tuple[DataFrame, DataFrame]:
     """Text lines → (accepted RAW rows, rejected lines). A line holding a
     JSON array contributes one row per element; unparsable lines and
-    non-object payloads (an API error body, say) are rejected, not raised.
+    non-object payloads (an API error body, say) are rejected, not raised, as
+    are lines with a record whose session key is not a number; the other
+    records of such a line are accepted.
     ``loaded_at`` is the load time, or ``loaded_at_col`` when replaying
     records with their original load times."""
     parsed = lines.select(F.col(text_col).alias("_text"), F.try_parse_json(F.col(text_col)).alias("_v"),
@@ -42,11 +56,15 @@ def parse_records(lines: DataFrame, endpoint: str, text_col: str = "value",
         "_text", "_la", F.explode(F.variant_get(F.col("_v"), "$", "array<variant>")).alias("_v"))
     objects = parsed.where(kind.startswith("OBJECT")).unionByName(
         arrays.where(F.schema_of_variant(F.col("_v")).startswith("OBJECT")))
-    accepted = objects.select(F.col("_v").alias(RAW), F.col("_la").alias("loaded_at"),
-                              F.lit(endpoint).alias("endpoint"))
+    accepted = objects.where(~bad_key(raw="_v")).select(F.col("_v").alias(RAW), F.col("_la").alias("loaded_at"),
+                                                        F.lit(endpoint).alias("endpoint"))
     all_objects = F.forall(F.variant_get(F.col("_v"), "$", "array<variant>"),
                            lambda x: F.schema_of_variant(x).startswith("OBJECT"))
-    ok = kind.startswith("OBJECT") | (kind.startswith("ARRAY") & all_objects)
+    bad_item = F.exists(F.variant_get(F.col("_v"), "$", "array<variant>"), lambda x: F.schema_of_variant(x).startswith(
+        "OBJECT") & F.try_variant_get(x, "$.session_key", "string").isNotNull() & F.round(F.try_variant_get(
+            x, "$.session_key", "double")).try_cast("int").isNull())
+    ok = ((kind.startswith("OBJECT") & ~bad_key(raw="_v"))
+          | (kind.startswith("ARRAY") & all_objects & ~bad_item))
     rejected = parsed.where(F.col("_v").isNull() | ~ok) \
         .select(F.lit(endpoint).alias("endpoint"), F.col("_text").alias("line"))
     return accepted, rejected
@@ -64,20 +82,36 @@ def land(spark: SparkSession, src_dir: str, endpoint: str) -> tuple[DataFrame, D
     return parse_records(lines, endpoint)
 
 
-def land_all(spark: SparkSession, src_dir: str, endpoints: Sequence[str] = SESSION_ENDPOINTS + BULK_ENDPOINTS
-             ) -> tuple[DataFrame, DataFrame]:
-    """Land a chosen subset of endpoints as one job (one union)."""
+def for_work(accepted: DataFrame, work: DataFrame) -> DataFrame:
+    """The records of a work list of ``session_key`` (and ``driver_number``), by typed keys."""
+    keys = [k for k in ("session_key", "driver_number") if k in work.columns]
+    typed = accepted.select("*", *[lenient_key(k).alias(f"_w_{k}") for k in keys])
+    wanted = work.select(*[F.col(k).cast("int").alias(f"_w_{k}") for k in keys])
+    return typed.join(wanted, [f"_w_{k}" for k in keys], "left_semi").select(*accepted.columns)
+
+
+def land_all(spark: SparkSession, src_dir: str, endpoints: Sequence[str] = SESSION_ENDPOINTS + BULK_ENDPOINTS,
+             work: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """Land a chosen subset of endpoints as one job (one union).
+
+    ``work`` limits the session endpoints to its sessions (and drivers);
+    whole-table endpoints are always landed whole.
+    """
     acc, rej = zip(*[land(spark, src_dir, e) for e in endpoints])
     a, r = acc[0], rej[0]
     for x in acc[1:]:
         a = a.unionByName(x)
     for x in rej[1:]:
         r = r.unionByName(x)
+    if work is not None:
+        per_session = F.col("endpoint").isin(list(SESSION_ENDPOINTS))
+        a = for_work(a.where(per_session), work).unionByName(a.where(~per_session))
     return a, r
 
 
 def with_session_key(raw: DataFrame) -> DataFrame:
-    return raw.withColumn("session_key", extract("session_key", "int"))
+    """Typed partition key; NULL where the record has none."""
+    return raw.withColumn("session_key", lenient_key())
 
 
 def write_raw(accepted: DataFrame, raw_dir: str) -> None:
@@ -91,12 +125,23 @@ def read_raw(spark: SparkSession, raw_dir: str, endpoint: str) -> DataFrame:
 
 
 def land_new(new: DataFrame, landed: DataFrame, key_paths: Sequence[str]) -> DataFrame:
-    """Keep incoming records whose key is not landed yet (idempotent reload)."""
-    keys = [f"_k{i}" for i in range(len(key_paths))]
+    """Keep incoming records whose key is not landed yet (idempotent reload).
+
+    Keys compare null-safely, so a record without a key is not landed again
+    on every run, and within an endpoint where both sides carry one. A typed
+    column named like the path is used instead of parsing the record.
+    """
     def keyed(df):
-        return df.select("*", *[extract(p, "string").alias(k) for p, k in zip(key_paths, keys)])
-    have = keyed(landed).select(*keys).where(F.col(keys[0]).isNotNull())
-    return keyed(new).join(have, keys, "left_anti").drop(*keys)
+        return [(F.col(p).cast("string") if p in df.columns else
+                 F.try_variant_get(F.col(RAW), f"$.{p}", "string")) for p in key_paths]
+    scoped = "endpoint" in new.columns and "endpoint" in landed.columns
+    have = landed.select(*[c.alias(f"_h{i}") for i, c in enumerate(keyed(landed))],
+                         *([F.col("endpoint").alias("_h_endpoint")] if scoped else [])).distinct()
+    n = new.select("*", *[c.alias(f"_k{i}") for i, c in enumerate(keyed(new))])
+    on = reduce(lambda a, b: a & b, [F.col(f"_k{i}").eqNullSafe(F.col(f"_h{i}")) for i in range(len(key_paths))])
+    if scoped:
+        on = on & F.col("endpoint").eqNullSafe(F.col("_h_endpoint"))
+    return n.join(have, on, "left_anti").select(*new.columns)
 
 
 def missing_keys(source: DataFrame, loaded: DataFrame, key: str) -> DataFrame:
@@ -115,19 +160,31 @@ def backfill_keys(source: DataFrame, loaded: DataFrame, key: str, part: str,
     exp = F.array(*[F.lit(e) for e in expected])
     new = missing_keys(source, loaded, key).select(key, F.lit("new").alias("reason"),
                                                    F.lit(None).cast("string").alias("missing"))
-    have = (loaded.where(F.col(part).isin(list(expected))).groupBy(key)
-            .agg(F.collect_set(part).alias("_have"))
+    # keys that hold none of the expected parts stay in: they miss them all
+    have = (loaded.groupBy(key).agg(F.collect_set(F.when(F.col(part).isin(list(expected)), F.col(part))).alias("_have"))
             .join(source.select(key).distinct(), [key], "left_semi"))
     incomplete = have.select(key, F.explode(F.array_except(exp, F.col("_have"))).alias("missing")) \
         .select(key, F.lit("incomplete").alias("reason"), "missing")
     return new.unionByName(incomplete)
 
 
-def load_report(accepted: DataFrame, rejected: DataFrame) -> DataFrame:
-    """Per (endpoint, session) loaded / rejected counters and a status."""
-    a = with_session_key(accepted).select("endpoint", "session_key", F.lit(False).alias("_rej"))
-    r = rejected.select("endpoint", F.lit(None).cast("int").alias("session_key"), F.lit(True).alias("_rej"))
-    g = a.unionByName(r).groupBy("endpoint", "session_key").agg(
-        F.count_if(~F.col("_rej")).alias("rows"), F.count_if(F.col("_rej")).alias("errors"))
+def load_report(accepted: DataFrame, rejected: DataFrame, skipped: DataFrame | None = None,
+                work: DataFrame | None = None) -> DataFrame:
+    """Per (endpoint, session): rows loaded, skipped (already landed) and rejected, and a status.
+
+    ``error`` if anything was rejected, ``loaded`` if rows came, ``skipped``
+    if all were landed before, ``missing`` for a (endpoint, session_key) of
+    ``work`` that sent nothing. Rejected lines have no session of their own;
+    they never stop the report of the others.
+    """
+    def counted(df, kind, key):
+        return df.select("endpoint", key.alias("session_key"), F.lit(kind).alias("_kind"))
+    parts = [counted(accepted, "rows", lenient_key()), counted(rejected, "errors", F.lit(None).cast("int"))]
+    if skipped is not None:
+        parts.append(counted(skipped, "skipped", lenient_key()))
+    if work is not None:
+        parts.append(counted(work, "work", F.col("session_key").cast("int")))
+    g = reduce(DataFrame.unionByName, parts).groupBy("endpoint", "session_key").agg(
+        *[F.count_if(F.col("_kind") == k).alias(k) for k in ("rows", "skipped", "errors")])
     return g.withColumn("status", F.when(F.col("errors") > 0, "error").when(F.col("rows") > 0, "loaded")
-                        .otherwise("skipped"))
+                        .when(F.col("skipped") > 0, "skipped").otherwise("missing"))

@@ -2,8 +2,10 @@
 
 * ST1 ``incremental_land``: new endpoint files → RAW, exactly once per file.
   The file source tracks processed files in the checkpoint; each micro-batch
-  is written to its own ``_batch=<id>`` partition with overwrite, so a
-  replayed batch rewrites the same folder instead of duplicating rows.
+  is written to its own ``_run=<query>/_batch=<id>`` partition with overwrite,
+  so a replayed batch rewrites the same folder instead of duplicating rows,
+  while another source or a new checkpoint has another query and never
+  overwrites what is landed.
 * ST2 ``upsert_latest``: latest-per-key over an unbounded correction
   horizon without state: the batch is staged, merged with the affected
   ``session_key`` partitions of the staged table, deduplicated again and
@@ -14,7 +16,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+import json
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -38,13 +41,17 @@ def incremental_land(spark: SparkSession, src_dir: str, endpoint: str, raw_dir:
     lines = reader.load(f"{src_dir.rstrip('/')}/{endpoint}")
 
     def write_batch(batch: DataFrame, batch_id: int) -> None:
+        # the query's identity is kept in its checkpoint: the same on restart, new for a new checkpoint
+        meta = batch.sparkSession.read.text(f"{checkpoint.rstrip('/')}/metadata").first()["value"]
+        run = json.loads(meta)["id"]
         accepted, rejected = parse_records(batch, endpoint)
-        (with_session_key(accepted).withColumn("_batch", F.lit(batch_id))
-         .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-         .partitionBy("endpoint", "_batch").parquet(raw_dir))
+
+        def put(df: DataFrame, out: str) -> None:
+            (df.withColumn("_run", F.lit(run)).withColumn("_batch", F.lit(batch_id)).write.mode("overwrite")
+             .option("partitionOverwriteMode", "dynamic").partitionBy("endpoint", "_run", "_batch").parquet(out))
+        put(with_session_key(accepted), raw_dir)
         if rejects_dir:
-            (rejected.withColumn("_batch", F.lit(batch_id)).write.mode("overwrite")
-             .option("partitionOverwriteMode", "dynamic").partitionBy("endpoint", "_batch").parquet(rejects_dir))
+            put(rejected, rejects_dir)
 
     w = lines.writeStream.foreachBatch(write_batch).option("checkpointLocation", checkpoint)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="30 seconds")
@@ -52,9 +59,12 @@ def incremental_land(spark: SparkSession, src_dir: str, endpoint: str, raw_dir:
 
 
 def upsert_latest(spark: SparkSession, batch_raw: DataFrame, model: StagingModel, staged_dir: str,
-                  partition: str = "session_key", sessions: DataFrame | None = None) -> None:
+                  partition: str | None = None, sessions: DataFrame | None = None) -> None:
     """ST2: merge a batch of RAW records into a staged table partitioned by
-    ``partition``; only the partitions the batch touches are rewritten."""
+    ``partition`` (default: the model's first key, the session or meeting);
+    only the partitions the batch touches are rewritten. Models with a season
+    year need the staged ``sessions``."""
+    partition = partition or model.keys[0]
     new = stage(batch_raw, model, sessions)
     try:
         existing = spark.read.parquet(staged_dir)
@@ -73,12 +83,18 @@ def upsert_latest(spark: SparkSession, batch_raw: DataFrame, model: StagingModel
 
 
 def stage_stream(spark: SparkSession, raw_dir: str, endpoint: str, model: StagingModel, staged_dir: str,
-                 checkpoint: str, available_now: bool = True) -> StreamingQuery:
-    """ST2 as a stream: new RAW partitions of an endpoint → staged table."""
+                 checkpoint: str, available_now: bool = True,
+                 sessions: Callable[[], DataFrame] | None = None) -> StreamingQuery:
+    """ST2 as a stream: new RAW partitions of an endpoint → staged table.
+
+    ``sessions`` reads the staged sessions anew for each batch (models with a
+    season year). All 18 models run.
+    """
     schema = spark.read.parquet(raw_dir).schema
     raw = (spark.readStream.schema(schema).parquet(raw_dir)
            .where(F.col("endpoint") == endpoint).select("raw_data", "loaded_at"))
-    w = (raw.writeStream.foreachBatch(lambda b, _id: upsert_latest(spark, b, model, staged_dir))
+    w = (raw.writeStream.foreachBatch(lambda b, _id: upsert_latest(
+            spark, b, model, staged_dir, sessions=sessions() if sessions else None))
          .option("checkpointLocation", checkpoint))
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="1 minute")
     return w.start()
