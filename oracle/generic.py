@@ -100,8 +100,40 @@ WHERE c_custkey NOT IN (SELECT user_id FROM events)
 UNION ALL
 SELECT u.user_id AS key, 'incomplete' AS reason, t.missing
 FROM (SELECT DISTINCT user_id FROM events WHERE user_id IN (SELECT c_custkey FROM customer)) u,
-     (VALUES ('signup'), ('purchase'), ('error'), ('view'), ('click')) t(missing)
+     (VALUES ('signup'), ('error')) t(missing)
 WHERE NOT EXISTS (SELECT 1 FROM events e WHERE e.user_id = u.user_id AND e.event_type = t.missing)""",
+    "range_join_long": """
+SELECT l_orderkey, l_linenumber, min(s.o_orderkey) AS span_order
+FROM lineitem JOIN orders o ON l_orderkey = o.o_orderkey
+LEFT JOIN orders s ON s.o_custkey = o.o_custkey
+ AND l_orderkey * 1000 + l_linenumber BETWEEN s.o_orderkey * 1000 AND s.o_orderkey * 1000 + s.o_orderkey % 7 * 5000000
+GROUP BY ALL""",
+    "landing_report": """
+WITH lines AS (SELECT event_id % 6 AS k, user_id FROM events),
+     said AS (SELECT CASE WHEN k <> 4 THEN user_id END AS session_key,
+                     CASE WHEN k <> 4 AND user_id % 4 = 0 THEN 'skipped' ELSE 'rows' END AS kind FROM lines WHERE k >= 3
+              UNION ALL SELECT NULL, 'errors' FROM lines WHERE k <= 3
+              UNION ALL SELECT c_custkey, 'work' FROM customer)
+SELECT 'laps' AS endpoint, session_key, count(*) FILTER (WHERE kind = 'rows') AS rows,
+       count(*) FILTER (WHERE kind = 'skipped') AS skipped, count(*) FILTER (WHERE kind = 'errors') AS errors,
+       CASE WHEN bool_or(kind = 'errors') THEN 'error' WHEN bool_or(kind = 'rows') THEN 'loaded'
+            WHEN bool_or(kind = 'skipped') THEN 'skipped' ELSE 'missing' END AS status
+FROM said GROUP BY session_key""",
+    "landing_work_list": """
+SELECT event_id FROM events SEMI JOIN customer ON user_id = c_custkey AND event_id % 20 = c_custkey % 20
+WHERE event_id % 6 IN (3, 5)""",
+    "landing_guard": """
+WITH keyed AS (SELECT o_orderkey, CASE WHEN o_orderkey % 7 <> 0 THEN o_custkey END AS key FROM orders),
+     landed AS (SELECT DISTINCT key FROM keyed WHERE o_orderkey % 3 = 0)
+SELECT o_orderkey FROM keyed LEFT JOIN landed ON keyed.key IS NOT DISTINCT FROM landed.key
+WHERE o_orderkey % 3 <> 0 GROUP BY o_orderkey HAVING count(*) FILTER (
+  WHERE landed.key IS NOT NULL OR (keyed.key IS NULL AND EXISTS (SELECT 1 FROM landed x WHERE x.key IS NULL))) = 0""",
+    "streamed_landing": """
+SELECT CASE WHEN event_id % 6 <> 4 THEN user_id END AS session_key, count(*) AS n
+FROM events WHERE event_id % 6 >= 3 GROUP BY 1""",
+    "streamed_latest": """
+SELECT user_id AS session_key, event_id % 20 AS driver_number, arg_max(event_id % 50, event_id) AS grid_position
+FROM events GROUP BY 1, 2""",
     "cond_counts": """
 SELECT user_id, count(CASE WHEN event_type = 'signup' THEN 1 END) AS n_signup,
        count(CASE WHEN event_type = 'purchase' THEN 1 END) AS n_purchase,

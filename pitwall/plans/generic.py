@@ -188,11 +188,104 @@ def anti_guard(t: Tables) -> DataFrame:
                 ["c_custkey"])
 
 
+RARE_TYPES = ("signup", "error")
+
+
 def backfill_worklist(t: Tables) -> DataFrame:
-    """Customers never seen in events (new) ∪ users missing an event type."""
+    """Customers never seen in events (new) ∪ users without a signup or
+    an error, also those whose events are all of other types."""
     src = t.customer.select(F.col("c_custkey").alias("key"))
     loaded = t.events.select(F.col("user_id").alias("key"), F.col("event_type").alias("part"))
-    return backfill_keys(src, loaded, "key", "part", EVENT_TYPES)
+    return backfill_keys(src, loaded, "key", "part", RARE_TYPES)
+
+
+def range_join_long(t: Tables) -> DataFrame:
+    """Line items against order spans of up to 30 million units, the first span per line."""
+    spans = t.orders.select("o_custkey", F.col("o_orderkey").alias("span_order"),
+                            (F.col("o_orderkey") * 1000).alias("lo"),
+                            (F.col("o_orderkey") * 1000 + F.col("o_orderkey") % 7 * 5_000_000).alias("hi"))
+    lines = t.lineitem.join(t.orders.withColumnRenamed("o_orderkey", "l_orderkey"), ["l_orderkey"]).select(
+        "o_custkey", "l_orderkey", "l_linenumber", (F.col("l_orderkey") * 1000 + F.col("l_linenumber")).alias("p"))
+    return range_join(lines, spans, ["o_custkey"], "p", "lo", "hi", how="left", first_by=[F.col("span_order")],
+                      point_key=["l_orderkey", "l_linenumber"]) \
+        .select("l_orderkey", "l_linenumber", "span_order")
+
+
+def _event_lines(t: Tables) -> DataFrame:
+    """Landing lines of the events: good objects, arrays, JSON-null keys, bad keys, junk (by event id)."""
+    k = F.col("event_id") % 6
+    u, d, i = (c.cast("string") for c in (F.col("user_id"), F.col("event_id") % 20, F.col("event_id")))
+    rec = F.concat(F.lit('{"session_key": '), u, F.lit(', "driver_number": '), d, F.lit(', "id": '), i, F.lit("}"))
+    line = (F.when(k == 0, F.lit("oops")).when(k == 1, F.lit('{"session_key": "abc"}')).when(k == 2, F.lit("[1, 2]"))
+            .when(k == 3, F.concat(F.lit("["), rec, F.lit(', {"session_key": "x"}]')))
+            .when(k == 4, F.concat(F.lit('{"session_key": null, "id": '), i, F.lit("}"))).otherwise(rec))
+    return t.events.select(line.alias("value"))
+
+
+def landing_report(t: Tables) -> DataFrame:
+    """Load report over all event lines: rejected lines do not stop the others,
+    sessions divisible by 4 are landed already, customers are the work list."""
+    from pitwall.sources.landing import lenient_key, load_report, parse_records
+    accepted, rejected = parse_records(_event_lines(t), "laps")
+    old = F.coalesce(lenient_key() % 4 == 0, F.lit(False))
+    work = t.customer.select(F.lit("laps").alias("endpoint"), F.col("c_custkey").alias("session_key"))
+    return load_report(accepted.where(~old), rejected, accepted.where(old), work)
+
+
+def landing_work_list(t: Tables) -> DataFrame:
+    """Records of a work list of sessions and drivers."""
+    from pitwall.sources.landing import for_work, parse_records
+    accepted, _ = parse_records(_event_lines(t), "car_data")
+    work = t.customer.select(F.col("c_custkey").alias("session_key"),
+                             (F.col("c_custkey") % 20).alias("driver_number"))
+    return for_work(accepted, work).select(extract("id", "long").alias("event_id"))
+
+
+def landing_guard(t: Tables) -> DataFrame:
+    """Orders of customers of whom nothing is landed; orders without a customer key are one key."""
+    from pitwall.sources.landing import land_new, parse_records
+    key = F.when(F.col("o_orderkey") % 7 != 0, F.col("o_custkey").cast("string")).otherwise(F.lit("null"))
+    lines = t.orders.select(F.concat(F.lit('{"session_key": '), key, F.lit(', "id": '),
+                                     F.col("o_orderkey").cast("string"), F.lit("}")).alias("value"))
+    records, _ = parse_records(lines, "laps")
+    landed = records.where(extract("id", "long") % 3 == 0)
+    return land_new(records.where(extract("id", "long") % 3 != 0), landed, ["session_key"]) \
+        .select(extract("id", "long").alias("o_orderkey"))
+
+
+def streamed_landing(t: Tables) -> DataFrame:
+    """ST1: all event lines written as files and landed by the stream; rows per session."""
+    import uuid
+
+    from pitwall.session import checkpoint_dir
+    from pitwall.sources.landing import read_raw
+    from pitwall.streaming.ingest import incremental_land
+    base = f"{checkpoint_dir(t.spark).rstrip('/')}/stream-{uuid.uuid4().hex}"
+    _event_lines(t).write.text(f"{base}/src/laps")
+    for _ in range(2):      # the second run finds nothing new
+        incremental_land(t.spark, f"{base}/src", "laps", f"{base}/raw", f"{base}/checkpoint").awaitTermination()
+    return read_raw(t.spark, f"{base}/raw", "laps").groupBy(extract("session_key", "int").alias("session_key")).agg(
+        F.count(F.lit(1)).alias("n"))
+
+
+def streamed_latest(t: Tables) -> DataFrame:
+    """ST2: landed event records staged by the stream to the latest per (session, driver)."""
+    import uuid
+
+    from pitwall.plans.staging import MODELS
+    from pitwall.session import checkpoint_dir
+    from pitwall.sources.landing import parse_records, write_raw
+    from pitwall.streaming.ingest import stage_stream
+    base = f"{checkpoint_dir(t.spark).rstrip('/')}/stream-{uuid.uuid4().hex}"
+    rec = F.to_json(F.struct(F.col("user_id").alias("session_key"), (F.col("event_id") % 20).alias("driver_number"),
+                             (F.col("event_id") % 50).cast("int").alias("position")))
+    lines = t.events.select(rec.alias("value"), (F.lit("2024-01-01").cast("timestamp")
+                                                 + F.make_dt_interval(secs=F.col("event_id"))).alias("at"))
+    accepted, _ = parse_records(lines, "starting_grid", loaded_at_col="at")
+    write_raw(accepted, f"{base}/raw")
+    stage_stream(t.spark, f"{base}/raw", "starting_grid", MODELS["stg_starting_grid"], f"{base}/staged",
+                 f"{base}/checkpoint").awaitTermination()
+    return t.spark.read.parquet(f"{base}/staged").select("session_key", "driver_number", "grid_position")
 
 
 def cond_counts(t: Tables) -> DataFrame:
@@ -365,6 +458,12 @@ GENERIC: dict[str, Callable[[Tables], DataFrame]] = {
     "scalar_latest": scalar_latest,
     "fmt_laptime": formatted_times,
     "landing_laps_roundtrip": landing_laps_roundtrip,
+    "range_join_long": range_join_long,
+    "landing_report": landing_report,
+    "landing_work_list": landing_work_list,
+    "landing_guard": landing_guard,
+    "streamed_landing": streamed_landing,
+    "streamed_latest": streamed_latest,
 }
 
 

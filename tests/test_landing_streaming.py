@@ -7,7 +7,8 @@ import tempfile
 from pyspark.sql import functions as F
 
 from pitwall.plans.staging import MODELS
-from pitwall.sources.landing import backfill_keys, land, land_all, land_new, load_report, read_raw, write_raw
+from pitwall.sources.landing import (backfill_keys, land, land_all, land_new, load_report, parse_records, read_raw,
+                                     write_raw)
 from pitwall.streaming.ingest import enrich_stream, first_wins, incremental_land, stage_stream, upsert_latest
 
 
@@ -63,6 +64,66 @@ def test_incremental_land_exactly_once_and_upsert(spark):
     assert got == {1: 91.0, 2: 80.0, 3: 93.0}                               # JSON-null re-send does not shadow
 
 
+def test_landing_keeps_what_other_runs_landed(spark):
+    """A second source, or the same one after its checkpoint is lost, never replaces landed records."""
+    a, b, raw = (tempfile.mkdtemp(prefix=p) for p in ("pw-a-", "pw-b-", "pw-raw-"))
+    _write(f"{a}/laps/1.json", [json.dumps(_lap(1, 1, 1, 90.0))])
+    _write(f"{b}/laps/1.json", [json.dumps(_lap(2, 1, 1, 91.0))])
+    for src in (a, b, a):
+        incremental_land(spark, src, "laps", raw, tempfile.mkdtemp(prefix="pw-ck-")).awaitTermination()
+    assert {r.session_key for r in spark.read.parquet(raw).select("session_key").collect()} == {1, 2}
+
+
+def test_bad_keys_are_rejected_not_raised(spark):
+    src, raw = (tempfile.mkdtemp(prefix=p) for p in ("pw-bk-", "pw-bkr-"))
+    _write(f"{src}/laps/1.json", [json.dumps(_lap(1, 1, 1, 90.0)), '{"session_key": "abc"}', '{"session_key": 1e30}',
+                                  '{"session_key": null}'])
+    acc, rej = land(spark, src, "laps")
+    write_raw(acc, raw)
+    assert read_raw(spark, raw, "laps").count() == 2 and rej.count() == 2
+
+
+def test_guard_is_null_safe_and_per_endpoint(spark):
+    q = "SELECT parse_json(j) AS raw_data, e AS endpoint FROM VALUES {} t(j, e)"
+    landed = spark.sql(q.format("""('{"session_key": 1}', 'laps'), ('{"session_key": null}', 'laps')"""))
+    new = spark.sql(q.format("""('{"session_key": 1}', 'laps'), ('{"session_key": 1}', 'pit'),
+                                ('{"session_key": null}', 'laps')"""))
+    assert [r.endpoint for r in land_new(new, landed, ["session_key"]).collect()] == ["pit"]
+
+
+def test_backfill_reports_keys_without_any_expected_part(spark):
+    src = spark.createDataFrame([(1,), (2,)], "key int")
+    loaded = spark.createDataFrame([(1, "laps"), (1, "pit"), (2, "other")], "key int, part string")
+    got = {(r.key, r.missing) for r in backfill_keys(src, loaded, "key", "part", ["laps", "pit"]).collect()}
+    assert got == {(2, "laps"), (2, "pit")}
+
+
+def test_every_model_streams(spark):
+    sessions = spark.createDataFrame([(7, 2024)], "session_key int, year int")
+    for name, model in MODELS.items():
+        raw, ck, stg = (tempfile.mkdtemp(prefix=p) for p in ("pw-m-", "pw-mc-", "pw-ms-"))
+        rec = {"session_key": 7, "meeting_key": 70, "driver_number": 1, "team_name": "T", "compound": "SOFT",
+               "lap_duration": 90.0, "lap_number": 1, "stint_number": 1, "date": "2024-03-01T12:00:00+00:00",
+               "message": "m", "overtaking_driver_number": 1, "overtaken_driver_number": 2}
+        lines = spark.createDataFrame([(json.dumps(rec),)], "value string")
+        acc, _ = parse_records(lines, model.endpoint)
+        write_raw(acc, raw)
+        stage_stream(spark, raw, model.endpoint, model, stg, ck, sessions=lambda: sessions).awaitTermination()
+        assert spark.read.parquet(stg).count() == 1, name
+
+
+def test_no_local_scratch_on_a_cluster(monkeypatch):
+    from types import SimpleNamespace
+
+    import pytest
+
+    from pitwall.session import checkpoint_dir
+    sc = SimpleNamespace(master="spark://host:7077", getCheckpointDir=lambda: None,
+                         getConf=lambda: SimpleNamespace(get=lambda k: None))
+    with pytest.raises(RuntimeError):
+        checkpoint_dir(SimpleNamespace(sparkContext=sc))
+
+
 def test_first_wins_stream(spark):
     src = tempfile.mkdtemp(prefix="pw-fw-")
     spark.createDataFrame([(1, "2024-01-01 00:00:00", "a"), (1, "2024-01-01 00:00:00", "a"), (2, "2024-01-01 00:00:01", "b")],

@@ -169,3 +169,38 @@ def test_quality_warn_vs_error(spark):
     assert rep[("v", "not_null")].status == "warn" and rep[("v", "not_null")].failures == 1
     assert rep[("k", "not_null")].status == "fail"
     assert rep[("k", "unique")].failures == 1
+
+
+def test_averages_and_slopes_keep_their_values(spark):
+    from pitwall.plans.marts import exact_avg, exact_slope
+    avg = lambda xs: spark.createDataFrame([(x,) for x in xs], "x double").select(
+        exact_avg(F.col("x")).alias("a")).first().a
+    assert avg([4e-7, 4e-7]) == 4e-7 and avg([2e12, 4e12]) == 3e12 and np.isnan(avg([float("nan"), 10.0]))
+    assert avg([0.1, 0.2, 0.3, None]) == 0.6 / 3 and avg([1e300, 1e300]) == 1e300 and avg([None]) is None
+    df = spark.createDataFrame([(1, 1.0), (2, 3.0), (3, 5.0), (4, None)], "x int, y double")
+    assert df.select(exact_slope(F.col("y"), F.col("x")).alias("s")).first().s == 2.0
+    assert df.where("x = 1").select(exact_slope(F.col("y"), F.col("x")).alias("s")).first().s is None
+
+
+def test_range_join_long_and_open_intervals(spark):
+    iv = spark.createDataFrame([(1, "all", 0, 2**31 - 1), (1, "long", 5, 20_000_000), (1, "one", 7, 7), (1, "no", 9, 3),
+                                (1, "neg", -10**9, -5)], "k int, name string, lo int, hi int")
+    pts = spark.createDataFrame([(1, 7), (1, 20_000_001), (1, -6), (1, None), (2, 7), (1, -1)], "k int, p int")
+    got = sorted((r.k, r.p if r.p is not None else 0, r.name or "") for r in range_join(
+        pts, iv, ["k"], "p", "lo", "hi").collect())
+    assert got == sorted([(1, 7, "all"), (1, 7, "long"), (1, 7, "one"), (1, 20_000_001, "all"), (1, -6, "neg"),
+                          (1, 0, ""), (2, 7, ""), (1, -1, "")])
+    first = {(r.k, r.p): r.name for r in range_join(pts.dropna(), iv, ["k"], "p", "lo", "hi", first_by=[
+        F.col("hi") - F.col("lo")]).collect()}
+    assert first == {(1, 7): "one", (1, 20_000_001): "all", (1, -6): "neg", (2, 7): None, (1, -1): None}
+    agg = {r.name: r.n for r in range_agg(iv, pts, ["k"], "p", "lo", "hi", [F.count("p").alias("n")]).collect()}
+    assert agg == {"all": 2, "long": 1, "one": 1, "no": 0, "neg": 1}
+
+
+def test_semantic_synonyms_and_samples():
+    from pitwall.plans.semantic import MODEL, describe
+    assert MODEL.measure("fct_laps", "lap duration").name == "lap_duration_s"
+    assert MODEL.measure("fct_pit_stops", "pit stop duration").name == "pit_duration_s"
+    with pytest.raises(KeyError):
+        MODEL.measure("fct_laps", "top speed")
+    assert "SOFT" in describe("fct_laps", "tyre_compound")["sample_values"] and describe("fct_laps")["description"]
