@@ -1,4 +1,4 @@
-"""One object that wires driver tables → RAW fixtures → staging → marts."""
+"""One object that wires driver tables → RAW feeds → staging → marts."""
 
 from __future__ import annotations
 
@@ -6,6 +6,7 @@ from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 
+import importlib
 import threading
 import uuid
 from concurrent.futures import ThreadPoolExecutor
@@ -15,7 +16,6 @@ from pitwall.plans.marts import Marts
 from pitwall.plans.staging import MODELS, stage
 from pitwall.session import checkpoint_dir
 from pitwall.session import materialize as materialize_df
-from pitwall.sources import fixtures
 from pitwall.sources.tables import Tables
 
 
@@ -66,6 +66,11 @@ class RaceContext:
         self.tables = Tables(spark, sf_dir, (lambda df, name: materialize_df(df, f"_derived_{name}", self.run_dir))
                              if materialize else None)
 
+    @cached_property
+    def feeds(self):
+        """Where RAW comes from: the race feeds derived from the driver tables."""
+        return importlib.import_module("feeds.race")
+
     @cached_property
     def run_dir(self) -> str:
         return f"{checkpoint_dir(self.spark).rstrip('/')}/pitwall-{uuid.uuid4().hex}"
@@ -73,14 +78,14 @@ class RaceContext:
     def raw_table(self, endpoint: str) -> DataFrame:
         """The RAW (landed) feed of an endpoint; with ``land_raw`` it is written
         once as a VARIANT parquet table, as landing does in production."""
-        df = fixtures.ENDPOINTS[endpoint](self.tables)
+        df = self.feeds.ENDPOINTS[endpoint](self.tables)
         if self.materialize and self.land_raw:
             return self.tables.derived(f"raw_{endpoint}", lambda: df)
         return df
 
     @cached_property
     def raw(self) -> dict[str, DataFrame]:
-        return fixtures.raw_tables(self.tables)
+        return self.feeds.raw_tables(self.tables)
 
     @cached_property
     def stg(self) -> Mapping[str, DataFrame]:

@@ -417,9 +417,9 @@ def landing_laps_roundtrip(t: Tables) -> DataFrame:
     """S1/F1 on the whole laps feed: records as JSON text lines → landing
     parser → staging. Must equal ``stg_laps``."""
     from pitwall.plans.staging import MODELS, stage
-    from pitwall.sources import fixtures
+    from feeds import race
     from pitwall.sources.landing import parse_records
-    lines = fixtures.laps(t).select(F.to_json("raw_data").alias("value"), "loaded_at")
+    lines = race.laps(t).select(F.to_json("raw_data").alias("value"), "loaded_at")
     accepted, _ = parse_records(lines, "laps", loaded_at_col="loaded_at")
     return stage(accepted.select("raw_data", "loaded_at"), MODELS["stg_laps"])
 

@@ -1 +1 @@
-"""Sources and sinks: raw landing, load guards, driver tables and fixtures."""
+"""Sources and sinks: raw landing, load guards, driver tables."""
