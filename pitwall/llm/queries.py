@@ -80,5 +80,39 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op10_chat_formatting)}
 
 
+# DuckDB SQL where SQL can express the whole result; the others are tested by brute force in tests/llm.
+ORACLE_SQL = {
+    "op2_embedding_near_dedup": """
+WITH RECURSIVE v AS (
+  SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e,
+         coalesce(len(embedding) > 0 AND list_bool_and(list_transform(embedding, lambda x: x IS NOT NULL AND isfinite(x)))
+                  AND list_bool_or(list_transform(embedding, lambda x: x <> 0)), false) AS ok FROM embeddings),
+link AS (SELECT a.vec_id AS x, b.vec_id AS y FROM v a JOIN v b ON a.vec_id <> b.vec_id AND a.ok AND b.ok
+         AND len(a.e) = len(b.e) WHERE list_cosine_similarity(a.e, b.e) >= 0.95),
+reach AS (SELECT vec_id AS x, vec_id AS y FROM v UNION SELECT reach.x, link.y FROM reach JOIN link ON reach.y = link.x)
+SELECT vec_id, (SELECT count(*) FROM link WHERE x = vec_id) AS n_links, min(y) AS component_id, vec_id = min(y) AS kept
+FROM v JOIN reach ON x = vec_id GROUP BY vec_id""",
+    "op4_substring_dedup": r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+win AS (SELECT doc_id, i, w[i:i + 49] AS s FROM (SELECT doc_id, w, unnest(range(1, len(w) - 48)) AS i FROM d) x),
+low AS (SELECT s, min(doc_id) AS first FROM win GROUP BY s),
+gone AS (SELECT DISTINCT doc_id, i + k AS p
+         FROM (SELECT doc_id, i, unnest(range(50)) AS k FROM win JOIN low USING (s) WHERE first < doc_id) x),
+word AS (SELECT doc_id, unnest(w) AS t, unnest(range(1, len(w) + 1)) AS p FROM d),
+kept AS (SELECT doc_id, string_agg(t, ' ' ORDER BY p) AS text, count(*) AS n
+         FROM word ANTI JOIN gone USING (doc_id, p) GROUP BY doc_id)
+SELECT doc_id, len(w) AS n_words, len(w) - coalesce(n, 0) AS n_removed, sha256(coalesce(text, '')) AS kept_sha256
+FROM d LEFT JOIN kept USING (doc_id)""",
+    "op10_chat_formatting": """
+WITH conv AS (SELECT conv_id, list({'r': role, 'x': text} ORDER BY turn) AS s
+              FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id),
+inner_prefix AS (SELECT DISTINCT s[1:i] AS s FROM (SELECT s, unnest(range(1, len(s))) AS i FROM conv) p)
+SELECT min(conv_id) AS conv_id, len(s) AS n_turns, count(*) AS n_snapshots,
+       array_to_string(list_transform(s, lambda t: '<|im_start|>' || coalesce(t.r, 'unknown') || chr(10)
+                                              || coalesce(t.x, '') || '<|im_end|>' || chr(10)), '') AS chat
+FROM conv ANTI JOIN inner_prefix USING (s) GROUP BY s""",
+}
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(ORACLE_SQL)

@@ -431,3 +431,11 @@ def test_chat_snapshots_and_edges(spark):
     assert got == brute_chats(turns)
     assert {r["conv_id"]: r["n_snapshots"] for r in rows(chat.maximal_conversations(df))}[3] == 2
     assert rows(chat.render_maximal(df.limit(0))) == []
+
+
+# --- oracle SQL --------------------------------------------------------------
+@pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
+def test_oracle_sql(spark, duck_small, name):
+    from compare import compare
+    problems, _, _ = compare(Q[name](spark, SF_SMALL), duck_small, queries.ORACLE_SQL[name])
+    assert not problems
