@@ -147,7 +147,7 @@ def positions_per_lap(m: Marts, session_key: int | None = None, whole_seconds: b
     agg = last_non_null(with_laps, ["session_key", "driver_number", "lap"], order, POS_COLS)
     no_laps = pos.join(laps.select("session_key").distinct(), ["session_key"], "left_anti")
     counted = seq_index(no_laps, ["session_key", "driver_number"], [F.col("recorded_at"), F.col("grid_position")],
-                        "lap").select("session_key", "driver_number", "lap", *POS_COLS)
+                        "lap", bucket=("recorded_at", 3600.0)).withColumn("lap", F.col("lap").cast("int")).select("session_key", "driver_number", "lap", *POS_COLS)
     out = agg.unionByName(counted)
     total = out.groupBy("session_key").agg(F.max("lap").alias("total_laps"))
     return out.join(total, ["session_key"], "left")

@@ -204,3 +204,18 @@ def test_semantic_synonyms_and_samples():
     with pytest.raises(KeyError):
         MODEL.measure("fct_laps", "top speed")
     assert "SOFT" in describe("fct_laps", "tyre_compound")["sample_values"] and describe("fct_laps")["description"]
+
+
+def test_positions_of_sessions_without_laps(spark):
+    """Samples are numbered per driver in time order where a session has no laps."""
+    from types import SimpleNamespace
+
+    from pitwall.plans.queries import positions_per_lap
+    pos = spark.createDataFrame(
+        [(1, 44, "N", "A", "T", p, T(f"2024-01-01 {h:02d}:00:00"), 3, 1, -2) for h, p in ((3, 2), (1, 5), (7, 1))],
+        "session_key int, driver_number int, driver_name string, driver_acronym string, team_name string, position int, "
+        "recorded_at timestamp_ntz, grid_position int, finish_position int, positions_gained int")
+    laps = spark.createDataFrame([], "session_key int, driver_number int, lap_number int, lap_start_at timestamp_ntz, "
+                                     "lap_duration_s double")
+    got = positions_per_lap(SimpleNamespace(fct_race_positions=pos, fct_laps=laps)).orderBy("lap").collect()
+    assert [(r.lap, r.position, r.total_laps) for r in got] == [(1, 5, 3), (2, 2, 3), (3, 1, 3)]
