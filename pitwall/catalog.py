@@ -25,6 +25,13 @@ def ctx(spark: SparkSession, sf_dir: str) -> RaceContext:
         return _CTX[key]
 
 
+def forget(spark: SparkSession, sf_dir: str | None = None) -> None:
+    """Drop the stored context of a data folder (or all), so that changed input is read anew."""
+    with _CTX_LOCK:
+        for key in [k for k in _CTX if k[0] == spark.sparkContext.applicationId and sf_dir in (None, k[1])]:
+            del _CTX[key]
+
+
 def _model_query(name: str) -> Query:
     return lambda spark, sf_dir: ctx(spark, sf_dir).table(name)
 

@@ -219,3 +219,29 @@ def test_positions_of_sessions_without_laps(spark):
                                      "lap_duration_s double")
     got = positions_per_lap(SimpleNamespace(fct_race_positions=pos, fct_laps=laps)).orderBy("lap").collect()
     assert [(r.lap, r.position, r.total_laps) for r in got] == [(1, 5, 3), (2, 2, 3), (3, 1, 3)]
+
+
+def test_failed_error_checks_raise_and_warnings_do_not(spark):
+    from pitwall.plans.quality import assert_checks
+    df = spark.createDataFrame([(1, None), (2, "x")], "k int, v string")
+    assert_checks(run_checks({"t": df}, [Check("t", ("v",), "not_null", "warn"), Check("t", ("k",), "unique")]))
+    with pytest.raises(Exception):
+        assert_checks(run_checks({"t": df}, [Check("t", ("v",), "not_null")]))
+
+
+def test_completed_rule(spark):
+    from pitwall.plans.semantic import is_completed
+    as_of = F.lit("2024-06-01").cast("timestamp_ntz")
+    df = spark.createDataFrame([("N", T("2024-05-01 00:00:00")), (None, T("2024-05-01 00:00:00")), (None, None)],
+                               "winner string, at timestamp_ntz")
+    got = [r.s for r in df.select(is_completed(F.col("winner"), F.col("at"), as_of).alias("s")).collect()]
+    assert got == ["COMPLETED", "CANCELLED", "UPCOMING"]
+
+
+def test_forgotten_context_is_built_anew(spark):
+    from conftest import SF_SMALL
+    from pitwall.catalog import ctx, forget
+    first = ctx(spark, SF_SMALL)
+    assert ctx(spark, SF_SMALL) is first
+    forget(spark, SF_SMALL)
+    assert ctx(spark, SF_SMALL) is not first
