@@ -29,7 +29,7 @@ COLUMN_BITS = 14
 COLUMNS = 1 << COLUMN_BITS
 WIDTH = len(ORDERS) * COLUMNS
 SAMPLE = 4000
-LANDMARKS = 384
+LANDMARKS = 256
 RIDGE = 1e-2
 BATCH = 64
 UNKNOWN = "und"
@@ -74,8 +74,14 @@ def fit(packed: list[bytes], labels: list[str], landmarks: int, ridge: float) ->
     """(languages, WIDTH x languages matrix, intercepts) from packed presence rows."""
     names = sorted(set(labels))
     y = np.where(np.array(labels)[:, None] == np.array(names), 1.0, -1.0)
-    rows = lambda idx: unit(np.stack([np.unpackbits(np.frombuffer(packed[i], np.uint8)) for i in idx])
-                            .astype(np.float32))
+
+    def rows(idx) -> np.ndarray:
+        x = np.empty((len(idx), WIDTH), np.float32)
+        for at, i in enumerate(idx):
+            x[at] = np.unpackbits(np.frombuffer(packed[i], np.uint8))
+            x[at] /= max(1.0, np.sqrt(x[at].sum()))
+        return x
+
     share = max(1, landmarks // len(names))
     where = np.array(labels)
     marks = np.concatenate([np.flatnonzero(where == n)[:share] for n in names])
@@ -83,8 +89,7 @@ def fit(packed: list[bytes], labels: list[str], landmarks: int, ridge: float) ->
     values, vectors = np.linalg.eigh((z @ z.T).astype(np.float64))
     keep = values > values[-1] * 1e-8
     root = vectors[:, keep] / np.sqrt(values[keep])
-    phi = np.concatenate([(rows(range(s, min(s + 256, len(labels)))) @ z.T) @ root
-                          for s in range(0, len(labels), 256)])
+    phi = np.concatenate([(rows(range(s, min(s + 64, len(labels)))) @ z.T) @ root for s in range(0, len(labels), 64)])
     mean, y_mean = phi.mean(axis=0), y.mean(axis=0)
     centred = phi - mean
     beta = np.linalg.solve(centred.T @ centred + ridge * len(labels) * np.eye(phi.shape[1]), centred.T @ (y - y_mean))
@@ -97,17 +102,25 @@ def held_out(id_col: str):
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def train(docs: DataFrame, text_col: str, lang_col: str, may_learn, seed: int = 6, sample: int = SAMPLE,
-          landmarks: int = LANDMARKS, ridge: float = RIDGE):
+def train(docs: DataFrame, text_col: str, lang_col: str, may_learn, id_col: str = "doc_id", seed: int = 6,
+          sample: int = SAMPLE, landmarks: int = LANDMARKS, ridge: float = RIDGE):
+    """(languages, matrix, intercepts) learned from at most ``sample`` rows that ``may_learn`` allows.
+
+    Rows are chosen by a seeded hash of id and text. The hash first thins each
+    language to about twice its share, so that few texts are moved.
+    """
     importable(docs.sparkSession)
     labelled = docs.filter(may_learn & F.col(lang_col).isNotNull() & F.col(text_col).rlike(r"\p{L}")).select(
-        F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"))
-    n_langs = labelled.select("lang").distinct().count()
-    if not n_langs:
+        F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"),
+        F.xxhash64(F.lit(seed), id_col, text_col).alias("h"))
+    counts = {r["lang"]: r["count"] for r in labelled.groupBy("lang").count().collect()}   # one row per language
+    if not counts:
         return [], np.zeros((WIDTH, 0), np.float32), np.zeros(0)
-    each = max(1, sample // n_langs)
-    order = Window.partitionBy("lang").orderBy(F.xxhash64(F.lit(seed), "text"), "text")
-    chosen = (labelled.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= each)
+    each = max(1, sample // len(counts))
+    shares = [x for lang, n in counts.items() for x in (F.lit(lang), F.lit(min(1.0, 2 * each / n)))]
+    thinned = labelled.filter(F.pmod("h", F.lit(1 << 30)) < F.create_map(*shares)[F.col("lang")] * (1 << 30))
+    order = Window.partitionBy("lang").orderBy("h", "text")
+    chosen = (thinned.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= each)
               .select("lang", "text").limit(sample))
 
     def pack(batches):
