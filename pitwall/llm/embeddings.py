@@ -2,7 +2,7 @@
 
 Each pass concatenates random hyperplane signs to one hash per vector, sorts
 all vectors by it across partitions, and compares every vector with a bounded
-window of neighbours in that order. Verified links (cosine >= threshold, double
+window of neighbours in that order (its tile and the next). Verified links (cosine >= threshold, double
 precision) of all passes are united to components. Direct links are then
 counted inside components, so a group larger than the window loses none.
 """
@@ -24,6 +24,7 @@ WINDOW = 256
 BITS = 62
 MISSED = 1e-3       # chance that a link exactly at the threshold is in no pass's window
 CHUNK = 512
+PASSES_AT_ONCE = 2  # a pass shuffles every vector twice
 
 
 def passes_for(n: int, threshold: float, window: int = WINDOW) -> int:
@@ -56,29 +57,36 @@ def plain(batch: pa.RecordBatch, n: int) -> list[np.ndarray]:
     return [batch.column(i).to_numpy(zero_copy_only=False) for i in range(n)]
 
 
-def pass_links(nodes: DataFrame, number: int, threshold: float, seed: int, window: int) -> DataFrame:
-    """(a, b): verified links between vectors at most a window apart in the order of pass ``number``."""
+def places(nodes: DataFrame, passes: int, seed: int, window: int) -> DataFrame:
+    """(pass, tile, node): where each vector stands in the order of each pass, as tiles of ``window`` places.
+
+    Only hashes and node numbers are sorted, all passes in one go; the
+    vectors stay where they are. Vectors of different lengths stand apart.
+    """
     spark = nodes.sparkSession
-    vec = nodes.schema["vec"].dataType.simpleString()
 
     def keyed(batches):
         for dim, b in same_length(batches, 1):
-            planes = np.random.default_rng([seed, number, dim]).standard_normal((dim, BITS))
-            keys = ((matrix(b.column(1)) @ planes > 0).astype(np.int64) << np.arange(BITS)[::-1]).sum(axis=1)
-            yield pa.RecordBatch.from_arrays([pa.array(keys), b.column(0), b.column(1)], ["key", "node", "vec"])
+            x, node = matrix(b.column(1)), b.column(0)
+            for p in range(passes):
+                planes = np.random.default_rng([seed, p, dim]).standard_normal((dim, BITS))
+                keys = ((x @ planes > 0).astype(np.int64) << np.arange(BITS)[::-1]).sum(axis=1)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.full(len(node), p, np.int32)), pa.array(np.full(len(node), dim, np.int32)),
+                     pa.array(keys), node], ["pass", "dim", "key", "node"])
 
     def numbered(batches):
         part, n = TaskContext.get().partitionId(), 0
         for b in batches:
-            place = np.arange(n, n + b.num_rows)
+            at = np.arange(n, n + b.num_rows)
             n += b.num_rows
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(b.num_rows, part)), pa.array(place), b.column(1),
-                                              b.column(2)], ["part", "place", "node", "vec"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(b.num_rows, part)), pa.array(at), b.column(0),
+                                              b.column(3)], ["part", "at", "pass", "node"])
 
-    ordered = store(nodes.select("node", "vec").mapInArrow(keyed, f"key long, node long, vec {vec}")
-                    .repartitionByRange(tasks_for(spark), F.expr("size(vec)"), "key", "node")
-                    .sortWithinPartitions(F.expr("size(vec)"), "key", "node")
-                    .mapInArrow(numbered, f"part long, place long, node long, vec {vec}"), f"order{number}")
+    order = ["pass", "dim", "key", "node"]
+    ordered = store(nodes.select("node", "vec").mapInArrow(keyed, "pass int, dim int, key long, node long")
+                    .repartitionByRange(tasks_for(spark), *order).sortWithinPartitions(*order)
+                    .mapInArrow(numbered, "part long, at long, pass int, node long"), "order")
     rows = {r["part"]: r["count"] for r in ordered.groupBy("part").count().collect()}   # one number per partition
     ends, total = {}, 0
     for p in sorted(rows):
@@ -87,12 +95,21 @@ def pass_links(nodes: DataFrame, number: int, threshold: float, seed: int, windo
     shared = spark.sparkContext.broadcast(ends)
 
     def tiled(batches):
-        """Each row to the tile of its place, and as a neighbour to the next one."""
         for b in batches:
-            at = (np.array([shared.value[p] for p in b.column(0).to_pylist()], np.int64) + b.column(1).to_numpy())
-            for tile, neighbour in ((at // window, False), (at // window + 1, True)):
-                yield pa.RecordBatch.from_arrays([pa.array(tile), pa.array(np.full(len(at), neighbour)), b.column(2),
-                                                  b.column(3)], ["tile", "neighbour", "node", "vec"])
+            start = np.array([shared.value[p] for p in b.column(0).to_pylist()], np.int64)
+            yield pa.RecordBatch.from_arrays([b.column(2), pa.array((start + b.column(1).to_numpy()) // window),
+                                              b.column(3)], ["pass", "tile", "node"])
+
+    return ordered.mapInArrow(tiled, "pass int, tile long, node long")
+
+
+def neighbour_links(nodes: DataFrame, placed: DataFrame, threshold: float) -> DataFrame:
+    """(a, b): verified links between vectors of the same tile or of neighbouring tiles."""
+    # each vector goes to its own tile, and as a neighbour to the next one
+    roles = F.explode(F.array(F.struct(F.col("tile").alias("tile"), F.lit(False).alias("neighbour")),
+                              F.struct((F.col("tile") + 1).alias("tile"), F.lit(True).alias("neighbour"))))
+    rows = (placed.join(nodes.select("node", "vec"), "node").select("node", "vec", roles.alias("r"))
+            .select("r.tile", "r.neighbour", "node", "vec"))
 
     def compare(batches):
         held: dict[int, tuple] = {}
@@ -121,8 +138,7 @@ def pass_links(nodes: DataFrame, number: int, threshold: float, seed: int, windo
                 a, c = forest(np.concatenate(a), np.concatenate(c))
                 yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(c)], ["a", "b"])
 
-    return (ordered.mapInArrow(tiled, f"tile long, neighbour boolean, node long, vec {vec}")
-            .repartition(tasks_for(spark), "tile").sortWithinPartitions("tile", "neighbour")
+    return (rows.repartition(tasks_for(nodes.sparkSession), "tile").sortWithinPartitions("tile", "neighbour")
             .mapInArrow(compare, "a long, b long"))
 
 
@@ -218,9 +234,12 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "
     nodes = store(keyed.filter("node IS NOT NULL").groupBy("node", "vec")
                   .agg(F.count("*").alias("n"), F.min("id").alias("low")), "distinct-vectors")
     count = nodes.count()
+    passes = passes_for(count, threshold, window)
+    placed = store(places(nodes, passes, seed, window), "places")
     links = None
-    for p in range(passes_for(count, threshold, window)):
-        found = store(pass_links(nodes, p, threshold, seed, window), f"pass{p}")
+    for p in range(0, passes, PASSES_AT_ONCE):      # vectors are moved for a few passes at a time
+        some = placed.filter(F.col("pass").between(p, p + PASSES_AT_ONCE - 1))
+        found = store(neighbour_links(nodes, some, threshold), f"pass{p}")
         links = found if links is None else links.unionByName(found)
     comp = connected_components(links, "embeddings")
     in_group = nodes.join(comp, "node")
