@@ -93,8 +93,9 @@ def drop_common_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
                   .groupBy("hash").agg(F.min("key").alias("key"), F.first("lines").alias("lines")), "line-hashes")
     held = (texts.select("hash", "key", F.explode(F.array_distinct("lines")).alias("line"))
             .filter(F.col("line") != BLANK))
-    known = (held.groupBy("line").agg(F.count("*").alias("docs"), F.min("key").alias("first"))
-             .filter("docs > 1"))
+    # written, so that the join below deals its rows anew and a very common line can be split
+    known = store(held.groupBy("line").agg(F.count("*").alias("docs"), F.min("key").alias("first"))
+                  .filter("docs > 1"), "known-lines")
     nominated = store(held.join(known, "line").filter("first <> key")
                       .select("hash", "docs", F.col("first.hash").alias("earlier")), "shared-lines")
     median = nominated.groupBy("hash").agg(F.expr("percentile(docs, 0.5)").alias("median"))
