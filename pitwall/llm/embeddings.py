@@ -1,10 +1,16 @@
 """Embedding near-duplicates by sorted projection passes (operator 2).
 
-Each pass concatenates random hyperplane signs to one hash per vector, sorts
-all vectors by it across partitions, and compares every vector with a bounded
-window of neighbours in that order (its tile and the next). Verified links (cosine >= threshold, double
-precision) of all passes are united to components. Direct links are then
-counted inside components, so a group larger than the window loses none.
+First passes concatenate random hyperplane signs to one hash per vector, sort
+all vectors by it across partitions, and compare every vector with a window
+of neighbours in that order (its tile and the next). That unites large
+groups of near copies, which need no further comparing among themselves.
+
+Bucket passes then compare all vectors that share the first ``depth`` signs,
+however many they are. Two vectors share them with a chance that depends on
+their angle only, so the number of passes for a depth holds for every set of
+vectors, also for clustered ones; the depth is the cheapest for a sample.
+Verified links (cosine >= threshold, double precision) of all passes are
+united to components, and direct links are counted inside components.
 """
 
 from __future__ import annotations
@@ -22,17 +28,35 @@ from pitwall.llm.graph import connected_components, forest
 
 WINDOW = 256
 BITS = 62
-MISSED = 1e-3       # chance that a link exactly at the threshold is in no pass's window
+FIRST_PASSES = 4
+MISSED = 1e-3       # chance that a link exactly at the threshold is in no bucket pass
 CHUNK = 512
 PASSES_AT_ONCE = 2  # a pass shuffles every vector twice
+SAMPLE = 1024       # vectors from which the cost of a depth is estimated
+ROW_COST = 600      # moving a vector, in comparisons
 
 
-def passes_for(n: int, threshold: float, window: int = WINDOW) -> int:
-    """Passes so that a pair at ``threshold`` shares a window's worth of leading bits in one of them."""
-    agree = 1 - math.acos(threshold) / math.pi
-    lead = max(0.0, math.log2(max(1, n) / window)) + 1
-    p = agree ** lead
-    return max(4, math.ceil(math.log(MISSED) / math.log(1 - p)))
+def passes_for(depth: int, threshold: float) -> int:
+    """Bucket passes so that a pair at ``threshold`` shares its first ``depth`` signs in one of them."""
+    p = (1 - math.acos(threshold) / math.pi) ** depth
+    return 1 if p >= 1 else max(1, math.ceil(math.log(MISSED) / math.log1p(-p)))
+
+
+def depth_for(sample: list, n: int, threshold: float) -> int:
+    """Cheapest depth for ``n`` vectors like the sample's; any depth finds as much, with its own passes."""
+    same = np.zeros((len(sample), len(sample)))     # chance that two vectors share a sign
+    size = np.array([len(v) for v in sample])
+    for dim in np.unique(size):
+        own = np.flatnonzero(size == dim)
+        x = matrix(pa.array([sample[i] for i in own], pa.list_(pa.float64())))
+        cosine = np.clip(x @ x.T, -1, 1)
+        # first passes leave few links open
+        same[np.ix_(own, own)] = np.where(cosine >= threshold, 0, 1 - np.arccos(cosine) / math.pi)
+    costs = []
+    for depth in range(BITS + 1):
+        pairs = n * n / 2 * float(np.mean(same ** depth)) if len(sample) else 0.0
+        costs.append(passes_for(depth, threshold) * (ROW_COST * n * (1 + 2 * pairs / max(1, n) / CHUNK) + pairs))
+    return int(np.argmin(costs))
 
 
 def matrix(column) -> np.ndarray:
@@ -142,6 +166,74 @@ def neighbour_links(nodes: DataFrame, placed: DataFrame, threshold: float) -> Da
             .mapInArrow(compare, "a long, b long"))
 
 
+def buckets(nodes: DataFrame, depth: int, passes: int, seed: int) -> DataFrame:
+    """(pass, bucket, node): vectors of one length that share their first ``depth`` signs in a pass."""
+    def keyed(batches):
+        for dim, b in same_length(batches, 1):
+            x, node = matrix(b.column(1)), b.column(0)
+            for p in range(passes):
+                planes = np.random.default_rng([seed, 1, p, dim]).standard_normal((dim, depth))
+                keys = ((x @ planes > 0).astype(np.int64) << np.arange(depth)).sum(axis=1)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.full(len(node), p, np.int32)), pa.array(np.full(len(node), dim, np.int32)),
+                     pa.array(keys), node], ["pass", "dim", "key", "node"])
+
+    return (nodes.select("node", "vec").mapInArrow(keyed, "pass int, dim int, key long, node long")
+            .select("pass", F.xxhash64("pass", "dim", "key").alias("bucket"), "node"))
+
+
+def bucket_links(nodes: DataFrame, members: DataFrame, threshold: float) -> DataFrame:
+    """(a, b): verified links between vectors of one bucket, in units of CHUNK x CHUNK vectors.
+
+    ``members`` has (bucket, node, root), the root from the first passes.
+    Vectors of the root that has most of a bucket are not compared with each
+    other, the others with every vector of the bucket.
+    """
+    spark = nodes.sparkSession
+    per_root = members.groupBy("bucket", "root").agg(F.count("*").alias("n"))
+    sums = (per_root.groupBy("bucket").agg(F.sum("n").alias("size"), F.max(F.struct("n", "root")).alias("most"))
+            .select("bucket", "size", (F.col("size") - F.col("most.n")).alias("outer"), F.col("most.root").alias("main"))
+            .filter("outer > 0"))
+    chunk = F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int")
+    out_chunk = F.pmod(F.xxhash64(F.lit(1), "node"), F.col("out_chunks")).cast("int")
+    open_ = (members.join(sums, "bucket").withColumn("inner", F.col("root") == F.col("main"))
+             .withColumn("chunks", F.ceil(F.col("size") / CHUNK).cast("int"))
+             .withColumn("out_chunks", F.ceil(F.col("outer") / CHUNK).cast("int")))
+    # side 0: outer vectors, once per chunk of the bucket; side 1: all vectors, once per chunk of outer vectors
+    every = F.transform(F.sequence(F.lit(0), F.col("out_chunks") - 1), lambda i: F.struct(
+        i.alias("i"), chunk.alias("j"), F.lit(1).alias("side")))
+    outer = F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda j: F.struct(
+        out_chunk.alias("i"), j.alias("j"), F.lit(0).alias("side")))
+    roles = F.explode(F.when(F.col("inner"), every).otherwise(F.concat(every, outer)))
+    rows = (open_.join(nodes.select("node", "vec"), "node").select("bucket", "node", "vec", roles.alias("r"))
+            .select("bucket", "r.i", "r.j", "r.side", "node", "vec"))
+
+    def compare(batches):
+        open_units: dict[int, tuple] = {}
+        for dim, b in same_length(batches, 5):
+            bucket, i, j, side, node = plain(b, 5)
+            x = matrix(b.column(5))
+            unit, own_node, own = open_units.get(dim, (None, node[:0], x[:0]))
+            cuts = np.flatnonzero((np.diff(bucket) != 0) | (np.diff(i) != 0) | (np.diff(j) != 0)) + 1
+            a, c = [], []
+            for s, e in zip([0, *cuts], [*cuts, len(bucket)]):
+                if unit != (bucket[s], i[s], j[s]):
+                    unit, own_node, own = (bucket[s], i[s], j[s]), node[:0], x[:0]
+                m = s + int(np.searchsorted(side[s:e], 1))
+                own_node, own = np.concatenate([own_node, node[s:m]]), np.concatenate([own, x[s:m]])
+                if m < e and len(own):
+                    k, q = np.nonzero((own @ x[m:e].T >= threshold) & (own_node[:, None] != node[None, m:e]))
+                    a.append(own_node[k])
+                    c.append(node[m:e][q])
+            open_units[dim] = (unit, own_node, own)
+            if a:
+                a, c = forest(np.concatenate(a), np.concatenate(c))
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(c)], ["a", "b"])
+
+    return (rows.repartition(tasks_for(spark), "bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", "side")
+            .mapInArrow(compare, "a long, b long"))
+
+
 def count_links(members: DataFrame, threshold: float) -> DataFrame:
     """(node, linked): rows whose vectors are linked to the node's, its own rows left out.
 
@@ -234,13 +326,22 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "
     nodes = store(keyed.filter("node IS NOT NULL").groupBy("node", "vec")
                   .agg(F.count("*").alias("n"), F.min("id").alias("low")), "distinct-vectors")
     count = nodes.count()
-    passes = passes_for(count, threshold, window)
-    placed = store(places(nodes, passes, seed, window), "places")
+    placed = store(places(nodes, FIRST_PASSES, seed, window), "places")
     links = None
-    for p in range(0, passes, PASSES_AT_ONCE):      # vectors are moved for a few passes at a time
+    for p in range(0, FIRST_PASSES, PASSES_AT_ONCE):    # vectors are moved for a few passes at a time
         some = placed.filter(F.col("pass").between(p, p + PASSES_AT_ONCE - 1))
-        found = store(neighbour_links(nodes, some, threshold), f"pass{p}")
+        found = store(neighbour_links(nodes, some, threshold), f"first-pass{p}")
         links = found if links is None else links.unionByName(found)
+    near = connected_components(links, "near")
+    # nodes are hashes: the smallest are a random sample
+    depth = depth_for([r["vec"] for r in nodes.select("node", "vec").orderBy("node").limit(SAMPLE).collect()],
+                      count, threshold)
+    passes = passes_for(depth, threshold)
+    members = store(buckets(nodes, depth, passes, seed).join(near, "node", "left").select(
+        "pass", "bucket", "node", F.coalesce("root", "node").alias("root")), "buckets")
+    for p in range(0, passes, PASSES_AT_ONCE):
+        some = members.filter(F.col("pass").between(p, p + PASSES_AT_ONCE - 1)).drop("pass")
+        links = links.unionByName(store(bucket_links(nodes, some, threshold), f"pass{p}"))
     comp = connected_components(links, "embeddings")
     in_group = nodes.join(comp, "node")
     linked = count_links(in_group.select("root", "node", "n", "vec"), threshold)
