@@ -1,10 +1,9 @@
 """Line dedup by pairwise alignment (operator 5).
 
-Documents overlap if they share a rare line: rare are a document's shared
-lines no more frequent than the median of them. Each such line pairs the
-document with the earliest document that has the line. Pairs are aligned
-with patience diff over line hashes, and the blocks of lines they have in
-common in the same order are deleted from the later document.
+Documents overlap if they share a line. Each shared line, however common,
+pairs the document with the earliest document that has the line. Pairs are
+aligned with patience diff over line hashes, and the blocks of lines they
+have in common in the same order are deleted from the later document.
 """
 
 from __future__ import annotations
@@ -95,11 +94,9 @@ def drop_common_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
             .filter(F.col("line") != BLANK))
     # written, so that the join below deals its rows anew and a very common line can be split
     known = store(held.groupBy("line").agg(F.count("*").alias("docs"), F.min("key").alias("first"))
-                  .filter("docs > 1"), "known-lines")
-    nominated = store(held.join(known, "line").filter("first <> key")
-                      .select("hash", "docs", F.col("first.hash").alias("earlier")), "shared-lines")
-    median = nominated.groupBy("hash").agg(F.expr("percentile(docs, 0.5)").alias("median"))
-    pairs = (nominated.join(median, "hash").filter("docs <= median").select("hash", "earlier").distinct())
+                  .filter("docs > 1").drop("docs"), "known-lines")
+    pairs = store(held.join(known, "line").filter("first <> key")
+                  .select("hash", F.col("first.hash").alias("earlier")).distinct(), "pairs")
     left = texts.select(F.col("hash").alias("earlier"), F.col("lines").alias("a"))
     right = texts.select("hash", F.col("lines").alias("b"))
 
