@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from bisect import bisect_left
 from collections import Counter
+from math import isqrt
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -20,12 +21,52 @@ from pitwall.llm.common import importable, store, text_hash
 BLANK = 0       # hash of lines without a word
 
 
+def common_order(a: list[int], b: list[int]) -> list[tuple[int, int]]:
+    """Places (in ``a``, in ``b``) of a longest common subsequence; blank lines are left out.
+
+    Bit-parallel over ``a``: bit i of a row is 0 where line i lengthens the
+    subsequence. Only every ``step``-th row is held, the others are made
+    again on the way back.
+    """
+    both = (set(a) & set(b)) - {BLANK}
+    at_a = [i for i, x in enumerate(a) if x in both]
+    at_b = [j for j, x in enumerate(b) if x in both]
+    where: dict[int, int] = {}
+    for k, i in enumerate(at_a):
+        where[a[i]] = where.get(a[i], 0) | 1 << k
+    full = (1 << len(at_a)) - 1
+    step = isqrt(len(at_b)) + 1
+
+    def following(row: int, j: int) -> int:
+        u = row & where[b[at_b[j]]]
+        return ((row + u) | (row - u)) & full
+
+    held, row = [], full
+    for j in range(len(at_b)):
+        if j % step == 0:
+            held.append(row)
+        row = following(row, j)
+    out, i = [], len(at_a)
+    for s in range(len(held) - 1, -1, -1):
+        rows = [held[s]]                # rows before each line of this stretch, and after the last
+        for j in range(s * step, min(len(at_b), (s + 1) * step)):
+            rows.append(following(rows[-1], j))
+        for k in range(len(rows) - 1, 0, -1):
+            while i and rows[k] >> (i - 1) & 1:
+                i -= 1
+            if i and rows[k - 1] >> (i - 1) & 1:        # the line lengthens it here first
+                i -= 1
+                out.append((at_a[i], at_b[s * step + k - 1]))
+    return out[::-1]
+
+
 def patience_blocks(a: list[int], b: list[int]) -> list[tuple[int, int]]:
     """Intervals of ``b`` aligned with ``a``: anchors are lines unique in both, in longest common order.
 
     Equal lines next to the ends of a stretch are matched first, then the
-    stretch is split at its anchors. Blank lines are matched next to other
-    matches, never as anchors.
+    stretch is split at its anchors; without any, at a longest common
+    subsequence of its lines. Blank lines are matched next to other matches,
+    never as anchors.
     """
     taken: list[int] = []
     todo = [(0, len(a), 0, len(b))]
@@ -42,22 +83,26 @@ def patience_blocks(a: list[int], b: list[int]) -> list[tuple[int, int]]:
         once_a, once_b = Counter(a[s:e]), Counter(b[t:u])
         where = {x: i for i, x in enumerate(a[s:e], s) if once_a[x] == 1 and x != BLANK}
         common = [(where[x], j) for j, x in enumerate(b[t:u], t) if once_b[x] == 1 and x in where]
-        if not common:
-            continue
-        tops: list[int] = []            # longest increasing subsequence of positions in a
-        last: list[int] = []
-        back = [-1] * len(common)
-        for k, (i, _) in enumerate(common):
-            pile = bisect_left(tops, i)
-            back[k] = last[pile - 1] if pile else -1
-            tops[pile:pile + 1] = [i]
-            last[pile:pile + 1] = [k]
-        chain, k = [], last[-1]
-        while k >= 0:
-            chain.append(common[k])
-            k = back[k]
+        if common:
+            tops: list[int] = []        # longest increasing subsequence of positions in a
+            last: list[int] = []
+            back = [-1] * len(common)
+            for k, (i, _) in enumerate(common):
+                pile = bisect_left(tops, i)
+                back[k] = last[pile - 1] if pile else -1
+                tops[pile:pile + 1] = [i]
+                last[pile:pile + 1] = [k]
+            chain, k = [], last[-1]
+            while k >= 0:
+                chain.append(common[k])
+                k = back[k]
+            chain.reverse()
+        else:
+            chain = [(s + i, t + j) for i, j in common_order(a[s:e], b[t:u])]
+            if not chain:
+                continue
         s0, t0 = s, t
-        for i, j in reversed(chain):
+        for i, j in chain:
             taken.append(j)
             todo.append((s0, i, t0, j))
             s0, t0 = i + 1, j + 1

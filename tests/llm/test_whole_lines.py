@@ -2,6 +2,9 @@
 
 from collections import Counter
 
+import numpy as np
+import pytest
+
 from llm_helpers import SF_SMALL
 from pitwall.llm import lines
 
@@ -47,3 +50,26 @@ def test_line_dedup_against_every_holder(spark):
     want = every_holder([(i, t) for t, i in first.items()])
     got = {r["doc_id"]: r["kept"] for r in lines.drop_common_lines(table).collect()}
     assert {i: got[i] for i in want} == want
+
+
+def test_repeated_lines_without_anchors():
+    """Lines that repeat inside a document are aligned too."""
+    assert lines.patience_blocks([1, 5, 5, 2], [3, 5, 5, 4]) == [(1, 3)]
+    assert lines.patience_blocks([1, 5, 6, 5, 6, 2], [3, 5, 6, 7, 5, 6, 4]) == [(1, 3), (4, 6)]
+    assert lines.patience_blocks([1, 5, 0, 5, 2], [3, 5, 0, 5, 4]) == [(1, 4)]
+    assert lines.patience_blocks([1, 0, 0, 2], [3, 0, 0, 4]) == []
+
+
+@pytest.mark.parametrize("seed", range(30))
+def test_common_order_is_longest(seed):
+    rng = np.random.default_rng(seed)
+    a, b = (rng.integers(0, 5, rng.integers(0, 40)).tolist() for _ in range(2))
+    got = lines.common_order(a, b)
+    assert all(a[i] == b[j] != lines.BLANK for i, j in got)
+    assert all(p[0] < q[0] and p[1] < q[1] for p, q in zip(got, got[1:]))
+    best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+    for i, x in enumerate(a):
+        for j, y in enumerate(b):
+            best[i + 1][j + 1] = (best[i][j] + 1 if x == y != lines.BLANK
+                                  else max(best[i][j + 1], best[i + 1][j]))
+    assert len(got) == best[-1][-1]
