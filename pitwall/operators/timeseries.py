@@ -1,17 +1,20 @@
 """Per-series operators: ordinal index, linear resampling, gap filling,
 segment pairing, column-wise last-non-null and per-point arg-max.
 
-Skew: a series may hold a large share of all rows. Given ``bucket=(order
-column, width)`` no operator here needs a whole series in one task:
-
-* the ordinal is computed per (series, bucket of the leading order column)
-  and shifted by the row counts of the earlier buckets (a small aggregate);
+Skew: a series may hold a large share of all rows. No operator here needs a
+whole series in one task:
+
+* the ordinal is a distributed prefix count: rows are numbered inside (series,
+  part of its order) and shifted by the row counts of the earlier parts. Parts
+  are equal shares of the rows in (series, order) order; or, given
+  ``bucket=(order column, width)``, buckets of the leading order column, which
+  saves the pass that finds equal shares;
 * neighbours (next sample, next point) are equi-joins on (series, index ± 1);
-* gap filling runs per (series, bucket) with the nearest known values of the
-  neighbouring buckets carried in from a small per-bucket aggregate.
+* gap filling runs per (series, run of positions) with the nearest known values
+  of the neighbouring runs carried in from a small per-bucket aggregate.
 
-Without ``bucket`` the ordinal is a plain window per series (for series whose
-size is bounded by construction, e.g. samples of one lap).
+``bounded=True`` asks for a plain window per series instead, for series whose
+size is bounded by construction (samples of one lap).
 """
 
 from __future__ import annotations
@@ -22,24 +25,33 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pitwall.session import materialize
+
+FILL_ROWS = 4096        # positions of a series in one window of gap_fill_linear
+
 
 def seq_index(df: DataFrame, by: Sequence[str], order: Sequence[Column], name: str = "idx",
-              start: int = 1, bucket: tuple[str, float] | None = None, length: str | None = None) -> DataFrame:
+              start: int = 1, bucket: tuple[str, float] | None = None, length: str | None = None,
+              bounded: bool = False) -> DataFrame:
     """Ordinal of each row inside its series (``cumcount() + start``), and its
     number of rows as column ``length`` if named.
 
-    With ``bucket=(column, width)`` — ``column`` the leading, ascending order
-    column (time in seconds or numeric width) — the ordinal is computed
-    without sorting a whole series in one task: rows are numbered inside
-    (series, bucket) and shifted by the row counts of the earlier buckets of
-    the series (a small aggregate plus a window over bucket ids). Buckets are
-    a pure function of the data, so recomputation gives the same result.
+    No series is sorted in one task: rows are numbered inside (series, part)
+    and shifted by the row counts of the earlier parts of the series (a small
+    aggregate plus a window over parts, of which a series has at most as many
+    as there are partitions or buckets). Without ``bucket`` the parts are equal
+    shares: the rows are range-partitioned by (series, order) and written once
+    with their partition number, so that recomputed tasks number alike; rows
+    that tie in the whole order share a part. With ``bucket=(column, width)``
+    — ``column`` the leading, ascending order column (time in seconds or
+    numeric width) — a part is a bucket, a pure function of the row.
+    ``bounded`` series get a plain window.
     """
-    if bucket is None:
+    if bounded:
         w = Window.partitionBy(*by).orderBy(*order)
         out = df.withColumn(name, F.row_number().over(w).cast("long") + F.lit(start - 1))
         return out.withColumn(length, F.count(F.lit(1)).over(Window.partitionBy(*by))) if length else out
-    d = with_bucket(df, bucket)
+    d = equal_parts(df, by, order) if bucket is None else with_bucket(df, bucket)
     local = d.withColumn("_lrn", F.row_number().over(Window.partitionBy(*by, "_sb").orderBy(*order)))
     counts = d.groupBy(*by, "_sb").agg(F.count(F.lit(1)).alias("_cnt"))
     before = Window.partitionBy(*by).orderBy(F.col("_sb").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1)
@@ -49,7 +61,13 @@ def seq_index(df: DataFrame, by: Sequence[str], order: Sequence[Column], name: s
     cond = reduce(lambda a, b: a & b, [local[c].eqNullSafe(offs[f"_o_{c}"]) for c in [*by, "_sb"]])
     out = local.join(offs, cond, "inner")
     return (out.withColumn(name, (F.col("_off") + F.col("_lrn") + F.lit(start - 1)).cast("long"))
-            .drop("_lrn", "_off", *[f"_o_{c}" for c in [*by, "_sb"]]))
+            .drop("_lrn", "_off", *[f"_o_{c}" for c in [*by, "_sb"]], "_sb"))
+
+
+def equal_parts(df: DataFrame, by: Sequence[str], order: Sequence[Column]) -> DataFrame:
+    """Rows with the number (``_sb``) of their share in (series, order) order, written once."""
+    sorted_shares = df.repartitionByRange(*[F.col(c).asc_nulls_first() for c in by], *order)
+    return materialize(sorted_shares.withColumn("_sb", F.spark_partition_id()), "shares")
 
 
 def with_bucket(df: DataFrame, bucket: tuple[str, float]) -> DataFrame:
@@ -107,33 +125,31 @@ def gap_fill_linear(df: DataFrame, by: Sequence[str], order: Sequence[Column],
                     bucket: tuple[str, float] | None = None) -> DataFrame:
     """Fill nulls by linear interpolation over the row position (pandas
     ``interpolate()`` defaults): leading nulls stay null, trailing nulls take
-    the last value; rows still null are dropped when ``drop_unfilled``."""
+    the last value; rows still null are dropped when ``drop_unfilled``.
+    Windows run over FILL_ROWS positions of a series, whatever its length."""
     idx = "_gi"
-    skew_safe = bucket is not None
     out = seq_index(df, by, order, idx, 0, bucket=bucket)
-    out = with_bucket(out, bucket).withColumnRenamed("_sb", "_gb") if skew_safe else out.withColumn("_gb", F.lit(0))
+    out = out.withColumn("_gb", F.floor(F.col(idx) / FILL_ROWS))
     part = [*by, "_gb"]
     back = Window.partitionBy(*part).orderBy(idx).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     fwd = Window.partitionBy(*part).orderBy(idx).rowsBetween(Window.currentRow, Window.unboundedFollowing)
     def known(c):
         return F.when(F.col(c).isNotNull(), F.struct(F.col(idx).alias("i"), F.col(c).cast("double").alias("v")))
 
-    if skew_safe:
-        # nearest known values of earlier / later buckets of the same series, all columns in one aggregate and join
-        per = out.groupBy(*part).agg(*[f(known(c)).alias(f"_{tag}{k}") for k, c in enumerate(cols)
-                                       for tag, f in (("l", F.max), ("f", F.min))])
-        wb = Window.partitionBy(*by).orderBy(F.col("_gb").asc_nulls_first())
-        carry = per.select(*[F.col(x).alias(f"_c_{x}") for x in part], *[
-            x for k in range(len(cols)) for x in (
-                F.last(f"_l{k}", ignorenulls=True).over(wb.rowsBetween(Window.unboundedPreceding, -1)).alias(f"_cp{k}"),
-                F.first(f"_f{k}", ignorenulls=True).over(wb.rowsBetween(1, Window.unboundedFollowing)).alias(f"_cn{k}"))])
-        cond = reduce(lambda a, b: a & b, [out[x].eqNullSafe(carry[f"_c_{x}"]) for x in part])
-        out = out.join(carry, cond, "left").drop(*[f"_c_{x}" for x in part])
+    # nearest known values of earlier / later buckets of the same series, all columns in one aggregate and join
+    per = out.groupBy(*part).agg(*[f(known(c)).alias(f"_{tag}{k}") for k, c in enumerate(cols)
+                                   for tag, f in (("l", F.max), ("f", F.min))])
+    wb = Window.partitionBy(*by).orderBy(F.col("_gb").asc_nulls_first())
+    carry = per.select(*[F.col(x).alias(f"_c_{x}") for x in part], *[
+        x for k in range(len(cols)) for x in (
+            F.last(f"_l{k}", ignorenulls=True).over(wb.rowsBetween(Window.unboundedPreceding, -1)).alias(f"_cp{k}"),
+            F.first(f"_f{k}", ignorenulls=True).over(wb.rowsBetween(1, Window.unboundedFollowing)).alias(f"_cn{k}"))])
+    cond = reduce(lambda a, b: a & b, [out[x].eqNullSafe(carry[f"_c_{x}"]) for x in part])
+    out = out.join(carry, cond, "left").drop(*[f"_c_{x}" for x in part])
     near = []
     for k, c in enumerate(cols):
         prev, nxt = F.last(known(c), ignorenulls=True).over(back), F.first(known(c), ignorenulls=True).over(fwd)
-        if skew_safe:
-            prev, nxt = F.coalesce(prev, F.col(f"_cp{k}")), F.coalesce(nxt, F.col(f"_cn{k}"))
+        prev, nxt = F.coalesce(prev, F.col(f"_cp{k}")), F.coalesce(nxt, F.col(f"_cn{k}"))
         near += [prev.alias(f"_p{k}"), nxt.alias(f"_n{k}")]
     out = out.select("*", *near)
     for k, c in enumerate(cols):

@@ -276,7 +276,8 @@ def lap_telemetry(m: Marts, session_key: int | None = None, laps: DataFrame | No
         "session_key", "driver_number", F.col("recorded_at").alias("loc_at"), "pos_x", "pos_y", "pos_z")
     loc = loc.join(lp.select("session_key", "driver_number").distinct(), ["session_key", "driver_number"], "left_semi")
     tel = asof_join(car, loc, ["session_key", "driver_number"], "recorded_at", "loc_at").drop("loc_at")
-    tel = seq_index(tel, ["session_key", "driver_number", "lap_number"], [F.col("recorded_at")], "dist", 0)
+    tel = seq_index(tel, ["session_key", "driver_number", "lap_number"], [F.col("recorded_at")], "dist", 0,
+                    bounded=True)
     return tel.select("session_key", "driver_number", "lap_number", "dist", *TEL_COLS, "pos_x", "pos_y", "pos_z")
 
 
@@ -303,7 +304,7 @@ def track_dominance(m: Marts, session_key: int | None = None, whole_seconds: boo
     grid_pts = (tel.join(first.select("session_key", "driver_number", "lap_number"),
                          ["session_key", "driver_number", "lap_number"], "left_semi")
                 .where(F.col("pos_x").isNotNull() & F.col("pos_y").isNotNull()))
-    grid_pts = seq_index(grid_pts, ["session_key"], [F.col("dist")], "point", 0)
+    grid_pts = seq_index(grid_pts, ["session_key"], [F.col("dist")], "point", 0, bounded=True)     # one lap
     n = grid_pts.groupBy("session_key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1)
     samples = tel.join(n, ["session_key"], "inner")
     res = resample_linear(samples, ["session_key", "driver_number", "driver_acronym"], [F.col("dist")],
@@ -327,7 +328,8 @@ def track_map(m: Marts, session_key: int | None = None, rotation_deg: float = 30
     ``-rotation_deg`` (W10 + F19 re-aimed from the external circuit map)."""
     tel = lap_telemetry(m, session_key, fastest_clean_laps(m, session_key)).select(
         "session_key", "driver_number", "lap_number", "dist", "pos_x", "pos_y")
-    filled = gap_fill_linear(tel, ["session_key", "driver_number", "lap_number"], [F.col("dist")], ["pos_x", "pos_y"])
+    filled = gap_fill_linear(tel, ["session_key", "driver_number", "lap_number"], [F.col("dist")], ["pos_x", "pos_y"],
+                             bucket=("dist", 4096))
     x, y = S.rotate2d(F.col("pos_x"), F.col("pos_y"), rotation_deg)
     return filled.select("session_key", "driver_number", "lap_number", "dist",
                          F.round(x, 6).alias("x"), F.round(y, 6).alias("y"))
