@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pitwall.llm import (chat, decontaminate, embeddings, language, lines, mixing, secret_scan, sharding, simhash,
-                         substring)
+from pitwall.llm import (chat, decontaminate, embeddings, language, lines, mixing, repair, secret_scan, sharding,
+                         simhash, substring)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -73,11 +73,24 @@ def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.render_maximal(table(spark, sf_dir, "conversations"))
 
 
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per conversation: its faults after damage, the cheapest repair and the repaired rows' digest."""
+    turns = table(spark, sf_dir, "conversations")
+    reports, repaired = repair.repair(repair.damage(turns))
+    key = lambda df, c: df.withColumn("key", repair.key_of(F.col(c)))
+    found = key(reports, "conv").drop("conv").join(repair.digests(repaired), "key", "left")
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("long").alias(c)
+    return (key(turns.select("conv_id").distinct(), "conv_id").join(found, "key", "left")
+            .select("conv_id", *[zero(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")],
+                    F.coalesce("audit", F.lit("")).alias("audit"),
+                    F.coalesce("repaired_sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
         op1_benchmark_decontamination, op2_embedding_near_dedup, op3_source_mixing, op4_substring_dedup,
         op5_line_dedup, op6_language_id, op7_secret_scan, op8_simhash_near_dedup, op9_sharding,
-        op10_chat_formatting)}
+        op10_chat_formatting, op12_conversation_repair)}
 
 
 # DuckDB SQL where SQL can express the whole result; the others are tested by brute force in tests/llm.
@@ -114,5 +127,77 @@ FROM conv ANTI JOIN inner_prefix USING (s) GROUP BY s""",
 }
 
 
+def _repair_moves() -> str:
+    """Rows (letter, g, g2, cost, audit): from grammar state g to g2 by up to two inserts and one row's edit.
+
+    States: 0 nothing yet, 1 after s, 2 after u, 3 after a. Letters: role initial (x: another), upper case if
+    truncated, D if the row must go.
+    """
+    due, rows = {0: 2, 1: 2, 2: 3, 3: 2}, []
+    for letter in "suaxSUAXD":
+        for g in range(4):
+            at, cost, audit = g, 0, ""
+            for _ in range(3):
+                rows.append((letter, g, at, cost + 2, audit + "D"))
+                if letter != "D":
+                    cut = 5 * letter.isupper()
+                    rows.append((letter, g, due[at], cost + 1 + cut, audit + "R"))
+                    to = {(0, "s"): 1, (0, "u"): 2, (1, "u"): 2, (2, "a"): 3, (3, "u"): 2}.get((at, letter.lower()))
+                    if to:
+                        rows.append((letter, g, to, cost + cut, audit + "K"))
+                at, cost, audit = due[at], cost + 5, audit + "I"
+    return ", ".join(map(str, rows))
+
+
+ORACLE_SQL["op12_conversation_repair"] = rf"""
+WITH RECURSIVE raw AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+         coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS k FROM conversations),
+crc AS (SELECT *, xor(list_reduce(list_prepend(4294967295, flatten(list_transform(string_split(k, ''),
+                lambda c: list_transform(range(8), lambda i: (ord(c) >> i) & 1)))),
+                lambda r, b: xor(r >> 1, (xor(r, b) & 1) * 3988292384)), 4294967295) % 20 AS h FROM raw),
+dam AS (SELECT conv_id, turn, CASE WHEN h = 4 THEN 'user' ELSE role END AS role,
+               CASE h WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+               unnest(range(CASE h WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)) AS copy FROM crc),
+num AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS pos FROM dam),
+flt AS (SELECT conv_id, turn, role, text, pos, lag(role[1]) OVER (PARTITION BY conv_id ORDER BY pos) || role[1] AS pair,
+               CASE WHEN NOT regexp_matches(text, '[^ 	-
+]') THEN 'blank'
+                    WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY pos) > 1 THEN 'duplicate'
+                    WHEN NOT regexp_matches(text, '[.!?][ 	-
+]*$') THEN 'truncated' END AS fault FROM num),
+sig AS (SELECT *, CASE WHEN fault IN ('blank', 'duplicate') THEN 'D' WHEN fault = 'truncated' THEN upper(i) ELSE i END AS letter
+        FROM (SELECT *, CASE WHEN role[1] IN ('s', 'u', 'a') THEN role[1] ELSE 'x' END AS i FROM flt) q),
+move(letter, g, g2, cost, audit) AS (VALUES {_repair_moves()}),
+dp AS (SELECT DISTINCT conv_id, CAST(0 AS BIGINT) AS pos, 0 AS g, '000000000' AS s FROM sig
+  UNION ALL SELECT d.conv_id, d.pos + 1, m.g2, min(lpad(CAST(CAST(d.s[1:9] AS BIGINT) + m.cost AS VARCHAR), 9, '0')
+                                                 || d.s[10:] || m.audit)
+  FROM dp d JOIN sig f ON f.conv_id IS NOT DISTINCT FROM d.conv_id AND f.pos = d.pos + 1
+  JOIN move m ON m.letter = f.letter AND m.g = d.g GROUP BY d.conv_id, d.pos, m.g2),
+size AS (SELECT conv_id, max(pos) AS n FROM sig GROUP BY conv_id),
+best AS (SELECT d.conv_id, min(lpad(CAST(CAST(s[1:9] AS BIGINT) + e.cost AS VARCHAR), 9, '0') || s[10:] || e.audit) AS s
+         FROM dp d JOIN size z ON z.conv_id IS NOT DISTINCT FROM d.conv_id AND d.pos = z.n
+         JOIN (VALUES (0, 0, ''), (1, 10, 'II'), (2, 5, 'I'), (3, 0, '')) e(g, cost, audit) ON e.g = d.g GROUP BY d.conv_id),
+edit AS (SELECT conv_id, unnest(string_split(s[10:], '')) AS e, unnest(range(1, length(s) - 8)) AS p FROM best),
+place AS (SELECT *, count(*) FILTER (e <> 'I') OVER (PARTITION BY conv_id ORDER BY p) AS pos FROM edit),
+kept AS (SELECT p.conv_id, e, p, role, text, row_number() OVER (PARTITION BY p.conv_id ORDER BY p) AS o,
+                first_value(e = 'K' AND role[1] = 's') OVER (PARTITION BY p.conv_id ORDER BY p) AS s
+         FROM place p LEFT JOIN sig f ON f.conv_id IS NOT DISTINCT FROM p.conv_id AND f.pos = p.pos AND p.e <> 'I' WHERE e <> 'D'),
+done AS (SELECT conv_id, string_agg(CASE WHEN e = 'K' THEN role WHEN (o - s::INT) % 2 = 1 THEN 'user' ELSE 'assistant' END
+                                    || ':' || CASE WHEN e = 'I' THEN '' ELSE text END, chr(10) ORDER BY p) AS text
+         FROM kept GROUP BY conv_id),
+told AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps,
+                count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate,
+                count(*) FILTER (fault = 'truncated') AS truncated,
+                count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal FROM flt GROUP BY conv_id)
+SELECT c.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate,
+       coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+       coalesce(CAST(b.s[1:9] AS BIGINT), 0) AS cost, coalesce(b.s[10:], '') AS audit,
+       sha256(coalesce(d.text, '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) c
+LEFT JOIN told t ON t.conv_id IS NOT DISTINCT FROM c.conv_id LEFT JOIN best b ON b.conv_id IS NOT DISTINCT FROM c.conv_id
+LEFT JOIN done d ON d.conv_id IS NOT DISTINCT FROM c.conv_id"""
+
+
 def oracle_sql() -> dict[str, str]:
     return dict(ORACLE_SQL)
