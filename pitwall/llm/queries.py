@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pitwall.llm import (chat, decontaminate, embeddings, language, lines, mixing, repair, secret_scan, sharding,
-                         simhash, substring)
+from pitwall.llm import (chat, decontaminate, embeddings, language, lines, mixing, phrases, repair, secret_scan,
+                         sharding, simhash, substring)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -86,11 +86,15 @@ def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
                     F.coalesce("repaired_sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256")))
 
 
+def op13_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
         op1_benchmark_decontamination, op2_embedding_near_dedup, op3_source_mixing, op4_substring_dedup,
         op5_line_dedup, op6_language_id, op7_secret_scan, op8_simhash_near_dedup, op9_sharding,
-        op10_chat_formatting, op12_conversation_repair)}
+        op10_chat_formatting, op12_conversation_repair, op13_phrase_collocations)}
 
 
 # DuckDB SQL where SQL can express the whole result; the others are tested by brute force in tests/llm.
@@ -126,6 +130,26 @@ SELECT min(conv_id) AS conv_id, len(s) AS n_turns, count(*) AS n_snapshots,
 FROM conv ANTI JOIN inner_prefix USING (s) GROUP BY s""",
 }
 
+ORACLE_SQL["op13_phrase_collocations"] = r"""
+WITH piece AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''),
+                      'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS p FROM documents),
+word AS (SELECT lang, regexp_extract_all(p, '[^\x20\x09]+') AS w FROM piece),
+every AS (SELECT lang, w[i:i + k - 1] AS s FROM (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i
+          FROM word, range(1, 4) x(k)) y),
+f AS (SELECT lang, s, count(*) AS n FROM every GROUP BY lang, s HAVING count(*) >= 10),
+total AS (SELECT lang, sum(len(w)) AS n FROM word GROUP BY lang),
+alone AS (SELECT lang, s, n FROM f WHERE len(s) > 1 AND NOT EXISTS (
+          SELECT 1 FROM f g WHERE g.lang = f.lang AND len(g.s) = 3 AND len(f.s) = 2
+          AND (g.s[1:2] = f.s OR g.s[2:3] = f.s) AND 100 * g.n >= 50 * f.n)),
+cut AS (SELECT c.lang, c.s, c.n AS a, c.k, x.n AS l, y.n AS r, 1000000 * c.n::HUGEINT * c.n // (x.n::HUGEINT * y.n) AS score
+        FROM (SELECT *, unnest(range(1, len(s))) AS k FROM alone) c
+        JOIN f x ON x.lang = c.lang AND x.s = c.s[1:c.k] JOIN f y ON y.lang = c.lang AND y.s = c.s[c.k + 1:]),
+low AS (SELECT *, row_number() OVER (PARTITION BY lang, s ORDER BY score, k) AS o FROM cut),
+best AS (SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, array_to_string(s, ' ')) AS rank,
+                array_to_string(s, ' ') AS phrase, a, l, r, score FROM low WHERE o = 1)
+SELECT best.lang, rank, phrase, a, l, r, CAST(total.n AS BIGINT) AS n, CAST(score AS BIGINT) AS score
+FROM best JOIN total ON total.lang = best.lang WHERE rank <= 2000"""
+
 
 def _repair_moves() -> str:
     """Rows (letter, g, g2, cost, audit): from grammar state g to g2 by up to two inserts and one row's edit.
