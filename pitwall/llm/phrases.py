@@ -41,11 +41,14 @@ BLOCKS = pa.schema([("block", pa.int64()), ("at", pa.binary()), ("codes", pa.bin
 
 
 def pack(values: np.ndarray) -> bytes:
-    return zstandard.compress(np.ascontiguousarray(values), 1)
+    """Numbers byte plane by byte plane (high bytes are mostly alike), compressed."""
+    planes = np.ascontiguousarray(values).view(np.uint8).reshape(-1, values.itemsize).T
+    return zstandard.compress(np.ascontiguousarray(planes), 1)
 
 
 def unpack(data: bytes, dtype) -> np.ndarray:
-    return np.frombuffer(zstandard.decompress(data), dtype)
+    planes = np.frombuffer(zstandard.decompress(data), np.uint8).reshape(np.dtype(dtype).itemsize, -1)
+    return np.ascontiguousarray(planes.T).view(dtype).reshape(-1)
 
 
 def pack_places(at: np.ndarray) -> bytes:
@@ -73,9 +76,9 @@ class Block:
     """Words of many texts, waiting to be written as one row."""
 
     def __init__(self):
-        self.keys, self.steps, self.words, self.size = [], [], {}, 0
+        self.texts, self.langs, self.size = [], {}, 0
 
-    def add(self, lang: str, texts: list[bytes], langs: dict[str, int]) -> None:
+    def add(self, lang: str, texts: list[bytes]) -> None:
         joined = b"\n".join(texts).lower() + b"\n"
         raw = np.frombuffer(joined, np.uint8)
         values, gap = byte_tables(BLANKS + ENDS)
@@ -86,33 +89,31 @@ class Block:
         ends = np.flatnonzero(gap & np.concatenate([[False], ~gap[:-1]]))
         piece = np.cumsum(byte_tables(ENDS)[1][raw])[starts]
         step = 1 + (np.diff(piece, prepend=piece[0] - 1) > 0)
-        key = mixed(range_hashes(values[raw], starts, ends) + np.uint64(langs.setdefault(lang, len(langs))))
-        distinct, first, inverse, n = np.unique(key, return_index=True, return_inverse=True, return_counts=True)
-        for k, i, c in zip(distinct.tolist(), first.tolist(), n.tolist()):
-            seen = self.words.get(k)
-            if seen is None:
-                self.words[k] = [lang, joined[starts[i]:ends[i]], c]
-            else:
-                seen[2] += c
-        self.keys.append(key)
-        self.steps.append(step)
+        key = mixed(range_hashes(values[raw], starts, ends) + np.uint64(self.langs.setdefault(lang, len(self.langs))))
+        self.texts.append((lang, joined, starts.astype(np.int32), ends.astype(np.int32), step.astype(np.int32), key))
         self.size += len(key)
 
     def row(self, number: int) -> pa.RecordBatch:
         """The block with its words numbered from the most frequent one."""
-        known = sorted(self.words.items(), key=lambda x: (-x[1][2], x[0]))
-        keys = np.fromiter((k for k, _ in known), np.uint64, len(known))
-        by_key = np.argsort(keys)
-        codes = by_key[np.searchsorted(keys, np.concatenate(self.keys), sorter=by_key)]
+        keys, steps = (np.concatenate([t[k] for t in self.texts]) for k in (5, 4))
+        _, first, inverse, count = np.unique(keys, return_index=True, return_inverse=True, return_counts=True)
+        order = np.argsort(-count, kind="stable")
+        code = np.empty(len(order), np.int32)
+        code[order] = np.arange(len(order))
+        place = np.cumsum([0, *(len(t[5]) for t in self.texts)])
+        firsts = first[order]
+        at, starts, ends = (x.tolist() for x in (np.searchsorted(place, firsts, "right") - 1, *(
+            np.concatenate([t[k] for t in self.texts])[firsts] for k in (2, 3))))
+        langs = [self.texts[t][0] for t in at]
+        words = [self.texts[t][1][s:e] for t, s, e in zip(at, starts, ends)]
         return pa.RecordBatch.from_pydict({
-            "block": [number], "at": [pack_places(np.cumsum(np.concatenate(self.steps)))],
-            "codes": [pack(codes.astype(np.int32))], "langs": [[v[0] for _, v in known]],
-            "words": [[v[1] for _, v in known]], "counts": [[v[2] for _, v in known]]}, schema=BLOCKS)
+            "block": [number], "at": [pack_places(np.cumsum(steps, dtype=np.int64))], "codes": [pack(code[inverse])],
+            "langs": [langs], "words": [words], "counts": [count[order]]}, schema=BLOCKS)
 
 
 def occurrence_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Blocks of the one-word relation from (lang, text) rows."""
-    base, made, block, langs = TaskContext.get().partitionId() << 20, 0, Block(), {}
+    base, made, block = TaskContext.get().partitionId() << 20, 0, Block()
     for batch in batches:
         for s in range(0, batch.num_rows, 256):
             part = batch.slice(s, 256)
@@ -120,17 +121,17 @@ def occurrence_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBa
             for lang, text in zip(part.column(0).to_pylist(), as_bytes(part.column(1))):
                 for piece in text_parts(text or b""):
                     if len(piece) >= TEXT_BYTES:
-                        block.add(lang, [piece], langs)
+                        block.add(lang, [piece])
                     else:
                         waiting.setdefault(lang, []).append(piece)
                     if block.size >= BLOCK:
                         yield block.row(base + made)
-                        made, block, langs = made + 1, Block(), {}
+                        made, block = made + 1, Block()
             for lang, texts in waiting.items():
-                block.add(lang, texts, langs)
+                block.add(lang, texts)
             if block.size >= BLOCK:
                 yield block.row(base + made)
-                made, block, langs = made + 1, Block(), {}
+                made, block = made + 1, Block()
     if block.size:
         yield block.row(base + made)
 
@@ -365,5 +366,5 @@ def collocations(docs: DataFrame, text_col: str = "text", lang_col: str = "lang"
     best = scored.groupBy("lang", "phrase", "a").agg(F.min(F.struct("score", "k", "l", "r")).alias("m")).select(
         "lang", "phrase", "a", "m.l", "m.r", "m.score")
     order = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
-    return (best.withColumn("rank", F.row_number().over(order).cast("long")).filter(F.col("rank") <= top)
-            .join(totals, "lang").select("lang", "rank", "phrase", "a", "l", "r", "n", "score"))
+    return (best.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= top)
+            .join(totals, "lang").select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score"))

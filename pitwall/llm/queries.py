@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pitwall.llm import (chat, decontaminate, embeddings, language, lines, mixing, phrases, repair, secret_scan,
-                         sharding, simhash, substring)
+from pitwall.llm import (chat, decontaminate, embeddings, extract, language, lines, mixing, phrases, repair,
+                         secret_scan, sharding, simhash, substring)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -73,6 +73,14 @@ def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.render_maximal(table(spark, sf_dir, "conversations"))
 
 
+def op11_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page, by weights fitted on made labelled pages."""
+    model = extract.train(extract.made_pages(spark))
+    found = extract.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"), model)
+    return found.select("page_id", "url", F.col("main_text").alias("text"),
+                        F.length("main_text").cast("long").alias("n_chars"))
+
+
 def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per conversation: its faults after damage, the cheapest repair and the repaired rows' digest."""
     turns = table(spark, sf_dir, "conversations")
@@ -94,7 +102,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
         op1_benchmark_decontamination, op2_embedding_near_dedup, op3_source_mixing, op4_substring_dedup,
         op5_line_dedup, op6_language_id, op7_secret_scan, op8_simhash_near_dedup, op9_sharding,
-        op10_chat_formatting, op12_conversation_repair, op13_phrase_collocations)}
+        op10_chat_formatting, op11_html_extraction, op12_conversation_repair, op13_phrase_collocations)}
 
 
 # DuckDB SQL where SQL can express the whole result; the others are tested by brute force in tests/llm.

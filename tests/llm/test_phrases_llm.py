@@ -7,7 +7,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from llm_helpers import SF_SMALL
+from llm_helpers import SF_SMALL, edge_docs, edge_rows, no_docs  # noqa: F401
 from pitwall.llm import phrases
 
 NAMES = ("lang", "rank", "phrase", "a", "l", "r", "n", "score")
