@@ -17,6 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from pitwall.llm.common import importable, tasks_for
 from pitwall.llm.html_blocks import Block, leaf_blocks
@@ -245,4 +246,4 @@ def extract(pages: DataFrame, model: Model, html_col: str = "html", out: str = "
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())],
                                                  names=[*part.schema.names, out])
 
-    return pages.mapInArrow(run, pages.schema.add(out, "string"))
+    return pages.mapInArrow(run, StructType([*pages.schema.fields, StructField(out, StringType())]))

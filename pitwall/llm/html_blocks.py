@@ -6,7 +6,9 @@ import html
 import re
 from dataclasses import dataclass, field
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[^>]*\Z",
+# A comment, a declaration, a tag (with quoted values, or else up to the next ">"), an unfinished tag at the end.
+TAG = r"<(/?)([a-zA-Z][^\s/>]*)"
+TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<[!?][^>]*>|{TAG}((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|{TAG}([^>]*)>|<[/!?a-zA-Z][^>]*\Z",
                    re.S)
 ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
@@ -98,9 +100,10 @@ def leaf_blocks(page: str) -> list[Block]:
             break
         say(page[at:m.start()])
         at = m.end()
-        if not m[2]:
+        closing, tag, attributes = m.group(1, 2, 3) if m[2] else m.group(4, 5, 6)
+        if not tag:
             continue
-        closing, tag = m[1], m[2].lower()
+        tag = tag.lower()
         if closing:
             for depth in range(len(stack) - 1, -1, -1):
                 if stack[depth][0] == tag:
@@ -140,7 +143,7 @@ def leaf_blocks(page: str) -> list[Block]:
                     del stack[depth:]
                     break
         serial += 1
-        if not m[3].rstrip().endswith("/") or tag not in INLINE:
-            stack.append((tag, names_of(m[3]), serial))
+        if not attributes.rstrip().endswith("/") or tag not in INLINE:
+            stack.append((tag, names_of(attributes), serial))
     end()
     return out

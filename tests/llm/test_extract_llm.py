@@ -29,7 +29,7 @@ def texts(page):
     ("<ul><li>x<li>y<ul><li>z</ul></ul>", ["x", "y", "z"]), ("<table><tr><td>1<td>2<tr><td>3</table>", ["1", "2", "3"]),
     ("<p>x &amp; y &lt;z&gt; &#233;&eacute; &copy;</p>", ["x & y <z> éé ©"]), ("<p>a&nbsp;\n\t b</p>", ["a b"]),
     ("<script>var t='</p><p>no';</script>yes<style>p{}</style>", ["yes"]), ("<!-- <p>no</p> -->yes<!--", ["yes"]),
-    ("<head><title>no</title></head><body>yes", ["yes"]), ("<p title='a>b'>yes</p>", ["yes"]), ("a < b", ["a < b"]),
+    ("<head><title>no</title></head><body>yes", ["yes"]), ("<p title='a>b'>yes</p>", ["yes"]), ("a < b", ["a < b"]), ("<p title='x>yes</p>", ["yes"]),
     ("<p>a</div>b</p>", ["ab"]), ("yes<a href='", ["yes"]), ("<SCRIPT>no</Script >yes<BR>more", ["yes more"]),
     ("<p>one</p><hr>two", ["one", "two"]), ("<textarea>no</textarea>yes", ["yes"]), ("<script>never closed", [])])
 def test_leaf_blocks(page, want):
