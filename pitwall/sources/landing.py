@@ -9,6 +9,7 @@ Load guards are anti-joins against the keys already landed.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 from functools import reduce
 
@@ -18,6 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType, TimestampType, VariantType
 
 from pitwall.functions.variant import RAW, raw_path
+from pitwall.session import materialize
 
 RAW_SCHEMA = StructType([StructField(RAW, VariantType()), StructField("loaded_at", TimestampType()),
                          StructField("endpoint", StringType())])
@@ -119,6 +121,88 @@ def write_raw(accepted: DataFrame, raw_dir: str) -> None:
     with_session_key(accepted).write.mode("append").partitionBy("endpoint").parquet(raw_dir)
 
 
+# --------------------------------------------------------------------------- load manifest
+class LoadManifest:
+    """The keys landed so far, by endpoint, beside the RAW table.
+
+    The guard of a load reads this small table of distinct keys instead of
+    parsing a key out of every landed record. Each load writes its keys twice:
+    as ``announced`` before its records are appended to RAW and as ``landed``
+    after that. A load that is announced but not landed was cut short, so its
+    keys are looked up in RAW once more (``recover``); a lost manifest is made
+    again from RAW (``rebuild``).
+    """
+
+    def __init__(self, spark: SparkSession, raw_dir: str, manifest_dir: str, key_paths: Sequence[str] = ("session_key",)):
+        self.spark, self.raw_dir, self.dir, self.key_paths = spark, raw_dir, manifest_dir.rstrip("/"), list(key_paths)
+        self.schema = StructType([StructField("load", StringType()), StructField("endpoint", StringType()),
+                                  *[StructField(k, StringType()) for k in self.key_paths],
+                                  StructField("state", StringType())])
+
+    def keys_of(self, records: DataFrame) -> DataFrame:
+        """Distinct (endpoint, keys) of RAW records; a key that is absent or null is null."""
+        return records.select("endpoint", *[F.try_variant_get(F.col(RAW), f"$.{p}", "string").alias(p)
+                                            for p in self.key_paths]).distinct()
+
+    def _rows(self) -> DataFrame:
+        try:
+            return self.spark.read.schema(self.schema).parquet(self.dir)
+        except AnalysisException as e:
+            if "PATH_NOT_FOUND" not in str(e) and "Path does not exist" not in str(e):
+                raise
+            return self.spark.createDataFrame([], self.schema)
+
+    def _append(self, keys: DataFrame, load: str, state: str, mode: str = "append") -> None:
+        keys.select(F.lit(load).alias("load"), "endpoint", *self.key_paths, F.lit(state).alias("state")) \
+            .write.mode(mode).partitionBy("state").parquet(self.dir)
+
+    def landed(self) -> DataFrame:
+        """Distinct (endpoint, keys) landed so far."""
+        return self._rows().where("state = 'landed'").select("endpoint", *self.key_paths).distinct()
+
+    def cut_short(self) -> DataFrame:
+        """(load, endpoint, keys) of loads that were announced but not recorded as landed."""
+        rows = self._rows()
+        done = rows.where("state = 'landed'").select("load").distinct()
+        return rows.where("state = 'announced'").drop("state").join(done, ["load"], "left_anti")
+
+    def recover(self) -> None:
+        """Record what loads that were cut short had appended to RAW before."""
+        open_keys = self.cut_short()
+        loads = materialize(open_keys, "cut_short")
+        if loads.isEmpty():
+            return
+        cond = reduce(lambda a, b: a & b, [F.col(f"r.{k}").eqNullSafe(F.col(f"c.{k}")) for k in ["endpoint", *self.key_paths]])
+        there = self.keys_of(self.spark.read.parquet(self.raw_dir)).alias("r").join(loads.alias("c"), cond, "left_semi")
+        done = loads.alias("c").join(there.alias("r"), cond, "left_semi").select("c.load", "c.endpoint",
+                                                                            *[f"c.{k}" for k in self.key_paths])
+        # a load of which nothing arrived is closed by a row without an endpoint
+        closed = loads.select("load").distinct().select("load", F.lit(None).cast("string").alias("endpoint"), *[
+            F.lit(None).cast("string").alias(k) for k in self.key_paths])
+        materialize(done.unionByName(closed), "recovered").withColumn("state", F.lit("landed")) \
+            .write.mode("append").partitionBy("state").parquet(self.dir)
+
+    def rebuild(self) -> None:
+        """The manifest made again from RAW."""
+        self._append(self.keys_of(self.spark.read.parquet(self.raw_dir)), "rebuilt", "landed", mode="overwrite")
+
+    def new_records(self, records: DataFrame) -> DataFrame:
+        """Records whose endpoint and keys are not landed yet; RAW is not read."""
+        return land_new(records, self.landed(), self.key_paths)
+
+    def load(self, records: DataFrame) -> None:
+        """Append the new ones of ``records`` to RAW and their keys to the manifest."""
+        self.recover()
+        fresh = materialize(self.new_records(records), "fresh")
+        if fresh.isEmpty():
+            return
+        load = uuid.uuid4().hex
+        keys = materialize(self.keys_of(fresh), "keys")
+        self._append(keys, load, "announced")
+        write_raw(fresh, self.raw_dir)
+        self._append(keys, load, "landed")
+
+
 def read_raw(spark: SparkSession, raw_dir: str, endpoint: str) -> DataFrame:
     """One endpoint of the RAW table (partition pruned)."""
     return spark.read.parquet(raw_dir).where(F.col("endpoint") == endpoint).select(RAW, "loaded_at")
@@ -131,7 +215,7 @@ def land_new(new: DataFrame, landed: DataFrame, key_paths: Sequence[str]) -> Dat
     on every run, and within an endpoint where both sides carry one. A typed
     column named like the path is used instead of parsing the record.
     """
-    def keyed(df):
+    def keyed(df):      # a manifest has its keys as columns
         return [(F.col(p).cast("string") if p in df.columns else
                  F.try_variant_get(F.col(RAW), f"$.{p}", "string")) for p in key_paths]
     scoped = "endpoint" in new.columns and "endpoint" in landed.columns

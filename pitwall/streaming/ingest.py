@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from pitwall.operators.dedupe import latest_per_key
+from pitwall.operators.dedupe import latest_per_key, row_hash
 from pitwall.operators.joins import enrich
 from pitwall.plans.staging import StagingModel, stage
 from pitwall.session import cut_lineage
@@ -75,7 +75,9 @@ def upsert_latest(spark: SparkSession, batch_raw: DataFrame, model: StagingModel
         if not any(m in str(e) for m in ("PATH_NOT_FOUND", "Path does not exist", "UNABLE_TO_INFER_SCHEMA")):
             raise
         merged = new
-    out = latest_per_key(merged, model.keys)
+    # ties fall as in a full staging run: by the hash of the typed record
+    out = latest_per_key(merged, model.keys, tiebreak=[row_hash(merged, exclude=("loaded_at", "year")).desc()]
+                         if model.with_year else [row_hash(merged, exclude=("loaded_at",)).desc()])
     # the rewrite reads partitions it overwrites: cut lineage through the
     # shared checkpoint folder first
     out = cut_lineage(out, spark)
