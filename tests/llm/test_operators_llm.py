@@ -207,6 +207,52 @@ def test_patience_blocks():
     assert lines.patience_blocks([1, 2, 7, 8], [7, 8, 1, 2]) in ([(0, 2)], [(2, 4)])   # order is kept
 
 
+def longest(pairs):
+    """A longest chain of pairs that rises on both sides, by plain dynamic programming."""
+    best = []
+    for k, (i, j) in enumerate(pairs):
+        before = max((best[m] for m in range(k) if pairs[m][0] < i and pairs[m][1] < j), key=len, default=[])
+        best.append([*before, (i, j)])
+    return max(best, key=len, default=[])
+
+
+def aligned_lines(a, b, worded):
+    """Lines of b in the blocks that patience diff aligns with a; the rule written as a recursion."""
+    taken = set()
+
+    def stretch(s, e, t, u):
+        while s < e and t < u and a[s] == b[t]:
+            taken.add(t)
+            s, t = s + 1, t + 1
+        while s < e and t < u and a[e - 1] == b[u - 1]:
+            e, u = e - 1, u - 1
+            taken.add(u)
+        x, y = a[s:e], b[t:u]
+        once = [v for v in x if worded(v) and x.count(v) == 1 and y.count(v) == 1]
+        chain = longest([(s + x.index(v), t + y.index(v)) for v in once])
+        if not once:
+            chain = longest([(s + i, t + j) for i, v in enumerate(x) for j, w in enumerate(y) if v == w and worded(v)])
+        at = (s, t)
+        for i, j in chain:
+            taken.add(j)
+            stretch(at[0], i, at[1], j)
+            at = (i + 1, j + 1)
+        if chain:
+            stretch(at[0], e, at[1], u)
+
+    blank = lambda v: v if worded(v) else ""
+    a, b = list(map(blank, a)), list(map(blank, b))
+    stretch(0, len(a), 0, len(b))
+    out, run = set(), []
+    for k in range(len(b) + 1):         # a block must have a line with words
+        if k in taken:
+            run.append(k)
+        else:
+            out |= set(run) if any(worded(b[x]) for x in run) else set()
+            run = []
+    return out
+
+
 def brute_lines(docs):
     split = [(i, t.split("\n") if t else []) for i, t in docs]
     worded = lambda x: x.strip(" \t\r\x0b\x0c") != ""
@@ -218,19 +264,14 @@ def brute_lines(docs):
         for x in set(filter(worded, t.split("\n"))):
             hold.setdefault(x, t)
             df[x] += 1
-    code = defaultdict(lambda: len(code) + 1)
     out = []
     for (i, t), (_, ls) in zip(docs, split):
         gone = set()
         if t and first[t] != i:
             gone = set(range(len(ls))) if any(map(worded, ls)) else set()
         elif t:
-            named = [(df[x], hold[x]) for x in set(filter(worded, ls)) if df[x] > 1 and hold[x] != t]
-            limit = float(np.median([n for n, _ in named])) if named else 0
-            for p in {h for n, h in named if n <= limit}:
-                enc = lambda s: [code[x] if worded(x) else 0 for x in s.split("\n")]
-                for a, b in lines.patience_blocks(enc(p), enc(t)):
-                    gone.update(range(a, b))
+            for p in {hold[x] for x in filter(worded, ls) if df[x] > 1} - {t}:
+                gone |= aligned_lines(p.split("\n"), ls, worded)
         out.append((i, len(ls), len(gone), "\n".join(x for k, x in enumerate(ls) if k not in gone)))
     return Counter(out)
 
