@@ -34,6 +34,7 @@ BLOCK = 1 << 20                     # words of a block, from which it is closed
 TEXT_BYTES = 1 << 22                # longer texts are read in parts, cut between pieces
 CODE_BITS = 24                      # groups of a block; block numbers are above
 SHARE = 1 << 20                     # words a partition of a count is sized for
+RANK_SHARES = 64                    # shares of a language's phrases that are ranked apart first
 UNKNOWN = "und"
 
 BLOCKS = pa.schema([("block", pa.int64()), ("at", pa.binary()), ("codes", pa.binary()),
@@ -365,6 +366,10 @@ def collocations(docs: DataFrame, text_col: str = "text", lang_col: str = "lang"
         "score", cut_score("a", "l", "r"))
     best = scored.groupBy("lang", "phrase", "a").agg(F.min(F.struct("score", "k", "l", "r")).alias("m")).select(
         "lang", "phrase", "a", "m.l", "m.r", "m.score")
-    order = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
-    return (best.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= top)
+    # each share of a language sends its own best ones, so that no task ranks a whole language
+    by = [F.desc("score"), F.desc("a"), F.col("phrase")]
+    share_of = best.withColumn("part", F.pmod(F.xxhash64("phrase"), F.lit(RANK_SHARES)))
+    firsts = share_of.withColumn("rank", F.row_number().over(Window.partitionBy("lang", "part").orderBy(*by))).filter(
+        F.col("rank") <= top)
+    return (firsts.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*by))).filter(F.col("rank") <= top)
             .join(totals, "lang").select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score"))
