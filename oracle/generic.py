@@ -211,4 +211,18 @@ SELECT event_id, {laptime('value * 3')} AS lap_text,
        CASE WHEN value - 100 IS NULL THEN {DASH} ELSE printf('%+.3f', value - 100) END AS delta_text FROM events""",
 }
 
+SQL["streamed_asof"] = SQL["asof_view_purchase"]
+SQL["streamed_first_wins"] = "SELECT DISTINCT event_id, user_id FROM events"
+SQL["streamed_enrich"] = """
+SELECT o_orderkey, o_custkey AS c_custkey, c_name FROM orders LEFT JOIN customer ON o_custkey = c_custkey AND c_custkey % 7 <> 0"""
+SQL["landing_subset"] = """
+WITH line AS (SELECT endpoint, event_id % 6 AS k, user_id FROM events, (VALUES ('laps', 0), ('pit', 1), ('sessions', 2)) x(endpoint, i)
+              WHERE event_id % 4 >= i),
+acc AS (SELECT endpoint, k FROM line WHERE k >= 3 AND (endpoint = 'sessions' OR (k <> 4 AND user_id IN (
+        SELECT c_custkey FROM customer WHERE c_custkey % 2 = 0))))
+SELECT endpoint, 'accepted' AS kind, count(*) AS n FROM acc GROUP BY ALL
+UNION ALL SELECT endpoint, 'rejected', count(*) FROM line WHERE k <= 3 GROUP BY ALL
+UNION ALL SELECT endpoint, 'without key', count(*) FROM acc WHERE k = 4 GROUP BY ALL"""
+SQL["series_ordinals"] = """
+SELECT event_id, row_number() OVER (ORDER BY ts, event_id) AS nth, count(*) OVER () AS n FROM events"""
 SQL["landing_laps_roundtrip"] = "SELECT * FROM stg_laps"

@@ -1,10 +1,11 @@
 """Join operators: star enrichment, range joins, adjacent-interval and as-of joins.
 
 Range and as-of joins never fall back to a nested-loop or cartesian plan.
-Both are rewritten into equi-joins on (keys, bucket): an interval is
+Range joins are rewritten into equi-joins on (keys, bucket): an interval is
 exploded over the buckets it covers and a point lands in exactly one bucket,
 so a key that holds a large share of the rows is still spread over as many
-shuffle partitions as it has buckets.
+shuffle partitions as it has buckets. As-of joins cut a key's time into equal
+shares of rows.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import (DataType, IntegralType, TimestampNTZType, TimestampType)
+from pyspark.sql.types import (DataType, DoubleType, IntegralType, TimestampNTZType, TimestampType)
 
 from pitwall.operators.dedupe import keep_first
 
@@ -212,69 +213,112 @@ def adjacent_join(events: DataFrame, intervals: DataFrame, on: Sequence[str], po
     return events.join(b, [*on, point], "left").join(a, [*on, point], "left")
 
 
+def overlap_free(intervals: DataFrame, on: Sequence[str], lo: str, hi: str, width: float) -> bool:
+    """Whether the intervals of each key share end points at most (one job over the intervals alone).
+
+    Each interval meets the next one of its key by ordinal. Intervals that hold no point are not counted.
+    """
+    from pitwall.operators.timeseries import seq_index
+    iv = _holding(intervals, lo, hi).select(*on, F.col(lo).alias("_lo"), F.col(hi).alias("_hi"))
+    iv = seq_index(iv, on, [F.col("_lo"), F.col("_hi")], "_i", bucket=("_lo", 64 * width))
+    after = iv.select(*on, (F.col("_i") - 1).alias("_i"), F.col("_lo").alias("_next"))
+    return iv.join(after, [*on, "_i"]).where(F.col("_next") < F.col("_hi")).isEmpty()
+
+
+def _holding(intervals: DataFrame, lo: str, hi: str) -> DataFrame:
+    return intervals.where(F.col(lo) <= F.col(hi))
+
+
 def locate(points: DataFrame, intervals: DataFrame, on: Sequence[str], ts: str, lo: str,
            hi: str, order: Sequence[Column], point_key: Sequence[str] | None = None,
-           width: float | None = None) -> DataFrame:
+           width: float | None = None, disjoint: bool | None = None) -> DataFrame:
     """Point-in-interval lookup: each point gets the first (by ``order``)
-    closed interval containing it; points in no interval are dropped."""
-    return range_join(points, intervals, on, ts, lo, hi, how="inner", width=width,
-                      first_by=order, point_key=point_key)
+    closed interval containing it; points in no interval are dropped.
+
+    Where the intervals of a key share end points at most (``disjoint``; None
+    asks ``overlap_free``), a point's interval is the latest that starts at or
+    before it, if it reaches that far: one as-of join, without exploding
+    intervals over buckets. Otherwise it is a range join. Points must be
+    distinct by ``point_key`` (default ``on + [ts]``).
+    """
+    width = _default_width(points.schema[ts].dataType, width)
+    if disjoint is None:
+        disjoint = overlap_free(intervals, on, lo, hi, width)
+    if not disjoint:
+        return range_join(points, intervals, on, ts, lo, hi, how="inner", width=width,
+                          first_by=order, point_key=point_key)
+    icols = [c for c in intervals.columns if c not in on]
+    _check_collisions(points, icols, on)
+    iv = _holding(intervals, lo, hi)
+    # several intervals may hold a shared end point: the first one by order owns it
+    ends = keep_first(iv.withColumn("_end", F.explode(F.array(lo, hi))), [*on, "_end"], order)
+    owner = ends.select(*on, F.col("_end").alias("_lo"), F.struct(*icols).alias("_own"))
+    starts = iv.select(*on, F.col(lo).alias("_lo"), F.col(hi).alias("_hi"), F.struct(*icols).alias("_iv")) \
+        .join(owner, [*on, "_lo"])
+    met = asof_join(points, starts.select(*on, "_lo", "_hi", "_iv", "_own"), on, ts, "_lo")
+    found = F.when(F.col(ts) == F.col("_lo"), F.col("_own")).when(F.col(ts) <= F.col("_hi"), F.col("_iv"))
+    return met.withColumn("_f", found).where(F.col("_f").isNotNull()).select(
+        *points.columns, *[F.col(f"_f.`{c}`").alias(c) for c in icols])
 
 
 # --------------------------------------------------------------------------- as-of join
+def asof_parts(left: DataFrame, right: DataFrame, on: Sequence[str], left_ts: str, right_ts: str,
+               bucket_seconds: float | None = None) -> DataFrame:
+    """(on, _t, _k, _p, _sb): distinct instants of both sides (left: ``_k`` 1; right: 0, with its largest row
+    ``_p``) with the part ``_sb`` of their key's time that they are in.
+
+    Parts are equal shares of all instants in (key, time) order, so that a key
+    however dense is spread; or buckets of ``bucket_seconds`` (key units for
+    numeric keys).
+    """
+    from pitwall.operators.timeseries import equal_parts
+    lt, rt = left.schema[left_ts].dataType, right.schema[right_ts].dataType
+    common = lt if _is_time(lt) or lt == rt else DoubleType()
+    known = lambda df, ts: df.where(reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in [*on, ts]]))
+    payload = F.struct(*[c for c in right.columns if c not in on])
+    R = known(right, right_ts).groupBy(*on, F.col(right_ts).cast(common).alias("_t")).agg(F.max(payload).alias("_p"))
+    L = known(left, left_ts).select(*on, F.col(left_ts).cast(common).alias("_t")).distinct()
+    both = R.select(*on, "_t", F.lit(0).alias("_k"), "_p").unionByName(
+        L.select(*on, "_t", F.lit(1).alias("_k"), F.lit(None).cast(R.schema["_p"].dataType).alias("_p")))
+    if bucket_seconds is None:
+        return equal_parts(both, on, [F.col("_t"), F.col("_k")])
+    return both.withColumn("_sb", bucket_of(F.col("_t"), common, bucket_seconds))
+
+
 def asof_join(left: DataFrame, right: DataFrame, on: Sequence[str], left_ts: str,
               right_ts: str, tolerance: float | None = None,
-              bucket_seconds: float = 3600.0) -> DataFrame:
+              bucket_seconds: float | None = None) -> DataFrame:
     """Backward as-of LEFT join: every left row gets the latest right row
     with equal keys and ``right_ts <= left_ts``; no match gives nulls.
 
-    Plan: rows are bucketed by time. The latest right row of every earlier
-    bucket is carried into each bucket (one small aggregate + a window over
-    bucket ids), then a single window per (keys, bucket) runs over left and
-    right rows together. Equal timestamps match (right sorts first); among
-    right rows with equal time the largest row wins, so results are stable.
-    For numeric keys ``bucket_seconds`` is the bucket width in key units.
-    NULL keys or times never match.
+    Plan: the distinct instants of both sides are cut into parts per key
+    (``asof_parts``); one window per (keys, part) finds each left instant's
+    latest right row, and the last one of earlier parts is carried in by a
+    small aggregate plus a window over parts. Left rows then meet their
+    instant's match by key and time, so they are not dragged through a sort.
+    Among right rows with equal time the largest row wins, so results are
+    stable. NULL keys or times never match.
     """
     rcols = [c for c in right.columns if c not in on]
     _check_collisions(left, rcols, on)
     lt, rt = left.schema[left_ts].dataType, right.schema[right_ts].dataType
     if _is_time(lt) != _is_time(rt):
         raise ValueError("as-of keys must both be timestamps or both numeric")
-    width = bucket_seconds
-    # rows that can never match (NULL key or time) must not meet NULL-keyed left rows in a window
-    right = right.where(reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in [*on, right_ts]]))
-    rstruct = F.struct(F.col(right_ts).alias("_t"), F.struct(*rcols).alias("_p"))
-    R = right.select(*on, rstruct.alias("_r"), bucket_of(F.col(right_ts), rt, width).alias("_b"))
-    rtype = R.schema["_r"].dataType
-
-    last_in_bucket = R.groupBy(*on, "_b").agg(F.max("_r").alias("_r"))
-    left_b = left.withColumn("_b", bucket_of(F.col(left_ts), lt, width))
-    marks = (left_b.select(*on, "_b").distinct()
-             .select(*on, "_b", F.lit(None).cast(rtype).alias("_r"), F.lit(0).alias("_k"))
-             .unionByName(last_in_bucket.withColumn("_k", F.lit(1))))
-    wc = Window.partitionBy(*on).orderBy("_b", "_k").rowsBetween(Window.unboundedPreceding, -1)
-    carry = (marks.withColumn("_c", F.last("_r", ignorenulls=True).over(wc))
-             .where((F.col("_k") == 0) & F.col("_c").isNotNull())
-             .select(*on, "_b", F.col("_c").alias("_r")))
-
-    ltype = left.schema[left_ts].dataType
-    lstruct = F.struct(*[F.col(c) for c in left.columns])
-    L = left_b.select(*on, "_b", F.col(left_ts).cast(ltype).alias("_t"), F.lit(1).alias("_k"),
-                      F.lit(None).cast(rtype).alias("_r"), lstruct.alias("_l"))
-    ltype_struct = L.schema["_l"].dataType
-    Rrows = (R.unionByName(carry)
-             .select(*on, "_b", F.col("_r._t").cast(ltype).alias("_t"), F.lit(0).alias("_k"),
-                     "_r", F.lit(None).cast(ltype_struct).alias("_l")))
-    w = (Window.partitionBy(*on, "_b").orderBy("_t", "_k", "_r")
-         .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    m = (L.unionByName(Rrows)
-         .withColumn("_m", F.last("_r", ignorenulls=True).over(w))
-         .where(F.col("_k") == 1))
+    d = asof_parts(left, right, on, left_ts, right_ts, bucket_seconds)
+    common = d.schema["_t"].dataType
+    last_of = d.groupBy(*on, "_sb").agg(F.max_by("_p", F.when(F.col("_k") == 0, F.col("_t"))).alias("_c"))
+    earlier = Window.partitionBy(*on).orderBy("_sb").rowsBetween(Window.unboundedPreceding, -1)
+    carry = last_of.withColumn("_c", F.last("_c", ignorenulls=True).over(earlier)).where(F.col("_c").isNotNull())
+    so_far = (Window.partitionBy(*on, "_sb").orderBy("_t", "_k")
+              .rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    m = (d.withColumn("_m", F.last("_p", ignorenulls=True).over(so_far)).where(F.col("_k") == 1)
+         .join(carry, [*on, "_sb"], "left").withColumn("_m", F.coalesce("_m", "_c"))
+         .where(F.col("_m").isNotNull()))
     if tolerance is not None:
-        gap = (epoch_micros(F.col("_t"), ltype) - epoch_micros(F.col("_m._t"), ltype)
-               if _is_time(lt) else F.col("_t") - F.col("_m._t"))
-        limit = tolerance * 1_000_000 if _is_time(lt) else tolerance
-        m = m.withColumn("_m", F.when(gap <= F.lit(limit), F.col("_m")))
-    return m.select(*[F.col(f"_l.{c}").alias(c) for c in left.columns],
-                    *[F.col(f"_m._p.{c}").alias(c) for c in rcols])
+        gap = (epoch_micros(F.col("_t"), common) - epoch_micros(F.col(f"_m.`{right_ts}`").cast(common), common)
+               if _is_time(lt) else F.col("_t") - F.col(f"_m.`{right_ts}`"))
+        m = m.where(gap <= F.lit(tolerance * 1_000_000 if _is_time(lt) else tolerance))
+    m = m.select(*[F.col(c).alias(f"_k_{c}") for c in on], F.col("_t").alias("_k_t"), "_m")
+    cond = reduce(lambda a, b: a & b, [F.col(c) == F.col(f"_k_{c}") for c in on],
+                  F.col(left_ts).cast(common) == F.col("_k_t"))
+    return left.join(m, cond, "left").select(*left.columns, *[F.col(f"_m.`{c}`").alias(c) for c in rcols])

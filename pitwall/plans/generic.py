@@ -165,7 +165,7 @@ def asof_view_purchase(t: Tables) -> DataFrame:
     p = t.events.where("event_type = 'purchase'").select("event_id", "user_id", "ts")
     v = t.events.where("event_type = 'view'").select("user_id", F.col("event_id").alias("view_id"),
                                                      F.col("ts").alias("view_ts"), F.col("value").alias("view_value"))
-    return asof_join(p, v, ["user_id"], "ts", "view_ts", bucket_seconds=86400.0)
+    return asof_join(p, v, ["user_id"], "ts", "view_ts")
 
 
 def point_in_interval(t: Tables) -> DataFrame:
@@ -211,15 +211,15 @@ def range_join_long(t: Tables) -> DataFrame:
         .select("l_orderkey", "l_linenumber", "span_order")
 
 
-def _event_lines(t: Tables) -> DataFrame:
-    """Landing lines of the events: good objects, arrays, JSON-null keys, bad keys, junk (by event id)."""
+def _event_lines(t: Tables, where: str = "true") -> DataFrame:
+    """Landing lines of the events that ``where`` selects: good objects, arrays, JSON-null keys, bad keys, junk (by event id)."""
     k = F.col("event_id") % 6
     u, d, i = (c.cast("string") for c in (F.col("user_id"), F.col("event_id") % 20, F.col("event_id")))
     rec = F.concat(F.lit('{"session_key": '), u, F.lit(', "driver_number": '), d, F.lit(', "id": '), i, F.lit("}"))
     line = (F.when(k == 0, F.lit("oops")).when(k == 1, F.lit('{"session_key": "abc"}')).when(k == 2, F.lit("[1, 2]"))
             .when(k == 3, F.concat(F.lit("["), rec, F.lit(', {"session_key": "x"}]')))
             .when(k == 4, F.concat(F.lit('{"session_key": null, "id": '), i, F.lit("}"))).otherwise(rec))
-    return t.events.select(line.alias("value"))
+    return t.events.where(where).select(line.alias("value"))
 
 
 def landing_report(t: Tables) -> DataFrame:
@@ -294,6 +294,87 @@ def streamed_latest(t: Tables) -> DataFrame:
     return t.spark.read.parquet(f"{base}/staged").select("session_key", "driver_number", "grid_position")
 
 
+def _stream_base(t: Tables) -> str:
+    import uuid
+
+    from pitwall.session import checkpoint_dir
+    return f"{checkpoint_dir(t.spark).rstrip('/')}/stream-{uuid.uuid4().hex}"
+
+
+def _run_stream(stream: DataFrame, base: str, conf: tuple[str, str] | None = None) -> DataFrame:
+    """All available input through the stream into a table, which is read back."""
+    spark = stream.sparkSession
+    old = spark.conf.get(conf[0], None) if conf else None
+    if conf:
+        spark.conf.set(*conf)
+    try:
+        stream.writeStream.format("parquet").option("path", f"{base}/out").option(
+            "checkpointLocation", f"{base}/checkpoint").outputMode("append").trigger(availableNow=True).start() \
+            .awaitTermination()
+    finally:
+        if conf:
+            spark.conf.set(conf[0], old) if old else spark.conf.unset(conf[0])
+    return spark.read.schema(stream.schema).parquet(f"{base}/out")
+
+
+def streamed_asof(t: Tables) -> DataFrame:
+    """J8 as a stream: purchases with the user's latest view, from files of events in no order;
+    a last file with a far instant settles what waits."""
+    from pitwall.streaming.asof import STATE_STORE, asof_stream
+    base = _stream_base(t)
+    ev = t.events.select("event_id", "user_id", "ts", "event_type", "value")
+    ev.repartition(4, "event_id").write.parquet(f"{base}/src")
+    far = t.spark.range(1).selectExpr("CAST(NULL AS BIGINT) AS event_id", "CAST(NULL AS BIGINT) AS user_id",
+                                      "TIMESTAMP_NTZ'2200-01-01 00:00:00' AS ts", "'purchase' AS event_type",
+                                      "CAST(NULL AS DOUBLE) AS value")
+    far.select(*[F.col(f.name).cast(f.dataType) for f in ev.schema.fields]).write.mode("append").parquet(f"{base}/src")
+    s = t.spark.readStream.schema(ev.schema).option("maxFilesPerTrigger", 3).parquet(f"{base}/src")
+    p = s.where("event_type = 'purchase'").select("event_id", "user_id", "ts")
+    v = s.where("event_type = 'view'").select("user_id", F.col("event_id").alias("view_id"),
+                                              F.col("ts").alias("view_ts"), F.col("value").alias("view_value"))
+    return _run_stream(asof_stream(p, v, ["user_id"], "ts", "view_ts", "36500 days"), base, STATE_STORE)
+
+
+def streamed_first_wins(t: Tables) -> DataFrame:
+    """ST3: every third event is sent twice; the stream keeps one of each."""
+    from pitwall.streaming.ingest import first_wins
+    base = _stream_base(t)
+    ev = t.events.select("event_id", "user_id", F.col("ts").cast("timestamp").alias("at"))
+    ev.unionByName(ev.where("event_id % 3 = 0")).repartition(4, "event_id").write.parquet(f"{base}/src")
+    s = t.spark.readStream.schema(ev.schema).parquet(f"{base}/src")
+    return _run_stream(first_wins(s, ["event_id"], "at", "36500 days").select("event_id", "user_id"), base)
+
+
+def streamed_enrich(t: Tables) -> DataFrame:
+    """ST4: a stream of orders with the customer's name; orders of every seventh customer find none."""
+    from pitwall.streaming.ingest import enrich_stream
+    base = _stream_base(t)
+    orders = t.orders.select("o_orderkey", F.col("o_custkey").alias("c_custkey"))
+    orders.write.parquet(f"{base}/src")
+    s = t.spark.readStream.schema(orders.schema).option("maxFilesPerTrigger", 2).parquet(f"{base}/src")
+    return _run_stream(enrich_stream(s, t.customer.where("c_custkey % 7 <> 0"), ["c_custkey"], ["c_name"]), base)
+
+
+def landing_subset(t: Tables) -> DataFrame:
+    """A chosen subset of endpoints landed as one job from files of event records, the session endpoints
+    for a work list of customers; an endpoint without a folder lands nothing."""
+    from pitwall.sources.landing import land_all, lenient_key
+    base = _stream_base(t)
+    for i, endpoint in enumerate(("laps", "pit", "sessions", "weather")):
+        _event_lines(t, f"event_id % 4 >= {i}").write.text(f"{base}/{endpoint}")
+    work = t.customer.where("c_custkey % 2 = 0").select(F.col("c_custkey").alias("session_key"))
+    accepted, rejected = land_all(t.spark, base, ["laps", "pit", "sessions", "meetings"], work)
+    count = lambda df, kind: df.groupBy("endpoint").agg(F.count(F.lit(1)).alias("n")).withColumn("kind", F.lit(kind))
+    return count(accepted, "accepted").unionByName(count(rejected, "rejected")).unionByName(
+        count(accepted.where(lenient_key().isNull()), "without key"))
+
+
+def series_ordinals(t: Tables) -> DataFrame:
+    """All events as one series, numbered without a bucket width; and its length."""
+    one = t.events.select(F.lit(1).alias("series"), "event_id", "ts")
+    return seq_index(one, ["series"], [F.col("ts"), F.col("event_id")], "nth", length="n").select("event_id", "nth", "n")
+
+
 def cond_counts(t: Tables) -> DataFrame:
     """Conditional counts and a conditional pick per user."""
     et = F.col("event_type")
@@ -470,6 +551,11 @@ GENERIC: dict[str, Callable[[Tables], DataFrame]] = {
     "landing_guard": landing_guard,
     "streamed_landing": streamed_landing,
     "streamed_latest": streamed_latest,
+    "streamed_asof": streamed_asof,
+    "streamed_first_wins": streamed_first_wins,
+    "streamed_enrich": streamed_enrich,
+    "landing_subset": landing_subset,
+    "series_ordinals": series_ordinals,
 }
 
 

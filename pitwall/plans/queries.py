@@ -681,6 +681,14 @@ def query(m: Marts, name: str, **params) -> DataFrame:
     return NAMED[name](m, **params)
 
 
+def positions_without_laps(m: Marts) -> DataFrame:
+    """Q9 / W7 where odd sessions have no laps: their samples are numbered per driver instead."""
+    tables = {n: m.stg[n] for n in ("stg_position", "stg_drivers", "stg_sessions", "stg_starting_grid",
+                                    "stg_session_result", "stg_stints")}
+    some = Marts({**tables, "stg_laps": m.stg["stg_laps"].where("session_key % 2 = 0")}, m.strict_grid)
+    return positions_per_lap(some)
+
+
 # what incremental_marts reports per session and driver of each refreshed mart
 REFRESH_MEASURES = {
     "fct_laps": "lap_number + coalesce(tyre_age_on_lap, 0)", "fct_stints": "clean_laps * 100 + stint_length",
@@ -725,6 +733,7 @@ def registry() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     def bind(fn):
         return lambda spark, sf_dir: fn(ctx(spark, sf_dir).marts)
     out = {name: bind(fn) for name, fn in QUERIES.items()}
+    out["q09_sessions_without_laps"] = lambda spark, sf_dir: positions_without_laps(ctx(spark, sf_dir).marts)
     out["incremental_marts"] = lambda spark, sf_dir: incremental_marts(ctx(spark, sf_dir))
     out["s14_sql_laps_per_driver"] = lambda spark, sf_dir: sql_laps_per_driver(ctx(spark, sf_dir).marts, spark)
     return out
