@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import (DataType, DoubleType, IntegralType, TimestampNTZType, TimestampType)
 
 from pitwall.operators.dedupe import keep_first
+from pitwall.session import materialize
 
 _EPOCH_NTZ = _dt.datetime(1970, 1, 1)
 
@@ -242,14 +243,14 @@ def locate(points: DataFrame, intervals: DataFrame, on: Sequence[str], ts: str,
     distinct by ``point_key`` (default ``on + [ts]``).
     """
     width = _default_width(points.schema[ts].dataType, width)
+    icols = [c for c in intervals.columns if c not in on]
+    _check_collisions(points, icols, on)
+    iv = materialize(_holding(intervals, lo, hi), "intervals")      # read several times below
     if disjoint is None:
-        disjoint = overlap_free(intervals, on, lo, hi, width)
+        disjoint = overlap_free(iv, on, lo, hi, width)
     if not disjoint:
-        return range_join(points, intervals, on, ts, lo, hi, how="inner", width=width,
+        return range_join(points, iv, on, ts, lo, hi, how="inner", width=width,
                           first_by=order, point_key=point_key)
-    icols = [c for c in intervals.columns if c not in on]
-    _check_collisions(points, icols, on)
-    iv = _holding(intervals, lo, hi)
     # several intervals may hold a shared end point: the first one by order owns it
     ends = keep_first(iv.withColumn("_end", F.explode(F.array(lo, hi))), [*on, "_end"], order)
     owner = ends.select(*on, F.col("_end").alias("_lo"), F.struct(*icols).alias("_own"))

@@ -170,7 +170,8 @@ def asof_view_purchase(t: Tables) -> DataFrame:
 
 def point_in_interval(t: Tables) -> DataFrame:
     """Each error inside the closed span between consecutive signups of
-    its user (the earlier span wins on a shared boundary); others dropped."""
+    its user (the earlier span wins on a shared boundary); others dropped.
+    Spans between neighbours share end points at most, by construction."""
     su = seq_index(t.events.where("event_type = 'signup'"), ["user_id"], [F.col("ts"), F.col("event_id")], "i", 0,
                    bucket=("ts", 86400.0))
     nxt = su.select("user_id", (F.col("i") - 1).alias("i"), F.col("ts").alias("hi"))
@@ -178,7 +179,7 @@ def point_in_interval(t: Tables) -> DataFrame:
         "user_id", F.col("event_id").alias("signup_id"), F.col("ts").alias("lo"), "hi")
     e = t.events.where("event_type = 'error'").select("event_id", "user_id", "ts")
     return locate(e, s, ["user_id"], "ts", "lo", "hi", order=[F.col("lo").asc(), F.col("signup_id").asc()],
-                  point_key=["event_id"], width=86400.0).select("event_id", "user_id", "ts", "signup_id")
+                  point_key=["event_id"], width=86400.0, disjoint=True).select("event_id", "user_id", "ts", "signup_id")
 
 
 def anti_guard(t: Tables) -> DataFrame:
