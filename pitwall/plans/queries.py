@@ -599,6 +599,14 @@ def semantic_points_by_team(m: Marts) -> DataFrame:
                   by=["team_name", "year", "session_type"])
 
 
+def semantic_cross_fact(m: Marts) -> DataFrame:
+    """L2/L3: measures of five tables by season and team; championship points as they stood at the last session."""
+    from pitwall.plans.semantic import AT_LAST, cross_fact
+    return cross_fact(m, {"fct_session_results": ["points"], "fct_laps": ["lap time"], "fct_pit_stops": ["pit time"],
+                          "fct_stints": ["stint_length"], "dim_championship_teams": ["points_current"]},
+                      ["year", "team_name"], aggregations={"points_current": AT_LAST})
+
+
 def semantic_weather(m: Marts) -> DataFrame:
     from pitwall.plans.semantic import metric
     return metric(m, "fct_weather", ["air_temp_c", "humidity_pct"], by=["country_name", "is_raining", "recorded_at:day"])
@@ -659,6 +667,7 @@ QUERIES: dict[str, Callable[[Marts], DataFrame]] = {
     "semantic_lap_metrics": semantic_lap_metrics,
     "semantic_points_by_team": semantic_points_by_team,
     "semantic_weather": semantic_weather,
+    "semantic_cross_fact": semantic_cross_fact,
 }
 
 

@@ -2,7 +2,8 @@
 and measures carrying a default aggregation, many-to-one relationships to
 the session dimension, synonyms, and a ``metric()`` compiler to DataFrame
 operations (group-by + default aggregates, auto-joining related tables and
-truncating time dimensions to a grain)."""
+truncating time dimensions to a grain); ``cross_fact()`` puts measures of
+several tables side by side."""
 
 from __future__ import annotations
 
@@ -19,6 +20,8 @@ def _avg(c: Column) -> Column:
     return exact_avg(c)
 
 
+# Of a standing: its sum at the group's last session, not over sessions (semi-additive).
+AT_LAST, LAST_OF = "at_last", "session_key"
 AGGS = {"min": F.min, "max": F.max, "sum": F.sum, "avg": _avg, "count": F.count}
 
 
@@ -202,12 +205,55 @@ def metric(marts, table: str, measures: Sequence[str], by: Sequence[str] = (), w
                       else col.alias(name))
     for right, cols in needed_related.items():
         rel = next(r for r in model.related(table) if r.right == right)
+        key = model.tables[right].primary_key
+        if not key or not set(key) <= set(rel.on):
+            raise ValueError(f"joining {right} on {rel.on} could multiply rows of {table}")
         df = df.join(marts.get(right).select(*rel.on, *sorted(cols)), list(rel.on), rel.how)
     if where is not None:
         df = df.where(where)
-    aggs = []
+    aggs, at_last = [], []
     for mname in measures:
         m = model.measure(table, mname)
-        fn = AGGS[(aggregations or {}).get(m.name, m.agg)]
-        aggs.append(fn(F.col(m.name)).alias(m.name))
-    return df.groupBy(*groups).agg(*aggs)
+        agg = (aggregations or {}).get(m.name, m.agg)
+        if agg == AT_LAST:
+            at_last.append(m.name)
+        else:
+            aggs.append(AGGS[agg](F.col(m.name)).alias(m.name))
+    if not at_last:
+        return df.groupBy(*groups).agg(*aggs)
+    if LAST_OF not in own:
+        raise ValueError(f"{table} has no {LAST_OF} to take the last one of")
+    grouped = df.select(*groups, F.col(LAST_OF).alias("_last"), *[F.col(m) for m in at_last])
+    keys = [c for c in grouped.columns if c not in ("_last", *at_last)]
+    per_session = grouped.groupBy(*keys, "_last").agg(*[F.sum(m).alias(m) for m in at_last])
+    last = per_session.groupBy(*keys).agg(*[F.max_by(m, "_last").alias(m) for m in at_last])
+    return beside([df.groupBy(*groups).agg(*aggs), last], keys) if aggs else last
+
+
+def beside(frames: Sequence[DataFrame], keys: Sequence[str]) -> DataFrame:
+    """Frames with one row per key side by side (a full join in which null keys meet): one union, one shuffle."""
+    both = frames[0]
+    for f in frames[1:]:
+        both = both.unionByName(f, allowMissingColumns=True)
+    values = [c for c in both.columns if c not in keys]
+    return both.groupBy(*keys).agg(*[F.first(c, ignorenulls=True).alias(c) for c in values])
+
+
+def cross_fact(marts, measures: Mapping[str, Sequence[str]], by: Sequence[str],
+               where: Mapping[str, Column] | None = None, model: SemanticModel = MODEL,
+               aggregations: Mapping[str, str] | None = None) -> DataFrame:
+    """Measures of several logical tables by dimensions that all of them have or reach.
+
+    Each table is aggregated on the shared dimensions by itself and only the
+    results meet, so no fact's rows are multiplied by another's. A key that
+    some tables lack has nulls there. A measure name that two tables share is
+    prefixed with its table's name.
+    """
+    named = [model.measure(t, m).name for t, ms in measures.items() for m in ms]
+    frames, keys = [], None
+    for t, ms in measures.items():
+        f = metric(marts, t, ms, by, (where or {}).get(t), model, aggregations)
+        own = [model.measure(t, m).name for m in ms]
+        keys = [c for c in f.columns if c not in own]
+        frames.append(f.select(*keys, *[F.col(c).alias(f"{t}_{c}" if named.count(c) > 1 else c) for c in own]))
+    return beside(frames, keys)
