@@ -13,6 +13,7 @@ from concurrent.futures import ThreadPoolExecutor
 from collections.abc import Mapping
 
 from pitwall.plans.marts import Marts
+from pitwall.plans.quality import observed
 from pitwall.plans.staging import MODELS, stage
 from pitwall.session import checkpoint_dir
 from pitwall.session import materialize as materialize_df
@@ -44,7 +45,7 @@ class _StagedTables(Mapping):
                 model = MODELS[name]
                 sessions = self["stg_sessions"] if model.with_year else None
                 df = stage(self.ctx.raw_table(model.endpoint), model, sessions)
-                self._done[name] = materialize_df(df, name, self.ctx.run_dir) if self.ctx.materialize else df
+                self._done[name] = self.ctx.write_checked(df, name) if self.ctx.materialize else df
         return self._done[name]
 
     def __iter__(self):
@@ -63,6 +64,7 @@ class RaceContext:
         self.land_raw = land_raw
         self.strict_grid = strict_grid
         self.materialize = materialize
+        self.counted: dict[str, dict[str, int]] = {}        # null counts by table and column
         self.tables = Tables(spark, sf_dir, (lambda df, name: materialize_df(df, f"_derived_{name}", self.run_dir))
                              if materialize else None)
 
@@ -93,8 +95,16 @@ class RaceContext:
 
     @cached_property
     def marts(self) -> Marts:
-        mat = (lambda df, name: materialize_df(df, name, self.run_dir)) if self.materialize else None
-        return Marts(self.stg, strict_grid=self.strict_grid, materializer=mat)
+        mat = self.write_checked if self.materialize else None
+        return Marts(self.stg, strict_grid=self.strict_grid, materializer=mat, counted=self.counted)
+
+    def write_checked(self, df: DataFrame, name: str) -> DataFrame:
+        """Write a model once; the nulls that its checks forbid are counted by the same job."""
+        df, seen = observed(df, name)
+        out = materialize_df(df, name, self.run_dir)
+        if seen is not None:
+            self.counted[name] = seen.get
+        return out
 
     def build(self, threads: int = 4, marts: bool = True) -> None:
         """Build every staging model, then every mart, with ``threads``

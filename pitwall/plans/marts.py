@@ -74,8 +74,10 @@ class Marts:
     """Lazily built marts over a mapping of staging DataFrames."""
 
     def __init__(self, stg: Mapping[str, DataFrame], strict_grid: bool = False,
-                 materializer: Callable[[DataFrame, str], DataFrame] | None = None):
+                 materializer: Callable[[DataFrame, str], DataFrame] | None = None,
+                 counted: Mapping[str, Mapping[str, int]] | None = None):
         self.stg = stg
+        self.counted = counted if counted is not None else {}     # null counts observed while writing
         self.strict_grid = strict_grid
         self._materializer = materializer
         self._memo: dict[str, DataFrame] = {}

@@ -1,7 +1,8 @@
 """Declarative data-quality checks with severities.
 
-One aggregate pass per table evaluates every ``not_null`` check on it at
-once; ``unique`` checks (single or composite keys) are a grouped count of
+``not_null`` checks of a table are counted while it is written (``observed``),
+so the report does not read it again; of a table that is not written, one
+aggregate pass evaluates them all at once. ``unique`` checks (single or composite keys) are a grouped count of
 duplicated key values, NULL keys ignored. The report is one row per check:
 ``(table_name, column_name, test, severity, failures, status)``; only
 ``error`` checks fail the run when ``raise_on_error``.
@@ -13,7 +14,7 @@ from collections import defaultdict
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 
@@ -59,7 +60,48 @@ CHECKS: list[Check] = [
 ]
 
 
-def run_checks(tables: Mapping[str, DataFrame], checks: Sequence[Check] = CHECKS) -> DataFrame:
+def observed(df: DataFrame, table: str, checks: Sequence[Check] = CHECKS) -> tuple[DataFrame, Observation | None]:
+    """``df`` with its null counts observed by whatever job runs it first; (df, None) without a check on nulls."""
+    cols = dict.fromkeys(c.columns[0] for c in checks if c.table == table and c.test == "not_null")
+    if not cols:
+        return df, None
+    seen = Observation()
+    return df.observe(seen, *[F.count_if(F.col(c).isNull()).alias(c) for c in cols]), seen
+
+
+def failing_keys(tables: Mapping[str, DataFrame], checks: Sequence[Check] = CHECKS, keys: Sequence[str] = (
+        "meeting_key", "session_key", "driver_number"), counted: Mapping[str, Mapping[str, int]] | None = None) -> DataFrame:
+    """(table_name, column_name, test, key, n): the keys of rows that fail a check, with their number.
+
+    ``key`` is a JSON object of those of ``keys`` that the table has. Tables
+    whose counts say that nothing failed are not read.
+    """
+    parts = []
+    for c in checks:
+        if c.test == "not_null" and not (counted or {}).get(c.table, {}).get(c.columns[0], 1):
+            continue
+        df = tables[c.table]
+        if c.test == "not_null":
+            bad = df.where(F.col(c.columns[0]).isNull())
+        else:
+            dup = df.dropna(subset=list(c.columns)).groupBy(*c.columns).count().where("count > 1").drop("count")
+            bad = df.join(dup, list(c.columns), "left_semi")
+        key = F.to_json(F.struct(*[k for k in keys if k in df.columns]), {"ignoreNullFields": "false"})
+        parts.append(bad.groupBy(key.alias("key")).agg(F.count(F.lit(1)).alias("n")).select(
+            F.lit(c.table).alias("table_name"), F.lit(",".join(c.columns)).alias("column_name"),
+            F.lit(c.test).alias("test"), "key", "n"))
+    if not parts:
+        return next(iter(tables.values())).sparkSession.createDataFrame(
+            [], "table_name string, column_name string, test string, key string, n long")
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+def run_checks(tables: Mapping[str, DataFrame], checks: Sequence[Check] = CHECKS,
+               counted: Mapping[str, Mapping[str, int]] | None = None) -> DataFrame:
+    """The report; ``counted`` has the null counts (table, column) that were observed while tables were written."""
     by_table: dict[str, list[Check]] = defaultdict(list)
     for c in checks:
         by_table[c.table].append(c)
@@ -67,7 +109,12 @@ def run_checks(tables: Mapping[str, DataFrame], checks: Sequence[Check] = CHECKS
     for tname, cs in by_table.items():
         df = tables[tname]
         nn = [c for c in cs if c.test == "not_null"]
-        if nn:
+        known = (counted or {}).get(tname)
+        if nn and known is not None and all(c.columns[0] in known for c in nn):
+            rows = [(tname, c.columns[0], "not_null", c.severity, int(known[c.columns[0]])) for c in nn]
+            parts.append(df.sparkSession.createDataFrame(
+                rows, "table_name string, column_name string, test string, severity string, failures long"))
+        elif nn:
             counts = df.agg(*[F.count_if(F.col(c.columns[0]).isNull()).alias(f"_c{i}") for i, c in enumerate(nn)])
             rows = F.array(*[F.struct(F.lit(c.columns[0]).alias("column_name"), F.lit(c.severity).alias("severity"),
                                       F.col(f"_c{i}").alias("failures")) for i, c in enumerate(nn)])

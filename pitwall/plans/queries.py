@@ -581,9 +581,19 @@ def sql_laps_per_driver(m: Marts, spark: SparkSession, season: int = SEASON) ->
 
 # ------------------------------------------------------------------ quality / semantic
 def dq_report(m: Marts) -> DataFrame:
-    """D1-D3 over the marts and staging models."""
+    """D1-D3 over the marts and staging models; nulls were counted while they were written."""
     from pitwall.plans.quality import run_checks
-    return run_checks({**{n: m.get(n) for n in Marts.NAMES}, **{k: v for k, v in m.stg.items()}})
+    return run_checks(_checked_tables(m), counted=m.counted)
+
+
+def _checked_tables(m: Marts) -> dict[str, DataFrame]:
+    return {**{n: m.get(n) for n in Marts.NAMES}, **{k: v for k, v in m.stg.items()}}
+
+
+def dq_failing_keys(m: Marts) -> DataFrame:
+    """The keys of the rows that fail a check."""
+    from pitwall.plans.quality import failing_keys
+    return failing_keys(_checked_tables(m), counted=m.counted)
 
 
 def semantic_lap_metrics(m: Marts) -> DataFrame:
@@ -664,6 +674,7 @@ QUERIES: dict[str, Callable[[Marts], DataFrame]] = {
     "v15_points_scored_per_driver_last_race": v_points_last_race,
     "v16_sprint_results_this_season": v_sprint_results,
     "dq_report": dq_report,
+    "dq_failing_keys": dq_failing_keys,
     "semantic_lap_metrics": semantic_lap_metrics,
     "semantic_points_by_team": semantic_points_by_team,
     "semantic_weather": semantic_weather,
