@@ -1,19 +1,34 @@
 """Corpus pipeline: stages over ``documents``, each calling one operator of ``pitwall.llm``.
 
 Stages work on every row the stage before kept and return the columns of
-``documents`` (the last adds shard and slot). Extra columns pass through.
-Empty tables give empty results.
+``documents`` (the last adds shard and slot). Extra columns pass through,
+whatever their names: a stage sees them by position. Empty tables give empty
+results.
 """
 
 from __future__ import annotations
 
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from pitwall.llm import common, decontaminate, language, mixing, sharding, simhash
 
+USED = ("doc_id", "text", "lang", "source")     # columns that stages read
+
+
+def extra_by_position(stage):
+    """A stage that keeps the columns of its input, with the extra ones named by position inside it."""
+    @wraps(stage)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        inside = [c if c in USED else f"extra{i}" for i, c in enumerate(docs.columns)]
+        return stage(spark, docs.toDF(*inside), sf_dir).toDF(*docs.columns)
+    return run_stage
+
 
+@extra_by_position
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Language ID: rows whose text has no language (null or without a letter, ``und``) go."""
     may_learn = F.col("doc_id").isNotNull() & ~language.held_out("doc_id")
@@ -24,6 +39,7 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return told.filter(F.col("_lang_pred") != language.UNKNOWN).drop("_lang_pred", "_lang_score")
 
 
+@extra_by_position
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """SimHash near-dedup: one row of each component stays.
 
@@ -43,6 +59,7 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     return joined.filter("_kept_rows = 1").unionByName(one).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
+@extra_by_position
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Benchmark decontamination: documents that hold a benchmark item go."""
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
@@ -54,6 +71,7 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     ).drop("_hash")
 
 
+@extra_by_position
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Mixing to target weights: every document as often as the mix takes it."""
     return mixing.mixed_documents(docs)

@@ -70,6 +70,22 @@ def test_mixing_and_sharding_stages(spark, docs, edge_docs, no_docs):
         assert got.columns == edge_docs.columns and got.count() > 0
 
 
+CLASHING = ["_lang_pred", "_lang_score", "_hash", "_kept_id", "_kept_hash", "_kept_rows", "_nth", "_bad_id", "_bad_hash",
+            "_m_id", "_m_hash", "_m_source", "_m_copies", "_m_rows", "_m_nth", "_m_times", "_m_copy", "_HASH_", "id", "hash",
+            "size", "copies", "component_id", "fingerprint", "extra0", "a.b", "held_out"]
+
+
+def test_extra_columns_pass_through(spark, edge_docs):
+    """Columns named like anything inside the stages keep their values."""
+    rows = edge_docs.select("doc_id", "text", "lang", "source").where("doc_id IS NOT NULL AND length(text) < 1000")
+    wide = rows.selectExpr("*", *[f"concat('{k}-', doc_id) AS `{c}`" for k, c in enumerate(CLASHING)])
+    for _, stage in P.STAGES[:-1]:
+        got = stage(spark, wide, SF_SMALL)
+        assert got.columns == wide.columns
+        for r in got.collect():
+            assert [r[4 + k] for k in range(len(CLASHING))] == [f"{k}-{r[0]}" for k in range(len(CLASHING))]
+
+
 def test_run_applies_the_stages(spark, docs, tmp_path):
     out = P.run(spark, SF_SMALL)
     n = Counter(r["shard"] for r in out.collect())
