@@ -1,6 +1,8 @@
 """Every training-data operator against brute force, on whole small tables and on edge rows."""
 
 import hashlib
+import math
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -360,6 +362,88 @@ def test_randomness_p_separates(spark):
     assert np.mean(np.array(p[:200]) < 0.05) < 0.12 and max(p[200:]) < 1e-6
 
 
+def plain_battery(t, letters):
+    """The battery once more, from its definitions and the error function."""
+    n, k = len(t), len(letters)
+    tail = lambda z: math.erfc(abs(z) / math.sqrt(2)) / 2
+    cube = lambda x, df: ((x / df) ** (1 / 3) - (1 - 2 / (9 * df))) / math.sqrt(2 / (9 * df))
+
+    def upper_tail(x, df):
+        return tail(cube(x, df)) if df and cube(x, df) > 0 else 1.0
+
+    chi = sum((t.count(c) - n / k) ** 2 / (n / k) for c in letters)
+    groups = [[c for c in letters if test(c)] for test in (str.islower, str.isupper, lambda c: not c.isalpha())]
+    groups = [g for g in groups if g]
+    pooled = sum((sum(map(t.count, g)) - n * len(g) / k) ** 2 / (n * len(g) / k) for g in groups)
+    codes = np.array([letters.index(c) for c in t], float)
+    high = codes >= k / 2
+    h, runs = int(high.sum()), 1 + int((high[1:] != high[:-1]).sum())
+    mu = 1 + 2 * h * (n - h) / n
+    var = (mu - 1) * (mu - 2) / (n - 1)
+    p_runs = 2 * tail((runs - mu) / math.sqrt(var)) if var > 0 else 0.0
+    d = codes - codes.mean()
+    p_serial = 2 * tail((d[1:] * d[:-1]).sum() / (d * d).sum() * math.sqrt(n)) if d.any() else 0.0
+    return min(1.0, 4 * min(upper_tail(chi, k - 1), upper_tail(pooled, len(groups) - 1), p_runs, p_serial))
+
+
+def test_battery_equals_its_definition(spark):
+    rng = np.random.default_rng(11)
+    for name, _, letters in secret_scan.ENCODINGS:
+        tokens = ["".join(rng.choice(list(letters), n)) for n in (20, 33, 90) for _ in range(8)]
+        df = spark.createDataFrame([(t,) for t in tokens], "t string")
+        got = [r["p"] for r in df.select(secret_scan.randomness_p(F.col("t"), F.lit(letters)).alias("p")).collect()]
+        for t, p in zip(tokens, got):
+            want = plain_battery(t, letters)
+            assert abs(p - want) < 1e-5 + 1e-3 * want, (name, t)
+
+
+def test_names_are_not_secrets_and_random_runs_are(spark):
+    rng = np.random.default_rng(12)
+    parts = """load open close write read check send fetch parse render image button window session account token
+               customer invoice payment report address street city country language version module object""".split()
+    names = set()
+    while len(names) < 400:
+        w = rng.choice(parts, 4)
+        name = w[0] + "".join(x.title() for x in w[1:]) + str(rng.integers(10, 1000))
+        if len(name) >= 20:
+            names.add(name)
+    base62 = list("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789")
+    keys = {"".join(rng.choice(base62, 40)) for _ in range(100)}
+    small = {"".join(rng.choice(base62[26:52], 40)) for _ in range(50)}
+    words = {"".join(rng.choice(parts, 7))[:44] for _ in range(100)}
+
+    def reported(texts):
+        df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+        return {texts[r["doc_id"]] for r in rows(secret_scan.scan_secrets(df)) if r["spans"]}
+
+    assert len(reported(sorted(names))) < 0.05 * len(names)
+    got = reported(sorted(names | keys | small | words))
+    assert len(got & keys) > 0.8 * len(keys)
+    assert len(got & small) > 0.4 * len(small)      # one class of characters: less for the battery to see
+    assert len(got & (names | words)) <= 0.1 * len(got)
+
+
+def test_spans_inside_base_spans_and_many_matches(spark):
+    word = "0123456789abcdef0123456789abcdef"
+    text = " ".join([word] * 16000) + " x" * 20 + " password=" + "Ab1" * 20
+    df = spark.createDataFrame([(1, text), (2, " ".join(["é" + word] * 40))], "doc_id long, text string")
+    start = time.time()
+    got = {r["doc_id"]: [f"{s['kind']}:{s['start']}:{s['end']}" for s in r["spans"]]
+           for r in rows(secret_scan.scan_secrets(df))}
+    print("16,000 matches", time.time() - start)
+    assert got[1] == H.base_spans(text)
+    assert got[2] == H.base_spans(" ".join(["é" + word] * 40))
+
+
+@pytest.mark.parametrize("n", [0, 1, 31, 32, 33, 1024, 1025, 40000])
+def test_running_sums_and_maxima(spark, n):
+    v = np.random.default_rng(n).integers(0, 50, n)
+    df = spark.createDataFrame([(v.tolist(),)], "v array<int>")
+    got = df.select(secret_scan.running(F.col("v"), lambda x, y: x + y).alias("s"),
+                    secret_scan.running(F.col("v"), F.greatest).alias("m")).first()
+    assert got["s"] == np.cumsum(v).tolist() and got["m"] == np.maximum.accumulate(v).tolist()
+
+
 # --- 8 ---------------------------------------------------------------------
 def check_simhash(got, docs):
     fps = [H.simhash(t) for _, t in docs]
