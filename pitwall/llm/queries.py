@@ -18,7 +18,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def op1_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per contaminated document and benchmark item."""
     found = decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
-    return found.select(F.col("id").alias("doc_id"), "item_id", "lcs", "answer", "start")
+    return found.select(F.col("id").alias("doc_id"), "item_id", "lcs", "answer", "start", "latent")
 
 
 def op2_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
