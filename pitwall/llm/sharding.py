@@ -22,9 +22,11 @@ def shard_rows(docs: DataFrame, n_shards: int = 40, id_col: str = "doc_id", text
                seed: int = 9, bucket_bytes: int = BUCKET_BYTES, row_bytes: int = 64) -> DataFrame:
     """All rows and columns of ``docs`` plus ``shard`` (0 .. n_shards-1) and ``slot`` (gapless from 0).
 
-    Shard sizes differ by one row at most. The order depends on the rows and
-    the seed alone, not on files or partitions. Equal rows are
-    interchangeable; a bucket that repeats of few rows make larger than
+    Shard sizes differ by one row at most. Which bucket a row falls in depends
+    on the row and the seed alone; the order inside a bucket is the same in
+    reruns on the same files with the same number of shuffle partitions, and
+    another permutation otherwise (``shuffle`` draws by partition). Equal rows
+    are interchangeable; a bucket that repeats of few rows make larger than
     planned is split further, so no task holds more than a bucket. Null ids
     and texts are hashed like any value; an empty table gives no rows. Input
     columns called ``shard`` or ``slot`` are replaced.
