@@ -120,7 +120,9 @@ def segment_words(docs: DataFrame, shared: DataFrame, window: int) -> DataFrame:
                      pa.array(col[5], pa.binary()).cast(pa.string())],
                     ["shard", "low", "whole", "off", "id", "words"])
 
-    return (docs.select("id", "hash", "text").join(wanted, ["id", "hash"]).select("id", "text", "cuts")
+    # of rows equal in id and text, one stands for all in the index
+    return (docs.select("id", "hash", "text").join(wanted, ["id", "hash"]).dropDuplicates(["id", "hash"])
+            .select("id", "text", "cuts")
             .mapInArrow(run, "shard long, low long, whole long, off int, id long, words string"))
 
 

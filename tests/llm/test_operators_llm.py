@@ -214,6 +214,18 @@ def test_substring_dedup_of_one_common_passage(spark, monkeypatch):
     check_removed(rows(substring.drop_repeats(df)), docs)
 
 
+def test_equal_rows_are_indexed_once(spark):
+    passage = " ".join(f"p{i}" for i in range(70))
+    docs = spark.range(500).selectExpr("1L AS doc_id", f"'{passage}' AS text").unionByName(
+        spark.createDataFrame([(2, "before it " + passage)], "doc_id long, text string"))
+    src = docs.select(F.col("doc_id").alias("id"), F.xxhash64("text").alias("hash"), "text")
+    shared = substring.shared_segments(substring.document_segments(src, 50))
+    words = substring.segment_words(src, shared, 50)
+    assert 1 <= words.count() <= shared.count() + 2
+    got = Counter((r["doc_id"], r["n_words"], r["n_removed"]) for r in rows(substring.drop_repeats(docs)))
+    assert got == {(1, 70, 0): 500, (2, 72, 70): 1}
+
+
 def test_fm_index_against_dictionary():
     rng = np.random.default_rng(3)
     seqs = [rng.integers(1, 4, rng.integers(6, 300)) for _ in range(30)]
