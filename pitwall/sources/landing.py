@@ -51,22 +51,27 @@ def parse_records(lines: DataFrame, endpoint: str, text_col: str = "value",
     records of such a line are accepted.
     ``loaded_at`` is the load time, or ``loaded_at_col`` when replaying
     records with their original load times."""
-    parsed = lines.select(F.col(text_col).alias("_text"), F.try_parse_json(F.col(text_col)).alias("_v"),
-                          (F.col(loaded_at_col) if loaded_at_col else F.current_timestamp()).alias("_la"))
+    # each text is parsed once: filters on an exploded column stay above the explode
+    parsed = lines.select(F.col(text_col).alias("_text"),
+                          (F.col(loaded_at_col) if loaded_at_col else F.current_timestamp()).alias("_la"),
+                          F.explode(F.array(F.try_parse_json(F.col(text_col)))).alias("_v"))
     kind = F.schema_of_variant(F.col("_v"))
-    arrays = parsed.where(kind.startswith("ARRAY")).select(  # non-object elements are dropped, line rejected
-        "_text", "_la", F.explode(F.variant_get(F.col("_v"), "$", "array<variant>")).alias("_v"))
-    objects = parsed.where(kind.startswith("OBJECT")).unionByName(
-        arrays.where(F.schema_of_variant(F.col("_v")).startswith("OBJECT")))
+    # the first character tells an object from an array without writing out the record's type
+    first = F.substring(F.ltrim(F.col("_text")), 1, 1)
+    is_object = F.when(first == "{", F.lit(True)).when(first == "[", F.lit(False)).otherwise(kind.startswith("OBJECT"))
+    is_array = F.when(first == "[", F.lit(True)).when(first == "{", F.lit(False)).otherwise(kind.startswith("ARRAY"))
+    items = F.variant_get(F.col("_v"), "$", "array<variant>")
+    # non-object elements are dropped, line rejected
+    records = F.when(is_object, F.array("_v")).when(is_array, F.filter(
+        items, lambda x: F.schema_of_variant(x).startswith("OBJECT")))
+    objects = parsed.where(F.col("_v").isNotNull()).select("_la", F.explode(records).alias("_v"))
     accepted = objects.where(~bad_key(raw="_v")).select(F.col("_v").alias(RAW), F.col("_la").alias("loaded_at"),
                                                         F.lit(endpoint).alias("endpoint"))
-    all_objects = F.forall(F.variant_get(F.col("_v"), "$", "array<variant>"),
-                           lambda x: F.schema_of_variant(x).startswith("OBJECT"))
-    bad_item = F.exists(F.variant_get(F.col("_v"), "$", "array<variant>"), lambda x: F.schema_of_variant(x).startswith(
+    all_objects = F.forall(items, lambda x: F.schema_of_variant(x).startswith("OBJECT"))
+    bad_item = F.exists(items, lambda x: F.schema_of_variant(x).startswith(
         "OBJECT") & F.try_variant_get(x, "$.session_key", "string").isNotNull() & F.round(F.try_variant_get(
             x, "$.session_key", "double")).try_cast("int").isNull())
-    ok = ((kind.startswith("OBJECT") & ~bad_key(raw="_v"))
-          | (kind.startswith("ARRAY") & all_objects & ~bad_item))
+    ok = (is_object & ~bad_key(raw="_v")) | (is_array & all_objects & ~bad_item)
     rejected = parsed.where(F.col("_v").isNull() | ~ok) \
         .select(F.lit(endpoint).alias("endpoint"), F.col("_text").alias("line"))
     return accepted, rejected
