@@ -8,8 +8,9 @@
   overwrites what is landed.
 * ST2 ``upsert_latest``: latest-per-key over an unbounded correction
   horizon without state: the batch is staged, merged with the affected
-  ``session_key`` partitions of the staged table, deduplicated again and
-  written back with dynamic partition overwrite.
+  partitions of the staged table, deduplicated again and written back with
+  dynamic partition overwrite. The stream's table has a fixed number of
+  partitions by hash of the session, so its files do not grow with sessions.
 * ST3 ``first_wins``: bounded-state dedupe with a watermark.
 * ST4 ``enrich_stream``: stream–static left lookup of a dimension.
 """
@@ -30,6 +31,8 @@ from pitwall.plans.staging import StagingModel, stage
 from pitwall.session import cut_lineage
 from pitwall.sources.landing import parse_records, with_session_key
 
+FOLDER, FOLDERS = "_folder", 64     # partition column of a streamed staged table, and how many there are
+
 
 def incremental_land(spark: SparkSession, src_dir: str, endpoint: str, raw_dir: str, checkpoint: str,
                      rejects_dir: str | None = None, available_now: bool = True,
@@ -59,28 +62,38 @@ def incremental_land(spark: SparkSession, src_dir: str, endpoint: str, raw_dir:
 
 
 def upsert_latest(spark: SparkSession, batch_raw: DataFrame, model: StagingModel, staged_dir: str,
-                  partition: str | None = None, sessions: DataFrame | None = None) -> None:
+                  partition: str | None = None, sessions: DataFrame | None = None, folders: int | None = None) -> None:
     """ST2: merge a batch of RAW records into a staged table partitioned by
-    ``partition`` (default: the model's first key, the session or meeting);
-    only the partitions the batch touches are rewritten. Models with a season
-    year need the staged ``sessions``."""
+    ``partition`` (default: the model's first key, the session or meeting), or
+    by its hash into ``folders`` partitions where its values are many; only the
+    partitions the batch touches are rewritten. A table that is there keeps its
+    layout. Models with a season year need the staged ``sessions``."""
     partition = partition or model.keys[0]
     new = stage(batch_raw, model, sessions)
     try:
         existing = spark.read.parquet(staged_dir)
-        touched = new.select(partition).distinct()
-        existing = existing.join(touched, [partition], "left_semi").select(*new.columns)
-        merged = new.unionByName(existing)
     except AnalysisException as e:  # first run: no table (or an empty folder) yet
         if not any(m in str(e) for m in ("PATH_NOT_FOUND", "Path does not exist", "UNABLE_TO_INFER_SCHEMA")):
             raise
-        merged = new
+        existing = None
+    if existing is not None and FOLDER not in existing.columns:
+        folders = None
+    if folders:
+        new = new.withColumn(FOLDER, F.pmod(F.xxhash64(partition), F.lit(folders)).cast("int"))
+        partition = FOLDER
+    merged = new
+    if existing is not None:
+        touched = new.select(partition).distinct()
+        merged = new.unionByName(existing.join(touched, [partition], "left_semi").select(*new.columns))
     # ties fall as in a full staging run: by the hash of the typed record
-    out = latest_per_key(merged, model.keys, tiebreak=[row_hash(merged, exclude=("loaded_at", "year")).desc()]
-                         if model.with_year else [row_hash(merged, exclude=("loaded_at",)).desc()])
-    # the rewrite reads partitions it overwrites: cut lineage through the
-    # shared checkpoint folder first
-    out = cut_lineage(out, spark)
+    apart = ("loaded_at", FOLDER, "year") if model.with_year else ("loaded_at", FOLDER)
+    out = latest_per_key(merged, model.keys, tiebreak=[row_hash(merged, exclude=apart).desc()])
+    if folders:
+        out = out.hint("rebalance", FOLDER)
+    if existing is not None:
+        # the rewrite reads partitions it overwrites: cut lineage through the
+        # shared checkpoint folder first
+        out = cut_lineage(out, spark)
     out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(partition).parquet(staged_dir)
 
 
@@ -96,7 +109,7 @@ def stage_stream(spark: SparkSession, raw_dir: str, endpoint: str, model: Stagin
     raw = (spark.readStream.schema(schema).parquet(raw_dir)
            .where(F.col("endpoint") == endpoint).select("raw_data", "loaded_at"))
     w = (raw.writeStream.foreachBatch(lambda b, _id: upsert_latest(
-            spark, b, model, staged_dir, sessions=sessions() if sessions else None))
+            spark, b, model, staged_dir, sessions=sessions() if sessions else None, folders=FOLDERS))
          .option("checkpointLocation", checkpoint))
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="1 minute")
     return w.start()
