@@ -89,7 +89,8 @@ class VariantSpec:
 def project_variant(df: DataFrame, spec: VariantSpec, keep: Sequence[str] = ("loaded_at",),
                     raw: str = RAW) -> DataFrame:
     """Filter on raw paths, then project typed columns (plus ``keep``)."""
-    out = df
+    # filters stay above the explode, so a record that is built by its reader is built once, not again for the filter
+    out = df.withColumn(raw, F.explode(F.array(F.col(raw)))) if spec.require else df
     for r in spec.require:
         out = out.where(r.column(raw))
     return out.select(*[extract(f.path, f.kind, raw).alias(f.out) for f in spec.fields],

@@ -128,15 +128,21 @@ def _explode_buckets(intervals: DataFrame, lo: str, hi: str, dtype: DataType,
     return df.withColumn("_bkt", (F.explode_outer if outer else F.explode)(seq))
 
 
-def _point_buckets(points: DataFrame, point: str, dtype: DataType, width: float,
-                   intervals: DataFrame, lo: str, hi: str) -> DataFrame:
-    """Each point once per level that any interval has (level 0 always; a handful at most)."""
+def _levels(intervals: DataFrame, lo: str, hi: str, width: float) -> list[int]:
+    """Levels that any interval has; level 0 always, a handful at most (one pass over the intervals)."""
     itype = intervals.schema[lo].dataType
     used = intervals.select(_level(bucket_of(F.col(lo), itype, width).cast("long"),
                                    bucket_of(F.col(hi), itype, width).cast("long")).alias("l")) \
-        .select(F.array_union(F.collect_set("l"), F.array(F.lit(0)))).scalar()
+        .agg(F.collect_set("l").alias("l")).first()["l"]
+    return sorted({0, *used})
+
+
+def _point_buckets(points: DataFrame, point: str, dtype: DataType, width: float, levels: Sequence[int]) -> DataFrame:
+    """Each point once per level."""
     b = bucket_of(F.col(point), dtype, width).cast("long")
-    out = points.withColumn("_lvl", F.explode(used))
+    if len(levels) == 1:
+        return points.withColumn("_lvl", F.lit(0)).withColumn("_bkt", b)
+    out = points.withColumn("_lvl", F.explode(F.array(*[F.lit(k) for k in levels])))
     return out.withColumn("_bkt", reduce(lambda a, k: F.when(F.col("_lvl") == k, F.shiftright(b, k * LEVEL_BITS))
                                          .otherwise(a), range(1, 64 // LEVEL_BITS), b))
 
@@ -159,7 +165,8 @@ def range_join(points: DataFrame, intervals: DataFrame, on: Sequence[str], point
     width = _default_width(ptype, width)
     icols = [c for c in intervals.columns if c not in on]
     _check_collisions(points, icols, on)
-    p = _point_buckets(points, point, ptype, width, intervals, lo, hi).alias("_p")
+    levels = _levels(intervals, lo, hi, width)
+    p = _point_buckets(points, point, ptype, width, levels).alias("_p")
     # an exploded side is estimated at its pre-explode size: never broadcast it on that guess
     i = _explode_buckets(intervals, lo, hi, intervals.schema[lo].dataType, width, False).hint("merge").alias("_i")
     cond = [F.col(f"_p.{k}") == F.col(f"_i.{k}") for k in on]
@@ -167,17 +174,18 @@ def range_join(points: DataFrame, intervals: DataFrame, on: Sequence[str], point
         (F.col(f"_p.{point}") < F.col(f"_i.{hi}"))
     cond += [F.col("_p._lvl") == F.col("_i._lvl"), F.col("_p._bkt") == F.col("_i._bkt"),
              F.col(f"_p.{point}") >= F.col(f"_i.{lo}"), upper]
-    out = p.join(i, cond, "inner").select(*[F.col(f"_p.{c}").alias(c) for c in points.columns],
-                                          *[F.col(f"_i.{c}").alias(c) for c in icols])
-    if first_by is not None and how == "inner":
-        return keep_first(out, list(point_key or [*on, point]), list(first_by))
+    # a point is there once per level: of one level, or where one match is kept, the outer join keeps it by itself
+    kept = how if len(levels) == 1 or first_by is not None else "inner"
+    out = p.join(i, cond, kept).select(*[F.col(f"_p.{c}").alias(c) for c in points.columns], F.col("_p._bkt").alias("_bkt"),
+                                       *[F.col(f"_i.{c}").alias(c) for c in icols], F.col("_i._bkt").isNull().alias("_none"))
     if first_by is not None:
-        # one row of no interval per point loses to any match
-        none = points.select("*", *[F.lit(None).cast(intervals.schema[c].dataType).alias(c) for c in icols],
-                             F.lit(1).alias("_none"))
-        both = out.withColumn("_none", F.lit(0)).unionByName(none)
-        return keep_first(both, list(point_key or [*on, point]), [F.col("_none"), *first_by]).drop("_none")
-    if how == "inner":
+        key = list(point_key or [*on, point])
+        if len(levels) == 1 and {*on, point} <= set(key):
+            # rows of a point are in one bucket, and the join has dealt them by it: no further shuffle
+            key = [*on, "_bkt", *[k for k in key if k not in on]]
+        return keep_first(out, key, [F.col("_none"), *first_by]).drop("_none", "_bkt")   # any match goes before none
+    out = out.drop("_none", "_bkt")
+    if how == "inner" or len(levels) == 1:
         return out
     keys = [*on, point]         # whether a point has a match depends on these alone
     seen = out.select(*[F.col(k).alias(f"_m_{k}") for k in keys]).distinct()
@@ -195,7 +203,7 @@ def range_agg(intervals: DataFrame, points: DataFrame, on: Sequence[str], point:
     pcols = [c for c in points.columns if c not in on]
     _check_collisions(intervals, pcols, on)
     i = _explode_buckets(intervals, lo, hi, intervals.schema[lo].dataType, width, True).hint("merge").alias("_i")
-    p = _point_buckets(points, point, ptype, width, intervals, lo, hi).alias("_p")
+    p = _point_buckets(points, point, ptype, width, _levels(intervals, lo, hi, width)).alias("_p")
     cond = [F.col(f"_i.{k}") == F.col(f"_p.{k}") for k in on]
     cond += [F.col("_i._lvl") == F.col("_p._lvl"), F.col("_i._bkt") == F.col("_p._bkt"),
              F.col(f"_p.{point}") >= F.col(f"_i.{lo}"),

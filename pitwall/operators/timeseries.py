@@ -52,16 +52,18 @@ def seq_index(df: DataFrame, by: Sequence[str], order: Sequence[Column], name: s
         out = df.withColumn(name, F.row_number().over(w).cast("long") + F.lit(start - 1))
         return out.withColumn(length, F.count(F.lit(1)).over(Window.partitionBy(*by))) if length else out
     d = equal_parts(df, by, order) if bucket is None else with_bucket(df, bucket)
-    local = d.withColumn("_lrn", F.row_number().over(Window.partitionBy(*by, "_sb").orderBy(*order)))
+    # one key of series and part (nulls in it are equal), so that the join finds the rows dealt as the window left them
+    d = d.withColumn("_part", F.struct(*by, "_sb"))
+    local = d.withColumn("_lrn", F.row_number().over(Window.partitionBy("_part").orderBy(*order)))
     counts = d.groupBy(*by, "_sb").agg(F.count(F.lit(1)).alias("_cnt"))
     before = Window.partitionBy(*by).orderBy(F.col("_sb").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1)
     offs = counts.withColumn("_off", F.coalesce(F.sum("_cnt").over(before), F.lit(0)))
     extra = [F.sum("_cnt").over(Window.partitionBy(*by)).alias(length)] if length else []
-    offs = offs.select(*[F.col(c).alias(f"_o_{c}") for c in [*by, "_sb"]], "_off", *extra)
-    cond = reduce(lambda a, b: a & b, [local[c].eqNullSafe(offs[f"_o_{c}"]) for c in [*by, "_sb"]])
-    out = local.join(offs, cond, "inner")
-    return (out.withColumn(name, (F.col("_off") + F.col("_lrn") + F.lit(start - 1)).cast("long"))
-            .drop("_lrn", "_off", *[f"_o_{c}" for c in [*by, "_sb"]], "_sb"))
+    offs = offs.select(F.struct(*by, "_sb").alias("_part"), "_off", *extra)
+    out = local.join(offs, "_part", "inner")
+    out = out.withColumn(name, (F.col("_off") + F.col("_lrn") + F.lit(start - 1)).cast("long"))
+    # columns in the order of the input
+    return out.select(*dict.fromkeys([*df.columns, *([length] if length else []), name]))
 
 
 def equal_parts(df: DataFrame, by: Sequence[str], order: Sequence[Column]) -> DataFrame:
