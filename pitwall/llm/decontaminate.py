@@ -41,6 +41,8 @@ ITEM_BLOCK = 232                # benchmark items searched for in one pass over
 RANK, OVERSAMPLE = 64, 16
 PASSAGE = 64
 BASIS_PASSAGES = 1024           # multiplied at a time
+TASK_PASSAGES = 1 << 17         # of one task at least, unless cores are idle: every task shuffles a sum of 10 MB
+OFTEN = 32                      # a column that more words have is summed by a matrix product
 PLANTED, MISSED = 32, 0.05      # changed copies per item that set its threshold, and the share left below it
 FILLER_WORDS = 1 << 15          # words around them, as frequent as in the documents
 VERBATIM, PARAPHRASE, ANSWER = 0.7, 0.55, 0.8
@@ -107,9 +109,41 @@ def cut_passages(ids: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndar
     return out, of
 
 
-def gram_times(texts: DataFrame, basis: np.ndarray, idf: np.ndarray) -> np.ndarray:
-    """A^T (A basis) over the unit TF-IDF rows A of all passages of (text, weight); COLUMNS rows at any input size."""
+def add_by_column(total: np.ndarray, cols: np.ndarray, rows: np.ndarray, y: np.ndarray) -> None:
+    """``total[col] += y[row]`` for every pair of a column and a row, repeats included."""
+    if not len(cols):
+        return
+    cols = cols.astype(np.int16)                # stable sort of short numbers is by radix
+    order = np.argsort(cols, kind="stable")
+    cols, rows = cols[order], rows[order]
+    first = np.flatnonzero(np.diff(cols, prepend=-1))
+    col, n = cols[first], np.diff(first, append=len(cols))
+    often = n > OFTEN
+    if often.any():
+        of = np.repeat(often, n)
+        cell = np.repeat(np.cumsum(often) - 1, n)[of] * len(y) + rows[of]
+        counts = np.bincount(cell, minlength=int(often.sum()) * len(y)).astype(y.dtype)
+        total[col[often]] += counts.reshape(-1, len(y)) @ y
+    # the others by turns: the first row of each column, the second of each that has one, ...
+    rare = np.flatnonzero(~often)
+    rare = rare[np.argsort(-n[rare], kind="stable")]
+    at, turns = first[rare], n[rare]
+    if len(rare):
+        sums = y[rows[at]]
+        for turn in range(1, int(turns[0])):
+            left = int(np.searchsorted(-turns, -turn))
+            sums[:left] += y[rows[at[:left] + turn]]
+        total[col[rare]] += sums
+
+
+def gram_times(texts: DataFrame, basis: np.ndarray, idf: np.ndarray, passages: int = 0) -> np.ndarray:
+    """A^T (A basis) over the unit TF-IDF rows A of all passages of (text, weight); COLUMNS rows at any input size.
+
+    Each task shuffles the sum of its passages, so partitions are put together
+    until a task has TASK_PASSAGES of about ``passages`` or every core has one.
+    """
     spark = texts.sparkSession
+    texts = texts.coalesce(max(spark.sparkContext.defaultParallelism, passages // TASK_PASSAGES))
     width = basis.shape[1]
     weighted = np.zeros((COLUMNS + 1, width), np.float32)
     weighted[:-1] = idf[:, None] * basis
@@ -133,12 +167,9 @@ def gram_times(texts: DataFrame, basis: np.ndarray, idf: np.ndarray) -> np.ndarr
                     # repeated words: tf-idf sums; their norm is close to that of the single terms
                     scale = weight[s:s + BASIS_PASSAGES, None] ** 2 / np.maximum(added(squares, part)[:-1], 1e-12)
                     y = added(table, part)[:-1] * scale.astype(np.float32)
-                    word = columns(ids[own]).astype(np.int16)       # stable sort of short numbers is by radix
-                    order = np.argsort(word, kind="stable")
-                    word = word[order]
-                    first = np.flatnonzero(np.diff(word, prepend=-1))
-                    total[word[first]] += np.add.reduceat(y[of[own][order] - s], first)
-                    seen[word[first]] = True
+                    word = columns(ids[own])
+                    add_by_column(total, word, of[own] - s, y)
+                    seen[word] = True
         blocks = np.flatnonzero(seen.reshape(-1, BUCKETS_PER_BLOCK).any(axis=1)) * BUCKETS_PER_BLOCK
         if len(blocks):
             yield pa.RecordBatch.from_arrays(
@@ -157,15 +188,15 @@ def gram_times(texts: DataFrame, basis: np.ndarray, idf: np.ndarray) -> np.ndarr
     return out * idf[:, None].astype(np.float32)
 
 
-def latent_basis(texts: DataFrame, idf: np.ndarray, rank: int, seed: int = 1) -> np.ndarray:
+def latent_basis(texts: DataFrame, idf: np.ndarray, rank: int, seed: int = 1, passages: int = 0) -> np.ndarray:
     """COLUMNS x rank right singular vectors: randomised range finder, then Nystroem's approximation on that range.
 
     Both products are with all passages, so the texts are read twice.
     """
     q = np.random.default_rng(seed).standard_normal((COLUMNS, rank + OVERSAMPLE), np.float32)
-    g = gram_times(texts, q, idf)
+    g = gram_times(texts, q, idf, passages)
     q = g @ whitening(g.T.astype(np.float64) @ g).astype(np.float32)    # orthonormal columns without a copy of g
-    g = gram_times(texts, q, idf)
+    g = gram_times(texts, q, idf, passages)
     small = q.T.astype(np.float64) @ g
     half = g @ whitening((small + small.T) / 2).astype(np.float32)      # half @ half.T is near A^T A
     values, vectors = np.linalg.eigh(half.T.astype(np.float64) @ half)
@@ -225,9 +256,22 @@ class Items:
         del self.whole
         # 1 for a word of the item, 3 if also of its answer
         self.has = np.zeros((len(used) + 1, len(latent)), np.uint8)
+        # number of the word in the item from 1, and how often the item and its answer have it
+        self.nth = np.zeros(self.has.shape, np.int32)
+        most = 1 + max(self.size.tolist(), default=0)
+        self.in_item, self.in_answer = np.zeros((2, len(latent), most), np.int32)
         for k, (w, a) in enumerate(zip(self.words, self.answers)):
             self.has[self.row[columns(np.array(w))], k] = 1
-            self.has[self.row[columns(np.array(list(a[0])))], k] = 3
+            last = self.row[columns(np.array(list(a[0])))]
+            self.has[last, k] = 3
+            own, n = np.unique(self.row[columns(np.array(w))], return_counts=True)
+            self.nth[own, k] = 1 + np.arange(len(own))
+            self.in_item[k, 1:1 + len(own)] = n
+            np.add.at(self.in_answer[k], self.nth[last, k], [m.bit_count() for m in a[0].values()])
+
+    def enough(self, k: np.ndarray, n_words: np.ndarray, n_answer: np.ndarray) -> np.ndarray:
+        """Whether windows with so many words of items ``k`` and of their answers may be accepted by ``judge``."""
+        return (n_words >= self.verbatim[k]) | (n_words >= self.least[k]) & (n_answer >= self.least_answer[k])
 
 
 def planted(item: np.ndarray, n_answer: int, width: int, filler: np.ndarray, rng) -> np.ndarray:
@@ -319,6 +363,16 @@ def added(table: np.ndarray, cols: np.ndarray) -> np.ndarray:
     return out
 
 
+def paired(sums: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sums of blocks twice as wide, and blocks per text, from those of ``n`` blocks per text; a zero row ends both."""
+    wide = -(-n // 2)
+    nth = 2 * (np.arange(wide.sum()) - np.repeat(np.cumsum(wide) - wide, wide))
+    left = np.repeat(np.cumsum(n) - n, wide) + nth
+    out = np.zeros((len(left) + 1, sums.shape[1]), sums.dtype)
+    out[:-1] = sums[left] + sums[np.where(nth + 1 < np.repeat(n, wide), left + 1, -1)]
+    return out, wide
+
+
 def search(docs: DataFrame, items: Items, basis: np.ndarray, idf: np.ndarray, id_col: str,
            text_col: str) -> DataFrame:
     """(id, hash, item_id, lcs, answer, start, cosine, latent): the best window of each contaminated document and item.
@@ -336,40 +390,54 @@ def search(docs: DataFrame, items: Items, basis: np.ndarray, idf: np.ndarray, id
 
     def windows(it, tables, weighted, ids, size):
         """Candidate (document, item, first word, end, cosine) of texts laid end to end."""
+        latent = None               # latent sums of blocks, each scale's from those of the one below
         for scale, (own, table) in tables.items():
             block = scale // 2
             width = 3               # blocks; an occurrence lies in one window whole
             padded = -(-size // block) * block
             first = np.cumsum(padded) - padded
             place = np.arange(len(ids)) + np.repeat(first - (np.cumsum(size) - size), size)
-            flat = np.full(int(padded.sum()) + block, COLUMNS, np.int32)    # the row after the last is zero
+            flat = np.full(int(padded.sum()) + width * block, COLUMNS, np.int32)    # the row after the last is zero
             flat[place] = columns(ids)
             words_of = it.row[flat]
             b_first, b_size = first // block, padded // block
+            if latent is None:
+                latent, per_text, wide = added(weighted, flat[:-width * block].reshape(-1, block)), b_size, block
+            while wide < block:
+                (latent, per_text), wide = paired(latent, per_text), 2 * wide
             n = np.maximum(1, np.maximum(b_size - width, 0) + 1) * (b_size > 0)
             doc = np.repeat(np.arange(len(n)), n)
             lo = b_first[doc] + np.arange(len(doc)) - np.repeat(np.cumsum(n) - n, n)
             hi = np.minimum(lo + width, b_first[doc] + b_size[doc])
             within = np.arange(width * block)
+            from_word = np.lib.stride_tricks.sliding_window_view(words_of, width * block)
             for s in range(0, len(lo), WINDOWS):
                 w_lo, w_hi = lo[s:s + WINDOWS], hi[s:s + WINDOWS]
                 part = slice(w_lo[0] * block, w_hi[-1] * block)
                 # blocks of each window; the last sum of all is zero
-                of = [np.where(w_lo + r < w_hi, w_lo + r - w_lo[0], w_hi[-1] - w_lo[0]) for r in range(width)]
-                sums = added(weighted, flat[part].reshape(-1, block))
-                z = sums[of[0]] + sums[of[1]] + sums[of[2]]
+                of = [np.where(w_lo + r < w_hi, w_lo + r, -1) for r in range(width)]
+                z = latent[of[0]] + latent[of[1]] + latent[of[2]]
                 cosine = z @ it.latent[own].T / np.maximum(np.linalg.norm(z, axis=1), 1e-12)[:, None]
                 sums = added(table, words_of[part].reshape(-1, block))
+                of = [np.where(r < 0, r, r - w_lo[0]) for r in of]
                 x = sums[of[0]] + sums[of[1]] + sums[of[2]]
                 every, which = np.nonzero((cosine >= it.threshold[own]) | (x >= it.limit[own] * (1 - ROUNDING)))
                 for q in range(0, len(every), CANDIDATES):
                     i, near = every[q:q + CANDIDATES], cosine[every[q:q + CANDIDATES], which[q:q + CANDIDATES]]
                     i, k = i + s, own[which[q:q + CANDIDATES]]
-                    at = lo[i, None] * block + within
-                    at = np.where(at < hi[i, None] * block, at, len(flat) - 1)
-                    seen = it.has[words_of[at], k[:, None]]
-                    n_words, n_answer = (seen & 1).sum(axis=1), (seen >> 1).sum(axis=1)
-                    kept = (n_words >= it.verbatim[k]) | (n_words >= it.least[k]) & (n_answer >= it.least_answer[k])
+                    inside = from_word[lo[i] * block]
+                    short = np.flatnonzero(hi[i] - lo[i] < width)
+                    inside[short] = np.where(within < (hi[i[short]] - lo[i[short]])[:, None] * block, inside[short],
+                                             len(it.has) - 1)
+                    seen = np.take(it.has, inside * it.has.shape[1] + k[:, None])
+                    kept = np.flatnonzero(it.enough(k, (seen & 1).sum(axis=1), (seen >> 1).sum(axis=1)))
+                    # a word counts as often as the item has it, at most
+                    nth = it.nth[inside[kept], k[kept, None]]
+                    most = 1 + int(nth.max(initial=0))
+                    times = np.bincount((nth + most * np.arange(len(kept))[:, None]).ravel(), minlength=most * len(kept))
+                    times, whose = times.reshape(-1, most), k[kept]
+                    kept = kept[it.enough(whose, np.minimum(times, it.in_item[whose, :most]).sum(axis=1),
+                                          np.minimum(times, it.in_answer[whose, :most]).sum(axis=1))]
                     i, k = i[kept], k[kept]
                     yield from zip(doc[i].tolist(), k.tolist(), ((lo[i] - b_first[doc[i]]) * block).tolist(),
                                    ((hi[i] - b_first[doc[i]]) * block).tolist(), near[kept].tolist())
@@ -428,7 +496,7 @@ def latent_space(docs: DataFrame, named: DataFrame, n_items: int, passages: int,
     weight = 2 * float(np.sqrt(max(1, passages) / n_items))     # items outweigh the words of single topics
     texts = docs.select(F.col(text_col).cast("string").alias("text"), F.lit(1.0).alias("weight")).unionByName(
         named.select("text", F.lit(weight).alias("weight")))
-    return latent_basis(texts, idf, rank, seed), filler_words(idf, seed)
+    return latent_basis(texts, idf, rank, seed, passages), filler_words(idf, seed)
 
 
 def filler_words(idf: np.ndarray, seed: int = 1) -> np.ndarray:
