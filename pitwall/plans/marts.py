@@ -20,6 +20,7 @@ from pitwall.operators.joins import adjacent_join, enrich, enrich_roles, range_a
 
 DRIVER_ATTRS = {"driver_name": "full_name", "driver_acronym": "acronym", "team_name": "team_name"}
 SD = ["session_key", "driver_number"]
+STINT_BUCKET = 16       # laps: most stints lie in one or two buckets, and so do their partial aggregates
 
 
 def lossless(x: Column) -> Column:
@@ -179,7 +180,7 @@ class Marts:
         closed lap range contains it (range join on (session, driver, lap))."""
         laps = self._s("stg_laps")
         joined = range_join(laps, self._stints(), SD, "lap_number", "lap_start", "lap_end", how="left",
-                            first_by=[F.col("stint_number").asc_nulls_last()])
+                            width=STINT_BUCKET, first_by=[F.col("stint_number").asc_nulls_last()])
         out = joined.withColumn("tyre_age_on_lap",
                                 S.tyre_age_on_lap("lap_number", "lap_start", "tyre_age_at_start"))
         out = out.select(*laps.columns, "tyre_compound", "tyre_age_at_start", "tyre_age_on_lap")
@@ -202,7 +203,8 @@ class Marts:
             F.round(exact_slope(dur, lap), 3).alias("deg_slope_s"),
         ]
         keys = [*SD, "stint_number", "tyre_compound", "tyre_age_at_start", "lap_start", "lap_end"]
-        st = range_agg(self._stints(), cl, SD, "lap_number", "lap_start", "lap_end", aggs, group_cols=keys)
+        st = range_agg(self._stints(), cl, SD, "lap_number", "lap_start", "lap_end", aggs,
+                       width=STINT_BUCKET, group_cols=keys)
         st = st.select(*keys[:-2], "lap_start", "lap_end", (hi - lo + 1).alias("stint_length"), "clean_laps",
                        "fastest_lap_s", "avg_lap_time_s", "gap_to_best_s", "deg_per_lap_s", "deg_slope_s")
         st = st.select(*SD, "stint_number", "tyre_compound", "tyre_age_at_start", "lap_start", "lap_end",
