@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import (DataType, DoubleType, IntegralType, TimestampNTZType, TimestampType)
 
 from pitwall.operators.dedupe import keep_first
-from pitwall.session import materialize
+from pitwall.session import materialize, parts_for
 
 _EPOCH_NTZ = _dt.datetime(1970, 1, 1)
 
@@ -106,6 +106,7 @@ def semi(df: DataFrame, other: DataFrame, on: Sequence[str]) -> DataFrame:
 # --------------------------------------------------------------------------- range joins
 LEVEL_BITS = 4          # a level's buckets are 16 times as wide as those of the level below
 MOST_BUCKETS = 64       # an interval is exploded over this many buckets of its level, plus one at most
+TASK_ROWS = 1_000_000   # exploded rows that one task of a range join sorts, if the number of points is given
 
 
 def _level(lo: Column, hi: Column) -> Column:
@@ -128,13 +129,16 @@ def _explode_buckets(intervals: DataFrame, lo: str, hi: str, dtype: DataType,
     return df.withColumn("_bkt", (F.explode_outer if outer else F.explode)(seq))
 
 
-def _levels(intervals: DataFrame, lo: str, hi: str, width: float) -> list[int]:
-    """Levels that any interval has; level 0 always, a handful at most (one pass over the intervals)."""
+def _levels(intervals: DataFrame, lo: str, hi: str, width: float) -> tuple[list[int], int]:
+    """Levels that any interval has (level 0 always, a handful at most) and about how many rows the exploded
+    intervals are: one pass over the intervals."""
     itype = intervals.schema[lo].dataType
-    used = intervals.select(_level(bucket_of(F.col(lo), itype, width).cast("long"),
-                                   bucket_of(F.col(hi), itype, width).cast("long")).alias("l")) \
-        .agg(F.collect_set("l").alias("l")).first()["l"]
-    return sorted({0, *used})
+    b = intervals.select(bucket_of(F.col(lo), itype, width).cast("long").alias("lo"),
+                         bucket_of(F.col(hi), itype, width).cast("long").alias("hi")).withColumn("l", _level(F.col("lo"), F.col("hi")))
+    each = F.when(F.col("lo") <= F.col("hi"),
+                  1 + (F.col("hi").cast("double") - F.col("lo")) / F.pow(F.lit(2.0 ** LEVEL_BITS), F.col("l")))
+    r = b.agg(F.collect_set("l").alias("l"), F.sum(each).alias("rows")).first()
+    return sorted({0, *r["l"]}), int(r["rows"] or 0)
 
 
 def _point_buckets(points: DataFrame, point: str, dtype: DataType, width: float, levels: Sequence[int]) -> DataFrame:
@@ -150,14 +154,17 @@ def _point_buckets(points: DataFrame, point: str, dtype: DataType, width: float,
 def range_join(points: DataFrame, intervals: DataFrame, on: Sequence[str], point: str,
                lo: str, hi: str, how: str = "left", width: float | None = None,
                first_by: Sequence[Column] | None = None,
-               point_key: Sequence[str] | None = None, hi_inclusive: bool = True) -> DataFrame:
+               point_key: Sequence[str] | None = None, hi_inclusive: bool = True,
+               rows: int | None = None) -> DataFrame:
     """Points joined to every interval with ``lo <= point <= hi`` (closed) and equal keys.
 
     ``how`` is ``left`` (unmatched points kept with null interval columns) or
     ``inner``. With ``first_by`` only the first matching interval per point
     (identified by ``point_key``, default ``on + [point]``) is kept. Long and
     open-ended intervals go to levels of wider buckets, so no interval
-    becomes more than MOST_BUCKETS + 1 rows.
+    becomes more than MOST_BUCKETS + 1 rows. With ``rows``, about how many
+    points there are, tables too large for the session's shuffle partitions
+    are dealt over more, so that no task's sort grows with the tables.
     """
     if how not in ("left", "inner"):
         raise ValueError("how must be 'left' or 'inner'")
@@ -165,10 +172,15 @@ def range_join(points: DataFrame, intervals: DataFrame, on: Sequence[str], point
     width = _default_width(ptype, width)
     icols = [c for c in intervals.columns if c not in on]
     _check_collisions(points, icols, on)
-    levels = _levels(intervals, lo, hi, width)
-    p = _point_buckets(points, point, ptype, width, levels).alias("_p")
+    levels, exploded = _levels(intervals, lo, hi, width)
+    p = _point_buckets(points, point, ptype, width, levels)
     # an exploded side is estimated at its pre-explode size: never broadcast it on that guess
-    i = _explode_buckets(intervals, lo, hi, intervals.schema[lo].dataType, width, False).hint("merge").alias("_i")
+    i = _explode_buckets(intervals, lo, hi, intervals.schema[lo].dataType, width, False)
+    parts = rows and parts_for(points.sparkSession, rows * len(levels) + exploded, TASK_ROWS)
+    if parts:
+        dealt = [*on, *(["_lvl"] if len(levels) > 1 else []), "_bkt"]
+        p, i = p.repartition(parts, *dealt), i.repartition(parts, *dealt)
+    p, i = p.alias("_p"), i.hint("merge").alias("_i")
     cond = [F.col(f"_p.{k}") == F.col(f"_i.{k}") for k in on]
     upper = (F.col(f"_p.{point}") <= F.col(f"_i.{hi}")) if hi_inclusive else \
         (F.col(f"_p.{point}") < F.col(f"_i.{hi}"))
@@ -177,14 +189,21 @@ def range_join(points: DataFrame, intervals: DataFrame, on: Sequence[str], point
     # a point is there once per level: of one level, or where one match is kept, the outer join keeps it by itself
     kept = how if len(levels) == 1 or first_by is not None else "inner"
     out = p.join(i, cond, kept).select(*[F.col(f"_p.{c}").alias(c) for c in points.columns], F.col("_p._bkt").alias("_bkt"),
+                                       F.col("_p._lvl").alias("_lvl"),
                                        *[F.col(f"_i.{c}").alias(c) for c in icols], F.col("_i._bkt").isNull().alias("_none"))
     if first_by is not None:
         key = list(point_key or [*on, point])
+        first = [F.col("_none"), *first_by]         # any match goes before none
         if len(levels) == 1 and {*on, point} <= set(key):
             # rows of a point are in one bucket, and the join has dealt them by it: no further shuffle
             key = [*on, "_bkt", *[k for k in key if k not in on]]
-        return keep_first(out, key, [F.col("_none"), *first_by]).drop("_none", "_bkt")   # any match goes before none
-    out = out.drop("_none", "_bkt")
+            return keep_first(out, key, first).drop("_none", "_bkt", "_lvl")
+        if len(levels) > 1:     # a point without a match stays on one level
+            out = out.where(~F.col("_none") | (F.col("_lvl") == levels[0]))
+        if parts:               # each level's first match, where the join has dealt it; then the levels meet
+            out = keep_first(out, [*dealt, *[k for k in key if k not in dealt]], first).repartition(parts, *key)
+        return keep_first(out, key, first).drop("_none", "_bkt", "_lvl")
+    out = out.drop("_none", "_bkt", "_lvl")
     if how == "inner" or len(levels) == 1:
         return out
     keys = [*on, point]         # whether a point has a match depends on these alone
@@ -203,7 +222,7 @@ def range_agg(intervals: DataFrame, points: DataFrame, on: Sequence[str], point:
     pcols = [c for c in points.columns if c not in on]
     _check_collisions(intervals, pcols, on)
     i = _explode_buckets(intervals, lo, hi, intervals.schema[lo].dataType, width, True).hint("merge").alias("_i")
-    p = _point_buckets(points, point, ptype, width, _levels(intervals, lo, hi, width)).alias("_p")
+    p = _point_buckets(points, point, ptype, width, _levels(intervals, lo, hi, width)[0]).alias("_p")
     cond = [F.col(f"_i.{k}") == F.col(f"_p.{k}") for k in on]
     cond += [F.col("_i._lvl") == F.col("_p._lvl"), F.col("_i._bkt") == F.col("_p._bkt"),
              F.col(f"_p.{point}") >= F.col(f"_i.{lo}"),

@@ -208,7 +208,7 @@ def range_join_long(t: Tables) -> DataFrame:
     lines = t.lineitem.join(t.orders.withColumnRenamed("o_orderkey", "l_orderkey"), ["l_orderkey"]).select(
         "o_custkey", "l_orderkey", "l_linenumber", (F.col("l_orderkey") * 1000 + F.col("l_linenumber")).alias("p"))
     return range_join(lines, spans, ["o_custkey"], "p", "lo", "hi", how="left", first_by=[F.col("span_order")],
-                      point_key=["l_orderkey", "l_linenumber"]) \
+                      point_key=["l_orderkey", "l_linenumber"], rows=t.lineitem.count()) \
         .select("l_orderkey", "l_linenumber", "span_order")
 
 

@@ -72,6 +72,12 @@ def materialize(df: DataFrame, name: str, run_dir: str | None = None) -> DataFra
     return spark.read.parquet(path)
 
 
+def parts_for(spark: SparkSession, rows: int | None, per_task: int) -> int | None:
+    """Number of partitions that leave each about ``per_task`` rows, or None where the session's own number does."""
+    parts = -(-(rows or 0) // per_task)
+    return parts if parts > int(spark.conf.get("spark.sql.shuffle.partitions")) else None
+
+
 def cut_lineage(df: DataFrame, spark: SparkSession | None = None) -> DataFrame:
     """Reliable checkpoint into the shared checkpoint folder (survives executor loss)."""
     spark = spark or df.sparkSession
