@@ -142,7 +142,8 @@ def _laps_typed(t: Tables) -> DataFrame:
     order = [F.col(c) for c in ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity",
                                 "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus",
                                 "l_shipdate")]
-    li = seq_index(li, ["session_key", "driver_number"], order, "lap_number", 1, bucket=("l_orderkey", 65536))
+    li = seq_index(li, ["session_key", "driver_number"], order, "lap_number", 1, bucket=("l_orderkey", 65536),
+                   rows=t.lineitem.count())
     return li.selectExpr(
         "session_key", "driver_number", "lap_number", "l_orderkey", "l_linenumber", "l_tax",
         "80 + 200 * l_discount + l_quantity / 10 + CASE WHEN l_linenumber = 7 THEN 30 ELSE 0 END AS lap_duration",

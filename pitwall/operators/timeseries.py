@@ -25,14 +25,15 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pitwall.session import materialize
+from pitwall.session import materialize, parts_for
 
 FILL_ROWS = 4096        # positions of a series in one window of gap_fill_linear
+TASK_ROWS = 500_000     # rows that one task of seq_index sorts, if their number is given
 
 
 def seq_index(df: DataFrame, by: Sequence[str], order: Sequence[Column], name: str = "idx",
               start: int = 1, bucket: tuple[str, float] | None = None, length: str | None = None,
-              bounded: bool = False) -> DataFrame:
+              bounded: bool = False, rows: int | None = None) -> DataFrame:
     """Ordinal of each row inside its series (``cumcount() + start``), and its
     number of rows as column ``length`` if named.
 
@@ -45,7 +46,9 @@ def seq_index(df: DataFrame, by: Sequence[str], order: Sequence[Column], name: s
     that tie in the whole order share a part. With ``bucket=(column, width)``
     — ``column`` the leading, ascending order column (time in seconds or
     numeric width) — a part is a bucket, a pure function of the row.
-    ``bounded`` series get a plain window.
+    ``bounded`` series get a plain window. With ``rows``, about how many rows
+    there are, tables too large for the session's shuffle partitions are dealt
+    over more, so that no task's sort grows with the table.
     """
     if bounded:
         w = Window.partitionBy(*by).orderBy(*order)
@@ -54,7 +57,9 @@ def seq_index(df: DataFrame, by: Sequence[str], order: Sequence[Column], name: s
     d = equal_parts(df, by, order) if bucket is None else with_bucket(df, bucket)
     # one key of series and part (nulls in it are equal), so that the join finds the rows dealt as the window left them
     d = d.withColumn("_part", F.struct(*by, "_sb"))
-    local = d.withColumn("_lrn", F.row_number().over(Window.partitionBy("_part").orderBy(*order)))
+    parts = parts_for(df.sparkSession, rows, TASK_ROWS)
+    dealt = d.repartition(parts, "_part") if parts else d
+    local = dealt.withColumn("_lrn", F.row_number().over(Window.partitionBy("_part").orderBy(*order)))
     counts = d.groupBy(*by, "_sb").agg(F.count(F.lit(1)).alias("_cnt"))
     before = Window.partitionBy(*by).orderBy(F.col("_sb").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1)
     offs = counts.withColumn("_off", F.coalesce(F.sum("_cnt").over(before), F.lit(0)))
