@@ -51,6 +51,7 @@ LEAST_WINDOW = SHORT_ITEM
 ROUNDING = 1e-4                 # of products in single precision
 WINDOWS, CANDIDATES = 4096, 8192    # compared and counted at a time
 BUCKETS_PER_BLOCK = 256
+ROWS_AT_ONCE = 4096             # widened to doubles at a time on the driver
 PIECE_BYTES = 1 << 18
 # ASCII punctuation, blanks and control characters separate words
 SEPARATORS = bytes(i for i in range(128) if not chr(i).isalnum())
@@ -184,7 +185,7 @@ def gram_times(texts: DataFrame, basis: np.ndarray, idf: np.ndarray, passages: i
     for r in (texts.mapInArrow(run, "block long, part binary").groupBy("block")
               .applyInPandas(add, "block long, part binary").collect()):
         out[r["block"]:r["block"] + BUCKETS_PER_BLOCK] = np.frombuffer(r["part"], np.float32).reshape(-1, width)
-    shared.unpersist()
+    shared.destroy()
     return out * idf[:, None].astype(np.float32)
 
 
@@ -195,15 +196,20 @@ def latent_basis(texts: DataFrame, idf: np.ndarray, rank: int, seed: int = 1, pa
     """
     q = np.random.default_rng(seed).standard_normal((COLUMNS, rank + OVERSAMPLE), np.float32)
     g = gram_times(texts, q, idf, passages)
-    q = g @ whitening(g.T.astype(np.float64) @ g).astype(np.float32)    # orthonormal columns without a copy of g
+    q = g @ whitening(inner(g, g)).astype(np.float32)                   # orthonormal columns without a copy of g
     g = gram_times(texts, q, idf, passages)
-    small = q.T.astype(np.float64) @ g
+    small = inner(q, g)
     half = g @ whitening((small + small.T) / 2).astype(np.float32)      # half @ half.T is near A^T A
-    values, vectors = np.linalg.eigh(half.T.astype(np.float64) @ half)
+    values, vectors = np.linalg.eigh(inner(half, half))
     top = np.argsort(-values)[:rank]
     return half @ (vectors[:, top] / np.sqrt(np.maximum(values[top], 1e-30))).astype(np.float32)
 
 
+def inner(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """``a.T @ b`` in double precision; only ROWS_AT_ONCE rows are widened at a time."""
+    return sum(a[s:s + ROWS_AT_ONCE].T.astype(np.float64) @ b[s:s + ROWS_AT_ONCE] for s in range(0, len(a), ROWS_AT_ONCE))
+
+
 def whitening(gram: np.ndarray) -> np.ndarray:
     """W with W.T @ gram @ W the identity, on the part of ``gram`` that is not zero."""
     values, vectors = np.linalg.eigh(gram)
@@ -237,10 +243,10 @@ class Items:
             near = cosines(planted(columns(w), len(answer), 3 * (scale[-1] // 2), filler, rng), basis, idf, z[None])
             threshold.append(np.quantile(near, MISSED))
             latent.append(z)
-            whole.append(v / size)
+            own = np.flatnonzero(v)
+            whole.append((own, v[own] / size))
             limit.append(least_product(idf[columns(w)], idf[columns(answer)]) / size)
         self.latent = np.array(latent, np.float32).reshape(len(latent), basis.shape[1])
-        self.whole = np.array(whole, np.float32).reshape(len(latent), len(idf))
         self.scale = np.array(scale, np.int64)
         self.limit, self.threshold = np.array(limit), np.array(threshold)
         self.size = np.array([len(w) for w in self.words], np.int64)
@@ -248,12 +254,12 @@ class Items:
         self.least = np.array([at_least(PARAPHRASE, n) for n in self.size.tolist()], np.int64)
         self.least_answer = np.array([at_least(ANSWER, n) for _, n in self.answers], np.int64)
         # tables of the items' words have a row for each of their columns, and a zero row for all others
-        used = np.flatnonzero(self.whole.any(axis=0))
+        used = np.unique(np.concatenate([np.empty(0, np.int64), *[own for own, _ in whole]]))
         self.row = np.full(COLUMNS + 1, len(used), np.int32)
         self.row[used] = np.arange(len(used))
         self.product = np.zeros((len(used) + 1, len(latent)), np.float32)
-        self.product[:-1] = (self.whole[:, used] * idf[used]).T
-        del self.whole
+        for k, (own, share) in enumerate(whole):
+            self.product[self.row[own], k] = share * idf[own]
         # 1 for a word of the item, 3 if also of its answer
         self.has = np.zeros((len(used) + 1, len(latent)), np.uint8)
         # number of the word in the item from 1, and how often the item and its answer have it

@@ -32,6 +32,7 @@ SAMPLE = 4000
 LANDMARKS = 256
 RIDGE = 1e-2
 BATCH = 64
+COLUMNS_AT_ONCE = 4096
 UNKNOWN = "und"
 HAS_LETTER = re.compile(r"[^\W\d_]")
 
@@ -94,7 +95,10 @@ def fit(packed: list[bytes], labels: list[str], landmarks: int, ridge: float) ->
     centred = phi - mean
     beta = np.linalg.solve(centred.T @ centred + ridge * len(labels) * np.eye(phi.shape[1]), centred.T @ (y - y_mean))
     alpha = root @ beta
-    return names, (z.T @ alpha).astype(np.float32), y_mean - mean @ beta
+    matrix = np.empty((WIDTH, len(names)), np.float32)
+    for s in range(0, WIDTH, COLUMNS_AT_ONCE):      # widened to doubles by parts
+        matrix[s:s + COLUMNS_AT_ONCE] = z[:, s:s + COLUMNS_AT_ONCE].T @ alpha
+    return names, matrix, y_mean - mean @ beta
 
 
 def held_out(id_col: str):

@@ -154,3 +154,43 @@ def test_windows_of_repeated_words_are_not_judged(spark, monkeypatch):
     found = decontaminate.contaminated(spark.createDataFrame(list(texts.items()), "doc_id long, text string"),
                                        spark.createDataFrame([(5, item)], "item_id long, text string")).collect()
     assert [(r["id"], r["item_id"], r["lcs"]) for r in found] == [(2, 5, 1.0)]
+
+
+def peak_of(work):
+    """(result, most bytes allocated at once) of a call."""
+    import tracemalloc
+    tracemalloc.start()
+    try:
+        return work(), tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+
+
+def test_driver_widens_few_rows_at_once():
+    """The pipeline passed the driver's memory: double copies of whole matrices."""
+    a, b = np.random.default_rng(0).standard_normal((2, decontaminate.COLUMNS, 80), np.float32)
+    got, most = peak_of(lambda: decontaminate.inner(a, b))
+    assert np.allclose(got, a.T.astype(np.float64) @ b) and most < a.nbytes
+
+
+def test_items_hold_their_own_columns_only():
+    """The pipeline passed the driver's memory: a row of all columns per benchmark item, twice."""
+    rows = [(i, " ".join(f"w{i}x{j}" for j in range(12)) + ". " + " ".join(f"a{i}x{j}" for j in range(4))) for i in range(100)]
+    basis = np.random.default_rng(0).standard_normal((decontaminate.COLUMNS + 1, 4)).astype(np.float32)
+    idf = np.append(np.linspace(0.5, 5, decontaminate.COLUMNS), 0.0)
+    items, most = peak_of(lambda: decontaminate.Items(rows, basis, idf, np.arange(1000)))
+    assert most < 100 * 4 * decontaminate.COLUMNS
+    for k in (0, 99):
+        v = np.zeros(len(idf))
+        np.add.at(v, at := decontaminate.columns(decontaminate.words(rows[k][1])), idf[at])
+        want = v / np.linalg.norm(v) * idf
+        assert np.allclose(items.product[items.row[:decontaminate.COLUMNS], k], want[:-1], rtol=1e-5)
+
+
+def test_language_fit_widens_few_columns_at_once():
+    """The pipeline passed the driver's memory: a double copy of all landmarks."""
+    from pitwall.llm import language
+    rng = np.random.default_rng(0)
+    packed = [np.packbits(rng.random(language.WIDTH) < 0.01).tobytes() for _ in range(40)]
+    (names, matrix, _), most = peak_of(lambda: language.fit(packed, ["a", "b"] * 20, 40, 1e-2))
+    assert names == ["a", "b"] and matrix.shape == (language.WIDTH, 2) and most < 2.5 * 40 * 4 * language.WIDTH
