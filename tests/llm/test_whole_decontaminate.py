@@ -194,3 +194,59 @@ def test_language_fit_widens_few_columns_at_once():
     packed = [np.packbits(rng.random(language.WIDTH) < 0.01).tobytes() for _ in range(40)]
     (names, matrix, _), most = peak_of(lambda: language.fit(packed, ["a", "b"] * 20, 40, 1e-2))
     assert names == ["a", "b"] and matrix.shape == (language.WIDTH, 2) and most < 2.5 * 40 * 4 * language.WIDTH
+
+
+def test_documents_are_read_twice(spark, tmp_path):
+    """op1 over its CPU budget: each read of the texts hashed every word again, four times."""
+    import uuid
+    docs = spark.createDataFrame([(k, f"one two three four five six seven eight nine {k}") for k in range(40)],
+                                 "doc_id long, text string")
+    folder = str(tmp_path)
+
+    def noted(batches):
+        for b in batches:
+            with open(f"{folder}/{uuid.uuid4().hex}", "w") as f:
+                f.write(str(b.num_rows))
+            yield b
+
+    b = spark.createDataFrame([(1, "three four five six seven eight nine 7")], "item_id long, text string")
+    found = decontaminate.contaminated(docs.mapInArrow(noted, docs.schema), b).collect()
+    assert (7, 1) in {(r["id"], r["item_id"]) for r in found}
+    assert sum(int(p.read_text()) for p in tmp_path.iterdir()) == 2 * 40
+
+
+def test_packed_columns_equal_the_words():
+    import pyarrow as pa
+    texts = ["a b c", "", "d", " ".join(f"w{k}" for k in range(300))]
+    packed = [decontaminate.columns(decontaminate.words(t)).astype("<i2").tobytes() for t in texts]
+    for kind in (pa.binary(), pa.large_binary()):
+        cols, size = decontaminate.unpacked(pa.array(packed, kind).slice(1))
+        assert size.tolist() == [0, 1, 300] and cols.tobytes() == b"".join(packed[1:])
+        assert len(decontaminate.unpacked(pa.array([], kind))[0]) == 0
+    assert decontaminate.cut_passages(np.array([0, 1, 64, 65, 0, 130])).tolist() == [1, 64, 64, 1, 64, 64, 2]
+
+
+def test_second_path_weighs_a_repeated_word_once():
+    """op1 over its CPU budget: a word of the item weighed as often as the item has it, for every time it was read."""
+    rng = np.random.default_rng(2)
+    text = "the cat of the house and the dog of the farm sleep under the old tree"
+    idf = np.append(rng.uniform(0.5, 8, decontaminate.COLUMNS), 0.0)
+    idf[decontaminate.columns(decontaminate.words("the of and"))] = 0.1, 0.12, 0.2
+    basis = np.ones((decontaminate.COLUMNS + 1, 2), np.float32)
+    items = decontaminate.Items([(5, text)], basis, idf, np.arange(64))
+    weight = lambda w: int(items.steps[items.row[decontaminate.columns(np.array(w))]].sum())
+    assert weight(decontaminate.words("the of and " * 8)) < items.limit[0] <= weight(items.words[0])
+    hits = 0
+    for _ in range(300):        # no window that is accepted weighs less
+        kept = np.sort(rng.permutation(len(items.words[0]))[:rng.integers(6, 16)])
+        window = np.array(items.words[0])[kept].tolist()
+        if decontaminate.judge(items, 0, window)[0]:
+            hits += 1
+            assert weight(window) >= items.limit[0]
+    assert hits > 20
+
+
+def test_window_sums_stop_at_the_end_of_a_text():
+    sums = np.array([[1], [2], [3], [4], [5], [6]], np.uint16)      # texts of one, two and three blocks
+    got = decontaminate.window_sums(sums, np.array([1, 2, 1, 3, 2, 1]))
+    assert got[[0, 1, 3], 0].tolist() == [1, 5, 15]
